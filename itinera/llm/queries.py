@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itinera.llm import exact_dedup, secret_scan, url_filter
+from itinera.llm import exact_dedup, secret_scan, simhash, url_filter
 from itinera.llm.common import table
 
 
@@ -22,10 +22,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {

@@ -6,7 +6,7 @@ SCHEMA = "page_id long, url string, html string, rule string, host string"
 def test_rules_hosts_and_paths(spark):
     cases = [
         ("http://a.net/x", "a.net", "/x", "net/", "block"),
-        ("http://a.net", "a.net", "", None, "allow"),
+        ("http://a.net", "a.net", "", None, "block"),
         ("https://M.Example.NET/en/7?x#y", "m.example.net", "/en/7", "example.net/en/", "allow"),
         ("https://example.com/de/1", "example.com", "/de/1", "example.com/de/", "block"),
         ("https://notexample.com/de/1", "notexample.com", "/de/1", None, "allow"),
