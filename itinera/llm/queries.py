@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itinera.llm import decontaminate, exact_dedup, secret_scan, simhash, url_filter
+from itinera.llm import decontaminate, exact_dedup, secret_scan, simhash, token_files, url_filter
 from itinera.llm.common import table
 
 
@@ -14,6 +14,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def byte_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_output(table(spark, sf_dir, "documents"), byte_bpe_path)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -32,6 +42,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_token_output": op2_token_output,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
