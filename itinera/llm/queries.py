@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itinera.llm import decontaminate, exact_dedup, secret_scan, simhash, token_files, url_filter
+from itinera.llm import decontaminate, exact_dedup, language_id, secret_scan, simhash, token_files, url_filter
 from itinera.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(table(spark, sf_dir, "documents"), byte_bpe_path)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_output": op2_token_output,
+    "op3_language_id": op3_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
