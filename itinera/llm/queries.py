@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itinera.llm import decontaminate, exact_dedup, language_id, secret_scan, simhash, source_mix, token_files, url_filter, warc
+from itinera.llm import decontaminate, exact_dedup, language_id, personal_data, secret_scan, simhash, source_mix, token_files, url_filter, warc
 from itinera.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_output": op2_token_output,
     "op3_language_id": op3_language_id,
+    "op4_personal_data": op4_personal_data,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
     "op7_source_mix": op7_source_mix,
