@@ -230,3 +230,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     found = simhash_components(docs, id_col, text_col)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """One document of each component stays: that of the least id, and of repeated rows one.
+
+    Rows are told apart by a number that is stored with their fingerprints, and
+    only ids, numbers and fingerprints are shuffled; the kept numbers pick the rows.
+    """
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"))
+    numbered = materialise(numbered, "near-dedup-rows")
+    lite = numbered.select("_row", F.col("_doc")[id_col].alias("doc_id"), F.col("_doc")[text_col].alias("text"))
+    # The row number orders rows of equal ids, so (id, row) is what the component's least is taken of.
+    keyed = lite.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("doc_id"), "text")
+    kept = simhash_components(keyed, tile=tile).select("component_id").distinct()
+    kept = kept.select(F.col("component_id")["_row"].alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from itinera.llm.components import connected_components
-from itinera.llm.simhash import fingerprint, near_dedup, near_links, tile_links
+from itinera.llm.simhash import drop_near_copies, fingerprint, near_dedup, near_links, tile_links
 
 SCHEMA = "doc_id long, text string, fp string, component_id long"
 
@@ -103,3 +103,11 @@ def test_documents(spark):
     near = bin(int(by[9].fingerprint, 16) ^ int(by[5].fingerprint, 16)).count("1") <= 3
     assert by[9].component_id == (3 if near else 9)
     assert near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    rows = [(5, base, "f", 0), (3, base, "f", 0), (3, base, "f", 0), (None, base, "f", 0), (None, "alone here", "g", None), (8, "", "f", 0), (7, None, "f", 0)]
+    out = drop_near_copies(spark.createDataFrame(rows, SCHEMA))
+    assert out.columns == ["doc_id", "text", "fp", "component_id"]
+    assert sorted((str(r.doc_id), r.fp) for r in out.collect()) == [("3", "f"), ("7", "f"), ("None", "g")]
