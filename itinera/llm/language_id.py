@@ -37,6 +37,8 @@ ORDER = 4
 SAMPLE_DOCS = 1800
 #: Every so-manieth of them calibrates the model instead of training it.
 CALIBRATION_EVERY = 6
+#: Languages that a model can tell apart: the most frequent ones.
+MOST_LANGUAGES = 1000
 #: n-grams of each order and language that the model keeps, the most frequent
 #: ones. It bounds what is sent to the tasks: about 40 bytes each.
 MODEL_NGRAMS = 200_000
@@ -283,9 +285,9 @@ def train(
     )
     # The texts of least hash in each language. Copies are made one before any rows
     # of a language meet, so their number does not matter.
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
     share = (2.0 * sample_docs + 64.0) / F.col("n")
-    low = labelled.join(sizes, "lang").filter(F.pmod("h", F.lit(SPAN)) <= share * float(SPAN))
+    low = labelled.join(F.broadcast(sizes), "lang").filter(F.pmod("h", F.lit(SPAN)) <= share * float(SPAN))
     low = low.groupBy("lang", "h").agg(F.min("text").alias("text"))
     by_hash = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(SPAN)), "h")
     ranked = low.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= sample_docs)
