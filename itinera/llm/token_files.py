@@ -23,6 +23,7 @@ complete, so a task that is run again replaces its own file by equal bytes.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -41,7 +42,7 @@ MAGIC = b"BPK1"
 #: Ids in a block.
 BLOCK = 4096
 #: Distinct words whose ids a Python worker keeps at most.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 900_000
 
 
 def id_bits(vocabulary: int) -> int:
@@ -150,6 +151,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -199,22 +201,21 @@ class WordEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) for t in texts]
         heads = [pieces.pop(0) for pieces in cut]
-        words = set().union(*cut)
-        new = list(words.difference(self.memo))
-        if len(self.memo) >= self.memo_words and 2 * len(new) > len(words):
+        found = [list(map(self.memo.get, pieces)) for pieces in cut]
+        open_ = [i for i, ids in enumerate(found) if None in ids]
+        new = {p for i in open_ for p, ids in zip(cut[i], found[i], strict=True) if ids is None}
+        known = self._learn(list(new))
+        for i in open_:
+            found[i] = [known[p] if ids is None else ids for p, ids in zip(cut[i], found[i], strict=True)]
+        if len(self.memo) >= self.memo_words and 4 * len(new) > sum(map(len, cut)):
             self.memo.clear()  # it no longer fits the texts
-            new = list(words)
-        known = self._learn(new)
         if len(self.memo) < self.memo_words:
             self.memo.update(known)
-            get = self.memo.__getitem__
-        else:
-            get = ({p: self.memo[p] for p in words.intersection(self.memo)} | known).__getitem__
         if len(self.heads) >= self.memo_words:
             self.heads = {"": b""}
         fresh = list(set(heads).difference(self.heads))
         self.heads.update(zip(fresh, self._each(fresh), strict=True))
-        return [b"".join([self.heads[h], *map(get, pieces)]) for h, pieces in zip(heads, cut, strict=True)]
+        return [b"".join([self.heads[h], *ids]) for h, ids in zip(heads, found, strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -264,15 +265,15 @@ def write_token_files(
         writer = encoder = None
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                piece = batch.slice(at, 128)
                 if writer is None:
                     encoder = encoder_for(tokenizer_path())
                     out = files.open_output_stream(draft)
                     writer = Writer(out, id_bits(encoder.vocabulary))
                 found = [x + end for x in encoder.encode(piece.column("text").to_pylist())]
                 ids = np.frombuffer(b"".join(found), "<u4")
-                writer.add(piece.column("doc_id").to_pylist(), ids, np.array([len(x) // 4 for x in found], np.int64))
+                writer.add(piece.column("doc_id").to_pylist(), ids, np.fromiter(map(len, found), np.int64) // 4)
         if writer is None:
             return
         writer.close()

@@ -40,7 +40,7 @@ def test_random_access():
 def test_word_encoder_equals_the_tokenizer():
     rng = random.Random(2)
     plain = Tokenizer.from_file(PATH)
-    alphabet = ["the", "Ünï", "don't", "12", "$$$", ",", "\n", "\t", " ", "  ", " ", "\x1c", "　", "<|endoftext|>", "𝒳", "a" * 50]
+    alphabet = ["the", "Ünï", "don't", "12", "$$$", ",", "...", ".\n", "\n\n", "_", "!é", "²", "\n", "\t", " ", "  ", " ", "\x1c", "　", "<|endoftext|>", "𝒳", "a" * 50]
     texts = ["", " ", "a", " a", "a "] + ["".join(rng.choice(alphabet) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 60))) for _ in range(800)]
     for memo in (10, 10**6):
         encoder = WordEncoder(PATH, memo)
