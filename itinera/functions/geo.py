@@ -25,7 +25,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     a = F.radians(lat2 - lat1) / 2
     b = F.radians(lon2 - lon1) / 2
     h = F.sin(a) * F.sin(a) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(b) * F.sin(b)
-    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(2 * EARTH_KM) * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))
 
 
 def mercator_x(lon: Column) -> Column:
@@ -33,7 +33,7 @@ def mercator_x(lon: Column) -> Column:
 
 
 def mercator_y(lat: Column) -> Column:
-    phi = F.radians(F.greatest(F.lit(-MERCATOR_LAT), F.least(F.lit(MERCATOR_LAT), lat)))
+    phi = F.radians(clamp(lat, -MERCATOR_LAT, MERCATOR_LAT))
     return F.lit(0.5) - F.ln(F.tan(phi / 2 + math.pi / 4)) / (2 * math.pi)
 
 
@@ -51,8 +51,9 @@ def fit_zoom(w: Column, s: Column, e: Column, n: Column, width: float, height: f
 
 
 def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
+    """x within bounds; null stays null."""
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.greatest(as_col(low), F.least(as_col(high), x))
+    return F.when(x.isNotNull(), F.greatest(as_col(low), F.least(as_col(high), x)))
 
 
 def bearing_sign(hint: Column, degrees: Column) -> Column:
@@ -90,11 +91,11 @@ def score_population(thousands: Column) -> Column:
 
 
 def furniture_scale(zoom: Column) -> Column:
-    return clamp(0.85 * F.pow(F.greatest(zoom, F.lit(4.0)) / 4, F.lit(0.66)), 0.85, 1.7)
+    return F.coalesce(clamp(0.85 * F.pow(F.greatest(zoom, F.lit(4.0)) / 4, F.lit(0.66)), 0.85, 1.7), F.lit(0.85))
 
 
 def zoom_scale(zoom: Column) -> Column:
-    return 0.7 + (2.5 - 0.7) * ((clamp(zoom, 2.0, 11.0) - 2) / 9)
+    return F.coalesce(0.7 + (2.5 - 0.7) * ((clamp(zoom, 2.0, 11.0) - 2) / 9), F.lit(0.7))
 
 
 def cap_for_zoom(zoom: Column) -> Column:

@@ -72,7 +72,7 @@ def missing_images(stops: DataFrame, images: DataFrame) -> DataFrame:
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
     """key, text of a flat JSON object of interface strings."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "text"))
 
 
