@@ -29,7 +29,9 @@ def polygon_cells(land: DataFrame) -> DataFrame:
     low = lambda axis: F.floor(F.array_min(F.transform(F.col("rings")[0], lambda p: p[axis])))
     high = lambda axis: F.floor(F.array_max(F.transform(F.col("rings")[0], lambda p: p[axis])))
     spread = land.withColumn("_row", F.explode(F.sequence(low("lat"), high("lat")))).withColumn("_column", F.explode(F.sequence(low("lon"), high("lon"))))
-    one = F.struct("ord", "polygon", "rings")
+    edge = lambda axis, f: f(F.transform(F.col("rings")[0], lambda p: p[axis]))
+    box = F.struct(edge("lon", F.array_min).alias("w"), edge("lat", F.array_min).alias("s"), edge("lon", F.array_max).alias("e"), edge("lat", F.array_max).alias("n"))
+    one = F.struct("ord", "polygon", box.alias("box"), "rings")
     return spread.groupBy("_row", "_column").agg(F.array_sort(F.collect_list(one)).alias("_polygons"))
 
 
@@ -41,7 +43,8 @@ def locate(points: DataFrame, land: DataFrame, out: str = "landmass", lat: str =
     def holds(p: Column) -> Column:
         rings = p["rings"]
         holes = F.slice(rings, 2, F.greatest(F.size(rings), F.lit(1)))
-        return in_ring(F.col(lon), F.col(lat), rings[0]) & ~F.exists(holes, lambda r: in_ring(F.col(lon), F.col(lat), r))
+        near = F.col(lon).between(p["box"]["w"], p["box"]["e"]) & F.col(lat).between(p["box"]["s"], p["box"]["n"])
+        return near & in_ring(F.col(lon), F.col(lat), rings[0]) & ~F.exists(holes, lambda r: in_ring(F.col(lon), F.col(lat), r))
 
     first = F.try_element_at(F.filter("_polygons", holds), F.lit(1))
     return joined.withColumn(out, first["polygon"]).drop("_row", "_column", "_polygons")
@@ -77,11 +80,18 @@ def probes(lat: Column, lon: Column) -> Column:
 
 
 def landmass_near(points: DataFrame, key: list[str], land: DataFrame) -> DataFrame:
-    """key, landmass, snap_km: the landmass of each keyed point, reached outwards where it lies off it."""
-    tried = points.filter("lat IS NOT NULL AND lon IS NOT NULL").select(*key, F.explode(probes(F.col("lat"), F.col("lon"))).alias("p"))
-    found = locate(tried.select(*key, "p.*"), land).filter("landmass IS NOT NULL")
-    best = found.groupBy(*key).agg(F.min(F.struct("k", "landmass", "snap_km")).alias("best"))
-    return points.select(*key).join(best, key, "left").select(*key, "best.landmass", "best.snap_km")
+    """key, landmass, snap_km: the landmass of each keyed point, reached outwards where it lies off it.
+
+    Distinct positions are looked up once, and only those off land try the rings.
+    """
+    spots = locate(points.select("lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct(), land)
+    on = spots.filter("landmass IS NOT NULL").withColumn("snap_km", F.lit(0))
+    tries = F.slice(probes(F.col("lat"), F.col("lon")), 2, 8 * len(SNAP_KM))
+    off = spots.filter("landmass IS NULL").select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(tries).alias("p"))
+    found = locate(off.select("_lat", "_lon", "p.*"), land).filter("landmass IS NOT NULL")
+    best = found.groupBy("_lat", "_lon").agg(F.min(F.struct("k", "landmass", "snap_km")).alias("best"))
+    reached = on.unionByName(best.select(F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "best.landmass", "best.snap_km"))
+    return points.select(*key, "lat", "lon").join(reached, ["lat", "lon"], "left").select(*key, "landmass", "snap_km")
 
 
 def same_landmass(legs: DataFrame, land: DataFrame) -> DataFrame:

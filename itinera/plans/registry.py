@@ -6,6 +6,7 @@ logarithms are rounded, as engines differ in their last digits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -830,11 +831,11 @@ _EDGES = "edges(ord, polygon, ring, x1, y1, x2, y2) AS (VALUES " + ", ".join(
 def _landed(samples: str, keys: str, out: str = "located") -> str:
     """SQL tables that add the first polygon (landmass) to samples with keys, lat and lon."""
     return f"""
-, crossed AS (SELECT {keys}, ord, polygon, ring FROM {samples} JOIN edges ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1
+, crossed_{out} AS (SELECT {keys}, ord, polygon, ring FROM {samples} JOIN edges ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1
     GROUP BY {keys}, ord, polygon, ring HAVING count(*) % 2 = 1)
-, held AS (SELECT {keys}, min_by(polygon, ord) AS landmass FROM crossed c WHERE ring = 0
-    AND NOT EXISTS (SELECT 1 FROM crossed h WHERE h.ring > 0 AND h.ord = c.ord AND {' AND '.join(f'h.{k.strip()} = c.{k.strip()}' for k in keys.split(','))}) GROUP BY {keys})
-, {out} AS (SELECT s.*, held.landmass FROM {samples} s LEFT JOIN held USING ({keys}))"""
+, held_{out} AS (SELECT {keys}, min_by(polygon, ord) AS landmass FROM crossed_{out} c WHERE ring = 0
+    AND NOT EXISTS (SELECT 1 FROM crossed_{out} h WHERE h.ring > 0 AND h.ord = c.ord AND {' AND '.join(f'h.{k.strip()} = c.{k.strip()}' for k in keys.split(','))}) GROUP BY {keys})
+, {out} AS (SELECT s.*, held_{out}.landmass FROM {samples} s LEFT JOIN held_{out} USING ({keys}))"""
 
 
 @query(with_("stops") + f", {_EDGES}, placed AS (SELECT trip, seq, lat, lon FROM stops WHERE lat IS NOT NULL)" + _landed("placed", "trip, seq") + " SELECT trip, seq, landmass, landmass IS NOT NULL AS on_land FROM located")
@@ -873,12 +874,41 @@ def local_land(spark, sf_dir):
     return found.select("trip", "leg", r(F.col("from_land")).alias("from_land"), r(F.col("to_land")).alias("to_land"))
 
 
-@query()
+_PROBES = "probes(k, km, s, c) AS (VALUES (0, 0, 0.0::DOUBLE, 0.0::DOUBLE), " + ", ".join(
+    f"({1 + 8 * i + a}, {d}, {math.sin(a * math.pi / 4)!r}::DOUBLE, {math.cos(a * math.pi / 4)!r}::DOUBLE)" for i, d in enumerate(land.SNAP_KM) for a in range(8)
+) + ")"
+
+
+def _same_sql(legs_table: str) -> str:
+    """Tables that end in ``same_mass``: trip, leg, same."""
+    return (
+        f""", {_PROBES}, both_ends AS (SELECT trip, leg, 'from' AS side, from_lat AS lat0, from_lon AS lon0 FROM {legs_table} UNION ALL SELECT trip, leg, 'to', to_lat, to_lon FROM {legs_table}),
+        probed AS (SELECT trip, leg, side, k, km, lat0 + (km / 111.0::DOUBLE) * s AS lat, lon0 + km / (111.0::DOUBLE * greatest(0.2, cos(radians(lat0)))) * c AS lon FROM both_ends, probes)"""
+        + _landed("probed", "trip, leg, side, k", "probed_land")
+        + """, reached AS (SELECT trip, leg, side, min_by(landmass, k) AS mass, min_by(km, k) AS snap FROM probed_land WHERE landmass IS NOT NULL GROUP BY trip, leg, side),
+        trusted AS (SELECT trip, leg, max(mass) FILTER (side = 'from') AS a, max(mass) FILTER (side = 'to') AS b FROM reached WHERE snap <= 10 GROUP BY trip, leg)"""
+        + f""", same_mass AS (SELECT l.trip, l.leg, a = b AS same FROM {legs_table} l LEFT JOIN trusted USING (trip, leg))"""
+    )
+
+
+@query(with_("stops") + _LEGS + f", {_EDGES}" + _same_sql("legs") + " SELECT trip, leg, same FROM same_mass")
 def same_landmass(spark, sf_dir):
     return land.same_landmass(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark))
 
 
-@query()
+_WET = """
+, wet_samples AS (SELECT trip, leg, i, from_lat + (to_lat - from_lat) * (i / 12) AS lat, from_lon + (to_lon - from_lon) * (i / 12) AS lon FROM legs, (SELECT unnest(range(1, 12)) AS i))"""
+_WET += _landed("wet_samples", "trip, leg, i", "wet_land") + ", wet AS (SELECT trip, leg, avg((landmass IS NULL)::INT) AS water FROM wet_land GROUP BY trip, leg)"
+
+
+@query(
+    with_("stops")
+    + _LEGS
+    + f", {_EDGES}"
+    + _same_sql("legs")
+    + _WET
+    + f" SELECT l.trip, l.leg, coalesce(NOT same, false) OR ({_LEG_KM} > 10 AND water > 0.6) AS apart FROM legs l JOIN same_mass USING (trip, leg) JOIN wet USING (trip, leg)"
+)
 def across_water(spark, sf_dir):
     return land.across_water(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark))
 
@@ -917,9 +947,19 @@ def leg_audit(spark, sf_dir):
     return found.withColumn("first_wrong", F.col("examples")[0]["s"]).drop("examples")
 
 
-@query()
+@query(
+    with_("stops")
+    + _LEGS
+    + _SAMPLED
+    + f", {_EDGES}, ground AS (SELECT *, {_MODALITY} AS modality FROM samples WHERE {_MODALITY} <> 'air')"
+    + _landed("ground", "trip, leg, s")
+    + """, bad AS (SELECT trip, leg FROM located GROUP BY trip, leg HAVING count(*) FILTER ((modality = 'land') = (landmass IS NULL)) / count(*) > 0.15),
+    lists AS (SELECT trip, string_agg(leg::VARCHAR, ',' ORDER BY leg) AS findings FROM bad GROUP BY trip)
+    SELECT trip, count(*) AS legs, coalesce(any_value(findings), '') AS findings FROM legs LEFT JOIN lists USING (trip) GROUP BY trip"""
+)
 def trip_audit(spark, sf_dir):
-    return land.audit_trips(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark))
+    found = land.audit_trips(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark))
+    return found.withColumn("findings", F.array_join("findings", ","))
 
 
 _CHORD = f"""
@@ -948,7 +988,28 @@ def chord_crosses_water(spark, sf_dir):
     return land.crosses(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark), "water")
 
 
-@query()
+_AIR_SINCE = "air_since(air, y) AS (VALUES " + ", ".join(f"('{v}', {y})" for v, y in dims.AIR_SINCE.items()) + ")"
+_ALL_ERAS = ", ".join(f"'{e[0]}'" for e in dims.ERAS) + ", 'unknown'"
+
+
+@query(
+    with_("stops", "eras")
+    + _LEGS
+    + f", {_EDGES}"
+    + _same_sql("legs")
+    + _WET
+    + _LOCAL.replace(f"\n, {_EDGES}", "")
+    + _landed("samples", "trip, leg, side, up, across, i", "shore_land")
+    + f""", shores AS (SELECT trip, leg, 1 - avg((landmass IS NULL)::INT) FILTER (side = 'from') AS a, 1 - avg((landmass IS NULL)::INT) FILTER (side = 'to') AS b FROM shore_land GROUP BY trip, leg),
+    {_AIR_SINCE}, asked AS (SELECT *, ([{_ALL_ERAS}])[((trip + leg) % 11)::INT + 1] AS era, CASE WHEN leg % 2 = 0 THEN (trip * 97 % 3800 - 1750)::INT END AS year, {_LEG_KM} AS d FROM legs),
+    named AS (SELECT l.*, CASE WHEN e.era IS NULL THEN 'boat' ELSE e.sea END AS by_sea, CASE WHEN e.era IS NULL THEN 'car' ELSE e.land END AS by_land,
+        CASE WHEN e.era IS NULL THEN 'plane' ELSE e.air END AS by_air, coalesce(year, floor((start_year + end_year) / 2.0 + 0.5)) AS y FROM asked l LEFT JOIN eras e ON e.era = l.era),
+    able AS (SELECT n.*, by_air IS NOT NULL AND NOT coalesce(n.y < s.y, false) AS flies FROM named n LEFT JOIN air_since s ON s.air = n.by_air)
+    SELECT trip, leg, CASE WHEN d < 5 THEN 'foot' WHEN flies AND d >= 4000 THEN by_air
+        WHEN water > 0.5 AND NOT coalesce(d < 150 AND same AND least(a, b) >= 0.3, false) AND NOT (d < 12 AND greatest(a, b) >= 0.25) THEN by_sea
+        WHEN flies AND d >= 2500 THEN by_air WHEN same = false THEN by_sea ELSE by_land END AS suggestion
+    FROM able JOIN wet USING (trip, leg) JOIN shores USING (trip, leg) JOIN same_mass USING (trip, leg)"""
+)
 def vehicle_infer(spark, sf_dir):
     rows = legs.legs_of(bridge.stops(spark, sf_dir))
     era = F.element_at(F.array(*[F.lit(e[0]) for e in dims.ERAS], F.lit("unknown")), ((F.col("trip") + F.col("leg")) % 11).cast("int") + 1)
