@@ -77,3 +77,16 @@ def exif_time(text: Column) -> Column:
 def utc_day(micros: Column) -> Column:
     """YYYY-MM-DD of microseconds since the epoch; empty for null."""
     return F.coalesce(F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd"), F.lit(""))
+
+
+def era_year(text: Column, start: Column, end: Column) -> Column:
+    """The year that an era's display text names (BCE is negative), or the middle of its window."""
+    said = F.trim(F.coalesce(text, F.lit("")))
+    year = F.regexp_extract(said, r"(-?\d+)", 1).try_cast("int")
+    named = F.when(said.rlike("(?i)BCE"), -F.abs(year)).otherwise(year)
+    return F.coalesce(named, F.floor((start + end) / 2 + 0.5).cast("int"))
+
+
+def photo_time(original: Column, created: Column, modified: Column) -> Column:
+    """The first of three EXIF texts that is there, as wall-clock time."""
+    return exif_time(F.coalesce(*[F.nullif(t, F.lit("")) for t in (original, created, modified)]))

@@ -147,3 +147,16 @@ def leg_duration_ms(pixels: Column, reduced: Column) -> Column:
     """How long a leg is animated: from its whole pixels, within bounds, halved for reduced motion."""
     base = clamp(F.greatest(pixels.cast("int"), F.lit(0)) / 0.15, 1600.0, 6000.0)
     return F.when(reduced, F.greatest(F.lit(400.0), half_up(base * 0.5))).otherwise(half_up(base)).cast("long")
+
+
+def dms(degrees: Column, minutes: Column, seconds: Column, ref: Column) -> Column:
+    """Decimal degrees; south and west are negative."""
+    value = degrees + minutes / 60 + seconds / 3600
+    return F.when(ref.isin("S", "W"), -value).otherwise(value)
+
+
+def sane_position(lat: Column, lon: Column) -> Column:
+    """A struct of lat and lon: each null where out of range, both where both are exactly zero."""
+    a, b = F.when(lat.between(-90, 90), lat), F.when(lon.between(-180, 180), lon)
+    nowhere = F.coalesce((a == 0) & (b == 0), F.lit(False))
+    return F.struct(F.when(~nowhere, a).alias("lat"), F.when(~nowhere, b).alias("lon"))

@@ -16,6 +16,7 @@ from itinera.functions import dates, geo, text
 from itinera.operators import clusters, hubs, land, legs, places, routing, trips
 from itinera.plans import bridge, dims
 from itinera.plans.bridge import half_up, km, with_
+from itinera.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -687,10 +688,27 @@ def alias_as_of(spark, sf_dir):
     eras = dims.eras(spark).select("era", "start_year", "end_year")
     hit = (F.col("year") >= F.col("start_year")) & (F.col("year") < F.col("end_year"))
     asked = bridge.years(spark, sf_dir).join(F.broadcast(eras), hit).select("item", (F.col("item") % 26).alias("place"), "era", F.when(F.col("item") % 9 != 0, F.col("year")).alias("year"))
-    modern = names.filter("era = 'modern'").select("place", F.col("name").alias("modern"))
-    joined = asked.join(names, ["place", "era"], "left").join(modern, "place", "left")
-    fits = F.col("year").isNull() | (F.coalesce(F.col("year") >= F.col("from_year"), F.lit(True)) & F.coalesce(F.col("year") < F.col("to_year"), F.lit(True)))
-    return joined.select("item", F.coalesce(F.when(fits, F.col("name")), "modern").alias("name"))
+    return readers.alias_as_of(asked.withColumnRenamed("item", "query"), names).withColumnRenamed("query", "item")
+
+
+@query("""WITH said AS (SELECT p_partkey AS item, CASE p_size % 5 WHEN 0 THEN p_size * 30 || ' BCE' WHEN 1 THEN 'c. ' || (1000 + p_size) WHEN 2 THEN ' ' WHEN 3 THEN '-' || p_size END AS text,
+        (p_partkey * 97 % 3800 - 1750)::INT AS start_year FROM part)
+    SELECT item, CASE WHEN regexp_matches(text, '\\d') THEN CASE WHEN text ILIKE '%BCE%' THEN -abs(regexp_extract(text, '-?\\d+')::INT) ELSE regexp_extract(text, '-?\\d+')::INT END
+        ELSE floor((start_year + start_year + 51) / 2.0 + 0.5)::INT END AS year FROM said""")
+def era_years(spark, sf_dir):
+    size = F.col("p_size")
+    said = F.when(size % 5 == 0, F.concat((size * 30).cast("string"), F.lit(" BCE"))).when(size % 5 == 1, F.concat(F.lit("c. "), (1000 + size).cast("string")))
+    said = said.when(size % 5 == 2, " ").when(size % 5 == 3, F.concat(F.lit("-"), size.cast("string")))
+    start = (F.col("p_partkey") * 97 % 3800 - 1750).cast("int")
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), dates.era_year(said, start, start + 51).alias("year"))
+
+
+@query("""WITH raw AS (SELECT event_id, (event_id % 401 - 200) / 2::DOUBLE AS lat, (event_id % 801 - 400) / 2::DOUBLE AS lon FROM events),
+    ranged AS (SELECT event_id, CASE WHEN lat BETWEEN -90 AND 90 THEN lat END AS lat, CASE WHEN lon BETWEEN -180 AND 180 THEN lon END AS lon FROM raw)
+    SELECT event_id, CASE WHEN NOT coalesce(lat = 0 AND lon = 0, false) THEN lat END AS lat, CASE WHEN NOT coalesce(lat = 0 AND lon = 0, false) THEN lon END AS lon FROM ranged""")
+def sane_positions(spark, sf_dir):
+    lat, lon = (F.col("event_id") % 401 - 200) / F.lit(2.0), (F.col("event_id") % 801 - 400) / F.lit(2.0)
+    return _read(spark, sf_dir, "events").select("event_id", geo.sane_position(lat, lon).alias("p")).select("event_id", "p.*")
 
 
 @query("""WITH old AS (SELECT o_custkey AS store, (o_custkey % 4)::INT AS v, list((['anatolia', 'adventure', 'modern', 'classical'])[(o_orderkey % 4)::INT + 1] ORDER BY o_orderkey) AS eras,

@@ -82,6 +82,44 @@ def strings_with_fallback(strings: DataFrame, fallback: DataFrame) -> DataFrame:
     return fallback.join(own, "key", "left").select("key", F.coalesce(F.nullif("own", F.lit("")), "text").alias("text"))
 
 
+def parse_alias(raw: Column) -> Column:
+    """A struct of name, from_year, to_year from an alias that is a plain name or a JSON object; null without a name."""
+    shape = F.from_json(raw, "struct<name: string, activeFrom: int, activeTo: int>")
+    bounded = raw.startswith("{")
+    name = F.nullif(F.when(bounded, shape["name"]).otherwise(raw), F.lit(""))
+    alias = F.struct(
+        name.alias("name"), F.when(bounded, shape["activeFrom"]).alias("from_year"), F.when(bounded, shape["activeTo"]).alias("to_year")
+    )
+    return F.when(name.isNotNull(), alias)
+
+
+def read_era_places(spark: SparkSession, path: str) -> DataFrame:
+    """place, kind, lat, lon, era, name, from_year, to_year: a row per place and era."""
+    schema = "id string, kind string, lat double, lon double, activeFrom int, activeTo int, aliases map<string,string>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    named = rows.select(F.col("id").alias("place"), "kind", "lat", "lon", F.explode("aliases").alias("era", "raw"))
+    return named.withColumn("alias", parse_alias(F.col("raw"))).filter("alias IS NOT NULL").select("place", "kind", "lat", "lon", "era", "alias.*")
+
+
+def alias_as_of(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """asked (query, place, era, year) with the name of the place in its era, else its modern one, else null.
+
+    A bounded name counts only from its first year to before its last; without a
+    year it counts always.
+    """
+    held = names.select("place", "era", F.col("name").alias("_name"), "from_year", "to_year")
+    modern = names.filter("era = 'modern'").select("place", F.col("name").alias("_modern"))
+    joined = asked.join(held, ["place", "era"], "left").join(modern, "place", "left")
+    inside = F.coalesce(F.col("year") >= F.col("from_year"), F.lit(True)) & F.coalesce(F.col("year") < F.col("to_year"), F.lit(True))
+    return joined.select("query", F.coalesce(F.when(F.col("year").isNull() | inside, F.col("_name")), "_modern").alias("name"))
+
+
+def read_attributions(spark: SparkSession, path: str) -> DataFrame:
+    """place, authority, id of a JSON object of ``Authority:Id`` by place."""
+    rows = read_strings(spark, path).withColumn("p", F.split("text", ":", 2)).filter(F.size("p") == 2)
+    return rows.select(F.col("key").alias("place"), F.col("p")[0].alias("authority"), F.col("p")[1].alias("id"))
+
+
 def parse_gazetteer(rows: DataFrame) -> DataFrame:
     """name, cc, lat, lon, pop from lines of ``name;cc;lat;lon;pop``; shorter lines are left out."""
     parts = rows.select(F.split("value", ";").alias("f")).filter(F.size("f") >= 5)

@@ -114,3 +114,15 @@ def test_coast_version_follows_points(spark):
     rows = [([[[1.0, 2.0]]],), ([[[1.0, 2.0]]],), ([[[1.0, 2.5]]],)]
     got = [r.v for r in spark.createDataFrame(rows, f"c {coast}").select(readers.coast_version(F.col("c")).alias("v")).collect()]
     assert got[0] == got[1] != got[2]
+
+
+def test_era_places_and_aliases(spark, tmp_path):
+    places = [{"id": "p", "kind": "city", "lat": 1, "lon": 2, "aliases": {"classical": "Old", "atlas": {"name": "Mid", "activeFrom": 1600, "activeTo": 1700}, "modern": {"name": "New"}, "byzantium": ""}}]
+    (tmp_path / "places.json").write_text(json.dumps(places))
+    names = readers.read_era_places(spark, str(tmp_path / "places.json"))
+    assert {(r.era, r.name, r.from_year, r.to_year) for r in names.collect()} == {("classical", "Old", None, None), ("atlas", "Mid", 1600, 1700), ("modern", "New", None, None)}
+    asked = [(1, "p", "atlas", 1600), (2, "p", "atlas", 1700), (3, "p", "atlas", None), (4, "p", "byzantium", 900), (5, "q", "atlas", 1650), (6, "p", "classical", -5)]
+    got = readers.alias_as_of(spark.createDataFrame(asked, "query long, place string, era string, year int"), names)
+    assert {r.query: r.name for r in got.collect()} == {1: "Mid", 2: "New", 3: "Mid", 4: "New", 5: None, 6: "Old"}
+    (tmp_path / "sources.json").write_text('{"p": "Pleiades:12:3", "q": "none"}')
+    assert [tuple(r) for r in readers.read_attributions(spark, str(tmp_path / "sources.json")).collect()] == [("p", "Pleiades", "12:3")]
