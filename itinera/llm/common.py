@@ -45,6 +45,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two or three numbers up to which a key table is sent to every task.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_shuffled(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of keys, to be broadcast if its counted rows are few; else Spark shuffles the join."""
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itinera.llm.common import materialise
+from itinera.llm.common import materialise, small_or_shuffled
 from itinera.llm.components import connected_components
 
 RADIUS = 3
@@ -235,14 +235,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """One document of each component stays: that of the least id, and of repeated rows one.
 
-    Rows are told apart by a number that is stored with their fingerprints, and
-    only ids, numbers and fingerprints are shuffled; the kept numbers pick the rows.
+    A document goes by its id and a hash of its text; only these and fingerprints
+    are shuffled to decide. The texts are read again, and are shuffled only where
+    the kept keys are too many to broadcast.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"))
-    numbered = materialise(numbered, "near-dedup-rows")
-    lite = numbered.select("_row", F.col("_doc")[id_col].alias("doc_id"), F.col("_doc")[text_col].alias("text"))
-    # The row number orders rows of equal ids, so (id, row) is what the component's least is taken of.
-    keyed = lite.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("doc_id"), "text")
-    kept = simhash_components(keyed, tile=tile).select("component_id").distinct()
-    kept = kept.select(F.col("component_id")["_row"].alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+    words = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
+    none = F.col(id_col).isNull()
+    keyed = docs.select(F.struct(none.alias("none"), F.col(id_col).alias("id"), words.alias("hash")).alias("doc_id"), F.col(text_col).alias("text"))
+    found = materialise(simhash_components(keyed, tile=tile).select("doc_id", "component_id"), "near-copies")
+    kept = found.select("component_id.*").distinct()
+    kept = materialise(kept.select(F.col("none").alias("_none"), F.col("id").alias("_id"), F.col("hash").alias("_hash")), "kept-keys")
+    same = (none == F.col("_none")) & F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_hash"))
+    out = docs.withColumn("_words", words).join(small_or_shuffled(kept), same, "left_semi")
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id.id", "doc_id.hash")
+    if repeated.isEmpty():
+        return out.drop("_words")
+    # Rows that repeat an id and text: one of each stays.
+    repeated = materialise(repeated, "repeated-keys")
+    again = F.col(id_col).eqNullSafe(repeated["id"]) & (F.col("_words") == repeated["hash"])
+    first = F.row_number().over(Window.partitionBy(id_col, "_words").orderBy("_words")) == 1
+    one = out.join(repeated, again, "left_semi").withColumn("_first", first).filter("_first").drop("_first")
+    return out.join(repeated, again, "left_anti").unionByName(one).drop("_words")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itinera.llm.common import materialise
+from itinera.llm.common import materialise, small_or_shuffled
 
 #: Weights of the sources in order, repeating; the share of all
 #: tokens that the mix takes; how often a source may be repeated at most.
@@ -181,19 +181,11 @@ def mix_sizes(sized: DataFrame, seed: int = SEED, block: int = BLOCK, shard_word
     return placed.withColumn("taken", words("once") + words("twice")).drop("q_source", "q_shard")
 
 
-def _sized(docs: DataFrame, text_col: str, source_col: str, *columns: Column) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        *columns,
-        F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-    )
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    sized = _sized(docs, text_col, source_col, F.col(id_col).alias("doc_id"))
-    # The ring's order must not depend on how the table is split: rows are named by id and size.
+    size = word_count(F.col(text_col))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    # The ring's order must not depend on how the table is split: rows are named by id, size and source.
     sized = materialise(sized.withColumn("row", F.xxhash64("doc_id", "size", "source")), "mix-sizes")
     return mix_sizes(sized, **options).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -208,15 +200,21 @@ def take_words(text: str, ranges: list[tuple[int, int]]) -> str:
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time that a document, or a part, is taken."""
-    rest = [F.col(c) for c in docs.columns if c != text_col] or [F.lit(True).alias("row")]
     name = F.xxhash64(id_col, source_col, text_col)
-    whole = docs.select(F.struct(*rest).alias("keep"), F.col(text_col).alias("text"), name.alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    whole = materialise(whole, "mix-texts")
-    plan = mix_sizes(whole.select("row", "doc_id", "source", "size"), **options).filter("taken > 0").select("row", "once", "twice")
-    # Repeated rows share a name and are told apart by their number among equals.
-    nth = F.row_number().over(Window.partitionBy("row").orderBy("doc_id"))
-    plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy(F.to_json("once"), F.to_json("twice"))))
-    joined = whole.withColumn("nth", nth).join(plan, ["row", "nth"])
+    sized = docs.select(name.alias("row"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    plan = mix_sizes(materialise(sized, "mix-sizes"), **options).filter("taken > 0").select(F.col("row").alias("_row"), "once", "twice")
+    plan = materialise(plan, "mix-plan")
+    rest = [F.col(c) for c in docs.columns if c != text_col] or [F.lit(True).alias("row")]
+    whole = docs.select(F.struct(*rest).alias("keep"), F.col(text_col).alias("text"), name.alias("row"))
+    repeated = materialise(plan.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_row"), "mix-repeats")
+    single = plan.join(repeated, "_row", "left_anti")
+    joined = whole.join(small_or_shuffled(single), F.col("row") == F.col("_row"))
+    if not repeated.isEmpty():  # rows that share a name are told apart by their number among equals
+        nth = lambda key, *by: F.row_number().over(Window.partitionBy(key).orderBy(*by))
+        more = plan.join(repeated, "_row", "left_semi").withColumn("nth", nth("_row", F.to_json("once"), F.to_json("twice")))
+        held = whole.join(repeated, F.col("row") == F.col("_row"), "left_semi").withColumn("nth", nth("row", "row"))
+        both = held.join(more, (F.col("row") == F.col("_row")) & (held["nth"] == more["nth"])).drop("nth")
+        joined = joined.unionByName(both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
