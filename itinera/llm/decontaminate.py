@@ -32,7 +32,7 @@ from itinera.llm.common import materialise
 #: Words in a test phrase.
 WINDOW = 10
 #: Words of a shard after which it is indexed.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: A suffix position is kept for every so many words of text.
 SAMPLE = 8
 #: Words of test items that one round sends to the tasks: the bound on the broadcast.

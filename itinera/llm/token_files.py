@@ -42,7 +42,7 @@ MAGIC = b"BPK1"
 #: Ids in a block.
 BLOCK = 4096
 #: Distinct words whose ids a Python worker keeps at most.
-MEMO_WORDS = 900_000
+MEMO_WORDS = 500_000
 
 
 def id_bits(vocabulary: int) -> int:
@@ -163,6 +163,7 @@ class WordEncoder:
         self.memo: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {"": b""}
         self.memo_words = memo_words
+        self.met = bytearray(1 << 22)
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -178,6 +179,12 @@ class WordEncoder:
                 out[-1] += " " + p
         return out
 
+    def _again(self, piece: str) -> bool:
+        """Whether a piece has probably been met before: only such pieces are worth keeping."""
+        at = hash(piece) & (len(self.met) - 1)
+        before, self.met[at] = self.met[at], 1
+        return bool(before)
+
     def _each(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
@@ -210,7 +217,7 @@ class WordEncoder:
         if len(self.memo) >= self.memo_words and 4 * len(new) > sum(map(len, cut)):
             self.memo.clear()  # it no longer fits the texts
         if len(self.memo) < self.memo_words:
-            self.memo.update(known)
+            self.memo.update({p: ids for p, ids in known.items() if self._again(p)})
         if len(self.heads) >= self.memo_words:
             self.heads = {"": b""}
         fresh = list(set(heads).difference(self.heads))
@@ -265,8 +272,8 @@ def write_token_files(
         writer = encoder = None
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                piece = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 64):
+                piece = batch.slice(at, 64)
                 if writer is None:
                     encoder = encoder_for(tokenizer_path())
                     out = files.open_output_stream(draft)
