@@ -43,7 +43,7 @@ MOST_LANGUAGES = 1000
 #: ones. It bounds what is sent to the tasks: about 40 bytes each.
 MODEL_NGRAMS = 200_000
 #: Nats a character above the calibration documents' highest cross-entropy.
-SLACK = 0.75
+SLACK = 1.5
 UNKNOWN = "und"
 #: Range of the hashes by which texts are sampled.
 SPAN = 1 << 40
