@@ -5,9 +5,9 @@ collapse by a grouping, so only distinct ones are compared. The comparison is
 exact and runs in tiles: numpy exclusive-or and bit counts over all pairs of a
 tile pair, and tile pairs whose population counts differ by more than the radius
 are skipped. Which fingerprints share tiles follows from the pigeonhole rule: two
-that differ in at most 3 bits agree in at least one of 4 bands of 16 bits, so a
-tile holds fingerprints of one band value. A band value with more fingerprints
-than one tile takes is cut into tiles by population count and hash, and each pair
+that differ in at most 3 bits agree in all but 3 blocks of bits, so a tile holds
+fingerprints that agree in some. A bucket with more fingerprints than one tile
+takes is cut into tiles by population count and hash, and each pair
 of its tiles is a work item of its own. A tile reports a spanning forest of its
 links, never all pairs, and components settle in Spark.
 
@@ -19,11 +19,12 @@ that fingerprint; repeated rows link; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itinera.llm.common import materialise, small_or_shuffled
@@ -31,7 +32,6 @@ from itinera.llm.components import connected_components
 
 RADIUS = 3
 BITS = 64
-BAND_BITS = 16
 #: Fingerprints in a tile; a tile pair takes at most 8 * TILE**2 bytes for its differences.
 TILE = 1024
 SHINGLE = 3
@@ -161,22 +161,36 @@ def links_between_tiles(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
-def near_links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
+def blocks_for(n: int) -> int:
+    """Blocks of bits by which n fingerprints are dealt out, so that a bucket holds few of them.
+
+    Two fingerprints within the radius differ in at most 3 blocks, so they agree in
+    all others: 4 blocks give 4 keys of 16 bits, 5 give 10 of 25 and 6 give 20 of 32.
+    """
+    return 4 if n <= 1 << 22 else 5 if n <= 1 << 31 else 6
+
+
+def bucket_keys(fp: Column, blocks: int) -> list[Column]:
+    """A key for each choice of the blocks that may agree."""
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    keys = []
+    for place, chosen in enumerate(combinations(range(blocks), blocks - RADIUS)):
+        key = F.lit(place).cast("long")
+        for i in chosen:
+            width = cuts[i + 1] - cuts[i]
+            block = F.shiftrightunsigned(fp, cuts[i]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            key = F.shiftleft(key, width).bitwiseOR(block)
+        keys.append(key)
+    return keys
+
+
+def near_links(distinct: DataFrame, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """Links (a, b) among distinct fingerprints, such that every pair within the radius is connected.
 
     distinct: one column fp, stored.
     """
-    bands = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    (F.lit(i << BAND_BITS) + F.shiftrightunsigned("fp", i * BAND_BITS).bitwiseAND((1 << BAND_BITS) - 1)).alias("bucket")
-                )
-                for i in range(BITS // BAND_BITS)
-            ]
-        )
-    )
-    banded = distinct.select("fp", bands.alias("x")).select("fp", F.col("x.bucket").cast("long").alias("tile"))
+    blocks = blocks or blocks_for(distinct.count())
+    banded = distinct.select("fp", F.explode(F.array(*bucket_keys(F.col("fp"), blocks))).alias("tile"))
     sizes = banded.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
     hot = materialise(sizes.filter(F.col("n") > tile), "hot-buckets")
 

@@ -75,12 +75,12 @@ def test_tiles_lose_no_link():
     assert same_parts(values.tolist(), *(np.concatenate(x).tolist() for x in zip(*parts)))
 
 
-@pytest.mark.parametrize("tile", [4, 1024])
-def test_distributed_links_equal_brute_force(spark, tile):
+@pytest.mark.parametrize("tile, blocks", [(4, None), (1024, None), (1024, 5), (8, 6)])
+def test_distributed_links_equal_brute_force(spark, tile, blocks):
     values = planted(2, 300, 4) + [(5 << 48) | i for i in range(40)]
     values = sorted(set(values))
     df = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fp long")
-    rows = near_links(df, tile).collect()
+    rows = near_links(df, tile, blocks).collect()
     unsigned = lambda x: x & (2**64 - 1)
     assert same_parts(values, [unsigned(r.a) for r in rows], [unsigned(r.b) for r in rows])
 
