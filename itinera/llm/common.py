@@ -45,6 +45,24 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filesystem(uri: str):
+    """A pyarrow file system and the path in it; file: paths may have one slash."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
+
+
+def put_in_place(store, draft: str, final: str) -> None:
+    """Give a complete draft its final name; one that an earlier attempt left is replaced."""
+    from pyarrow.fs import FileType
+
+    if store.get_file_info(final).type != FileType.NotFound:
+        store.delete_file(final)
+    store.move(draft, final)
+
+
 #: Rows of two or three numbers up to which a key table is sent to every task.
 BROADCAST_ROWS = 1_000_000
 

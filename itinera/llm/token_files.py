@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itinera.llm.common import new_dir
+from itinera.llm.common import filesystem, new_dir, put_in_place
 
 MAGIC = b"BPK1"
 #: Ids in a block.
@@ -235,15 +235,6 @@ def encoder_for(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def _filesystem(uri: str):
-    """A pyarrow file system and the path in it; file: paths may have one slash."""
-    from pyarrow import fs
-
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_token_files(
     docs: DataFrame,
     tokenizer_path: Callable[[], str],
@@ -266,7 +257,7 @@ def write_token_files(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        files, base = _filesystem(out_dir)
+        files, base = filesystem(out_dir)
         files.create_dir(base, recursive=True)
         final, draft = f"{base}/part-{part:06d}.bpk", f"{base}/.draft-{part:06d}-{uuid.uuid4().hex}"
         writer = encoder = None
@@ -285,7 +276,7 @@ def write_token_files(
             return
         writer.close()
         out.close()
-        files.move(draft, final)
+        put_in_place(files, draft, final)
         name = out_dir.rstrip("/") + final.removeprefix(base)
         yield pa.RecordBatch.from_pydict(
             {"part": pa.array([part], pa.int64()), "path": [name], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.starts[-1]], pa.int64())}
@@ -305,7 +296,7 @@ def read_token_files(files: DataFrame, batch_ids: int = 1 << 20) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist(), strict=True):
-                store, name = _filesystem(path)
+                store, name = filesystem(path)
                 with store.open_input_file(name) as file:
                     reader = Reader(file, file.size())
                     starts, i = reader.starts, 0

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itinera.llm.common import materialise, new_dir
+from itinera.llm.common import filesystem, materialise, new_dir, put_in_place
 from itinera.llm.exact_dedup import group_copies
 
 MAGIC = b"\x1f\x8b\x08"
@@ -41,15 +41,6 @@ CHUNK = 1 << 18
 PROBE = 512
 
 
-def _filesystem(uri: str):
-    """A pyarrow file system and the path in it; file: paths may have one slash."""
-    from pyarrow import fs
-
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri)
-
-
 def payload_digest(payload: bytes) -> str:
     """Upper-case base32 SHA-1 of a payload."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -167,7 +158,7 @@ def read_split(file, size: int, start: int, end: int) -> Iterator[tuple[int, dic
 def archive(pages: DataFrame, out_dir: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
     """Write pages as archives in a folder, which is returned."""
     out_dir = out_dir or new_dir(pages.sparkSession, "warc")
-    store, base = _filesystem(out_dir)
+    store, base = filesystem(out_dir)
     store.create_dir(base, recursive=True)
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     named = pages.select(
@@ -191,7 +182,7 @@ def archive(pages: DataFrame, out_dir: str | None = None, id_col: str = "page_id
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        store, base = _filesystem(out_dir)
+        store, base = filesystem(out_dir)
         draft, out, n = f"{base}/.draft-{part:06d}-{uuid.uuid4().hex}", None, 0
         for batch in batches:
             if not batch.num_rows:
@@ -204,7 +195,7 @@ def archive(pages: DataFrame, out_dir: str | None = None, id_col: str = "page_id
             n += batch.num_rows
         if out:
             out.close()
-            store.move(draft, f"{base}/part-{part:06d}.warc.gz")
+            put_in_place(store, draft, f"{base}/part-{part:06d}.warc.gz")
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
@@ -227,7 +218,7 @@ def read_archives(spark, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFra
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                store, name = _filesystem(r["path"])
+                store, name = filesystem(r["path"])
                 with store.open_input_file(name) as file:
                     held, size = [], 0
                     for item in read_split(file, r["size"], r["start"], r["end"]):
