@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itinera.functions.geo import half_up, haversine_km, in_ring
+from itinera.functions.geo import half_up, in_ring
 from itinera.operators.legs import leg_km, sample_legs, segment_km, vertices
 from itinera.plans import dims
 
