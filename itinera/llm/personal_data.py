@@ -17,7 +17,6 @@ an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections.abc import Iterator

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from itinera.llm.language_id import Model, build_model, fold, has_letter, held_out, identify, keep_identified, ngram_hashes, train
+from itinera.llm.language_id import Model, build_model, fold, has_letter, identify, keep_identified, ngram_hashes, train
 
 SCHEMA = "doc_id long, text string, lang string, score double, keep string"
 LETTERS = {"aa": "abcdefg ", "bb": "fghijklm ", "cc": "mnopqrsé "}
