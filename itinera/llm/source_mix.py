@@ -36,7 +36,7 @@ WEIGHTS = (5, 2, 1)
 TAKE = Fraction(3, 2)
 CAP = 2
 #: Words in a block.
-BLOCK = 32
+BLOCK = 8
 #: Words in a shard at least, and shards at most.
 SHARD_WORDS = 1 << 18
 MOST_SHARDS = 1 << 16
