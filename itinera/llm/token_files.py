@@ -42,7 +42,7 @@ MAGIC = b"BPK1"
 #: Ids in a block.
 BLOCK = 4096
 #: Distinct words whose ids a Python worker keeps at most.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 600_000
 
 
 def id_bits(vocabulary: int) -> int:
@@ -137,7 +137,7 @@ class Reader:
 
 
 #: A space next to other white space: there a text is not cut.
-MIXED = re.compile(r"\s | \s")
+MIXED = re.compile(r" (?:(?=\s)|(?<=\s ))")
 
 
 class WordEncoder:
