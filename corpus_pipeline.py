@@ -20,10 +20,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays, that of the least doc_id."""
+    """Of each component of op9's fingerprints one document stays, that of the least doc_id."""
     return simhash.drop_near_copies(docs)
 
 
+def drop_near_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stage: as drop_near_copies, but texts of shingle similarity 0.8 or more are linked too."""
+    return simhash.drop_near_copies(docs, by_shingles=True)
+
+
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out of the texts; documents of nothing else go."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -41,7 +46,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("language ID", identify_language),
-    ("SimHash near-dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_texts),
     ("benchmark decontamination", decontaminate_benchmark),
     ("mixing sources to target weights", mix_sources),
     ("token-ID output", write_tokens),

@@ -14,6 +14,12 @@ links, never all pairs, and components settle in Spark.
 Defined results: null text has no words and fingerprint zero, which links like
 any other; the null ``doc_id`` keeps its fingerprint and takes the component of
 that fingerprint; repeated rows link; an empty table gives an empty result.
+
+Few edited words change more than 3 bits, so ``drop_near_copies`` can also link
+texts by the Jaccard similarity of their five-word shingles. Candidates share a
+band of min-hashes (two texts at 0.8 share none of 32 with a chance of 5e-8), and
+every link is checked on the whole shingle sets: first against two centres of each
+band, then, where a band still holds several components, between all of these.
 """
 
 from __future__ import annotations
@@ -36,23 +42,34 @@ BITS = 64
 TILE = 1024
 SHINGLE = 3
 SEED = 42
+#: Words of a shingle, and similarity of two shingle sets, from which on texts are near copies.
+NEAR_SHINGLE = 5
+NEAR_JACCARD = 0.8
+#: Bands of min-hashes by which candidates are found.
+BANDS, BAND_ROWS = 32, 4
+_RANDOM = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """SimHash of the word shingles of one text, 0 without words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the word shingles of one text in order, none without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """SimHash of the word shingles of one text, 0 without words."""
+    hashes = shingle_hashes(text, width)
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536].astype("<u8")
@@ -61,6 +78,33 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct five-word shingles of one text, sorted."""
+    return np.unique(shingle_hashes(text, NEAR_SHINGLE))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes, none for an empty set."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(shingles), 1024):
+        low = np.minimum(low, (shingles[i : i + 1024, None] * (_RANDOM[0] | np.uint64(1)) + _RANDOM[1]).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, BAND_ROWS).T:
+        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ column
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted shingle sets reach the similarity of near copies."""
+    if min(len(a), len(b)) < NEAR_JACCARD * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= NEAR_JACCARD * (len(a) + len(b) - common)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -227,11 +271,121 @@ def near_links(distinct: DataFrame, tile: int = TILE, blocks: int | None = None)
     return inside.unionByName(between)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (least doc_id that is reachable)."""
-    rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+#: Rows that are turned into Python objects at once.
+SLICE = 500
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, node (a hash of the shingle set) and the band keys of every row (doc_id, text)."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts = batch.column("text").to_pylist()
+            fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+            sets = [shingle_set(t) for t in texts]
+            nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets))
+            keys = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
+            columns = [batch.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), keys]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, node long, keys array<long>")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        sets = pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "shingles"])
+
+
+def _alike_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        sets = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("sa", "sb")]
+        near = pa.array([alike(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
+        yield batch.select(["a", "b"]).filter(near)
+
+
+def _alike_in_tiles(part: pd.DataFrame) -> pd.DataFrame:
+    """Links that join components of one tile pair: rows (node, root, side, shingles)."""
+    nodes, side = part["node"].to_numpy(np.int64), part["side"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
+    roots, between = part["root"].to_numpy(np.int64).copy(), bool(side.any())
+    links = []
+    for i in range(len(nodes)):
+        for j in np.nonzero((roots != roots[i]) & ((side > side[i]) if between else (np.arange(len(nodes)) > i)))[0]:
+            if roots[j] != roots[i] and alike(sets[i], sets[j]):
+                links.append((nodes[i], nodes[j]))
+                roots[roots == roots[j]] = roots[i]
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+
+def shingle_links(docs: DataFrame, rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links (a, b) among fingerprints by which all near copies in docs are connected.
+
+    docs: doc_id (none, id, hash), text; rows: their stored sketches.
+    """
+    owners = materialise(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least")), "node-fingerprints")
+    nodes = materialise(owners.groupBy("node").agg(F.min("fp").alias("head"), F.min("least").alias("least")), "nodes")
+    same = owners.join(nodes, "node").filter("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+
+    banded = rows.select("node", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
+    shared = materialise(shared, "shared-bands")
+    members = materialise(banded.join(small_or_shuffled(shared), "key").distinct(), "band-members")
+    ends = members.select("node", F.explode(F.array("low", "high")).alias("centre")).filter("node != centre")
+    pairs = materialise(ends.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "near-pairs")
+
+    # Shingle sets are built again for the texts with candidates alone, of one document each.
+    wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("least.none").alias("_none"), F.col("least.id").alias("_id"), F.col("least.hash").alias("_hash"))
+    wanted = materialise(wanted, "near-keys")
+    here = (F.col("doc_id.none") == F.col("_none")) & F.col("doc_id.id").eqNullSafe(F.col("_id")) & (F.col("doc_id.hash") == F.col("_hash"))
+    sets = docs.join(small_or_shuffled(wanted), here).select("node", "text").mapInArrow(_sets, "node long, shingles binary")
+    sets = materialise(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingle-sets")
+
+    left = materialise(pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a"), "near-pairs")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+    links = materialise(both.mapInArrow(_alike_pairs, "a long, b long"), "near-texts")
+
+    # Bands whose members are not yet connected: all pairs of their components, in tiles.
+    roots = connected_components(links)
+    placed = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = materialise(placed, "placed-members")
+    unsettled = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    unsettled = unsettled.filter("n > 2 AND r1 != r2").select("key", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
+    unsettled = materialise(unsettled, "unsettled-bands")
+    if not unsettled.isEmpty():
+        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        split = placed.join(unsettled, "key").join(sets, "node").withColumn("part", part)
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        split = split.select(
+            "key", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"),
+            (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "root", "shingles",
+        )
+        more = split.groupBy("key", "first", "second").applyInPandas(_alike_in_tiles, "a long, b long")
+        links = links.unionByName(more)
+    heads = nodes.select("node", "head")
+    links = links.join(heads.select(F.col("node").alias("a"), F.col("head").alias("fa")), "a").join(heads.select(F.col("node").alias("b"), F.col("head").alias("fb")), "b")
+    return same.unionByName(links.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, by_shingles: bool = False) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (least doc_id that is reachable).
+
+    With ``by_shingles`` near copies by shingle similarity are linked besides; doc_id
+    is then a struct (none, id, hash).
+    """
+    rows = materialise(sketches(docs) if by_shingles else fingerprints(docs, id_col, text_col), "fingerprints")
     by_fp = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     links = near_links(by_fp.select("fp"), tile)
+    if by_shingles:
+        links = links.unionByName(shingle_links(docs, rows, tile))
     roots = connected_components(links)
     members = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
     heads = members.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -246,9 +400,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, by_shingles: bool = False) -> DataFrame:
     """One document of each component stays: that of the least id, and of repeated rows one.
 
+    Components are those of the fingerprints, and with ``by_shingles`` of near copies
+    by shingle similarity too.
+
     A document goes by its id and a hash of its text; only these and fingerprints
     are shuffled to decide. The texts are read again, and are shuffled only where
     the kept keys are too many to broadcast.
@@ -256,7 +413,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
     none = F.col(id_col).isNull()
     keyed = docs.select(F.struct(none.alias("none"), F.col(id_col).alias("id"), words.alias("hash")).alias("doc_id"), F.col(text_col).alias("text"))
-    found = materialise(simhash_components(keyed, tile=tile).select("doc_id", "component_id"), "near-copies")
+    found = materialise(simhash_components(keyed, tile=tile, by_shingles=by_shingles).select("doc_id", "component_id"), "near-copies")
     kept = found.select("component_id.*").distinct()
     kept = materialise(kept.select(F.col("none").alias("_none"), F.col("id").alias("_id"), F.col("hash").alias("_hash")), "kept-keys")
     same = (none == F.col("_none")) & F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_hash"))

@@ -87,3 +87,12 @@ def test_stages_equal_brute_force(spark):
     plain = Tokenizer.from_file(corpus_pipeline.byte_bpe_path())
     want = sorted((r.doc_id, zlib.crc32(np.array(plain.encode(r.text, add_special_tokens=False).ids + [0], "<u4").tobytes())) for r in mixed.collect())
     assert sorted((r.doc_id, r.ids_crc32) for r in corpus_pipeline.write_tokens(spark, mixed, DIR).collect()) == want
+
+
+def test_near_dedup_stage_leaves_no_near_copy(spark):
+    """Of texts whose five-word shingles overlap by 0.8 one stays."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    texts = [r.text for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, DIR).collect()]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    assert len(sets) > 150
+    assert not [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]

@@ -111,3 +111,43 @@ def test_one_of_each_group_stays(spark):
     out = drop_near_copies(spark.createDataFrame(rows, SCHEMA))
     assert out.columns == ["doc_id", "text", "fp", "component_id"]
     assert sorted((str(r.doc_id), r.fp) for r in out.collect()) == [("3", "f"), ("7", "f"), ("None", "g")]
+
+
+def near_pairs(texts, width=5):
+    sets = [{" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (t.lower().split() for t in texts)]
+    return [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+
+
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_edited_copies_go_as_brute_force_says(spark, tile):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 5000, 100)) for _ in range(20)]
+    for base in range(6):  # chains of copies, each with words edited in the one before
+        for _ in range(8):
+            words = texts[base if _ == 0 else -1].split()
+            at = rng.integers(0, 100)
+            words[at : at + rng.integers(1, 8)] = ["edited"]
+            texts.append(" ".join(words))
+    base = texts[19].split()  # one large group, each with one other word
+    texts += [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(5, 95, 2)]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    linked = near_pairs(texts)
+    for i, j in linked + [(i, j) for i in range(len(texts)) for j in range(i) if (fingerprint(texts[i]) ^ fingerprint(texts[j])).bit_count() <= 3]:
+        p, q = sorted((root(i), root(j)))
+        parent[q] = p
+    want = sorted({root(i) for i in range(len(texts))})
+    docs = spark.createDataFrame([(i, t, "f", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert sorted(r.doc_id for r in drop_near_copies(docs, tile=tile, by_shingles=True).collect()) == want
+    assert drop_near_copies(docs, tile=tile).count() > len(want)
+
+
+def test_shingles_of_empty_and_repeated_rows(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    rows = [(5, base, "f", 0), (3, base, "f", 0), (3, base, "f", 0), (None, base + " tail", "f", 0), (None, "alone here", "g", None), (8, "", "f", 0), (7, None, "f", 0)]
+    out = drop_near_copies(spark.createDataFrame(rows, SCHEMA), by_shingles=True)
+    assert sorted((str(r.doc_id), r.fp) for r in out.collect()) == [("3", "f"), ("7", "f"), ("None", "g")]
+    assert drop_near_copies(spark.createDataFrame([], SCHEMA), by_shingles=True).count() == 0
