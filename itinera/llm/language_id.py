@@ -283,9 +283,12 @@ def train(
     labelled = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")
     )
-    # The texts of least hash in each language. Copies are made one before any rows
-    # of a language meet, so their number does not matter.
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
+    # The texts of least hash in each language. The share is taken from the distinct
+    # texts and copies are made one before any rows of a language meet, so their
+    # number does not matter.
+    hashes = labelled.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = hashes.groupBy("lang").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("n"))
+    sizes = sizes.orderBy(F.col("rows").desc(), "lang").limit(MOST_LANGUAGES).select("lang", "n")
     share = (2.0 * sample_docs + 64.0) / F.col("n")
     low = labelled.join(F.broadcast(sizes), "lang").filter(F.pmod("h", F.lit(SPAN)) <= share * float(SPAN))
     low = low.groupBy("lang", "h").agg(F.min("text").alias("text"))

@@ -96,3 +96,14 @@ def test_no_labels_and_empty(spark):
     assert identify(spark.createDataFrame(rows, SCHEMA)).first().lang_pred == "und"
     assert identify(spark.createDataFrame([], SCHEMA)).count() == 0
     assert not has_letter("1_2") and has_letter("é") and Model([], [], [], np.zeros(0)).predict("a")[0] == "und"
+
+
+def test_copies_do_not_thin_the_sample(spark):
+    """A language of few texts in very many rows keeps all of these in its sample."""
+    rows = [r for r in corpus(90)]
+    many = spark.createDataFrame([r for r in rows if r[2] == "aa"], SCHEMA).crossJoin(spark.range(1000).select("id")).drop("id")
+    rest = spark.createDataFrame([r for r in rows if r[2] != "aa"], SCHEMA)
+    thin = train(many.unionByName(rest), sample_docs=40)
+    whole = train(spark.createDataFrame(rows, SCHEMA), sample_docs=40)
+    assert thin.languages == whole.languages == ["aa", "bb", "cc"]
+    assert all(np.array_equal(a[0], b[0]) and np.allclose(a[1], b[1]) for a, b in zip(thin.grams, whole.grams, strict=True))
