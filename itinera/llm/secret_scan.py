@@ -4,8 +4,8 @@ Positions come from two built-ins: splitting a text by a pattern gives the gaps,
 extracting all its matches gives the pieces between them, and a running sum of
 both lengths is where each match starts. Every candidate value is hashed, and
 the hashes are aggregated by distinct repositories and owners: a value that many
-owners hold is a copied example, a high-entropy value that a single owner holds
-looks live. Live-looking tokens that no base pattern covers are added as spans
+owners or many repositories hold is a copied example, a high-entropy value that a
+single owner holds in few repositories looks live. Live-looking tokens that no base pattern covers are added as spans
 of kind ``live``; base spans always stay.
 
 Defined results: null text is empty and gives no spans; a null repository or
@@ -35,6 +35,8 @@ KINDS = [("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32
 
 #: From this many distinct owners on, a value counts as a copied example.
 COPIED_OWNERS = 3
+#: From this many distinct repositories on it does too, even of a single owner.
+COPIED_REPOS = 10
 #: Bits a character from which on a token looks random, not written.
 LIVE_ENTROPY = 3.0
 
@@ -118,6 +120,7 @@ def scan_secrets(
     owner_col: str = "source",
     copied_owners: int = COPIED_OWNERS,
     live_entropy: float = LIVE_ENTROPY,
+    copied_repos: int = COPIED_REPOS,
 ) -> DataFrame:
     """One row per document: counts by kind, base_sha256, spans, n_live, n_copied."""
     found = find_candidates(docs, doc_col, text_col, repo_col, owner_col)
@@ -130,8 +133,9 @@ def scan_secrets(
     )
     spans = materialise(spans, "secret-spans")
     rated = spans.join(ownership(spans), "hash")
-    rated = rated.withColumn("is_live", (F.col("n_owners") == 1) & (F.col("bits") >= live_entropy)).withColumn(
-        "is_copied", F.col("n_owners") >= copied_owners
+    few = F.col("n_repos") < copied_repos
+    rated = rated.withColumn("is_live", (F.col("n_owners") == 1) & few & (F.col("bits") >= live_entropy)).withColumn(
+        "is_copied", (F.col("n_owners") >= copied_owners) | ~few
     )
 
     # A bare token stays if it is live and touches no base span of its document.

@@ -61,3 +61,12 @@ def test_empty_table(spark):
 def test_entropy(spark):
     row = spark.createDataFrame([("aabb",), ("aaaa",)], "v string").select(entropy(F.col("v"))).collect()
     assert [round(r[0], 6) for r in row] == [1.0, 0.0]
+
+
+def test_many_repositories_of_one_owner_are_copies(spark):
+    copied, live = "Hj3dF6gS0aY5uE8iO2kM", "Zq8xK2mP9vL4tR7wB1nC"
+    rows = [(i, f"example {copied} and token={copied}", "a", 0, "") for i in range(12)]
+    rows += [(20 + i, f"see {live} here", "a", 0, "") for i in range(3)]
+    got = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].n_live == 0 and got[i].n_copied == 1 and got[i].spans == "assign:33:59" for i in range(12))
+    assert all(got[20 + i].spans == "live:4:24" and got[20 + i].n_copied == 0 for i in range(3))
