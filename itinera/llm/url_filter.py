@@ -5,7 +5,8 @@ their host by propagation in Spark: a personalised PageRank from trusted hosts
 along links, and one from blocked hosts along reversed links (who links to a
 blocked host shares its distrust). A host whose distrust exceeds its trust by
 more than ``margin`` is blocked. Each round is a join and a grouped sum over
-distinct host edges, stored in the shared folder.
+distinct host edges, stored in the shared folder; rounds go on until the scores of
+both sides change by less in sum than a thousandth of the blocking threshold.
 
 Defined results: a null url, or one without ``://``, has empty host and path and
 no rule and is allowed; null html has no links; links of a host to itself are
@@ -14,6 +15,7 @@ left out; repeated rows are judged each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +31,8 @@ RULES = [
     ("allow", "org", "/fr/"),
 ]
 DAMPING = 0.85
-ROUNDS = 6
+#: Summed change of a round at which the scores have settled, as a multiple of the blocking threshold.
+SETTLED = 1e-3
 #: A host is a seed if at least this share of its pages falls under rules of one verdict.
 SEED_SHARE = 0.5
 #: Distrust minus trust, as a multiple of the mean score of a host, from which on a host is blocked.
@@ -64,11 +67,13 @@ def host_edges(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
     return edges.filter((F.col("src") != F.col("dst")) & (F.col("src") != "")).distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = 1e-9) -> DataFrame:
     """Trust and distrust of hosts. seeds: host, side (``trust``/``distrust``), weight.
 
-    Both sides run in one loop: distrust uses the edges reversed. Returns host,
-    side, score.
+    Both sides run in one loop: distrust uses the edges reversed. It ends after
+    ``rounds``, or if none are given once the summed change of a round is at most
+    ``tolerance``; each round's change is at most ``damping`` times the last one's and
+    the first one's at most 2 a side, which bounds them. Returns host, side, score.
     """
     out = edges.select(F.lit("trust").alias("side"), F.col("src").alias("host"), F.col("dst").alias("to"))
     back = edges.select(F.lit("distrust").alias("side"), F.col("dst").alias("host"), F.col("src").alias("to"))
@@ -83,14 +88,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     scores = start
     if arcs.isEmpty():
         return start.withColumn("score", F.col("score") * (1 - damping))
-    for _ in range(rounds):
+    most = rounds if rounds is not None else 2 + max(0, math.ceil(math.log(tolerance / 4) / math.log(damping)))
+    none = F.lit(0.0)
+    for _ in range(most):
         moved = arcs.join(scores, ["side", "host"]).select(
-            F.col("to").alias("host"), "side", (damping * F.col("score") / F.col("degree")).alias("score")
-        )
-        back_home = start.select("host", "side", ((1 - damping) * F.col("score")).alias("score"))
-        scores = materialise(
-            moved.unionByName(back_home).groupBy("host", "side").agg(F.sum("score").alias("score")), "host-scores"
+            F.col("to").alias("host"), "side", (damping * F.col("score") / F.col("degree")).alias("score"), none.alias("last")
         )
+        back_home = start.select("host", "side", ((1 - damping) * F.col("score")).alias("score"), none.alias("last"))
+        before = scores.select("host", "side", none.alias("score"), F.col("score").alias("last"))
+        both = moved.unionByName(back_home).unionByName(before).groupBy("host", "side")
+        both = materialise(both.agg(F.sum("score").alias("score"), F.sum("last").alias("last")), "host-scores")
+        scores = both.select("host", "side", "score")
+        if rounds is None and (both.agg(F.sum(F.abs(F.col("score") - F.col("last")))).first()[0] or 0.0) <= tolerance:
+            break
     return scores
 
 
@@ -119,8 +129,8 @@ def judge_urls(
     )
     seeds = sides.filter(F.col("weight") >= seed_share)
     edges = materialise(host_edges(pages, host, html_col), "host-edges")
-    scores = propagate(edges, seeds)
     least = margin / max(1, hosts.count())
+    scores = propagate(edges, seeds, tolerance=SETTLED * least)
     judged = (
         scores.groupBy("host")
         .agg(

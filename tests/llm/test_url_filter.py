@@ -48,3 +48,25 @@ def test_propagation_equals_power_iteration(spark):
 
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_chains_and_loops_settle(spark):
+    """Against a dense power iteration run to its end; distrust goes up a chain as far as the threshold."""
+    names = ["bad.net"] + [f"h{i}.io" for i in range(12)]
+    links = [(b, a) for a, b in zip(names, names[1:])] + [("p.io", "q.io"), ("q.io", "p.io"), ("q.io", "bad.net")]
+    hosts = sorted({h for e in links for h in e})
+    html = {h: " ".join(f'<a href="//{b}/">' for a, b in links if a == h) for h in hosts}
+    rows = [(i, f"http://{h}/a", html[h], "", "") for i, h in enumerate(hosts)]
+    got = {r.host: r for r in judge_urls(spark.createDataFrame(rows, SCHEMA)).collect()}
+    into = {h: [a for a, b in links if b == h] for h in hosts}
+    score = {h: float(h == "bad.net") for h in hosts}
+    for _ in range(400):
+        new = {h: 0.15 * (h == "bad.net") for h in hosts}
+        for h in hosts:
+            for a in into[h]:
+                new[a] += 0.85 * score[h] / len(into[h])
+        score = new
+    least = 0.25 / len(hosts)
+    assert all(abs(got[h].distrust - score[h]) < 0.01 * least for h in hosts)
+    assert score["h11.io"] < least < score["h6.io"]
+    assert {h for h in hosts if got[h].verdict == "block"} == {h for h in hosts if score[h] > least or h == "bad.net"}
