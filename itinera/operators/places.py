@@ -31,18 +31,24 @@ def nearest_within(points: DataFrame, places: DataFrame, radius_km: float, same:
 
     points: lat, lon; places: idx, name, lat, lon. ``same`` names a column of
     points with the idx of a place to leave out. Ties go to the least idx.
-    Longitudes shrink towards the poles, so rows beyond 80 degrees are compared in
-    one column of cells; the radius must be under 100 km.
+    Longitudes shrink towards the poles, so rows beyond 80 degrees less a cell are
+    compared in one column of cells, and points near that line in both schemes; the
+    radius must be under 100 km.
     """
     polar = 80.0
     degrees = max(0.05, math.degrees(radius_km / EARTH_KM) / math.cos(math.radians(polar)) * 1.01)
     columns = math.floor(360 / degrees)  # the last column is wider, which its neighbours allow for
     degrees = 360 / columns
     flat = lambda lat, lon: F.when(F.abs(lat) > polar - degrees, F.lit(0.0)).otherwise(lon)
+    # Up to 80 degrees a cell is as wide as the radius, so on both sides of the line
+    # the cells around a point's own longitude hold all places that are not flat.
+    own, zero = _cells(F.col("lat"), F.col("lon"), degrees, columns), _cells(F.col("lat"), F.lit(0.0), degrees, columns)
+    line = F.abs(F.col("lat"))
+    probed = F.when(line > polar, zero).when(line > polar - 2 * degrees, F.array_union(own, zero)).otherwise(own)
     rows = points.withColumn("_row", F.monotonically_increasing_id())
     probes = rows.filter("lat IS NOT NULL AND lon IS NOT NULL").select(
         "_row", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), (F.col(same) if same else F.lit(None)).alias("_same"),
-        F.explode(_cells(F.col("lat"), flat(F.col("lat"), F.col("lon")), degrees, columns)).alias("cell"),
+        F.explode(probed).alias("cell"),
     )
     cell = F.struct(F.floor(F.col("lat") / degrees).alias("row"), F.pmod(F.floor((flat(F.col("lat"), F.col("lon")) + 180) / degrees), F.lit(columns)).alias("column"))
     held = places.filter("lat IS NOT NULL AND lon IS NOT NULL").select("idx", "name", "lat", "lon", cell.alias("cell"))

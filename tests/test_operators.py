@@ -185,3 +185,12 @@ def test_addon_urls(spark):
     urls = ["http://x/data/regions/a.json", "http://x/a.MP3?x=1", "http://x/data/sample-trips/index.json", "http://x/data/sample-trips/era/id.json", "http://x/?q=/data/regions/", None]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(trips.is_addon(F.col("u")).alias("a")).collect()
     assert [r.a for r in got] == [True, True, False, True, False, False]
+
+
+def test_nearest_place_across_the_flat_line(spark):
+    held = [(1, "a", 76.85, 25.0), (2, "b", 76.83, -140.0), (3, "c", -76.85, 100.0), (4, "d", -76.83, 170.0)]
+    asked = [(1, 76.83, 25.0), (2, 76.85, -140.0), (3, -76.83, 100.0), (4, -76.85, 170.0), (5, 76.85, 60.0)]
+    held = spark.createDataFrame(held, "idx long, name string, lat double, lon double")
+    asked = spark.createDataFrame(asked, "q long, lat double, lon double")
+    got = {r.q: r.idx for r in places.nearest_within(asked, held, 60.0).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: None}
