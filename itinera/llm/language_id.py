@@ -1,63 +1,96 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model per language, over folded text (letters lower-cased, anything else one
-space). The n-gram counts come from a bounded sample of labelled documents,
-counted in Spark tasks. The models of all languages share tables: for each order
-the hashes of all n-grams that any language has, sorted, and beside each hash its
-log probability in every language, with the back-off weight of every context in a
-second pair of arrays. A text is scored in all languages by one binary search per
-character; only n-grams that no language has need shorter ones. The language of
-the lowest cross-entropy per character wins.
-
-Rejection is calibrated on the sample: each language's threshold lies above the
-cross-entropies of its own documents, and the score comes from a logistic curve
-over the margin to the second language.
+space; a letter is what ``str.isalpha`` says). The n-gram counts come from a bounded
+sample of labelled documents, counted in Spark tasks. Each language's model is kept
+as differences: what an n-gram adds to the log probability that its suffix gives,
+and what a context takes off. The log probability of a text is then a plain sum
+over its n-grams, and an n-gram that a language lacks adds nothing. Up to
+LANGUAGES_IN_BLOCK languages share one sorted hash array per order, so the model
+grows in proportion to the n-grams of all languages, not to their product. The
+language of the lowest cross-entropy per character wins.
+
+Rejection is calibrated on sample documents that do not train: whole and in pieces
+of one word up to thousands of letters. For each length the threshold of a language
+is the mean cross-entropy of its own pieces plus the QUANTILE of all languages'
+deviations from their means, plus MARGIN. So about 1 - QUANTILE of clean text of any
+length is rejected at most, and text of another language or of random letters is,
+once it is long enough to tell. The score is a logistic curve over the evidence for
+the first language against the second.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0 and
 is rejected; ties go to the first language by name; repeated rows are predicted
 each; without labelled rows every document is ``und``; an empty table gives an
-empty result.
+empty result; texts of any length are read whole, in parts of bounded size; other
+columns keep their names and values, whatever these are.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itinera.llm.common import materialise
+from itinera.llm.common import materialise, small_or_shuffled
 
 ORDER = 4
 #: The sample: at most so many labelled documents of each language, those of least hash.
 SAMPLE_DOCS = 1800
 #: Every so-manieth of them calibrates the model instead of training it.
 CALIBRATION_EVERY = 6
-#: Languages that a model can tell apart: the most frequent ones.
-MOST_LANGUAGES = 1000
-#: n-grams of each order and language that the model keeps, the most frequent
-#: ones. It bounds what is sent to the tasks: about 40 bytes each.
-MODEL_NGRAMS = 200_000
-#: Nats a character above the calibration documents' highest cross-entropy.
-SLACK = 1.5
+#: Languages that share one sorted hash array.
+LANGUAGES_IN_BLOCK = 8
+#: Share of a language's own text that its threshold keeps, and nats a character above it.
+QUANTILE, MARGIN = 0.999, 0.1
+#: Lengths (as powers of two) of the calibration pieces, and pieces of each a document.
+LENGTHS, PIECES = 13, 4
+#: Pieces from which on a length has a quantile of its own; else that of the next shorter one.
+ENOUGH = 200
 UNKNOWN = "und"
 #: Range of the hashes by which texts are sampled.
 SPAN = 1 << 40
+#: Characters that are folded at once at least, and points that are scored at once.
+FOLD_CHARS, SCORE_POINTS = 1 << 18, 1 << 16
 
-_FOLD = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """For every code point the lower-case letter, or 0 for what is no letter."""
+    out = np.zeros(0x110000, np.uint32)
+    for point in range(0x110000):
+        char = chr(point)
+        if char.isalpha():
+            out[point] = ord(char.lower()[0])
+    return out
+
+
+def fold_all(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Folded points of all texts in a row, and where each text starts (one more than texts)."""
+    line = "".join([f"\n{t or ''}\n" for t in texts])
+    points = _letters()[np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")]
+    sizes = np.fromiter((len(t or "") + 2 for t in texts), np.int64, len(texts))
+    kept = points != 0
+    kept[1:] |= points[:-1] != 0
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    kept[starts[:-1]] = True
+    return points[kept].astype(np.uint64), np.concatenate(([0], np.cumsum(kept)))[starts]
 
 
 def fold(text: str | None) -> np.ndarray:
-    """Code points of the text, with one space for each run of non-letters, and around it."""
-    line = " " + _FOLD.sub(" ", (text or "").lower()).strip() + " "
-    points = np.frombuffer(line.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-    points[points == 32] = 0
-    return points
+    """Code points of the text, with one space (0) for each run of non-letters, and around it."""
+    return fold_all([text])[0]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
 def ngram_hashes(points: np.ndarray, n: int) -> np.ndarray:
@@ -67,78 +100,116 @@ def ngram_hashes(points: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(len(points) - n + 1, np.uint64)
     for i in range(n):
         out = out * np.uint64(0x9E3779B97F4A7C15) + points[i : i + len(out)] + np.uint64(1)
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+    return _mixed(out)
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text and _LETTER.search(text))
+    return any(map(str.isalpha, text or ""))
+
+
+class Table:
+    """A sorted hash array with a row of values for each hash; the last row is that of unknown ones."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, weights: np.ndarray | None):
+        self.keys = np.concatenate((keys, [np.uint64(2**64 - 1)]))
+        self.values, self.weights = values, weights
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        # Hashes are even, so their first bits lead to within a few keys of the place.
+        self.heads = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash."""
+        at = self.heads[(hashes >> self.shift).astype(np.int64)].astype(np.int64)
+        less = np.nonzero(self.keys[at] < hashes)[0]
+        while len(less):
+            at[less] += 1
+            less = less[self.keys[at[less]] < hashes[less]]
+        return np.where(self.keys[at] == hashes, at, len(self.keys) - 1)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    #: per order 1..n: sorted n-gram hashes, log probabilities [n-gram, language]
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    #: per order 1..n-1: sorted context hashes, log back-off weights [context, language]
-    backoffs: list[tuple[np.ndarray, np.ndarray]]
-    floor: np.ndarray  # log probability of an unseen character, per language
-    thresholds: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    order: int = ORDER
+    #: blocks of languages in order, each a table per n-gram order
+    blocks: list[list[Table]] = field(default_factory=list)
+    #: per language and length: cross-entropy from which on text is rejected
+    thresholds: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     curve: tuple[float, float] = (1.0, 0.0)
 
-    @property
-    def order(self) -> int:
-        return len(self.grams)
+    def cross_entropies(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Nats a character of each text [text, language]; every text starts and ends with a space."""
+        sizes = np.diff(starts)
+        total = np.zeros((len(sizes), len(self.languages)))
+        texts = np.nonzero(sizes > 1)[0]
+        if not len(texts):
+            return total
+        place = np.arange(len(points)) - np.repeat(starts[:-1], sizes)  # within the text
+        at = 0
+        for tables in self.blocks:
+            width = tables[0].values.shape[1]
+            block = total[:, at : at + width]
+            at += width
+            for a in range(0, len(points), SCORE_POINTS):
+                b, low = min(len(points), a + SCORE_POINTS), max(0, a - self.order + 1)
+                raw = np.zeros(b - low, np.uint64)
+                summed = np.zeros((b - a, width))
+                for n in range(1, self.order + 1):
+                    before = np.concatenate((np.zeros(1, np.uint64), raw[:-1])) if n > 1 else raw
+                    raw = before * np.uint64(0x9E3779B97F4A7C15) + points[low:b] + np.uint64(1)
+                    where = tables[n - 1].find(_mixed(raw[a - low :]))
+                    where[place[a:b] < n - 1] = len(tables[n - 1].keys) - 1 if n > 1 else 0
+                    summed += tables[n - 1].values[where]
+                cuts = np.unique(np.concatenate(([a], starts[(starts > a) & (starts < b)])))
+                owner = np.searchsorted(starts, cuts, "right") - 1
+                np.add.at(block, owner, np.add.reduceat(summed, cuts - a, axis=0))
+            # The first space is given, and no character follows the last one.
+            first = tables[0].find(ngram_hashes(points[:1], 1))
+            block[texts] -= tables[0].values[first] - tables[0].weights[first]
+            for n in range(1, self.order):
+                ending = texts[sizes[texts] >= n]
+                grams = np.stack([points[starts[ending + 1] - n + i] for i in range(n)], axis=1)
+                raw = np.zeros(len(ending), np.uint64)
+                for i in range(n):
+                    raw = raw * np.uint64(0x9E3779B97F4A7C15) + grams[:, i] + np.uint64(1)
+                block[ending] -= tables[n - 1].weights[tables[n - 1].find(_mixed(raw))]
+        total[sizes <= 1] = 0  # nothing but a space
+        return -total / np.maximum(1, sizes - 1)[:, None]
 
     def cross_entropy(self, points: np.ndarray) -> np.ndarray:
-        """Nats a character in each language."""
-        total, n = np.zeros(len(self.languages)), max(1, len(points) - 1)
-        for i in range(0, len(points) - 1, 1 << 18):
-            part = points[max(0, i - self.order + 2) : i + (1 << 18) + 1]
-            total += self._log_probability(part, min(i, self.order - 2) if i else 0)
-        return -total / n
-
-    def _log_probability(self, points: np.ndarray, skip: int) -> np.ndarray:
-        """Sum over points[1 + skip:], each given up to order - 1 points before it."""
-        total = np.zeros(len(self.languages))
-        at = np.arange(1 + skip, len(points))
-        todo = {n: [] for n in range(1, self.order + 1)}
-        for n in range(1, self.order):
-            todo[n].append(at[at == n - 1])  # near the start the context is short
-        todo[self.order].append(at[at >= self.order - 1])
-        for n in range(self.order, 0, -1):
-            places = np.concatenate(todo[n])
-            if not len(places):
-                continue
-            hashes = ngram_hashes(points, n)[places - n + 1]
-            keys, logs = self.grams[n - 1]
-            where = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            hit = keys[where] == hashes
-            total += np.bincount(where[hit], minlength=len(keys)).astype(float) @ logs
-            missed = places[~hit]
-            if n == 1:
-                total += len(missed) * self.floor
-            elif len(missed):
-                contexts = ngram_hashes(points, n - 1)[missed - n + 1]
-                keys, logs = self.backoffs[n - 2]
-                where = np.minimum(np.searchsorted(keys, contexts), len(keys) - 1)
-                known = keys[where] == contexts
-                total += np.bincount(where[known], minlength=len(keys)).astype(float) @ logs
-                todo[n - 1].append(missed)
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float, float, bool]:
-        """Language, score, cross-entropy, rejected."""
-        if not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0, float("nan"), True
-        entropies = self.cross_entropy(fold(text))
-        best = int(np.argmin(entropies))
-        margin = float(np.partition(entropies, 1)[1] - entropies[best]) if len(entropies) > 1 else 1.0
-        a, b = self.curve
-        score = float(1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30))))
-        rejected = bool(len(self.thresholds) and entropies[best] > self.thresholds[best])
-        return self.languages[best], score, float(entropies[best]), rejected
+        return self.cross_entropies(points, np.array([0, len(points)]))[0]
+
+    def judge(self, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best language, its cross-entropy, the evidence for it and whether it is rejected, per text."""
+        entropies, sizes = self.cross_entropies(points, starts), np.diff(starts) - 1
+        best = entropies.argmin(axis=1)
+        least = entropies[np.arange(len(best)), best]
+        second = np.partition(entropies, 1, axis=1)[:, 1] if entropies.shape[1] > 1 else least + 1.0
+        evidence = (second - least) * np.sqrt(np.maximum(1, sizes))
+        rejected = np.zeros(len(best), bool)
+        if self.thresholds.size:
+            rejected = least > self.thresholds[best, length_class(sizes)]
+        return best, least, evidence, rejected
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Languages, scores, cross-entropies and whether rejected."""
+        points, starts = fold_all(texts)
+        known = np.diff(starts) > 1
+        if not self.languages:
+            known[:] = False
+            best, least, score, rejected = np.zeros(len(texts), int), np.full(len(texts), np.nan), np.zeros(len(texts)), ~known
+        else:
+            best, least, evidence, rejected = self.judge(points, starts)
+            a, b = self.curve
+            score = np.where(known, 1 / (1 + np.exp(-np.clip(a * evidence + b, -30, 30))), 0.0)
+        named = [self.languages[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist(), strict=True)]
+        return named, score, np.where(known, least, np.nan), rejected | ~known
+
+
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    """Power of two of a length, within the calibrated range."""
+    return np.clip(np.floor(np.log2(np.maximum(1, sizes))).astype(int), 0, LENGTHS - 1)
 
 
 def count_ngrams(sample: DataFrame, order: int = ORDER) -> DataFrame:
@@ -169,14 +240,15 @@ def count_ngrams(sample: DataFrame, order: int = ORDER) -> DataFrame:
     return found.groupBy("lang", "n", "gram", "context", "suffix").agg(F.sum("times").alias("times"))
 
 
-def _kneser_ney(grams: dict[int, tuple], order: int) -> tuple[list, list]:
-    """Interpolated Kneser-Ney of one language as back-off tables.
+def _kneser_ney(grams: dict[int, tuple], order: int) -> tuple[list, float]:
+    """Interpolated Kneser-Ney of one language as differences.
 
-    grams[n]: gram, context, suffix, times. Returns per order (gram, log p) and
-    (context, log weight).
+    grams[n]: gram, context, suffix, times. Returns per order the sorted grams, what
+    each adds to the log probability that its suffix gives after its context has
+    taken its weight off, and its own weight as a context (0 if it is none); and the
+    log probability of a character that was never seen.
     """
-    probability, weights = [], []
-    lower_keys = lower_p = None
+    tables = []
     for n in range(1, order + 1):
         gram, context, suffix, times = grams[n]
         counts = times.astype(float)
@@ -188,75 +260,102 @@ def _kneser_ney(grams: dict[int, tuple], order: int) -> tuple[list, list]:
         discount = ones / (ones + 2 * twos) if ones and twos else 0.5
         keys, place = np.unique(context, return_inverse=True)
         total = np.bincount(place, counts)
-        kinds = np.bincount(place)
-        weight = discount * kinds / total
+        weight = discount * np.bincount(place) / total
         if n == 1:
             vocabulary = len(gram) + 1
-            p = (counts - discount) / total[place] + weight[place] / vocabulary
+            lower = np.full(len(gram), 1 / vocabulary)
             floor = float(np.log(weight[0] / vocabulary))
         else:
             at = np.minimum(np.searchsorted(lower_keys, suffix), len(lower_keys) - 1)
             lower = np.where(lower_keys[at] == suffix, lower_p[at], np.exp(floor))
-            p = (counts - discount) / total[place] + weight[place] * lower
-            weights.append((keys, np.log(weight)))
+            tables[-1][2][np.searchsorted(lower_keys, keys)] = np.log(weight)
+        p = (counts - discount) / total[place] + weight[place] * lower
+        adds = np.log(p) - (np.log(weight[place] * lower) if n > 1 else 0.0)
         by = np.argsort(gram)
         lower_keys, lower_p = gram[by], p[by]
-        probability.append((lower_keys, np.log(lower_p)))
-    return [probability, floor], weights
+        tables.append((lower_keys, adds[by], np.zeros(len(gram))))
+    return tables, floor
 
 
 def build_model(counts: dict[str, dict[int, tuple]], order: int = ORDER) -> Model:
-    """Join the languages' tables: every language gets a value for every n-gram of any."""
+    """Put the languages' tables together, in blocks."""
     languages = sorted(counts)
-    if not languages:
-        return Model([], [], [], np.zeros(0))
-    parts = {lang: _kneser_ney(counts[lang], order) for lang in languages}
-    floor = np.array([parts[lang][0][1] for lang in languages])
-    grams, backoffs = [], []
-    for n in range(1, order + 1):
-        gram = np.concatenate([counts[lang][n][0] for lang in languages])
-        keys, first = np.unique(gram, return_index=True)
-        context = np.concatenate([counts[lang][n][1] for lang in languages])[first]
-        suffix = np.concatenate([counts[lang][n][2] for lang in languages])[first]
-        if n > 1:
-            names = np.unique(context)
-            weight = np.zeros((len(names), len(languages)))
-            for i, lang in enumerate(languages):
-                own, logs = parts[lang][1][n - 2]
-                weight[np.searchsorted(names, own), i] = logs
-            backoffs.append((names, weight))
-        logs = np.full((len(keys), len(languages)), np.nan)
-        for i, lang in enumerate(languages):
-            own, log = parts[lang][0][0][n - 1]
-            logs[np.searchsorted(keys, own), i] = log
-        if n == 1:
-            logs = np.where(np.isnan(logs), floor, logs)
-        else:  # back off: the context's weight and the suffix's own value
-            names, weight = backoffs[-1]
-            below = np.minimum(np.searchsorted(grams[-1][0], suffix), len(grams[-1][0]) - 1)
-            known = (grams[-1][0][below] == suffix)[:, None]
-            lower = np.where(known, grams[-1][1][below], floor) + weight[np.searchsorted(names, context)]
-            logs = np.where(np.isnan(logs), lower, logs)
-        grams.append((keys, logs))
-    return Model(languages, grams, backoffs, floor)
-
-
-def calibrate(model: Model, labelled: list[tuple[str, str]], slack: float = SLACK) -> Model:
-    """Set rejection thresholds and the score's curve from labelled texts (lang, text)."""
-    high = {lang: 0.0 for lang in model.languages}
-    margins, right = [], []
-    for lang, text in labelled:
-        if lang not in high or not has_letter(text):
-            continue
-        entropies = model.cross_entropy(fold(text))
-        high[lang] = max(high[lang], float(entropies[model.languages.index(lang)]))
-        best = int(np.argmin(entropies))
-        margins.append(float(np.partition(entropies, 1)[1] - entropies[best]) if len(entropies) > 1 else 1.0)
-        right.append(model.languages[best] == lang)
-    most = max(high.values(), default=0.0)
-    model.thresholds = np.array([(high[lang] or most) + slack for lang in model.languages]) if margins else np.zeros(0)
-    x, y = np.array(margins), np.array(right, float)
-    if len(x) and 0 < y.mean() < 1:
+    blocks = []
+    for at in range(0, len(languages), LANGUAGES_IN_BLOCK):
+        own = [_kneser_ney(counts[lang], order) for lang in languages[at : at + LANGUAGES_IN_BLOCK]]
+        tables = []
+        for n in range(order):
+            keys = np.unique(np.concatenate([parts[n][0] for parts, _ in own]))
+            values = np.zeros((len(keys) + 1, len(own)))
+            weights = np.zeros((len(keys) + 1, len(own))) if n + 1 < order else None
+            if n == 0:
+                values[:] = [floor for _, floor in own]
+            for i, (parts, _) in enumerate(own):
+                gram, adds, weight = parts[n]
+                where = np.searchsorted(keys, gram)
+                values[where, i] = adds + weight
+                if weights is not None:
+                    weights[where, i] = weight
+            tables.append(Table(keys, values, weights))
+        blocks.append(tables)
+    return Model(languages, order, blocks)
+
+
+def pieces(points: np.ndarray, seed: int) -> Iterator[np.ndarray]:
+    """The folded text itself, and pieces of it of whole words in all calibrated lengths."""
+    yield points
+    spaces = np.nonzero(points == 0)[0]
+    rng = np.random.default_rng(seed)
+    for k in range(LENGTHS):
+        last = int(np.searchsorted(spaces, len(points) - (1 << k)))
+        for _ in range(PIECES if last else 0):
+            start = spaces[rng.integers(0, last)]
+            end = spaces[min(len(spaces) - 1, int(np.searchsorted(spaces, start + (1 << k))))]
+            yield points[start : end + 1]
+
+
+def calibration(sample: DataFrame, model: Model) -> pd.DataFrame:
+    """lang, length class, cross-entropy, evidence, right: a row for every piece of the sample's texts."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for lang, text, rank in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "rank")), strict=True):
+                parts = [p for p in pieces(fold(text), rank) if len(p) > 1]
+                if lang not in model.languages or not parts:
+                    continue
+                starts = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+                points = np.concatenate(parts)
+                best, _, evidence, _ = model.judge(points, starts)
+                mine = model.languages.index(lang)
+                own = model.cross_entropies(points, starts)[:, mine]
+                yield pa.RecordBatch.from_pydict(
+                    {"lang": [lang] * len(parts), "size": length_class(np.diff(starts) - 1), "entropy": own, "evidence": evidence, "right": best == mine}
+                )
+
+    found = sample.select("lang", "text", "rank").repartition(16).mapInArrow(run, "lang string, size long, entropy double, evidence double, right boolean")
+    return found.toPandas()
+
+
+def calibrate(model: Model, found: pd.DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> Model:
+    """Set rejection thresholds and the score's curve."""
+    if not len(found):
+        return model
+    mean = found.groupby(["lang", "size"])["entropy"].transform("mean")
+    off = (found["entropy"] - mean).groupby(found["size"])
+    numbers = off.size()
+    high = np.zeros(LENGTHS)
+    for k in range(LENGTHS):  # shorter text deviates more, so its bound holds for longer text too
+        enough = numbers.get(k, 0) >= ENOUGH or k == 0 or high[k - 1] == 0
+        high[k] = off.get_group(k).quantile(quantile) if enough and numbers.get(k, 0) else high[k - 1] if k else 0.0
+    high = np.maximum.accumulate(high[::-1])[::-1]
+    means = found.groupby(["size", "lang"])["entropy"].mean().unstack().reindex(index=range(LENGTHS), columns=model.languages)
+    means = means.ffill().bfill()
+    means = means.fillna(float(found["entropy"].max()))
+    model.thresholds = means.to_numpy().T + high[None, :] + margin
+    x, y = found["evidence"].to_numpy(), found["right"].to_numpy(float)
+    if 0 < y.mean() < 1:
         a, b = 1.0, 0.0
         for _ in range(200):  # logistic fit by Newton steps with a little shrinkage
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -271,35 +370,28 @@ def calibrate(model: Model, labelled: list[tuple[str, str]], slack: float = SLAC
     return model
 
 
-def train(
-    docs: DataFrame,
-    text_col: str = "text",
-    lang_col: str = "lang",
-    order: int = ORDER,
-    sample_docs: int = SAMPLE_DOCS,
-    model_ngrams: int = MODEL_NGRAMS,
-) -> Model:
-    """Fit on labelled documents: the rows of least hash in each language."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Fit on labelled documents: the distinct texts of least hash in each language.
+
+    The sample bounds what the driver and the tasks hold: the n-grams of at most
+    ``sample_docs`` texts a language.
+    """
     labelled = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")
     )
     # The texts of least hash in each language. The share is taken from the distinct
     # texts and copies are made one before any rows of a language meet, so their
     # number does not matter.
-    hashes = labelled.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("rows"))
-    sizes = hashes.groupBy("lang").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("n"))
-    sizes = sizes.orderBy(F.col("rows").desc(), "lang").limit(MOST_LANGUAGES).select("lang", "n")
+    hashes = labelled.groupBy("lang", "h").agg(F.lit(1).alias("one"))
+    sizes = materialise(hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
     share = (2.0 * sample_docs + 64.0) / F.col("n")
-    low = labelled.join(F.broadcast(sizes), "lang").filter(F.pmod("h", F.lit(SPAN)) <= share * float(SPAN))
+    low = labelled.join(small_or_shuffled(sizes), "lang").filter(F.pmod("h", F.lit(SPAN)) <= share * float(SPAN))
     low = low.groupBy("lang", "h").agg(F.min("text").alias("text"))
     by_hash = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(SPAN)), "h")
     ranked = low.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= sample_docs)
     ranked = materialise(ranked.select("lang", "text", "rank"), "language-sample")
     held = F.col("rank") % CALIBRATION_EVERY == 0
-    counted = materialise(count_ngrams(ranked.filter(~held).repartition(16)), "language-ngrams")
-    by_count = Window.partitionBy("lang", "n").orderBy(F.col("times").desc(), "gram")
-    kept = counted.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= model_ngrams)
-    frame = kept.select("lang", "n", "gram", "context", "suffix", "times").toPandas()
+    frame = count_ngrams(ranked.filter(~held).repartition(16), order).toPandas()
     counts = {
         lang: {
             n: tuple(part[c].to_numpy(np.int64).view(np.uint64) for c in ("gram", "context", "suffix")) + (part["times"].to_numpy(),)
@@ -308,8 +400,7 @@ def train(
         for lang, group in frame.groupby("lang")
     }
     model = build_model({lang: c for lang, c in counts.items() if len(c) == order}, order)
-    labelled = ranked.filter(held).select("lang", "text").collect()
-    return calibrate(model, [tuple(r) for r in labelled])
+    return calibrate(model, calibration(ranked.filter(held), model))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -318,12 +409,21 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     rest = [F.col(c) for c in docs.columns if c != text_col] or [F.lit(True).alias("row")]
     rows = docs.select(F.struct(*rest).alias("keep"), F.col(text_col).alias("text"))
 
+    def judged(piece: pa.RecordBatch) -> pa.RecordBatch:
+        named, score, entropy, rejected = sent.value.predict(piece.column("text").to_pylist())
+        columns = [pa.array(named, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)]
+        return pa.RecordBatch.from_arrays([*piece.columns, *columns], [*piece.schema.names, "lang_pred", "score", "cross_entropy", "rejected"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sent.value.predict(t.as_py()) for t in batch.column("text")]
-            kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
-            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score", "cross_entropy", "rejected"])
+            at = size = 0
+            for i, n in enumerate(pa.compute.binary_length(batch.column("text")).to_pylist()):
+                size += n or 0
+                if size >= FOLD_CHARS:
+                    yield judged(batch.slice(at, i + 1 - at))
+                    at, size = i + 1, 0
+            if at < batch.num_rows:
+                yield judged(batch.slice(at))
 
     kind = rows.schema["keep"].dataType.simpleString()
     return rows.mapInArrow(run, f"keep {kind}, text string, lang_pred string, score double, cross_entropy double, rejected boolean")

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 
+from itinera.llm import language_id as L
 from itinera.llm.language_id import Model, build_model, fold, has_letter, identify, keep_identified, ngram_hashes, train
 
 SCHEMA = "doc_id long, text string, lang string, score double, keep string"
@@ -77,11 +78,30 @@ def test_model_equals_a_plain_kneser_ney():
         assert abs(model.cross_entropy(fold(t))[0] - want) < 1e-9
 
 
-def test_long_texts_are_scored_in_parts(spark):
+def test_long_texts_are_scored_in_parts(spark, monkeypatch):
     model = train(spark.createDataFrame(corpus(), SCHEMA))
-    points = fold("abc def " * 80_000)
-    whole = -model._log_probability(points, 0) / (len(points) - 1)
-    assert np.allclose(model.cross_entropy(points), whole)
+    texts = ["abc def " * 80_000, "", None, "a", "12", "mno  é pq rs" * 40, "ABC\ud800 déf", "½ Ⅷ ① ²"]
+    points, starts = L.fold_all(texts)
+    assert [points[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [fold(t).tolist() for t in texts]
+    apart = np.array([model.cross_entropy(fold(t)) for t in texts])
+    assert np.allclose(model.cross_entropies(points, starts), apart)
+    short, cut = L.fold_all(texts[1:])
+    monkeypatch.setattr(L, "SCORE_POINTS", 37)
+    assert np.allclose(model.cross_entropies(short, cut), apart[1:])
+    assert model.predict(texts)[0][-1] == "und" and not has_letter(texts[-1])
+
+
+def test_many_languages_take_several_blocks(spark):
+    """Blocks do not change a language's model, and only bound what n-grams cost."""
+    rng, rows = random.Random(3), []
+    for i in range(220):
+        lang = f"l{i % 11:02d}"
+        rows.append((i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz"[i % 11 : i % 11 + 6] + " ", k=150)), lang, 0.0, ""))
+    model = train(spark.createDataFrame(rows, SCHEMA))
+    alone = train(spark.createDataFrame([r for r in rows if r[2] == "l09"], SCHEMA))
+    assert len(model.blocks) == 2 and len(model.languages) == 11
+    for _, text, *_ in rows[:30]:
+        assert np.allclose(model.cross_entropy(fold(text))[9], alone.cross_entropy(fold(text))[0])
 
 
 def test_rejects_other_scripts_and_keeps_the_rest(spark):
@@ -95,7 +115,7 @@ def test_no_labels_and_empty(spark):
     rows = [(1, "abc", None, 0.0, "")]
     assert identify(spark.createDataFrame(rows, SCHEMA)).first().lang_pred == "und"
     assert identify(spark.createDataFrame([], SCHEMA)).count() == 0
-    assert not has_letter("1_2") and has_letter("é") and Model([], [], [], np.zeros(0)).predict("a")[0] == "und"
+    assert not has_letter("1_2") and has_letter("é") and Model([]).predict(["a"])[0] == ["und"]
 
 
 def test_copies_do_not_thin_the_sample(spark):
@@ -106,4 +126,27 @@ def test_copies_do_not_thin_the_sample(spark):
     thin = train(many.unionByName(rest), sample_docs=40)
     whole = train(spark.createDataFrame(rows, SCHEMA), sample_docs=40)
     assert thin.languages == whole.languages == ["aa", "bb", "cc"]
-    assert all(np.array_equal(a[0], b[0]) and np.allclose(a[1], b[1]) for a, b in zip(thin.grams, whole.grams, strict=True))
+    for a, b in zip(thin.blocks[0], whole.blocks[0], strict=True):
+        assert np.array_equal(a.keys, b.keys) and np.allclose(a.values, b.values)
+
+
+def sentences():
+    """Four languages of the given tables' kind, and what is none of them."""
+    rng = random.Random(11)
+    parts = {lang: ["".join(rng.choices(letters, k=rng.randint(2, 3))) for _ in range(40)] for lang, letters in {"w": "etaoinsh", "x": "lmdeuro", "y": "scahtng", "z": "bordina"}.items()}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 3))) for _ in range(n))
+
+    return rng, parts, text
+
+
+def test_rejection_is_a_quantile_of_clean_text_of_any_length(spark):
+    rng, parts, text = sentences()
+    rows = [(i, text(lang, rng.randint(5, 120)), lang, 0.0, "") for i in range(800) for lang in parts]
+    model = train(spark.createDataFrame(rows, SCHEMA))
+    clean = [text(rng.choice("wxyz"), rng.randint(1, 200)) for _ in range(2000)]
+    assert model.predict(clean)[3].mean() <= 0.005
+    other = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(8, 60))) for _ in range(300)]
+    other += ["the quick brown fox jumps over the lazy dog while nobody was looking", "questa frase non appartiene a nessuna delle lingue conosciute qui", "быстрая лиса перепрыгнула через собаку", "ova rečenica nije napisana ni na jednom od naučenih jezika"] * 20
+    assert model.predict(other)[3].mean() >= 0.95
