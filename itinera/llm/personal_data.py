@@ -1,22 +1,30 @@
 """Personal data by fixed patterns and a character BiLSTM-CRF.
 
 The patterns give the base spans, exactly and in linear time, over whole texts.
-Their spans on a bounded sample, with written variants of them (numbers with a
-neighbour, phones without a plus sign), are the labels on which the tagger is
-trained. It then reads overlapping windows; each window is decoded by itself, and
-the spans of all windows of a document are reconciled at once: of spans that
-overlap, the set of the highest total weight stays. A span that the tagger adds
-must hold a checkable value of its kind and must not touch a base span.
-
-Every kind needs a digit or an @ sign, so windows without either are not decoded.
+Their spans on a bounded sample are the labels on which the tagger is trained,
+together with the ways in which such values are written that the patterns lose:
+values next to other numbers, phones without a plus sign, addresses with accents or
+with ``(at)``, colon-separated ips; and numbers that are no such value. It then reads
+overlapping windows; each window is decoded by itself, and the spans of all windows
+of a document are reconciled at once: of spans that overlap, the set of the highest
+total weight stays. A span that reaches its window's edge is read again in a window
+twice as wide. A span that the tagger adds must hold a checkable value of its kind
+(which has LONGEST characters at most) and must not touch a base span.
+
+Every kind needs a digit, an @ sign or an ``(at)``; only windows with one outside all
+base spans are decoded, for no other can hold an added span.
 
 Defined results: null text is empty and has no spans; an empty sample gives no
-tagger and base spans alone; repeated rows are judged each; an empty table gives
-an empty result.
+tagger and base spans alone; of overlapping spans of equal weight the one that ends
+first stays; repeated rows are judged each; texts of any length are read whole, by
+windows; other columns keep their names and values, whatever these are; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+import ipaddress
 import random
 import re
 from collections.abc import Iterator
@@ -30,14 +38,17 @@ from itinera.llm.tagger import EDGE, Tagger, symbols
 
 # The kinds in their listed order.
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window, and the step between windows: a span of up to STEP
-#: characters lies whole in one.
+#: Characters of a window, and the step between windows.
 WINDOW, STEP = 96, 48
-#: Windows that the tagger is trained on at most, those of least hash.
+#: Characters of the longest value that counts (an address of 64 + 1 + 255), and of the
+#: windows up to which a cut span is read again: one of them holds any such value.
+LONGEST, WIDEST = 320, 768
+#: Distinct windows that the tagger is trained on at most: those of least hash, half of
+#: them with spans and half without.
 SAMPLE_WINDOWS = 1536
-HIDDEN = 16
+HIDDEN = 20
 #: Gradient steps of the training, and windows in each.
-TRAIN_STEPS, BATCH = 160, 128
+TRAIN_STEPS, BATCH, RATE = 600, 32, 0.02
 SEED = 7
 #: Mean probability of a span's tags from which on it counts.
 CONFIDENCE = 0.8
@@ -48,7 +59,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+#: A sign that is written out: jo (at) example (dot) com.
+AT, DOT = r"\x20?[(\[]at[)\]]\x20?", r"\x20?[(\[]dot[)\]]\x20?"
+TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
+ADDRESS = re.compile(rf"[\w.%+-]+(?:@|{AT})[\w-]+(?:(?:\.|{DOT})[\w-]+)+")
+DAY = re.compile(r"[0-9]{4}[-.][0-9]{2}[-.][0-9]{2}|[0-9]{1,2}[-.][0-9]{1,2}[-.][0-9]{4}")
 
 
 def luhn(digits: str) -> bool:
@@ -102,32 +117,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def plausible(kind: int, value: str) -> bool:
     """Checks on what the tagger adds: whole values of a kind that can be verified."""
-    if value != value.strip():
+    if value != value.strip() or len(value) > LONGEST:
         return False
     if kind == 0:
-        m = re.fullmatch(r"[A-Za-z0-9._%+-]+@(.+)", value)
-        return bool(m and DOMAIN.fullmatch(m[1]))
+        return bool(ADDRESS.fullmatch(value))
+    if kind == 1 and ":" in value:
+        try:
+            return value.count(":") > 2 and ipaddress.ip_address(value).version == 6
+        except ValueError:
+            return False
     if kind == 1:
         return bool(IP.fullmatch(value)) and valid("ip", value)
     if kind == 2:
         return bool(CARD.fullmatch(value)) and valid("card", value)
     marks = sum(value.count(c) for c in " ().-")
-    return bool(re.fullmatch(r"\+?[0-9(][\x20().0-9-]+[0-9]", value)) and valid("phone", value) and (marks >= 2 or value[0] == "+")
+    shape = re.fullmatch(r"\+?\(?[0-9]+(?:[\x20().-]{1,2}[0-9]+)*", value)
+    return bool(shape) and valid("phone", value) and not DAY.match(value) and (marks >= 2 or value[0] == "+")
+
 
+def shapes(text: str) -> list[tuple[int, int, int]]:
+    """The base spans, and what has a card's shape: the tagger learns shapes, sums are checked afterwards."""
+    cards = [(2, *m.span()) for m in CARD.finditer(text) if 13 <= len(_digits(m[0])) <= 19]
+    return [s for s in base_spans(text) if s[0] != 2] + cards
 
-def windows(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an @ sign."""
+
+def windows(text: str, known: list[tuple[int, int, int]] = ()) -> list[int]:
+    """Starts of the windows that hold a trigger outside the known spans."""
     starts: set[int] = set()
+    spans, i = sorted((a, b) for _, a, b in known), 0
+    end = -1  # of the spans that begin before the trigger
     for m in TRIGGER.finditer(text):
-        k = m.start() // STEP
-        starts |= {k * STEP, (k - 1) * STEP}
-    return sorted(s for s in starts if s >= 0 or s == -STEP)
+        while i < len(spans) and spans[i][0] <= m.start():
+            end = max(end, spans[i][1])
+            i += 1
+        if m.start() >= end:
+            k = m.start() // STEP
+            starts |= {k * STEP, (k - 1) * STEP}
+    return sorted(starts)
 
 
-def window_symbols(text: str, starts: list[int]) -> np.ndarray:
-    out = np.full((len(starts), WINDOW), EDGE, np.int64)
+def window_symbols(text: str, starts: list[int], width: int = WINDOW) -> np.ndarray:
+    out = np.full((len(starts), width), EDGE, np.int64)
     for row, s in zip(out, starts, strict=True):
-        piece = text[max(0, s) : s + WINDOW]
+        piece = text[max(0, s) : max(0, s + width)]
         at = max(0, -s)
         row[at : at + len(piece)] = symbols(piece)
     return out
@@ -165,25 +197,33 @@ def tagged_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], model: Tagger) -> list[list[tuple[int, int, int]]]:
     """What the tagger finds beyond the base spans, per text."""
-    where = [(i, s) for i, text in enumerate(texts) for s in windows(text)]
+    todo = {(i, s) for i, (text, own) in enumerate(zip(texts, base, strict=True)) for s in windows(text, own)}
     found: list[list] = [[] for _ in texts]
-    for at in range(0, len(where), 512):
-        part = where[at : at + 512]
-        x = np.concatenate([window_symbols(texts[i], [s]) for i, s in part])
-        e = model.emissions(x)
-        tags = model.decode(e)
-        hit = np.nonzero(tags.any(axis=1))[0]
-        if not len(hit):
-            continue
-        probability = model.marginals(e[:, hit])
-        for n, row in enumerate(hit.tolist()):
-            i, s = part[row]
-            for start, end, kind in tagged_spans(tags[row]):
-                if (start == 0 and s > 0) or (end == WINDOW and s + WINDOW < len(texts[i])):
-                    continue  # cut by the window's edge; the next window has it whole
-                sure = float(probability[np.arange(start, end), n, tags[row, start:end]].mean())
-                if sure >= CONFIDENCE:
-                    found[i].append((s + start, s + end, kind, sure * (end - start)))
+    width = WINDOW
+    while todo:
+        where, todo = sorted(todo), set()
+        batch = max(1, 512 * WINDOW // width)
+        for at in range(0, len(where), batch):
+            part = where[at : at + batch]
+            x = np.concatenate([window_symbols(texts[i], [s], width) for i, s in part])
+            e = model.emissions(x)
+            tags = model.decode(e)
+            hit = np.nonzero(tags.any(axis=1))[0]
+            if not len(hit):
+                continue
+            probability = model.marginals(e[:, hit])
+            for n, row in enumerate(hit.tolist()):
+                i, s = part[row]
+                for start, end, kind in tagged_spans(tags[row]):
+                    if (start == 0 and s > 0) or (end == width and s + width < len(texts[i])):
+                        todo.add((i, s + (start + end) // 2 - width))  # cut by the edge: read it in a wider window
+                        continue
+                    sure = float(probability[np.arange(start, end), n, tags[row, start:end]].mean())
+                    if sure >= CONFIDENCE:
+                        found[i].append((s + start, s + end, kind, sure * (end - start)))
+        width *= 2
+        if width > WIDEST:
+            break  # longer spans are no values
     out = []
     for text, own, spans in zip(texts, base, found, strict=True):
         good = [x for x in spans if plausible(x[2], text[x[0] : x[1]]) and all(x[1] <= a or b <= x[0] for _, a, b in own)]
@@ -191,57 +231,131 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], model:
     return out
 
 
-def variants(text: str, spans: list[tuple[int, int, int]], rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
-    """A window's text with some spans rewritten as people write them, and the spans in it."""
+def _number(rng: random.Random) -> str:
+    """A number that is no personal data."""
+    n = rng.randrange
+    return rng.choice(
+        [str(n(1, 10)), str(n(10, 10_000)), f"{n(1900, 2100)}", f"{n(1900, 2100)}-{n(1, 13):02d}-{n(1, 32):02d}", f"{n(1, 32)}.{n(1, 13)}.{n(1990, 2030)}", f"{n(24)}:{n(60):02d}"]
+        + [f"{n(10)}.{n(20)}.{n(20)}", f"{n(100)}.{n(100):02d}", f"{n(1, 100)},{n(1000):03d},{n(1000):03d}", f"{n(10**5, 10**8)}", f"#{n(1000)}", f"{n(100, 1000)}-{n(10, 100)}", f"{n(16**12):012x}"]
+    )
+
+
+def _digits_of(rng: random.Random, n: int) -> str:
+    return "".join(rng.choices("0123456789", k=n))
+
+
+def _written(kind: int, value: str, rng: random.Random) -> str:
+    """A value in one of the ways in which people write it."""
+    if kind == 0 and rng.random() < 0.6:
+        local, _, domain = value.partition("@")
+        if rng.random() < 0.4:
+            at = rng.randrange(len(local))
+            return local[:at] + rng.choice("éüñäöçßø") + local[at + 1 :] + "@" + domain
+        at, dot = rng.choice([(" (at) ", "."), ("(at)", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", ".")])
+        return local + at + domain.replace(".", dot)
+    if kind == 1 and rng.random() < 0.4:
+        groups = [f"{rng.randrange(1 << rng.choice((8, 16))):x}" for _ in range(8)]
+        if rng.random() < 0.5:
+            at = rng.randrange(1, 5)
+            return ":".join(groups[:at]) + "::" + ":".join(groups[at + 2 :])
+        return ":".join(groups)
+    if kind == 2 and rng.random() < 0.4:
+        digits, sep = _digits(value), rng.choice(" -")
+        return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == 3 and rng.random() < 0.7:
+        a, b, c = _digits_of(rng, 3), _digits_of(rng, 3), _digits_of(rng, 4)
+        d, e = _digits_of(rng, 2), _digits_of(rng, rng.randint(6, 8))
+        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"00{d} {a} {e}", f"0{a} {b} {c}", f"+{d} {a} {e}", f"0{d}-{e[:4]}-{c}"])
+    return value
+
+
+def variants(text: str, spans: list[tuple[int, int, int]], values: list[tuple[int, str]], rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """A window's text with its values rewritten, some of them beside other numbers, and the spans in it.
+
+    A window without spans gets numbers that are no values.
+    """
     pieces, at, out, size = [], 0, [], 0
+
+    def put(piece: str, kind: int | None = None) -> None:
+        nonlocal size
+        if kind is not None:
+            out.append((kind, size, size + len(piece)))
+        pieces.append(piece)
+        size += len(piece)
+
+    if not spans:
+        for i, word in enumerate(text.split(" ")):
+            put((" " if i else "") + (_number(rng) + " " if rng.random() < 0.15 else "") + word)
     for kind, a, b in sorted(spans, key=lambda s: s[1]):
         if a < at:
             continue
-        value, after = text[a:b], ""
-        if kind == 3 and rng.random() < 0.4:
-            value = re.sub(r"^\+[0-9]{1,2}[ .-]*", "", value)
-        elif kind in (1, 2) and rng.random() < 0.3:
-            after = rng.choice([" 2024", " 12", "-7", " 1."])
-        pieces += [text[at:a], value, after]
-        size += a - at
-        out.append((kind, size, size + len(value)))
-        size += len(value) + len(after)
+        put(text[at:a])
+        beside = rng.random()
+        if beside < 0.15:
+            put(_number(rng) + " ")
+        put(_written(kind, text[a:b], rng), kind)
+        if beside > 0.8 and values:  # another value stands right beside it
+            other, value = rng.choice(values)
+            put(" ")
+            put(_written(other, value, rng), other)
+        elif beside > 0.5:
+            put(rng.choice(" -") + _number(rng))
         at = b
-    return "".join([*pieces, text[at:]]), out
+    if spans:
+        put(text[at:])
+    return "".join(pieces), out
 
 
-def labelled_windows(docs: DataFrame, text_col: str) -> DataFrame:
-    """Windows with their base spans: text, spans (kind:start:end, comma-joined)."""
+def labelled_windows(docs: DataFrame, text_col: str, most: int = SAMPLE_WINDOWS // 2) -> DataFrame:
+    """Windows with the spans in them: text, spans (kind:start:end, comma-joined), h.
+
+    A task passes on its distinct windows of least hash, ``most`` with spans and as
+    many without; those of least hash of the whole table are among them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        kept: tuple[dict, dict] = {}, {}
+        heaps: tuple[list, list] = [], []
         for batch in batches:
-            texts, marks = [], []
             for value in batch.column("text"):
                 text = value.as_py()
-                spans = base_spans(text)
+                spans = shapes(text)
                 for s in windows(text):
                     a, b = max(0, s), s + WINDOW
-                    inside = [f"{k}:{x - a}:{y - a}" for k, x, y in spans if a <= x and y <= b]
-                    if not any(x < a < y or x < b < y for _, x, y in spans):
-                        texts.append(text[a:b])
-                        marks.append(",".join(inside))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(marks, pa.string())], ["text", "spans"])
-
-    held = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike(TRIGGER.pattern))
-    return held.mapInArrow(run, "text string, spans string")
+                    if any(x < a < y or x < b < y for _, x, y in spans):
+                        continue
+                    inside = ",".join(f"{k}:{x - a}:{y - a}" for k, x, y in spans if a <= x and y <= b)
+                    own, heap = kept[bool(inside)], heaps[bool(inside)]
+                    h = xxhash.xxh64_intdigest(text[a:b].encode("utf-8", "surrogatepass"), SEED) >> 1
+                    if h in own or (len(heap) == most and h >= -heap[0]):
+                        continue
+                    own[h] = text[a:b], inside
+                    if len(heap) == most:
+                        del own[-heapq.heappushpop(heap, -h)]
+                    else:
+                        heapq.heappush(heap, -h)
+        rows = [(t, m, h) for own in kept for h, (t, m) in own.items()]
+        yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate((("text", pa.string()), ("spans", pa.string()), ("h", pa.int64())))})
+
+    held = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike(r"[0-9@]|[(\[]at[)\]]"))
+    return held.mapInArrow(run, "text string, spans string, h long")
 
 
 def train(docs: DataFrame, text_col: str = "text", sample_windows: int = SAMPLE_WINDOWS, steps: int = TRAIN_STEPS) -> Tagger | None:
-    """Fit the tagger on a bounded sample of windows, half of them with spans at least."""
-    found = labelled_windows(docs, text_col)
-    ranked = found.groupBy("text", "spans").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("spans") == "", F.xxhash64("text"), "text")
-    rows = [tuple(r) for r in ranked.select("text", "spans").limit(sample_windows).collect()]
-    if not any(spans for _, spans in rows):
+    """Fit the tagger on at most ``sample_windows`` distinct windows, half of them with spans, half without."""
+    half = sample_windows // 2
+    found = labelled_windows(docs, text_col, half).groupBy("h").agg(F.min(F.struct("text", "spans")).alias("w")).select("h", "w.*")
+    rows = [tuple(r) for r in found.filter("spans <> ''").orderBy("h").limit(half).unionByName(found.filter("spans = ''").orderBy("h").limit(half)).select("text", "spans").collect()]
+    labelled = [(text, [tuple(map(int, m.split(":"))) for m in marks.split(",") if m]) for text, marks in sorted(rows)]
+    values = [(k, text[a:b]) for text, spans in labelled for k, a, b in spans]
+    if not values:
         return None
     rng, x, y = random.Random(SEED), [], []
-    for text, marks in rows:
-        spans = [tuple(map(int, m.split(":"))) for m in marks.split(",") if m]
-        for new_text, new_spans in ((text, spans), variants(text, spans, rng)):
+    for text, spans in labelled:
+        again = 3 if spans else 1
+        for new_text, new_spans in [(text, spans), *(variants(text, spans, values, rng) for _ in range(again))]:
             shift = rng.randrange(-STEP // 2, STEP // 2)
             x.append(window_symbols(new_text, [shift])[0])
             tags = np.zeros(WINDOW, np.int64)
@@ -253,7 +367,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_windows: int = SAMPLE_
                     x[-1][max(0, a) : max(0, b)] = EDGE
             y.append(tags)
     model = Tagger.fresh(len(KINDS), HIDDEN, SEED)
-    model.fit(np.array(x), np.array(y), epochs=max(1, round(steps * BATCH / len(x))), batch=BATCH, seed=SEED)
+    model.fit(np.array(x), np.array(y), epochs=max(1, round(steps * BATCH / len(x))), batch=BATCH, rate=RATE, seed=SEED)
     return model
 
 
@@ -292,7 +406,7 @@ def _ordered(column: str):
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Tagger | None = None) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans."""
     model = model or train(docs, text_col)
     found = _search(docs.select(id_col, text_col), text_col, model)
 
@@ -309,6 +423,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.sha2(said(_ordered("base")), 256).alias("base_sha256"),
         said(_ordered("all")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        F.size("all").cast("long").alias("n_spans"),
     )
 
 

@@ -23,15 +23,6 @@ def symbols(text: str) -> np.ndarray:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 @dataclass
 class Tagger:
     """Parameters by name; ``fx``/``fh``/``fb`` run forward, ``bx``/``bh``/``bb`` backward."""
@@ -64,66 +55,78 @@ class Tagger:
             bad[[inside - 1, inside], inside] = 0
         return bad
 
-    def _lstm(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states [time, batch, hidden] of symbols [batch, time]."""
-        wx, wh = self.p[d + "x"] + self.p[d + "b"], self.p[d + "h"]
+    def _lstm(self, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """Hidden states [time, batch, both directions] of symbols [batch, time]; the backward one reads from the end."""
+        wx = np.stack([self.p["fx"] + self.p["fb"], self.p["bx"] + self.p["bb"]])
+        wh = np.stack([self.p["fh"], self.p["bh"]])
         n, width = x.shape
-        hidden = wh.shape[0]
-        h, c = np.zeros((n, hidden), np.float32), np.zeros((n, hidden), np.float32)
-        out, tape = np.empty((width, n, hidden), np.float32), []
-        for t in range(width) if d == "f" else range(width - 1, -1, -1):
-            a = wx[x[:, t]] + h @ wh
-            gates = _sigmoid(a[:, : 3 * hidden])
-            i, f, o = gates[:, :hidden], gates[:, hidden : 2 * hidden], gates[:, 2 * hidden :]
-            g = np.tanh(a[:, 3 * hidden :])
+        hidden = wh.shape[1]
+        h, c = np.zeros((2, n, hidden), wh.dtype), np.zeros((2, n, hidden), wh.dtype)
+        out, tape = np.empty((width, n, 2 * hidden), wh.dtype), []
+        for t in range(width):
+            a = h @ wh
+            a[0] += wx[0][x[:, t]]
+            a[1] += wx[1][x[:, width - 1 - t]]
+            a[..., : 3 * hidden] *= 0.5
+            np.tanh(a, out=a)
+            gates = a[..., : 3 * hidden]
+            gates += 1
+            gates *= 0.5  # the logistic curve by tanh
+            i, f, o, g = (a[..., k * hidden : (k + 1) * hidden] for k in range(4))
             before, old = h, c
             c = f * c + i * g
             tc = np.tanh(c)
             h = o * tc
-            out[t] = h
+            out[t, :, :hidden], out[width - 1 - t, :, hidden:] = h
             if keep:
-                tape.append((t, i, f, o, g, tc, before, old))
+                tape.append((i, f, o, g, tc, before, old))
         return out, tape
 
-    def _lstm_grad(self, x: np.ndarray, d: str, tape: list, dout: np.ndarray, grad: dict) -> None:
-        wh = self.p[d + "h"]
-        hidden = wh.shape[0]
-        dh, dc = np.zeros_like(dout[0]), np.zeros_like(dout[0])
-        dwx, dwh = np.zeros_like(self.p[d + "x"]), np.zeros_like(wh)
-        steps = np.empty((x.shape[1], x.shape[0], 4 * hidden), np.float32)
-        for t, i, f, o, g, tc, before, old in reversed(tape):
-            dh = dh + dout[t]
-            dc = dc + dh * o * (1 - tc * tc)
-            da = np.concatenate(
-                [dc * g * i * (1 - i), dc * old * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1
-            )
-            steps[t] = da
-            dwh += before.T @ da
-            dh, dc = da @ wh.T, dc * f
-        flat, which = steps.reshape(-1, 4 * hidden), x.T.reshape(-1)
-        by = np.argsort(which, kind="stable")
-        firsts = np.nonzero(np.concatenate(([True], np.diff(which[by]) != 0)))[0]
-        dwx[which[by][firsts]] = np.add.reduceat(flat[by], firsts, axis=0)
-        grad[d + "x"], grad[d + "h"], grad[d + "b"] = dwx, dwh, flat.sum(axis=0)
+    def _lstm_grad(self, x: np.ndarray, tape: list, dout: np.ndarray, grad: dict) -> None:
+        wh = np.stack([self.p["fh"], self.p["bh"]])
+        back, (n, width), hidden = wh.transpose(0, 2, 1), x.shape, wh.shape[1]
+        dh, dc = np.zeros((2, n, hidden), wh.dtype), np.zeros((2, n, hidden), wh.dtype)
+        dwh, steps = np.zeros_like(wh), np.empty((2, width, n, 4 * hidden), wh.dtype)
+        for t in range(width - 1, -1, -1):
+            i, f, o, g, tc, before, old = tape[t]
+            dh[0] += dout[t, :, :hidden]
+            dh[1] += dout[width - 1 - t, :, hidden:]
+            dc += dh * o * (1 - tc * tc)
+            da = np.concatenate([dc * g * i * (1 - i), dc * old * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=2)
+            steps[:, t] = da
+            dwh += before.transpose(0, 2, 1) @ da
+            dh, dc = da @ back, dc * f
+        for k, d in enumerate("fb"):
+            flat, which = steps[k].reshape(-1, 4 * hidden), (x if d == "f" else x[:, ::-1]).T.reshape(-1)
+            by = np.argsort(which, kind="stable")
+            firsts = np.nonzero(np.concatenate(([True], np.diff(which[by]) != 0)))[0]
+            dwx = np.zeros_like(self.p[d + "x"])
+            dwx[which[by][firsts]] = np.add.reduceat(flat[by], firsts, axis=0)
+            grad[d + "x"], grad[d + "h"], grad[d + "b"] = dwx, dwh[k], flat.sum(axis=0)
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Tag scores [time, batch, tag]."""
-        both = np.concatenate([self._lstm(x, "f", False)[0], self._lstm(x, "b", False)[0]], axis=2)
-        return both @ self.p["out"] + self.p["bias"]
-
-    def _chains(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        trans = self.p["trans"] + self.legal()
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = e[0] + np.where((np.arange(self.tags) % 2 == 0) & (np.arange(self.tags) > 0), -1e4, 0)
-        for t in range(1, len(e)):
-            alpha[t] = e[t] + _lse(alpha[t - 1][:, :, None] + trans, 1)
+        return self._lstm(x, False)[0] @ self.p["out"] + self.p["bias"]
+
+    def _chains(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward chains, scaled to sum 1 forward; what enters each step; log partition of each window."""
+        follows, top = np.exp(self.p["trans"] + self.legal()), e.max(axis=2, keepdims=True)
+        x = np.exp(e - top)
+        alpha, beta, scale = np.empty_like(x), np.ones_like(x), np.empty_like(top)
+        now = x[0] * ((np.arange(self.tags) % 2 == 1) | (np.arange(self.tags) == 0))
+        for t in range(len(e)):
+            if t:
+                now = (alpha[t - 1] @ follows) * x[t]
+            scale[t] = now.sum(axis=1, keepdims=True)
+            alpha[t] = now / scale[t]
+        x /= scale
         for t in range(len(e) - 2, -1, -1):
-            beta[t] = _lse(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        return alpha, beta, _lse(alpha[-1], 1)
+            beta[t] = (beta[t + 1] * x[t + 1]) @ follows.T
+        return alpha, beta, x, (np.log(scale) + top).sum(axis=(0, 2))
 
     def marginals(self, e: np.ndarray) -> np.ndarray:
-        alpha, beta, z = self._chains(e)
-        return np.exp(alpha + beta - z[None, :, None])
+        alpha, beta, _, _ = self._chains(e)
+        return alpha * beta
 
     def decode(self, e: np.ndarray) -> np.ndarray:
         """Viterbi tags [batch, time]."""
@@ -144,28 +147,21 @@ class Tagger:
     def loss_and_grad(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of tags y [batch, time] and its gradient."""
         n, width = x.shape
-        hf, tape_f = self._lstm(x, "f", True)
-        hb, tape_b = self._lstm(x, "b", True)
-        both = np.concatenate([hf, hb], axis=2)
+        both, tape = self._lstm(x, True)
         e = both @ self.p["out"] + self.p["bias"]
-        alpha, beta, z = self._chains(e)
+        alpha, beta, into, z = self._chains(e)
         trans = self.p["trans"] + self.legal()
         times, rows = np.arange(width)[:, None], np.arange(n)[None, :]
         gold = e[times, rows, y.T].sum(axis=0) + trans[y[:, :-1], y[:, 1:]].sum(axis=1)
-        de = np.exp(alpha + beta - z[None, :, None])
-        dtrans = np.zeros((self.tags, self.tags), np.float32)
-        for t in range(1, width):
-            pair = alpha[t - 1][:, :, None] + trans + (e[t] + beta[t])[:, None, :] - z[:, None, None]
-            dtrans += np.exp(pair).sum(axis=0)
+        de = alpha * beta
+        ends = (into * beta)[1:].reshape(-1, self.tags)
+        dtrans = np.exp(trans) * (alpha[:-1].reshape(-1, self.tags).T @ ends)
         np.subtract.at(dtrans, (y[:, :-1].reshape(-1), y[:, 1:].reshape(-1)), 1)
         de[times, rows, y.T] -= 1
         grad = {"trans": dtrans / n, "bias": de.sum(axis=(0, 1)) / n}
         flat = de.reshape(-1, self.tags)
         grad["out"] = both.reshape(-1, both.shape[2]).T @ flat / n
-        dboth = (de @ self.p["out"].T / n).astype(np.float32)
-        hidden = hf.shape[2]
-        self._lstm_grad(x, "f", tape_f, dboth[:, :, :hidden], grad)
-        self._lstm_grad(x, "b", tape_b, dboth[:, :, hidden:], grad)
+        self._lstm_grad(x, tape, de @ self.p["out"].T / n, grad)
         return float((z - gold).mean()), grad
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 128, rate: float = 0.01, seed: int = 0) -> list[float]:

@@ -143,3 +143,102 @@ def test_tagger_learns_held_out_spans(spark):
 def test_no_labels_and_empty(spark):
     assert P.find_personal_data(spark.createDataFrame([], SCHEMA)).count() == 0
     assert P.find_personal_data(spark.createDataFrame([(1, "no data", "", "")], SCHEMA)).first().spans == ""
+
+
+SENTENCES = "please call me back under|you can reach the office at|my new number is|write to|paid with|the card was charged|we saw a login from|contact|our server is|or|for the order of|thanks, see you at|in room|version|since|it costs|the meeting is on|page|of chapter|with a total of|and then|which nobody knew".split("|")
+
+
+def independent(rng):
+    """A text with values in the writings that the patterns lose, by templates of its own; and their spans."""
+    words, spans, size = [], [], 0
+
+    def put(piece, kind=None):
+        nonlocal size
+        size += 1 if words else 0
+        if kind is not None:
+            spans.append((kind, size, size + len(piece)))
+        words.append(piece)
+        size += len(piece)
+
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card():
+        body = rng.choice("3456") + d(14)
+        return body + next(c for c in "0123456789" if P.luhn(body + c))
+
+    for _ in range(rng.randint(3, 9)):
+        put(rng.choice(SENTENCES))
+        what = rng.random()
+        if what < 0.12:
+            put(f"({d(3)}) {d(3)}-{d(4)}", 3)
+        elif what < 0.2:
+            put(f"{d(3)}-{d(3)}-{d(4)}", 3)
+        elif what < 0.28:
+            put(card(), 2)
+            put(card(), 2)
+        elif what < 0.36:
+            put(f"{rng.choice(['anna', 'k.meier', 'j_doe'])}{rng.choice([' (at) ', '(at)', ' [at] '])}{rng.choice(['firma', 'uni-bonn', 'mail'])}.{rng.choice(['de', 'org', 'example.com'])}", 0)
+        elif what < 0.42:
+            put(f"{rng.choice(['josé', 'jürg', 'renée', 'søren'])}@{rng.choice(['correo', 'post'])}.{rng.choice(['es', 'net'])}", 0)
+        elif what < 0.48:
+            put(f"+{d(2)} {d(3)} {d(6)}", 3)
+            put(f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}", 1)
+        elif what < 0.54:
+            put(f"2001:db8:{rng.randrange(65536):x}::{rng.randrange(65536):x}", 1)
+        elif what < 0.7:
+            put(rng.choice([d(2), d(4), f"20{d(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", f"{rng.randint(1, 9)}.{d(1)}.{d(2)}", f"{d(2)}:{d(2)}", f"{d(2)}.{d(2)} EUR", f"{d(1)},{d(3)},{d(3)}"]))
+    return " ".join(words), spans
+
+
+def quality(model, n, seed=5):
+    """Precision and recall of the added spans on the independent set."""
+    rng = random.Random(seed)
+    hit = missed = wrong = 0
+    for _ in range(n):
+        text, spans = independent(rng)
+        base = P.base_spans(text)
+        want = {(a, b, k) for k, a, b in spans if not any(x < b and a < y for _, x, y in base)}
+        found = {(a, b, k) for k, a, b in P.added_spans([text], [base], model)[0]}
+        hit, missed, wrong = hit + len(want & found), missed + len(want - found), wrong + len(found - want)
+    return hit / max(1, hit + wrong), hit / max(1, hit + missed)
+
+
+def test_added_spans_of_an_independent_labelled_set(spark):
+    precision, recall = quality(P.train(spark.createDataFrame(corpus(600), SCHEMA)), 300)
+    assert precision >= 0.9 and recall >= 0.7, (precision, recall)
+
+
+def test_spans_cut_by_a_window_are_read_in_a_wider_one():
+    class Marks:
+        """Tags every run of @ signs."""
+
+        def emissions(self, x):
+            return (x == ord("@")).T[:, :, None].astype(np.float32)
+
+        def decode(self, e):
+            on = e[:, :, 0].T > 0
+            before = np.concatenate([np.zeros((len(on), 1), bool), on[:, :-1]], axis=1)
+            return np.where(on, np.where(before, 2, 1), 0).astype(np.int8)
+
+        def marginals(self, e):
+            return np.ones((*e.shape[:2], 9), np.float32)
+
+    seen = []
+    real, P.plausible = P.plausible, lambda kind, value: len(value) <= P.LONGEST
+    try:
+        for lead in range(0, 120, 7):
+            for n in (5, 48, 90, 97, 200, 320):
+                text = "x" * lead + "@" * n + "y" * 500
+                seen.append(P.added_spans([text], [[]], Marks())[0] == [(0, lead, lead + n)])
+    finally:
+        P.plausible = real
+    assert all(seen)
+
+
+def test_sample_is_halved_and_free_of_copies(spark):
+    rows = corpus(400) + [(9000 + i, "one copied text with 12 apples", "k", "s") for i in range(500)]
+    found = P.labelled_windows(spark.createDataFrame(rows, SCHEMA).repartition(3), "text", most=20).collect()
+    assert len(found) <= 3 * 40
+    whole = P.labelled_windows(spark.createDataFrame(rows, SCHEMA).repartition(1), "text", most=20).collect()
+    least = {bool(k): sorted({r.h for r in found if bool(r.spans) == k})[:20] for k in (True, False)}
+    assert least == {k: sorted(r.h for r in whole if bool(r.spans) == k) for k in (True, False)}
