@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is set.
+    Only on one machine, where the session names none, a temporary folder is set; on a
+    cluster such a folder would lose rows, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -37,12 +39,39 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     It cuts lineage: the copy outlives any executor, and several readers do not
-    compute it again.
+    compute it again. Where no later result reads it, ``discard`` deletes it.
     """
     spark = df.sparkSession
     path = new_dir(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and nothing reads any more."""
+    for df in stored:
+        store, path = filesystem(df.stored_at)
+        store.delete_dir(path)
+
+
+#: Share of all rows from which on a key counts as hot. It bounds the keys that are
+#: broadcast: at most 1 / HOT_SHARE.
+HOT_SHARE = 0.001
+
+
+def join_counted(rows: DataFrame, values: DataFrame, key: list[str], total: int, share: float = HOT_SHARE, how: str = "inner") -> DataFrame:
+    """Join rows with ``values``, one row a key whose column ``n`` says how many rows have it, without a hot task.
+
+    Of ``total`` rows at most 1 / share keys have more than that share; their values
+    are broadcast, so their rows stay where they are. Only the others are shuffled.
+    """
+    most = max(1, int(total * share))
+    hot = F.broadcast(values.filter(F.col("n") > most))
+    cold = values.filter(F.col("n") <= most)
+    apart = rows.join(hot.select(*key), key, "left_anti")
+    return rows.join(hot, key).unionByName(apart.join(cold, key, how)).drop("n")
 
 
 def filesystem(uri: str):

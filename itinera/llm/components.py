@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itinera.llm.common import materialise
+from itinera.llm.common import discard, join_counted, materialise
 
 MOST_ROUNDS = 60
 
@@ -19,14 +19,14 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round over distinct edges (a, b) with a > b."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One round over ``total`` distinct edges (a, b) with a > b."""
     if large:  # every greater neighbour goes to the least of the closed neighbourhood
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:  # every lesser neighbour, and the node itself, goes to the least of these
         around = edges
-    least = around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    linked = around.join(least, "a")
+    least = around.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "a"))
+    linked = join_counted(around, least, ["a"], total)
     if large:
         linked = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -46,7 +46,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.filter("a != b").distinct(), "edges")
     state = _state(edges)
     for _ in range(MOST_ROUNDS):
-        edges = materialise(_star(_star(edges, large=True), large=False), "edges")
+        old, total = edges, 2 * state[0]
+        edges = materialise(_star(_star(edges, True, total), False, total), "edges")
+        discard(old)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -6,14 +6,17 @@ exact and runs in tiles: numpy exclusive-or and bit counts over all pairs of a
 tile pair, and tile pairs whose population counts differ by more than the radius
 are skipped. Which fingerprints share tiles follows from the pigeonhole rule: two
 that differ in at most 3 bits agree in all but 3 blocks of bits, so a tile holds
-fingerprints that agree in some. A bucket with more fingerprints than one tile
-takes is cut into tiles by population count and hash, and each pair
-of its tiles is a work item of its own. A tile reports a spanning forest of its
-links, never all pairs, and components settle in Spark.
+fingerprints that agree in some. Every tile is sorted by population count: rows meet
+only the columns whose counts lie within the radius of theirs. A bucket with more
+fingerprints than one tile takes is cut into tiles by population count and hash, and
+each pair of its tiles is a work item of its own. A tile reports a spanning forest of
+its links, never all pairs, and components settle in Spark.
 
 Defined results: null text has no words and fingerprint zero, which links like
 any other; the null ``doc_id`` keeps its fingerprint and takes the component of
-that fingerprint; repeated rows link; an empty table gives an empty result.
+that fingerprint; a component is named by its least id, so ties do not arise;
+repeated rows link; texts of any length are shingled whole; other columns keep their
+names and values, whatever these are; an empty table gives an empty result.
 
 Few edited words change more than 3 bits, so ``drop_near_copies`` can also link
 texts by the Jaccard similarity of their five-word shingles. Candidates share a
@@ -30,16 +33,18 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itinera.llm.common import materialise, small_or_shuffled
+from itinera.llm.common import join_counted, materialise, small_or_shuffled
 from itinera.llm.components import connected_components
 
 RADIUS = 3
 BITS = 64
 #: Fingerprints in a tile; a tile pair takes at most 8 * TILE**2 bytes for its differences.
 TILE = 1024
+#: Rows of a tile that are compared at once, with the columns of near population counts.
+STRIP = 64
 SHINGLE = 3
 SEED = 42
 #: Words of a shingle, and similarity of two shingle sets, from which on texts are near copies.
@@ -125,11 +130,14 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS)
     A component is gathered breadth first over the matrix of links, so a dense
     tile costs no more than its matrix.
     """
-    other = left if right is None else right
+    left = left[np.argsort(np.bitwise_count(left), kind="stable")]
+    other = left if right is None else right[np.argsort(np.bitwise_count(right), kind="stable")]
+    mine, theirs = np.bitwise_count(left).astype(int), np.bitwise_count(other).astype(int)
     near = np.zeros((len(left), len(other)), bool)
-    step = max(1, (1 << 18) // max(1, len(other)))
-    for at in range(0, len(left), step):
-        near[at : at + step] = np.bitwise_count(left[at : at + step, None] ^ other[None, :]) <= radius
+    for at in range(0, len(left), STRIP):
+        end = min(len(left), at + STRIP)
+        low, high = np.searchsorted(theirs, [mine[at] - radius, mine[end - 1] + radius + 1])
+        near[at:end, low:high] = np.bitwise_count(left[at:end, None] ^ other[None, low:high]) <= radius
     open_rows = near.sum(axis=1) > (right is None)  # inside one tile a row always meets itself
     open_columns = np.ones(len(other), bool)
     a, b = [], []
@@ -151,11 +159,15 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS)
 
 
 def _short_runs(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among sorted rows that share a key, for keys with few rows: row i against row i + d."""
+    """Links among rows sorted by key and population count, for keys with few rows: row i against row i + d.
+
+    Once no two rows at a distance share a key and have near population counts, none
+    farther apart do.
+    """
     a, b = [], []
-    d = 1
+    pop, d = np.bitwise_count(fp).astype(int), 1
     while d < len(fp):
-        same = np.nonzero(key[:-d] == key[d:])[0]
+        same = np.nonzero((key[:-d] == key[d:]) & (pop[d:] - pop[:-d] <= radius))[0]
         if not len(same):
             break
         near = same[np.bitwise_count(fp[same] ^ fp[same + d]) <= radius]
@@ -185,7 +197,7 @@ def _whole_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray,
 
 
 def links_in_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links inside tiles that fit one item: rows (tile, fp), sorted by tile."""
+    """Links inside tiles that fit one item: rows (tile, fp), sorted by tile and population count."""
     for fp, key in _whole_tiles(batches):
         starts = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1))
         sizes = np.diff(np.concatenate((starts, [len(key)])))
@@ -241,7 +253,7 @@ def near_links(distinct: DataFrame, tile: int = TILE, blocks: int | None = None)
     # Buckets that fit a tile: whole buckets side by side in a partition.
     fitting = banded.join(hot.select("tile"), "tile", "left_anti")
     inside = (
-        fitting.repartition("tile").sortWithinPartitions("tile").mapInPandas(links_in_tiles, "a long, b long")
+        fitting.repartition("tile").sortWithinPartitions("tile", F.bit_count("fp")).mapInPandas(links_in_tiles, "a long, b long")
     )
     if hot.isEmpty():
         return inside
@@ -335,10 +347,12 @@ def shingle_links(docs: DataFrame, rows: DataFrame, tile: int = TILE) -> DataFra
     nodes = materialise(owners.groupBy("node").agg(F.min("fp").alias("head"), F.min("least").alias("least")), "nodes")
     same = owners.join(nodes, "node").filter("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
 
-    banded = rows.select("node", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
-    shared = materialise(shared, "shared-bands")
-    members = materialise(banded.join(small_or_shuffled(shared), "key").distinct(), "band-members")
+    # Copies of one text are one node here, however many there are.
+    sketched = rows.groupBy("node").agg(F.first("keys").alias("keys"))
+    banded = materialise(sketched.select("node", F.explode("keys").alias("key")), "bands")
+    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"))
+    shared = materialise(shared.filter("low != high"), "shared-bands")
+    members = materialise(join_counted(banded, shared, ["key"], banded.count()), "band-members")
     ends = members.select("node", F.explode(F.array("low", "high")).alias("centre")).filter("node != centre")
     pairs = materialise(ends.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "near-pairs")
 
@@ -382,7 +396,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is then a struct (none, id, hash).
     """
     rows = materialise(sketches(docs) if by_shingles else fingerprints(docs, id_col, text_col), "fingerprints")
-    by_fp = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    by_fp = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    by_fp = materialise(by_fp, "distinct-fingerprints")
     links = near_links(by_fp.select("fp"), tile)
     if by_shingles:
         links = links.unionByName(shingle_links(docs, rows, tile))
@@ -390,8 +405,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
     heads = members.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = materialise(members.join(heads, "root").select("fp", "component_id"), "fingerprint-components")
-    by_fp = by_fp.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = by_fp.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    by_fp = materialise(by_fp, "fingerprint-classes")
+    return join_counted(rows, by_fp, ["fp"], rows.count()).select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,16 +430,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     none = F.col(id_col).isNull()
     keyed = docs.select(F.struct(none.alias("none"), F.col(id_col).alias("id"), words.alias("hash")).alias("doc_id"), F.col(text_col).alias("text"))
     found = materialise(simhash_components(keyed, tile=tile, by_shingles=by_shingles).select("doc_id", "component_id"), "near-copies")
-    kept = found.select("component_id.*").distinct()
-    kept = materialise(kept.select(F.col("none").alias("_none"), F.col("id").alias("_id"), F.col("hash").alias("_hash")), "kept-keys")
-    same = (none == F.col("_none")) & F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_hash"))
-    out = docs.withColumn("_words", words).join(small_or_shuffled(kept), same, "left_semi")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id.id", "doc_id.hash")
-    if repeated.isEmpty():
-        return out.drop("_words")
-    # Rows that repeat an id and text: one of each stays.
+    kept = materialise(found.select("component_id").distinct(), "kept-keys")
+    rows = docs.select(F.struct(*map(F.col, docs.columns)).alias("keep"), F.struct(none.alias("none"), F.col(id_col).alias("id"), words.alias("hash")).alias("key"))
+
+    def same(other: Column) -> Column:
+        return (F.col("key.none") == other["none"]) & F.col("key.id").eqNullSafe(other["id"]) & (F.col("key.hash") == other["hash"])
+
+    out = rows.join(small_or_shuffled(kept), same(F.col("component_id")), "left_semi")
+    repeated = found.groupBy(F.col("doc_id").alias("again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("again")
     repeated = materialise(repeated, "repeated-keys")
-    again = F.col(id_col).eqNullSafe(repeated["id"]) & (F.col("_words") == repeated["hash"])
-    first = F.row_number().over(Window.partitionBy(id_col, "_words").orderBy("_words")) == 1
-    one = out.join(repeated, again, "left_semi").withColumn("_first", first).filter("_first").drop("_first")
-    return out.join(repeated, again, "left_anti").unionByName(one).drop("_words")
+    if not repeated.isEmpty():
+        # Rows that repeat an id and text: any one of each stays. Tasks keep one each before they meet.
+        again = small_or_shuffled(repeated)
+        one = out.join(again, same(F.col("again")), "left_semi").groupBy("key").agg(F.first("keep").alias("keep"))
+        out = out.join(again, same(F.col("again")), "left_anti").select("keep").unionByName(one.select("keep"))
+    return out.select("keep.*")

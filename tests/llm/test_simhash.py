@@ -151,3 +151,29 @@ def test_shingles_of_empty_and_repeated_rows(spark):
     out = drop_near_copies(spark.createDataFrame(rows, SCHEMA), by_shingles=True)
     assert sorted((str(r.doc_id), r.fp) for r in out.collect()) == [("3", "f"), ("7", "f"), ("None", "g")]
     assert drop_near_copies(spark.createDataFrame([], SCHEMA), by_shingles=True).count() == 0
+
+
+def test_other_columns_may_have_any_name(spark):
+    rows = [(5, "a b c d e f", 1, 2, 3, True, "k"), (3, "a b c d e f", 4, 5, 6, False, "l"), (3, "a b c d e f", 4, 5, 6, False, "l"), (9, "quite other words than these", 7, None, 9, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _hash long, _words long, _first boolean, keep string")
+    for by_shingles in (False, True):
+        out = drop_near_copies(docs, by_shingles=by_shingles)
+        assert out.columns == docs.columns
+        assert sorted(map(tuple, out.collect())) == [rows[1], rows[3]]
+
+
+def test_tiles_skip_far_population_counts(monkeypatch):
+    """Rows and columns of far population counts are never compared, and no link is lost by it."""
+    values, seen = np.array(planted(4, 500, 8), np.uint64), 0
+    real = np.bitwise_count
+
+    def counted(x):
+        nonlocal seen
+        seen += x.size if x.ndim == 2 else 0
+        return real(x)
+
+    monkeypatch.setattr(np, "bitwise_count", counted)
+    links = tile_links(values, None)
+    monkeypatch.undo()
+    assert 0 < seen < 0.8 * len(values) ** 2
+    assert same_parts(values.tolist(), *(x.tolist() for x in links))
