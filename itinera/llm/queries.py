@@ -93,9 +93,13 @@ def _secret_sql() -> str:
                        -(length(v) - length(replace(v, c, ''))) / length(v) * log2((length(v) - length(replace(v, c, ''))) / length(v)))) AS bits
             FROM ends WHERE length(v) >= least AND (k < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')))
         ),
-        owners AS (SELECT v, count(DISTINCT source) AS n_owners FROM spans GROUP BY v),
+        owners AS (
+            SELECT v, count(*) AS n_owners, sum(repos) AS n_repos
+            FROM (SELECT v, source, count(DISTINCT doc_id) AS repos FROM spans GROUP BY v, source) GROUP BY v
+        ),
         rated AS (
-            SELECT *, n_owners = 1 AND bits >= {secret_scan.LIVE_ENTROPY} AS is_live, n_owners >= {secret_scan.COPIED_OWNERS} AS is_copied,
+            SELECT *, n_owners = 1 AND n_repos < {secret_scan.COPIED_REPOS} AND bits >= {secret_scan.LIVE_ENTROPY} AS is_live,
+                   n_owners >= {secret_scan.COPIED_OWNERS} OR n_repos >= {secret_scan.COPIED_REPOS} AS is_copied,
                    max(e) FILTER (k < 3) OVER (PARTITION BY doc_id ORDER BY s, k, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
                    min(s) FILTER (k < 3) OVER (PARTITION BY doc_id ORDER BY s, k, e ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after
             FROM spans JOIN owners USING (v)

@@ -9,8 +9,9 @@ single owner holds in few repositories looks live. Live-looking tokens that no b
 of kind ``live``; base spans always stay.
 
 Defined results: null text is empty and gives no spans; a null repository or
-owner counts as one repository or owner of its own; repeated rows are scanned
-each; an empty table gives an empty result.
+owner counts as one repository or owner of its own; spans of one start go by kind as
+listed; repeated rows are scanned each; texts of any length are scanned whole; other
+columns play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itinera.llm.common import materialise
+from itinera.llm.common import join_counted, materialise
 
 # The kinds in their listed order, with their patterns. The upper
 # bounds on repetition are absent on purpose: whole runs are matched.
@@ -104,12 +105,12 @@ def locate(found: DataFrame) -> DataFrame:
 def ownership(spans: DataFrame) -> DataFrame:
     """Distinct repositories and owners of each value hash.
 
-    The first grouping makes rows distinct before they are shuffled, so a value
-    in a third of all documents costs one row per task and repository.
+    Groupings pre-aggregate in each task, so a value in a third of all documents
+    costs one row per task and repository. ``n`` counts the value's rows.
     """
-    by_repo = spans.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one"))
-    by_owner = by_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    return by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
+    by_repo = spans.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
+    by_owner = by_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+    return by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n"))
 
 
 def scan_secrets(
@@ -132,7 +133,8 @@ def scan_secrets(
         "rid", "repo", "owner", "k", "start", "end", F.sha2("value", 256).alias("hash"), entropy(F.col("value")).alias("bits")
     )
     spans = materialise(spans, "secret-spans")
-    rated = spans.join(ownership(spans), "hash")
+    # The owners of a value that very many spans hold are sent to them, not they to its owners.
+    rated = join_counted(spans, materialise(ownership(spans), "secret-owners"), ["hash"], spans.count())
     few = F.col("n_repos") < copied_repos
     rated = rated.withColumn("is_live", (F.col("n_owners") == 1) & few & (F.col("bits") >= live_entropy)).withColumn(
         "is_copied", (F.col("n_owners") >= copied_owners) | ~few
