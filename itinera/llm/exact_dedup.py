@@ -9,7 +9,8 @@ group among them holds more than ``support`` of the rows.
 
 Defined results: null text counts as empty; the null ``doc_id`` sorts last, so
 a null row stays only if its group has no other; of repeated rows with one
-``doc_id`` and text exactly one stays; an empty table gives an empty result.
+``doc_id`` and text exactly one stays; texts of any length are hashed whole; other
+columns play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,11 +40,12 @@ def group_copies(keyed: DataFrame, id_col: str, digest_col: str, support: float
     """
     rows = keyed.select(F.col(id_col).alias("_id"), F.col(digest_col).alias("_digest"))
     frequent = rows.stat.freqItems(["_digest"], support).select(F.explode("_digest_freqItems").alias("_digest"))
-    # Misra-Gries can name digests that are not frequent: count them exactly.
+    # Misra-Gries can name digests that are not frequent: count them exactly, and keep those that are.
     winners = (
         rows.join(F.broadcast(frequent), "_digest", "left_semi")
         .groupBy("_digest")
         .agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .filter(F.col("group_size") > support * rows.count())
     )
     winners = materialise(winners, "heavy-digests")
 
