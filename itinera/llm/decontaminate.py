@@ -7,13 +7,18 @@ wavelet matrix for ranks, and suffix positions sampled along the text. All test
 phrases are searched backwards at once; the occurrences are located by walking
 back to a sampled position, and their word spans are merged per document.
 
-Test phrases come from the benchmark in rounds of bounded size, so what is sent
-to the tasks does not grow with the benchmark: each round searches the shards for
-its phrases, and the rounds' spans are merged.
+Test phrases come from the benchmark in rounds of at most ROUND_WORDS words, so what
+the driver holds and what is sent to the tasks does not grow with the benchmark. A
+round is one job: it searches the shards for its phrases and stores the spans and
+items of the texts that it hits, under a digest of the text; then its phrases are
+dropped, and the next round begins. The last round adds the stored spans to its own.
 
 Defined results: null or wordless text has no words and no hits; null or wordless
-items have no phrases; an item that repeats counts once per item_id; repeated
-documents are judged each; empty tables give empty results or no hits.
+items have no phrases; an item that repeats counts once per item_id; items are listed
+in string order; repeated documents are judged each; texts and items of any length
+are searched whole (an item beyond a round's words is cut into rounds that overlap by
+a window); other columns keep their names and values, whatever these are; empty
+tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -24,10 +29,10 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itinera.llm.common import materialise
+from itinera.llm.common import join_counted, materialise
 
 #: Words in a test phrase.
 WINDOW = 10
@@ -35,8 +40,9 @@ WINDOW = 10
 SHARD_WORDS = 1 << 19
 #: A suffix position is kept for every so many words of text.
 SAMPLE = 8
-#: Words of test items that one round sends to the tasks: the bound on the broadcast.
-ROUND_WORDS = 4_000_000
+#: Words of test items that one round sends to the tasks: the bound on what the driver
+#: holds and on the broadcast, about 100 bytes each.
+ROUND_WORDS = 1_000_000
 
 #: ASCII letters fold to lower case, digits stay, all other ASCII separates words.
 FOLD = bytes(b if chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(128)) + bytes(range(128, 256))
@@ -155,18 +161,30 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
-        seen: dict[tuple, set] = {}
-        for item_id, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 2) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                seen.setdefault(tuple(ids[i : i + window]), set()).add(item_id)
+        self.names = [item_id for item_id, _ in items]
+        parts, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
+        for i, (_, text) in enumerate(items):
+            words = words_of(text)
+            ids = np.fromiter((self.number.setdefault(w, len(self.number) + 2) for w in words), np.int32, len(words))
+            if not len(ids):
+                continue
+            if len(ids) < window:
+                ids = np.concatenate((np.zeros(window - len(ids), np.int32), ids))  # right-aligned
+            parts.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+            owners.append(np.full(len(parts[-1]), i, np.int32))
         self.symbols = len(self.number) + 2  # 0 ends a text, 1 is any other word
-        self.lengths = np.array([len(p) for p in seen], np.int64)
-        self.table = np.zeros((len(seen), window), np.int64)
-        for row, p in zip(self.table, seen, strict=True):
-            row[window - len(p) :] = p
-        self.items = list(seen.values())
-        self.least = int(self.lengths.min()) if seen else 0
+        self.table, place = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
+        self.lengths = (self.table > 0).sum(axis=1)
+        self.least = int(self.lengths.min()) if len(self.table) else 0
+        # The items of phrase p are owners[starts[p] : starts[p + 1]].
+        place, owner = place.reshape(-1), np.concatenate(owners)
+        by = np.argsort(place, kind="stable")
+        self.owners = owner[by]
+        self.starts = np.searchsorted(place[by], np.arange(len(self.table) + 1))
+
+    def items_of(self, phrases: np.ndarray) -> list[str]:
+        found = np.unique(np.concatenate([self.owners[self.starts[p] : self.starts[p + 1]] for p in phrases]))
+        return sorted({self.names[i] for i in found})
 
 
 def known_runs(ids: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,8 +235,7 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, l
     cuts = np.concatenate(([0], np.nonzero(np.diff(docs))[0] + 1, [len(docs)])) if len(docs) else [0]
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
         spans = merge_spans(list(zip(begins[i:j].tolist(), ends[i:j].tolist(), strict=True)))
-        items = set().union(*(phrases.items[w] for w in np.unique(which[i:j]).tolist()))
-        out[docs[i]] = (int(sizes[docs[i]]), spans, sorted(items))
+        out[docs[i]] = (int(sizes[docs[i]]), spans, phrases.items_of(np.unique(which[i:j])))
     return out
 
 
@@ -243,22 +260,58 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*pieces, text[at:]])
 
 
+def _pieces(items: DataFrame, round_words: int) -> DataFrame:
+    """Stored items (item_id, text, size), those of more words than a round in overlapping pieces."""
+    round_words = max(round_words, WINDOW)
+    words = F.regexp_extract_all("text", F.lit(WORD.pattern), F.lit(0))
+    sized = items.filter(F.col("text").rlike(WORD.pattern)).distinct().select("item_id", "text", F.size(words).alias("size"))
+    long = sized.filter(F.col("size") > round_words)
+    starts = F.sequence(F.lit(1), F.greatest(F.col("size") - WINDOW + 1, F.lit(1)), F.lit(max(1, round_words - WINDOW + 1)))
+    cut = long.select("item_id", words.alias("w"), F.explode(starts).alias("at"))
+    cut = cut.select("item_id", F.slice("w", F.col("at"), F.lit(round_words)).alias("w")).select("item_id", F.array_join("w", " ").alias("text"), F.size("w").alias("size"))
+    return materialise(sized.filter(F.col("size") <= round_words).unionByName(cut), "test-items")
+
+
 def _rounds(items: DataFrame, round_words: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in rounds of about ``round_words`` words, each small enough to be sent to every task."""
-    sized = materialise(items.filter(F.length("text") > 0), "test-items")
-    total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    rounds = max(1, -(-total // (6 * round_words)))
-    for r in range(rounds):
-        mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r
-        yield [tuple(x) for x in sized.filter(mine).select("item_id", "text").collect()]
+    """Items in rounds of at most ``round_words`` words, each collected when it is its turn.
+
+    Items fall into bins by hash, four to a round's worth of words, and a bin that is
+    still too large into bins again; rounds are made of bins.
+    """
+    sized, round_words = _pieces(items, round_words), max(round_words, WINDOW)
+
+    def split(part: DataFrame, depth: int) -> Iterator[tuple[DataFrame, int]]:
+        total = part.agg(F.sum("size")).first()[0] or 0
+        if total <= round_words:
+            if total:
+                yield part, total
+            return
+        bins = -(-4 * total // round_words)
+        place = F.pmod(F.xxhash64(F.lit(depth), "item_id", "text"), F.lit(bins))
+        counted = {r[0]: r[1] for r in part.groupBy(place.alias("bin")).agg(F.sum("size")).collect()}
+        held, words = [], 0
+        for b, n in sorted(counted.items()):
+            if n > round_words:
+                yield from split(part.filter(place == b), depth + 1)
+                continue
+            if words + n > round_words:
+                yield part.filter(place.isin(held)), words
+                held, words = [], 0
+            held.append(b)
+            words += n
+        if held:
+            yield part.filter(place.isin(held)), words
+
+    for part, _ in split(sized, 0):
+        yield [tuple(x) for x in part.select("item_id", "text").collect()]
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+FOUND = "array<struct<start: long, end: long>>", "array<string>"
 
 
-def _search(rows: DataFrame, phrases: Phrases, cut: bool, shard_words: int) -> DataFrame:
+def _search(rows: DataFrame, sent, cut: bool, shard_words: int) -> DataFrame:
     """Add what one round finds to n_words, spans and items of every row; with ``cut``, take all spans out of text."""
-    sent = rows.sparkSession.sparkContext.broadcast(phrases)
 
     def searched(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
         shard = pa.Table.from_batches(waiting).combine_chunks()
@@ -295,6 +348,10 @@ def _search(rows: DataFrame, phrases: Phrases, cut: bool, shard_words: int) -> D
     return rows.mapInArrow(run, rows.schema)
 
 
+def _digest() -> Column:
+    return F.sha2("text", 256)
+
+
 def find_spans(
     docs: DataFrame,
     items: DataFrame,
@@ -306,19 +363,35 @@ def find_spans(
     round_words: int = ROUND_WORDS,
 ) -> DataFrame:
     """Every row of docs as keep (its other columns), text, n_words, spans (start, end in words) and items."""
+    context = docs.sparkSession.sparkContext
     named = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), F.col(item_text_col).alias("text"))
     rest = [F.col(c) for c in docs.columns if c != text_col] or [F.lit(True).alias("row")]
-    rows = docs.select(
-        F.struct(*rest).alias("keep"),
-        F.col(text_col).alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start: long, end: long>>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
-    )
-    rounds = [Phrases(x) for x in _rounds(named, round_words)]
-    for i, phrases in enumerate(rounds):
-        rows = _search(rows, phrases, cut and i == len(rounds) - 1, shard_words)
-    return rows
+    none = [F.array().cast(kind).alias(name) for kind, name in zip(FOUND, ("spans", "items"), strict=True)]
+    rows = docs.select(F.struct(*rest).alias("keep"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), *none)
+    texts = docs.select(F.struct(F.lit(True).alias("row")).alias("keep"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), *none)
+
+    rounds, stored = _rounds(named, round_words), []
+    phrases = next(rounds, [])
+    for following in rounds:
+        sent = context.broadcast(Phrases(phrases))
+        hits = _search(texts, sent, False, shard_words).filter(F.size("spans") > 0)
+        hits = hits.groupBy(_digest().alias("digest")).agg(F.first("spans").alias("spans"), F.first("items").alias("items"), F.count(F.lit(1)).alias("n"))
+        stored.append(materialise(hits, "round-hits"))
+        sent.destroy()
+        phrases = following
+    if stored:
+        before = stored[0]
+        for more in stored[1:]:
+            before = before.unionByName(more)
+        before = before.groupBy("digest").agg(
+            F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.first("n").alias("n")
+        )
+        before = materialise(before, "earlier-hits")
+        keyed = rows.drop("spans", "items").withColumn("digest", F.coalesce(_digest(), F.lit("")))
+        total = before.agg(F.sum("n")).first()[0] or 0
+        held = [F.coalesce(name, F.array().cast(kind)).alias(name) for kind, name in zip(FOUND, ("spans", "items"), strict=True)]
+        rows = join_counted(keyed, before, ["digest"], total, how="left").select("keep", "text", "n_words", *held)
+    return _search(rows, context.broadcast(Phrases(phrases)), cut, shard_words)
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from itinera.llm.decontaminate import FmIndex, contamination, cut_spans, decontaminated, suffix_order
+from itinera.llm.decontaminate import FmIndex, _rounds, contamination, cut_spans, decontaminated, suffix_order
 
 SCHEMA = "doc_id long, text string, spans string, item_id long"
 ITEMS = "item_id long, text string, n_words long"
@@ -60,7 +60,7 @@ def cases():
     return [(i, t) for i, t in enumerate(docs)] + [(4, docs[4])], items
 
 
-@pytest.mark.parametrize("shard_words, round_words", [(1 << 20, 10**6), (500, 10)])
+@pytest.mark.parametrize("shard_words, round_words", [(1 << 20, 10**6), (500, 40)])
 def test_equal_to_brute_force(spark, shard_words, round_words):
     docs, items = cases()
     df = spark.createDataFrame([(*d, "s", 0) for d in docs], SCHEMA).repartition(2)
@@ -87,3 +87,15 @@ def test_empty_tables(spark):
     assert contamination(docs, items).count() == 0
     one = contamination(spark.createDataFrame([(1, "a b", None, None)], SCHEMA), items).first()
     assert (one.n_words, one.n_hit, one.contaminated) == (2, 0, False)
+
+
+def test_rounds_hold_bounded_words(spark):
+    """Every round has at most its words, long items are cut into overlapping pieces, and no window is lost."""
+    rng = random.Random(6)
+    items = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([3, 12, 40, 130])))) for i in range(60)] + [(0, "same row of words")] * 200
+    df = spark.createDataFrame([(*i, 0) for i in items], ITEMS).select("item_id", "text")
+    for most in (10, 64, 10_000):
+        rounds = list(_rounds(df, most))
+        assert all(sum(len(t.split()) for _, t in r) <= most for r in rounds)
+        windows = lambda rows: {(i, tuple(w[j : j + 10])) for i, w in ((i, t.split()) for i, t in rows) for j in range(max(1, len(w) - 9))}
+        assert windows(x for r in rounds for x in r) == windows(items)
