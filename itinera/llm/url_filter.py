@@ -3,14 +3,19 @@
 Pages get the verdict of the longest rule that fits. The rest get the verdict of
 their host by propagation in Spark: a personalised PageRank from trusted hosts
 along links, and one from blocked hosts along reversed links (who links to a
-blocked host shares its distrust). A host whose distrust exceeds its trust by
-more than ``margin`` is blocked. Each round is a join and a grouped sum over
+blocked host shares its distrust). What a host without links would pass on goes back
+to the seeds, so both sides always sum to one. A host whose distrust exceeds its
+trust by more than ``margin`` is blocked. Each round is a join and a grouped sum over
 distinct host edges, stored in the shared folder; rounds go on until the scores of
-both sides change by less in sum than a thousandth of the blocking threshold.
+both sides change by less in sum than a thousandth of the blocking threshold. The
+scores of hosts with very many links are broadcast to these, not the links shuffled
+to one task.
 
 Defined results: a null url, or one without ``://``, has empty host and path and
 no rule and is allowed; null html has no links; links of a host to itself are
-left out; repeated rows are judged each; an empty table gives an empty result.
+left out; of rules of equal length the last listed wins; repeated rows are judged
+each; urls and pages of any length are read whole; other columns play no part,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itinera.llm.common import ascii_lower, materialise
+from itinera.llm.common import HOT_SHARE, ascii_lower, discard, materialise
 
 # Verdict, host, path of each rule.
 RULES = [
@@ -71,35 +76,46 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     """Trust and distrust of hosts. seeds: host, side (``trust``/``distrust``), weight.
 
     Both sides run in one loop: distrust uses the edges reversed. It ends after
-    ``rounds``, or if none are given once the summed change of a round is at most
-    ``tolerance``; each round's change is at most ``damping`` times the last one's and
+    ``rounds``, or if none are given once the summed change of a round, looked at every
+    fourth, is at most ``tolerance``; each round's change is at most ``damping`` times the last one's and
     the first one's at most 2 a side, which bounds them. Returns host, side, score.
     """
     out = edges.select(F.lit("trust").alias("side"), F.col("src").alias("host"), F.col("dst").alias("to"))
     back = edges.select(F.lit("distrust").alias("side"), F.col("dst").alias("host"), F.col("src").alias("to"))
     arcs = out.unionByName(back)
-    degree = arcs.groupBy("side", "host").agg(F.count(F.lit(1)).alias("degree"))
-    arcs = materialise(arcs.join(degree, ["side", "host"]), "host-arcs")
+    degree = materialise(arcs.groupBy("side", "host").agg(F.count(F.lit(1)).alias("degree")), "host-degrees")
+    most = max(1, int((degree.agg(F.sum("degree")).first()[0] or 0) * HOT_SHARE))
+    hubs = F.broadcast(degree.filter(F.col("degree") > most))  # at most 1 / HOT_SHARE
+    few = degree.filter(F.col("degree") <= most)
+    from_hubs = materialise(arcs.join(hubs, ["side", "host"]), "hub-arcs")
+    from_few = materialise(arcs.join(few, ["side", "host"]), "host-arcs")
     total = seeds.groupBy("side").agg(F.sum("weight").alias("total"))
     start = materialise(
         seeds.join(F.broadcast(total), "side").select("host", "side", (F.col("weight") / F.col("total")).alias("score")),
         "host-seeds",
     )
-    scores = start
-    if arcs.isEmpty():
-        return start.withColumn("score", F.col("score") * (1 - damping))
-    most = rounds if rounds is not None else 2 + max(0, math.ceil(math.log(tolerance / 4) / math.log(damping)))
-    none = F.lit(0.0)
-    for _ in range(most):
-        moved = arcs.join(scores, ["side", "host"]).select(
-            F.col("to").alias("host"), "side", (damping * F.col("score") / F.col("degree")).alias("score"), none.alias("last")
+    if degree.isEmpty():
+        return start
+    most_rounds = rounds if rounds is not None else 2 + max(0, math.ceil(math.log(tolerance / 4) / math.log(damping)))
+    none, scores, stored = F.lit(0.0), start, None
+    for n in range(most_rounds):
+        pushed = from_few.join(scores, ["side", "host"]).unionByName(
+            from_hubs.join(F.broadcast(scores.join(hubs.select("side", "host"), ["side", "host"], "left_semi")), ["side", "host"])
         )
-        back_home = start.select("host", "side", ((1 - damping) * F.col("score")).alias("score"), none.alias("last"))
-        before = scores.select("host", "side", none.alias("score"), F.col("score").alias("last"))
-        both = moved.unionByName(back_home).unionByName(before).groupBy("host", "side")
-        both = materialise(both.agg(F.sum("score").alias("score"), F.sum("last").alias("last")), "host-scores")
-        scores = both.select("host", "side", "score")
-        if rounds is None and (both.agg(F.sum(F.abs(F.col("score") - F.col("last")))).first()[0] or 0.0) <= tolerance:
+        moved = pushed.select(F.col("to").alias("host"), "side", (damping * F.col("score") / F.col("degree")).alias("moved"), none.alias("home"), none.alias("last"))
+        home = start.select("host", "side", none.alias("moved"), F.col("score").alias("home"), none.alias("last"))
+        before = scores.select("host", "side", none.alias("moved"), none.alias("home"), F.col("score").alias("last"))
+        both = moved.unionByName(home).unionByName(before).groupBy("host", "side")
+        both = materialise(both.agg(*[F.sum(c).alias(c) for c in ("moved", "home", "last")]), "host-scores")
+        # All that was not moved along a link goes to the seeds.
+        sums = {r.side: r.moved for r in both.groupBy("side").agg(F.sum("moved").alias("moved")).collect()}
+        rest = F.when(F.col("side") == "trust", 1 - sums.get("trust", 0.0)).otherwise(1 - sums.get("distrust", 0.0))
+        scored = both.withColumn("score", F.col("moved") + F.col("home") * rest)
+        scores = scored.select("host", "side", "score")
+        if stored is not None:
+            discard(stored)
+        stored = both
+        if rounds is None and n % 4 == 3 and (scored.agg(F.sum(F.abs(F.col("score") - F.col("last")))).first()[0] or 0.0) <= tolerance:
             break
     return scores
 
