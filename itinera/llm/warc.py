@@ -4,15 +4,19 @@ Every record is a gzip member of its own, so an archive can be read from the
 middle. The reader's tasks take byte ranges: a task looks for gzip magic in its
 range, takes a candidate for a member only if its head inflates to a WARC version
 line, and owns the records that start inside its range. Having found one, it goes
-on from member to member, reading beyond its range only to end its last record.
+on from member to member, reading beyond its range only to end its last record. What
+it inflates is measured and hashed again, and must agree with the record's headers.
 
 Which record of equal payloads is the response comes from the heavy-hitter split
 of exact dedup, so a payload that a third of all pages share is no hot key.
 
 Defined results: null payload is empty; the null id sorts last and is written as
 an empty header; repeated rows with one id and payload are written each, one of
-them as the response; an empty table writes no archive. Archives get their final
-name only when complete, so a task that is run again replaces its own file.
+them as the response; of equal payloads with one least id the row first by url is
+it; payloads of any length are written and read whole, one at a time; other columns
+play no part, whatever their names; an empty table writes no archive. Archives get
+their final name only when complete, so a task that is run again replaces its own
+file.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itinera.llm.common import filesystem, materialise, new_dir, put_in_place
@@ -46,22 +51,36 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One gzip member with a response, or a revisit that holds no payload but its digest and length."""
-    name = "" if page_id is None else str(page_id)
+def record_id(role: str, page_id: int | None, digest: str, copy: str = "") -> str:
+    """A name that follows from what the record holds, so that revisits can refer to it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{role}/{page_id}/{digest}/{copy}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = "1970-01-01T00:00:00Z", copy: str = "") -> bytes:
+    """One gzip member with a response, or a revisit that holds no payload but its digest and length.
+
+    ``copy`` tells the revisits of one page and payload apart.
+    """
     clean = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    body = b"" if revisit else payload
+    digest = payload_digest(payload)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    body = b"" if revisit else http + payload
+    kind = "revisit" if revisit else "response"
     head = [
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Type: {kind}",
+        f"WARC-Record-ID: {record_id(kind, page_id, digest, copy if revisit else '')}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {clean}",
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
+        f"WARC-Page-ID: {'' if page_id is None else page_id}",
+        "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",
     ]
     if revisit:
         head += [
-            f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>",
+            f"WARC-Refers-To: {record_id('response', refers_to, digest)}",
+            f"WARC-Refers-To-Page-ID: {'' if refers_to is None else refers_to}",
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
         ]
     data = VERSION + "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -69,6 +88,17 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return deflate.compress(data) + deflate.flush()
 
 
+def checked_payload(headers: dict[str, str], block: bytes) -> bytes:
+    """The payload of a record's block, which must be what its headers say; a revisit has none."""
+    if headers.get("warc-type") != "response":
+        return b""
+    payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
+    told = headers.get("warc-payload-length"), headers.get("warc-payload-digest")
+    if told != (str(len(payload)), f"sha1:{payload_digest(payload)}"):
+        raise ValueError(f"payload of {headers.get('warc-record-id')} differs from its headers")
+    return payload
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers by lower-case name, and the block of an inflated record."""
     if not data.startswith(b"WARC/1."):
@@ -180,6 +210,8 @@ def archive(pages: DataFrame, out_dir: str | None = None, id_col: str = "page_id
         same = Window.partitionBy("page_id", F.xxhash64("payload")).orderBy("url")
         rows = rows.withColumn("responses", F.when(F.row_number().over(same) == 1, F.col("responses")).otherwise(0))
 
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         store, base = filesystem(out_dir)
@@ -189,9 +221,10 @@ def archive(pages: DataFrame, out_dir: str | None = None, id_col: str = "page_id
                 continue
             out = out or store.open_output_stream(draft)
             for at in range(0, batch.num_rows, 64):
-                for r in batch.slice(at, 64).to_pylist():
+                for i, r in enumerate(batch.slice(at, 64).to_pylist()):
                     revisit = not r["responses"]
-                    out.write(record(r["page_id"], r["url"], r["payload"].encode("utf-8", "surrogatepass"), r["keep_id"], revisit))
+                    payload = r["payload"].encode("utf-8", "surrogatepass")
+                    out.write(record(r["page_id"], r["url"], payload, r["keep_id"], revisit, date, f"{part}/{n + at + i}"))
             n += batch.num_rows
         if out:
             out.close()
@@ -211,7 +244,7 @@ def splits(spark, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
 
 def read_archives(spark, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """A row per record: path, offset, headers (map), block (binary)."""
+    """A row per record: path, offset, headers (map), payload (binary)."""
     ranges = splits(spark, folder, split_bytes)
     n = max(1, ranges.count())
 
@@ -222,8 +255,9 @@ def read_archives(spark, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFra
                 with store.open_input_file(name) as file:
                     held, size = [], 0
                     for item in read_split(file, r["size"], r["start"], r["end"]):
-                        held.append((r["path"], *item))
-                        size += len(item[2])
+                        at, headers, block = item
+                        held.append((r["path"], at, headers, checked_payload(headers, block)))
+                        size += len(block)
                         if size > 4 << 20 or len(held) >= 1000:
                             yield _records(held)
                             held, size = [], 0
@@ -231,30 +265,26 @@ def read_archives(spark, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFra
                         yield _records(held)
 
     def _records(held: list) -> pa.RecordBatch:
-        path, offset, headers, block = zip(*held, strict=True)
+        path, offset, headers, payload = zip(*held, strict=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(path, pa.string()), pa.array(offset, pa.int64()), pa.array([list(h.items()) for h in headers], pa.map_(pa.string(), pa.string())), pa.array(block, pa.binary())],
-            ["path", "offset", "headers", "block"],
+            [pa.array(path, pa.string()), pa.array(offset, pa.int64()), pa.array([list(h.items()) for h in headers], pa.map_(pa.string(), pa.string())), pa.array(payload, pa.binary())],
+            ["path", "offset", "headers", "payload"],
         )
 
     spread = ranges.repartition(n, "path", "start")
-    return spread.mapInArrow(read, "path string, offset long, headers map<string,string>, block binary")
-
-
-def _page_id(header: Column) -> Column:
-    return F.regexp_extract(header, r"<urn:page:(-?[0-9]+)>", 1).try_cast("long")
+    return spread.mapInArrow(read, "path string, offset long, headers map<string,string>, payload binary")
 
 
 def page_records(records: DataFrame) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     h = F.col("headers")
     return records.select(
-        _page_id(h["warc-record-id"]).alias("page_id"),
+        h["warc-page-id"].try_cast("long").alias("page_id"),
         h["warc-payload-length"].cast("long").alias("payload_bytes"),
         F.regexp_replace(h["warc-payload-digest"], "^sha1:", "").alias("payload_digest"),
         h["warc-type"].alias("record_type"),
-        _page_id(h["warc-refers-to"]).alias("refers_to"),
-        F.length("block").cast("long").alias("block_bytes"),
+        h["warc-refers-to-page-id"].try_cast("long").alias("refers_to"),
+        F.length("payload").cast("long").alias("block_bytes"),
     )
 
 

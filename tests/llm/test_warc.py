@@ -4,7 +4,9 @@ import hashlib
 import io
 import random
 
-from itinera.llm.warc import archive, parse, read_archives, read_split, record, round_trip
+import pytest
+
+from itinera.llm.warc import archive, checked_payload, parse, read_archives, read_split, record, record_id, round_trip
 
 SCHEMA = "page_id long, url string, html string, digest string, keep_id string"
 
@@ -22,19 +24,30 @@ def test_every_split_owns_its_records():
     for split in (1, 37, 1000, 1 << 20):
         found = []
         for start in range(0, len(data), split):
-            found += [(at, h["warc-record-id"]) for at, h, _ in read_split(io.BytesIO(data), len(data), start, min(len(data), start + split))]
-        assert found == [(o, f"<urn:page:{i}>") for i, o in enumerate(offsets)], split
+            found += [(at, h["warc-page-id"]) for at, h, _ in read_split(io.BytesIO(data), len(data), start, min(len(data), start + split))]
+        assert found == [(o, str(i)) for i, o in enumerate(offsets)], split
 
 
 def test_damage_between_records_is_skipped():
     good = [record(i, None, b"x" * 100, None, False) for i in range(3)]
     data = good[0] + b"junk \x1f\x8b\x08 junk" + good[1] + good[2][:-9]
-    assert [h["warc-record-id"] for _, h, _ in read_split(io.BytesIO(data), len(data), 0, len(data))] == ["<urn:page:0>", "<urn:page:1>"]
+    assert [h["warc-page-id"] for _, h, _ in read_split(io.BytesIO(data), len(data), 0, len(data))] == ["0", "1"]
 
 
 def test_record_is_plain_warc():
     headers, block = parse(gzip.decompress(record(5, "http://a/\r\nx", "é".encode(), None, False)))
-    assert block == "é".encode() and headers["warc-target-uri"] == "http://a/%0D%0Ax" and headers["content-length"] == "2"
+    assert block.endswith(b"\r\n\r\n" + "é".encode()) and block.startswith(b"HTTP/1.1 200 OK\r\n")
+    assert checked_payload(headers, block) == "é".encode() and headers["warc-target-uri"] == "http://a/%0D%0Ax"
+    assert headers["content-length"] == str(len(block)) and {"warc-date", "content-type", "warc-record-id", "warc-type"} <= set(headers)
+    again, empty = parse(gzip.decompress(record(7, "http://a/", "é".encode(), 5, True)))
+    assert again["warc-refers-to"] == headers["warc-record-id"] != again["warc-record-id"] and not empty
+    assert record_id("revisit", 7, "D", "0/1") != record_id("revisit", 7, "D", "0/2")
+
+
+def test_damaged_payload_is_told():
+    headers, block = parse(gzip.decompress(record(5, "http://a/", b"abc", None, False)))
+    with pytest.raises(ValueError):
+        checked_payload(headers, block[:-1] + b"d")
 
 
 def brute(rows):
@@ -67,5 +80,5 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_blocks_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", "text é", "", "")], SCHEMA)
-    assert bytes(read_archives(spark, archive(df)).first().block).decode() == "text é"
+    assert bytes(read_archives(spark, archive(df)).first().payload).decode() == "text é"
     assert round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
