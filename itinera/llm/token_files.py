@@ -16,18 +16,21 @@ File format ("BPK1"), little-endian::
     footer  bits, block, n_blocks, n_docs, n_ids, index offset (u64 each) | magic
 
 Defined results: null text encodes as empty, so it holds the end id alone;
-repeated rows are written each, side by side; null ids come first; an empty table
-writes no file. Files go to the shared folder under their final name only when
+repeated rows are written each, side by side; null ids come first, and rows of one id
+go by a hash of their text; texts of any length are encoded whole; other columns play
+no part, whatever their names; an empty table writes no file. Files go to the shared folder under their final name only when
 complete, so a task that is run again replaces its own file by equal bytes.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,7 +45,9 @@ MAGIC = b"BPK1"
 #: Ids in a block.
 BLOCK = 4096
 #: Distinct words whose ids a Python worker keeps at most.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
+#: Bytes of text in a file, about; files are as many as the shuffle partitions at least.
+FILE_BYTES = 128 << 20
 
 
 def id_bits(vocabulary: int) -> int:
@@ -71,13 +76,16 @@ class Writer:
 
     def __init__(self, out, bits: int, block: int = BLOCK):
         self.out, self.bits, self.block = out, bits, block
-        self.rest, self.offsets, self.docs, self.starts = np.zeros(0, "<u4"), [], [], [0]
+        self.rest, self.offsets, self.n_docs, self.n_ids = np.zeros(0, "<u4"), array("q"), 0, 0
+        self.docs, self.null, self.starts = array("q"), bytearray(), array("q", [0])
         self.at = out.write(MAGIC) and len(MAGIC)
 
     def add(self, doc_ids: list, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Documents and all their ids in a row."""
-        self.docs += doc_ids
-        self.starts += (self.starts[-1] + np.cumsum(lengths)).tolist()
+        self.docs.extend([0 if d is None else d for d in doc_ids])
+        self.null.extend([d is None for d in doc_ids])
+        self.starts.frombytes((self.n_ids + np.cumsum(lengths)).astype(np.int64).tobytes())
+        self.n_docs, self.n_ids = len(self.docs), self.starts[-1]
         self.rest = np.concatenate((self.rest, ids))
         whole = len(self.rest) // self.block * self.block
         for i in range(0, whole, self.block):
@@ -93,11 +101,9 @@ class Writer:
     def close(self) -> None:
         if len(self.rest):
             self._block(self.rest)
-        null = bytes(d is None for d in self.docs)
-        docs = np.array([0 if d is None else d for d in self.docs], "<i8")
-        index = np.array(self.offsets, "<u8").tobytes() + docs.tobytes() + null + np.array(self.starts, "<u8").tobytes()
-        self.out.write(index)
-        self.out.write(struct.pack("<6Q", self.bits, self.block, len(self.offsets), len(self.docs), self.starts[-1], self.at) + MAGIC)
+        for part, kind in ((self.offsets, "<u8"), (self.docs, "<i8"), (self.null, None), (self.starts, "<u8")):
+            self.out.write(np.array(part, kind).tobytes() if kind else bytes(part))
+        self.out.write(struct.pack("<6Q", self.bits, self.block, len(self.offsets), self.n_docs, self.n_ids, self.at) + MAGIC)
 
 
 class Reader:
@@ -140,6 +146,15 @@ class Reader:
 MIXED = re.compile(r" (?:(?=\s)|(?<=\s ))")
 
 
+def cuts_at_spaces(tokenizer: dict) -> bool:
+    """Whether a tokenizer's file describes a byte-level BPE that never merges over a space before a word."""
+    before, model = tokenizer.get("pre_tokenizer") or {}, tokenizer.get("model") or {}
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix"))
+    byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    added = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) and " " not in t["content"] for t in tokenizer.get("added_tokens") or [])
+    return plain and bool(byte_level) and added and not tokenizer.get("normalizer") and not tokenizer.get("truncation") and not tokenizer.get("padding")
+
+
 class WordEncoder:
     """Encodes texts with a byte-level BPE tokenizer, each distinct word once.
 
@@ -147,7 +162,9 @@ class WordEncoder:
     characters: the piece before ends there and the space begins the next one.
     So a text is cut before such spaces, and equal pieces share one encoding.
     Where spaces meet other white space, the text is not cut. New pieces are
-    encoded in one go, and the byte lengths of their tokens part them again.
+    encoded in one go, and the byte lengths of their tokens part them again; that a
+    token ends where a piece does is checked. Tokenizers of any other make (``cuts``
+    is false then) encode whole texts.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
@@ -156,6 +173,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.cuts = cuts_at_spaces(json.loads(self.tokenizer.to_str()))
         special = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         tokens = {i: len(t) for t, i in self.tokenizer.get_vocab().items()} | special
         self.token_bytes = np.array([tokens.get(i, 0) for i in range(max(tokens) + 1)], np.int64)
@@ -197,7 +215,10 @@ class WordEncoder:
             part = new[i : i + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in part), np.int64, len(part)))
-            cuts = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
+            reach = np.cumsum(self.token_bytes[ids])
+            cuts = np.searchsorted(reach, ends) + 1
+            if len(reach) < cuts[-1] or not np.array_equal(reach[cuts - 1], ends):
+                raise ValueError("a token reaches over the end of a piece")
             data, at = ids.tobytes(), 0
             for p, cut in zip(part, (cuts * 4).tolist(), strict=True):
                 known[p] = data[at:cut]
@@ -206,6 +227,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.cuts:
+            return self._each(texts)
         cut = [self.pieces(t) for t in texts]
         heads = [pieces.pop(0) for pieces in cut]
         found = [list(map(self.memo.get, pieces)) for pieces in cut]
@@ -250,7 +273,8 @@ def write_token_files(
     """
     spark = docs.sparkSession
     out_dir = out_dir or new_dir(spark, "tokens")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(least, -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // FILE_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -279,7 +303,7 @@ def write_token_files(
         put_in_place(files, draft, final)
         name = out_dir.rstrip("/") + final.removeprefix(base)
         yield pa.RecordBatch.from_pydict(
-            {"part": pa.array([part], pa.int64()), "path": [name], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.starts[-1]], pa.int64())}
+            {"part": pa.array([part], pa.int64()), "path": [name], "n_docs": pa.array([writer.n_docs], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())}
         )
 
     totals = sorted(ordered.mapInArrow(write, "part long, path string, n_docs long, n_ids long").collect())

@@ -1,4 +1,5 @@
 import io
+import json
 import random
 import zlib
 
@@ -7,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from itinera.llm.token_files import Reader, WordEncoder, Writer, pack, token_output, unpack, write_token_files
+from itinera.llm.token_files import Reader, WordEncoder, cuts_at_spaces, Writer, pack, token_output, unpack, write_token_files
 
 SCHEMA = "doc_id long, text string, start long, part string"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,3 +72,18 @@ def test_files_hold_every_document(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert token_output(df, lambda: PATH).count() == 0 and write_token_files(df, lambda: PATH).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A file whose tokens may reach over spaces is not cut at them."""
+    made = json.loads(Tokenizer.from_file(PATH).to_str())
+    assert cuts_at_spaces(made)
+    for change in ({"pre_tokenizer": None}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**made["pre_tokenizer"], "add_prefix_space": True}}):
+        other = {**made, **change}
+        assert not cuts_at_spaces(other)
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(other))
+        plain = Tokenizer.from_file(str(path))
+        texts = ["the Cat  sat", " on THE mat\n now", ""]
+        got = WordEncoder(str(path)).encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
