@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from itinera.llm import decontaminate, language_id, simhash, source_mix, token_files
-from itinera.llm.common import materialise, table
+from itinera.llm.common import discard, materialise, table
 from itinera.llm.queries import byte_bpe_path
 
 
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), "stage")
+        discard(*before)  # nothing reads the stage before any more
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
