@@ -20,12 +20,13 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """One round over ``total`` distinct edges (a, b) with a > b."""
+    """One round over stored, distinct edges (a, b) with a > b; ``total`` is their number."""
     if large:  # every greater neighbour goes to the least of the closed neighbourhood
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:  # every lesser neighbour, and the node itself, goes to the least of these
         around = edges
     least = around.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "a"))
+    least = materialise(least, "least-neighbours")
     linked = join_counted(around, least, ["a"], total)
     if large:
         linked = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -33,7 +34,9 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
         linked = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))
         )
-    return linked.filter(F.col("a") != F.col("b")).distinct()
+    out = materialise(linked.filter(F.col("a") != F.col("b")).distinct(), "edges")
+    discard(least, edges)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -45,10 +48,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     edges = materialise(edges.filter("a != b").distinct(), "edges")
     state = _state(edges)
+    if not state[0]:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(MOST_ROUNDS):
-        old, total = edges, 2 * state[0]
-        edges = materialise(_star(_star(edges, True, total), False, total), "edges")
-        discard(old)
+        total = 2 * state[0]
+        edges = _star(_star(edges, True, total), False, total)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -84,8 +84,20 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct five-word shingles of one text, sorted."""
-    return np.unique(shingle_hashes(text, NEAR_SHINGLE))
+    """Hashes of the distinct five-word shingles of one text, sorted; each word is hashed once."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    width = min(NEAR_SHINGLE, len(hashes))
+    out = np.full(len(hashes) - width + 1, width, np.uint64)
+    for i in range(width):
+        out = (out ^ hashes[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -93,8 +105,12 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     if not len(shingles):
         return np.zeros(0, np.int64)
     low = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(shingles), 1024):
-        low = np.minimum(low, (shingles[i : i + 1024, None] * (_RANDOM[0] | np.uint64(1)) + _RANDOM[1]).min(axis=0))
+    each = np.empty((256, BANDS * BAND_ROWS), np.uint64)
+    for i in range(0, len(shingles), len(each)):
+        part = each[: len(shingles[i : i + len(each)])]
+        np.multiply(shingles[i : i + len(each), None], _RANDOM[0] | np.uint64(1), out=part)
+        part += _RANDOM[1]
+        np.minimum(low, part.min(axis=0), out=low)
     key = np.arange(BANDS, dtype=np.uint64)
     for column in low.reshape(BANDS, BAND_ROWS).T:
         key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ column
