@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from itinera.functions.text import trimmed
+
 # Month names.
 MONTHS = "January February March April May June July August September October November December".split()
 
 
 def parse_day(text: Column) -> Column:
     """The day of a strict YYYY-MM-DD string, else null; years before 100 are real years."""
-    trimmed = F.trim(text)
-    return F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(trimmed, "yyyy-MM-dd"))
+    said = trimmed(text)
+    return F.when(said.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(said, "yyyy-MM-dd"))
 
 
 def nights(arrive: Column, depart: Column) -> Column:
@@ -76,12 +78,20 @@ def exif_time(text: Column) -> Column:
 
 def utc_day(micros: Column) -> Column:
     """YYYY-MM-DD of microseconds since the epoch; empty for null."""
-    return F.coalesce(F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd"), F.lit(""))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(micros / 86_400_000_000).cast("int"))
+    return F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit(""))
+
+
+def micros_of(wall: Column) -> Column:
+    """Microseconds from 1970-01-01 00:00 to a wall-clock time (timestamp_ntz), whatever the session's time zone."""
+    span = wall.cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = F.extract(F.lit("DAY"), span).cast("long") * 86_400 + F.extract(F.lit("HOUR"), span) * 3600 + F.extract(F.lit("MINUTE"), span) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), span) * 1_000_000).cast("long")
 
 
 def era_year(text: Column, start: Column, end: Column) -> Column:
     """The year that an era's display text names (BCE is negative), or the middle of its window."""
-    said = F.trim(F.coalesce(text, F.lit("")))
+    said = trimmed(F.coalesce(text, F.lit("")))
     year = F.regexp_extract(said, r"(-?\d+)", 1).try_cast("int")
     named = F.when(said.rlike("(?i)BCE"), -F.abs(year)).otherwise(year)
     return F.coalesce(named, F.floor((start + end) / 2 + 0.5).cast("int"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def _accents() -> tuple[str, str]:
-    """Accented letters of the Latin and Greek blocks and the bare letters they decompose to."""
+    """Every character that decomposes to a bare one and combining marks, and these bare ones."""
     marked, bare = [], []
-    for point in [*range(0xC0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000)]:
+    for point in range(0xC0, 0x30000):
         parts = unicodedata.normalize("NFD", chr(point))
         kept = "".join(c for c in parts if not "\u0300" <= c <= "\u036f")
         if len(parts) > 1 and len(kept) == 1:
@@ -22,6 +22,14 @@ def _accents() -> tuple[str, str]:
 
 MARKED, BARE = _accents()
 COMBINING = "[\u0300-\u036f]"
+#: White space at the ends of a text: ASCII, and the other Unicode spaces.
+BLANK = "[\\s\\x0B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+
+
+def trimmed(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{BLANK}|{BLANK}$", "")
+
 
 # Greek letters in Latin writing; digraphs come first.
 GREEK_PAIRS = {"ου": "ou", "αυ": "av", "ευ": "ev"}
@@ -40,7 +48,7 @@ def fold(text: Column) -> Column:
     out = F.replace(F.translate(strip_accents(out), "ışğø", "isgo"), F.lit("ß"), F.lit("ss"))
     for greek, latin in {**GREEK_PAIRS, **GREEK_TWO}.items():
         out = F.replace(out, F.lit(greek), F.lit(latin))
-    return F.trim(F.translate(out, *GREEK_ONE))
+    return trimmed(F.translate(out, *GREEK_ONE))
 
 
 # Words and names that mark an airport.
@@ -60,8 +68,7 @@ def is_airport(name: Column, flag: Column) -> Column:
 
 def clean_names(names: Column) -> Column:
     """Trimmed names without blanks; null gives none."""
-    trimmed = F.transform(names, lambda n: F.trim(n))
-    return F.coalesce(F.filter(trimmed, lambda n: n.isNotNull() & (n != "")), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(names, trimmed), lambda n: n.isNotNull() & (n != "")), F.array().cast("array<string>"))
 
 
 def join_names(names: Column) -> Column:
@@ -81,7 +88,7 @@ def present_tag(names: Column) -> Column:
 
 
 def intro_text(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return trimmed(F.coalesce(text, F.lit("")))
 
 
 def clamp_intro(body: Column, budget: int = 220) -> Column:
@@ -132,3 +139,15 @@ def manifest_list(items: Column) -> Column:
 
 def within_one_edit(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1) >= 0
+
+
+def display_name(name: Column, other: Column, wanted: list[str]) -> Column:
+    """A place's name in the first wanted language that it has one in, else its own; other: a map by language."""
+    found = [F.nullif(F.try_element_at(other, F.lit(lang)), F.lit("")) for lang in wanted if lang]
+    return F.coalesce(*found, name, F.lit(""))
+
+
+def country_name(code: Column, names: dict[str, str]) -> Column:
+    """The name of a country code, the code itself where there is none, empty for null."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, code), code, F.lit(""))

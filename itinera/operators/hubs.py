@@ -2,43 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itinera.functions.geo import haversine_km
+from itinera.functions.text import trimmed
+from itinera.operators.folds import fold_rows, km_between
 
 #: A base's radius and the visits that make one.
 HUB_KM, HUB_VISITS = 1.0, 3
-#: How near another stop must lie to snap to it.
-SNAP_KM = 0.8
+
+
+def _anchor_step(radius_km: float) -> Callable[[], Callable[..., int]]:
+    """Anchors by latitude band, one radius high, and by hub; the first of those within reach wins."""
+    degrees = math.degrees(radius_km / 6371.0)
+
+    def make() -> Callable[..., int]:
+        bands: dict[int, list[tuple[int, float, float]]] = {}
+        hubs: dict[str, int] = {}
+
+        def step(seq: int, lat: float, lon: float, hub: str | None) -> int:
+            band = math.floor(lat / degrees)
+            hits = [a for b in (band - 1, band, band + 1) for a, y, x in bands.get(b, ()) if km_between(y, x, lat, lon) <= radius_km]
+            hits += [hubs[hub]] if hub in hubs else []
+            if hits:
+                return min(hits)
+            bands.setdefault(band, []).append((seq, lat, lon))
+            if hub:
+                hubs[hub] = seq
+            return seq
+
+        return step
+
+    return make
 
 
 def proximity_groups(stops: DataFrame, radius_km: float = HUB_KM) -> DataFrame:
     """trip, seq, anchor: each placed stop joins the first earlier anchor within reach, or becomes one.
 
-    Stops (trip, seq, lat, lon, and hub_id if there is one) of a trip are folded in
-    order; the anchors so far are the fold's state.
+    Stops (trip, seq, lat, lon, and hub_id if there is one) of a trip pass in order;
+    the anchors so far are the fold's state.
     """
     hub = F.col("hub_id") if "hub_id" in stops.columns else F.lit(None)
-    row = F.struct("seq", "lat", "lon", hub.cast("string").alias("hub"))
-    trips = stops.filter("lat IS NOT NULL AND lon IS NOT NULL").groupBy("trip").agg(F.array_sort(F.collect_list(row)).alias("c"))
-    kind = "array<struct<seq: int, lat: double, lon: double, hub: string>>"
-    start = F.struct(F.array().cast(kind).alias("anchors"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        near = lambda a: (haversine_km(a["lat"], a["lon"], c["lat"], c["lon"]) <= radius_km) | F.coalesce(
-            (a["hub"] == c["hub"]) & (c["hub"] != ""), F.lit(False)
-        )
-        hit = F.try_element_at(F.filter(acc["anchors"], near), F.lit(1))
-        own = F.struct(c["seq"].cast("int").alias("seq"), c["lat"].alias("lat"), c["lon"].alias("lon"), c["hub"].alias("hub"))
-        return F.struct(
-            F.when(hit.isNull(), F.concat(acc["anchors"], F.array(own))).otherwise(acc["anchors"]).alias("anchors"),
-            F.concat(acc["out"], F.array(F.coalesce(hit["seq"], own["seq"]))).alias("out"),
-        )
-
-    folded = trips.withColumn("a", F.aggregate("c", start, step, lambda acc: acc["out"]))
-    rows = folded.select("trip", F.explode(F.arrays_zip("c", "a")).alias("x"))
-    return rows.select("trip", "x.c.seq", "x.c.lat", "x.c.lon", F.col("x.a").alias("anchor"))
+    rows = stops.filter("lat IS NOT NULL AND lon IS NOT NULL").select("trip", F.col("seq").cast("int").alias("seq"), "lat", "lon", hub.cast("string").alias("_hub"))
+    return fold_rows(rows, "trip", ["seq"], ["seq", "lat", "lon", "_hub"], _anchor_step(radius_km), "anchor").drop("_hub")
 
 
 def detect_hubs(groups: DataFrame, visits: int = HUB_VISITS, declared: str | None = None) -> DataFrame:
@@ -79,7 +88,7 @@ def day_trips(stops: DataFrame, radius_km: float = HUB_KM) -> DataFrame:
             "visits": F.sum(F.col("at_base").cast("int")).over(Window.partitionBy("trip")),
         }
     )
-    away = F.filter(F.array_sort(F.collect_list(F.when(~F.col("at_base"), F.struct("seq", F.trim("name").alias("name"))))), lambda s: s.isNotNull())
+    away = F.filter(F.array_sort(F.collect_list(F.when(~F.col("at_base"), F.struct("seq", trimmed(F.col("name")).alias("name"))))), lambda s: s.isNotNull())
     runs = marked.groupBy("trip", "run", "visits").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("last"), away.alias("away"))
     runs = runs.filter((F.col("run") > 0) & (F.col("run") < F.col("visits")) & (F.size("away") > 0))
     names = F.filter(F.transform("away", lambda s: s["name"]), lambda n: n != "")

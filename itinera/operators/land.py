@@ -1,17 +1,21 @@
 """Land and water: point in polygon, landmasses, leg audits, vehicle inference.
 
-Polygons are indexed by one-degree cells, so a point meets only the polygons of
-its cell by an equi-join. Expressions on the joined array stop at the first hit.
+Polygons are indexed by one-degree cells. A cell holds the edges that a point in it
+can cross on its way east and no others, so a point meets them by an equi-join, and
+the index grows with the edges, not with whole polygons times the cells they cover.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itinera.functions.geo import half_up, in_ring
+from itinera.functions.geo import half_up
+from itinera.functions.text import trimmed
+from itinera.operators.folds import km_between
 from itinera.operators.legs import leg_km, sample_legs, segment_km, vertices
 from itinera.plans import dims
 
@@ -25,14 +29,24 @@ def real_rings(coast: Column) -> Column:
 
 
 def polygon_cells(land: DataFrame) -> DataFrame:
-    """Polygons (ord, polygon, rings of lon/lat structs) gathered by cell: row, column, polygons in order."""
-    low = lambda axis: F.floor(F.array_min(F.transform(F.col("rings")[0], lambda p: p[axis])))
-    high = lambda axis: F.floor(F.array_max(F.transform(F.col("rings")[0], lambda p: p[axis])))
-    spread = land.withColumn("_row", F.explode(F.sequence(low("lat"), high("lat")))).withColumn("_column", F.explode(F.sequence(low("lon"), high("lon"))))
+    """Polygons (ord, polygon, rings of lon/lat structs) by cell: row, column, rings with their edges, in order.
+
+    An edge belongs to the rows that it spans, and there to the columns from its
+    polygon's west to its own east: to others no crossing can come from it.
+    """
     edge = lambda axis, f: f(F.transform(F.col("rings")[0], lambda p: p[axis]))
     box = F.struct(edge("lon", F.array_min).alias("w"), edge("lat", F.array_min).alias("s"), edge("lon", F.array_max).alias("e"), edge("lat", F.array_max).alias("n"))
-    one = F.struct("ord", "polygon", box.alias("box"), "rings")
-    return spread.groupBy("_row", "_column").agg(F.array_sort(F.collect_list(one)).alias("_polygons"))
+    boxed = land.select("ord", "polygon", "rings", box.alias("box"))
+    rings = boxed.select("ord", "polygon", "box", F.posexplode("rings").alias("ring", "r"))
+    before = F.concat(F.slice("r", -1, 1), F.slice("r", 1, F.size("r") - 1))
+    pairs = F.zip_with("r", before, lambda p, q: F.struct(p["lon"].alias("x1"), p["lat"].alias("y1"), q["lon"].alias("x2"), q["lat"].alias("y2")))
+    edges = rings.select("ord", "polygon", "box", "ring", F.explode(pairs).alias("edge")).filter("edge.y1 <> edge.y2")
+    y1, y2, x1, x2 = (F.col(f"edge.{c}") for c in ("y1", "y2", "x1", "x2"))
+    east = F.greatest(F.floor(F.greatest(x1, x2)), F.floor("box.w"))
+    spread = edges.withColumn("_row", F.explode(F.sequence(F.floor(F.least(y1, y2)), F.floor(F.greatest(y1, y2)))))
+    spread = spread.withColumn("_column", F.explode(F.sequence(F.floor("box.w"), east)))
+    held = spread.groupBy("_row", "_column", "ord", "polygon", "box", "ring").agg(F.collect_list("edge").alias("edges"))
+    return held.groupBy("_row", "_column").agg(F.array_sort(F.collect_list(F.struct("ord", "ring", "polygon", "box", "edges"))).alias("_rings"))
 
 
 def locate(points: DataFrame, land: DataFrame, out: str = "landmass", lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -40,14 +54,75 @@ def locate(points: DataFrame, land: DataFrame, out: str = "landmass", lat: str =
     here = points.withColumns({"_row": F.floor(F.col(lat)), "_column": F.floor(F.col(lon))})
     joined = here.join(polygon_cells(land), ["_row", "_column"], "left")
 
-    def holds(p: Column) -> Column:
-        rings = p["rings"]
-        holes = F.slice(rings, 2, F.greatest(F.size(rings), F.lit(1)))
-        near = F.col(lon).between(p["box"]["w"], p["box"]["e"]) & F.col(lat).between(p["box"]["s"], p["box"]["n"])
-        return near & in_ring(F.col(lon), F.col(lat), rings[0]) & ~F.exists(holes, lambda r: in_ring(F.col(lon), F.col(lat), r))
-
-    first = F.try_element_at(F.filter("_polygons", holds), F.lit(1))
-    return joined.withColumn(out, first["polygon"]).drop("_row", "_column", "_polygons")
+    def crossed(e: Column) -> Column:
+        spans = (e["y1"] > F.col(lat)) != (e["y2"] > F.col(lat))
+        return spans & (F.col(lon) < (e["x2"] - e["x1"]) * (F.col(lat) - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
+
+    def odd(r: Column) -> Column:
+        near = F.col(lon).between(r["box"]["w"], r["box"]["e"]) & F.col(lat).between(r["box"]["s"], r["box"]["n"])
+        return near & (F.size(F.filter(r["edges"], crossed)) % 2 == 1)
+
+    inside = F.transform(F.filter("_rings", odd), lambda r: F.struct(r["ord"].alias("ord"), r["ring"].alias("ring"), r["polygon"].alias("polygon")))
+    first = F.try_element_at(F.filter("_in", lambda r: (r["ring"] == 0) & ~F.exists("_in", lambda h: (h["ord"] == r["ord"]) & (h["ring"] > 0))), F.lit(1))
+    return joined.withColumn("_in", inside).withColumn(out, first["polygon"]).drop("_row", "_column", "_rings", "_in")
+
+
+def polygons_near(boxes: DataFrame, key: str, land: DataFrame, pad: float = 1.0) -> DataFrame:
+    """key, polygons (their rings, in order) that may touch each box (w, s, e, n), by the cells of both."""
+    span = lambda low, high: F.sequence(F.floor(F.col(low) - pad), F.floor(F.col(high) + pad))
+    cells = boxes.select(key, F.explode(span("s", "n")).alias("_row"), "w", "e").select(key, "_row", F.explode(span("w", "e")).alias("_column"))
+    corner = lambda axis, f: F.floor(f(F.transform(F.col("rings")[0], lambda p: p[axis])))
+    spread = land.withColumn("_row", F.explode(F.sequence(corner("lat", F.array_min), corner("lat", F.array_max))))
+    spread = spread.withColumn("_column", F.explode(F.sequence(corner("lon", F.array_min), corner("lon", F.array_max)))).select("ord", "_row", "_column")
+    near = cells.join(spread, ["_row", "_column"]).select(key, "ord").distinct().join(land.select("ord", "rings"), "ord")
+    near = near.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "rings"))).alias("x"))
+    return near.select(key, F.transform("x", lambda x: x["rings"]).alias("polygons"))
+
+
+def on_land(lons: np.ndarray, lats: np.ndarray, polygons: list) -> np.ndarray:
+    """Even-odd test of many points against polygons, each a list of rings of (lon, lat)."""
+    return landmasses(lons, lats, polygons) >= 0
+
+
+def landmasses(lons: np.ndarray, lats: np.ndarray, polygons: list) -> np.ndarray:
+    """The number of the first polygon that holds each point, -1 for water."""
+    out = np.full(lons.shape, -1)
+    for i, rings in enumerate(polygons):
+        inside = np.zeros((len(rings), *lons.shape), bool)
+        for k, ring in enumerate(rings):
+            for (x1, y1), (x2, y2) in zip(ring, [ring[-1], *ring[:-1]], strict=True):
+                if y1 != y2:
+                    inside[k] ^= ((y1 > lats) != (y2 > lats)) & (lons < (x2 - x1) * (lats - y1) / (y2 - y1) + x1)
+        out[(out < 0) & inside[0] & ~inside[1:].any(axis=0)] = i
+    return out
+
+
+class Coast:
+    """The polygons near some places, for tests inside a fold: what across_water says of tables."""
+
+    def __init__(self, polygons: list):
+        self.polygons = [[[(p["lon"], p["lat"]) for p in ring] for ring in rings] for rings in polygons]
+
+    def landmass(self, lat: float, lon: float) -> int | None:
+        """The trusted landmass of a position, reached outwards where it lies off it."""
+        lats, lons = [lat], [lon]
+        for km in [d for d in SNAP_KM if d <= TRUST_KM]:
+            across = km / (KM_PER_DEGREE * max(0.2, math.cos(math.radians(lat))))
+            for a in range(8):
+                lats.append(lat + km / KM_PER_DEGREE * math.sin(a * math.pi / 4))
+                lons.append(lon + across * math.cos(a * math.pi / 4))
+        found = landmasses(np.array(lons), np.array(lats), self.polygons)
+        return next((int(x) for x in found if x >= 0), None)
+
+    def apart(self, lat1: float, lon1: float, lat2: float, lon2: float, km: float, share: float) -> bool:
+        """Whether two positions lie on different landmasses, or far apart with mostly water between."""
+        a, b = self.landmass(lat1, lon1), self.landmass(lat2, lon2)
+        if a is not None and b is not None and a != b:
+            return True
+        if km_between(lat1, lon1, lat2, lon2) <= km:
+            return False
+        t = np.arange(1, 12) / 12
+        return bool((~on_land(lon1 + (lon2 - lon1) * t, lat1 + (lat2 - lat1) * t, self.polygons)).mean() > share)
 
 
 def locate_in_layers(points: DataFrame, packs: DataFrame, boxes: DataFrame, land: DataFrame) -> DataFrame:
@@ -149,7 +224,7 @@ def across_water(legs: DataFrame, land: DataFrame, km: float = 10.0, share: floa
 
 def modality(vehicle: Column) -> Column:
     """air, boat or land of a vehicle; an unknown or missing one goes by land."""
-    v = F.lower(F.trim(vehicle))
+    v = F.lower(trimmed(vehicle))
     return F.when(v.isin(*dims.AIRCRAFT), "air").when(v.isin(*dims.BOATS), "boat").otherwise("land")
 
 

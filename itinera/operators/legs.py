@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itinera.functions.geo import haversine_km, half_up
+from itinera.functions.geo import bearing_sign, half_up, haversine_km, unwrapped_path
 
 
 def legs_of(stops: DataFrame, prefix: str = "stop-") -> DataFrame:
@@ -65,6 +65,20 @@ def vertices(lat1: Column, lon1: Column, via: Column, lat2: Column, lon2: Column
     return F.concat(F.array(point(lat1, lon1)), placed, F.array(point(lat2, lon2)))
 
 
+def expanded_vertices(lat1: Column, lon1: Column, via: Column, lat2: Column, lon2: Column, hint: Column, degrees: Column) -> Column:
+    """A leg's path as it is drawn: every longitude unwrapped against the one before, the hinted way round."""
+    path = vertices(lat1, lon1, via, lat2, lon2)
+    lons = unwrapped_path(F.transform(path, lambda p: p["lon"]), bearing_sign(hint, degrees))
+    return F.zip_with(path, lons, lambda p, lon: F.struct(p["lat"].alias("lat"), lon.alias("lon")))
+
+
+def widest_step(path: Column) -> Column:
+    """The largest difference of longitude between neighbours of a path."""
+    n = F.greatest(F.size(path) - 1, F.lit(0))
+    steps = F.zip_with(F.slice(path, 1, n), F.slice(path, 2, n), lambda a, b: F.abs(b["lon"] - a["lon"]))
+    return F.coalesce(F.array_max(steps), F.lit(0.0))
+
+
 def segment_km(path: Column) -> Column:
     """Lengths of the pieces of a path."""
     n = F.size(path)
@@ -136,3 +150,17 @@ def return_visits(stops: DataFrame, keys: list[str], least: int = 1) -> DataFram
     """Visits to one place: how often and the first stop, for places visited often enough."""
     grouped = stops.groupBy(*keys).agg(F.count(F.lit(1)).alias("visits"), F.min("stop").alias("first_stop"))
     return grouped.filter(F.col("visits") >= least)
+
+
+def place_key(place_id: Column, lat: Column, lon: Column) -> Column:
+    """A stop's place: its id if it has one, else its position to three decimals; a missing coordinate is 0."""
+    at = lambda x: F.format_string("%.3f", half_up(F.coalesce(x, F.lit(0.0)), 3) + 0.0)
+    return F.when(F.coalesce(place_id, F.lit("")) != "", F.concat(F.lit("p:"), place_id)).otherwise(F.concat(F.lit("c:"), at(lat), F.lit(","), at(lon)))
+
+
+def coalesce_stops(stops: DataFrame) -> DataFrame:
+    """trip, place, rank (0 up, by first appearance), visits, seqs (in order) from stops (trip, seq, place_id, lat, lon)."""
+    keyed = stops.select("trip", "seq", place_key(F.col("place_id"), F.col("lat"), F.col("lon")).alias("place"))
+    grouped = keyed.groupBy("trip", "place").agg(F.count(F.lit(1)).alias("visits"), F.array_sort(F.collect_list("seq")).alias("seqs"))
+    rank = F.row_number().over(Window.partitionBy("trip").orderBy(F.col("seqs")[0])) - 1
+    return grouped.select("trip", "place", rank.alias("rank"), "visits", "seqs")

@@ -8,12 +8,14 @@ match lies in the same cell or one of the eight around it.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itinera.functions.geo import EARTH_KM, haversine_km
 from itinera.functions.text import fold, within_one_edit
+from itinera.operators.folds import fold_rows
 
 #: Zoom below which a view shows so many ranked places.
 CAPS = [(3, 30), (5, 100), (7, 300), (9, 800), (99, 9999)]
@@ -45,17 +47,18 @@ def nearest_within(points: DataFrame, places: DataFrame, radius_km: float, same:
     own, zero = _cells(F.col("lat"), F.col("lon"), degrees, columns), _cells(F.col("lat"), F.lit(0.0), degrees, columns)
     line = F.abs(F.col("lat"))
     probed = F.when(line > polar, zero).when(line > polar - 2 * degrees, F.array_union(own, zero)).otherwise(own)
-    rows = points.withColumn("_row", F.monotonically_increasing_id())
-    probes = rows.filter("lat IS NOT NULL AND lon IS NOT NULL").select(
-        "_row", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), (F.col(same) if same else F.lit(None)).alias("_same"),
-        F.explode(probed).alias("cell"),
-    )
+    # Positions are looked up once each, and what is found is joined back by position.
+    own_id = (F.col(same) if same else F.lit(None).cast("long")).alias("_same")
+    spots = points.filter("lat IS NOT NULL AND lon IS NOT NULL").select("lat", "lon", own_id).distinct()
+    probes = spots.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "_same", F.explode(probed).alias("cell"))
     cell = F.struct(F.floor(F.col("lat") / degrees).alias("row"), F.pmod(F.floor((flat(F.col("lat"), F.col("lon")) + 180) / degrees), F.lit(columns)).alias("column"))
     held = places.filter("lat IS NOT NULL AND lon IS NOT NULL").select("idx", "name", "lat", "lon", cell.alias("cell"))
     km = haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
     hits = probes.join(held, "cell").withColumn("km", km).filter((F.col("km") <= radius_km) & ~F.col("idx").eqNullSafe(F.col("_same")))
-    best = hits.groupBy("_row").agg(F.min(F.struct("km", "idx", "name")).alias("best"))
-    return rows.join(best, "_row", "left").select(*points.columns, "best.idx", F.col("best.name").alias("place"), "best.km")
+    best = hits.groupBy("_lat", "_lon", "_same").agg(F.min(F.struct("km", "idx", "name")).alias("best"))
+    there = (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon"))
+    there = there & (F.col(same).eqNullSafe(F.col("_same")) if same else F.lit(True))
+    return points.join(best, there, "left").select(*points.columns, "best.idx", F.col("best.name").alias("place"), "best.km")
 
 
 def reverse_lookup(queries: DataFrame, places: DataFrame, reach: float = 0.1) -> DataFrame:
@@ -75,32 +78,88 @@ def reverse_lookup(queries: DataFrame, places: DataFrame, reach: float = 0.1) ->
     return queries.select("query").join(best, "query", "left").select("query", F.col("best.idx").alias("idx"))
 
 
+def _same_spot_step(box: float, refine: bool) -> Callable[[], Callable[..., int | None]]:
+    """For the places of one folded name in order: the number of the one that each row falls to, its own if none."""
+
+    def make() -> Callable[..., int]:
+        cells: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
+        n = -1
+
+        def step(is_known: bool, lat: float, lon: float) -> int:
+            nonlocal n
+            n += 1
+            r, c = math.floor(lat / box), math.floor(lon / box)
+            around = [((i, j), cells.get((i, j), {})) for i in (r - 1, r, r + 1) for j in (c - 1, c, c + 1)]
+            near = [(k, cell) for cell, held in around for k, (y, x) in held.items() if abs(y - lat) < box and abs(x - lon) < box]
+            hit, cell = min(near) if near and not is_known else (n, None)
+            if cell is None or refine:
+                if cell is not None:
+                    del cells[cell][hit]
+                cells.setdefault((r, c), {})[hit] = lat, lon
+            return hit
+
+        return step
+
+    return make
+
+
+def _absorbed(known: DataFrame, batch: DataFrame, box: float, refine: bool) -> DataFrame:
+    """Known places and rows of a batch with key, at (order in the key), to (``at`` of the place that holds the row)."""
+    fine = "name <> '' AND lat IS NOT NULL AND lon IS NOT NULL"
+    extra = [c for c in ("pop", "cc") if c in known.columns and c in batch.columns]
+    long = lambda c: F.col(c).cast("long")
+    held = known.filter(fine).select(long("idx").alias("idx"), F.lit(None).cast("long").alias("ord"), "name", "lat", "lon", *extra)
+    rows = held.unionByName(batch.filter(fine).select(F.lit(None).cast("long").alias("idx"), long("ord").alias("ord"), "name", "lat", "lon", *extra))
+    rows = rows.withColumns({"key": fold(F.col("name")), "_known": F.col("idx").isNotNull()})
+    # Known places come first, so a row's number among its key is its place in this order.
+    at = F.row_number().over(Window.partitionBy("key").orderBy(F.col("idx").asc_nulls_last(), "ord")) - 1
+    numbered = fold_rows(rows, "key", [F.col("idx").asc_nulls_last(), "ord"], ["_known", "lat", "lon"], _same_spot_step(box, refine), "to")
+    return numbered.withColumn("at", at)
+
+
 def new_places(known: DataFrame, batch: DataFrame, box: float = 0.05) -> DataFrame:
     """A batch (ord, name, lat, lon) against known places (idx, name, lat, lon): ord, is_new, idx.
 
     A row is a duplicate of a place with the same folded name whose latitude and
     longitude both lie within the box; the first such place is named. Rows of the
-    batch also absorb later ones: those of one name are folded in order.
+    batch also absorb later ones.
+    """
+    rows = _absorbed(known, batch, box, refine=False)
+    places = rows.filter("_known").select("key", F.col("at").alias("to"), F.col("idx").alias("place"))
+    judged = rows.filter("NOT _known").join(places, ["key", "to"], "left")
+    return judged.select("ord", (F.col("at") == F.col("to")).alias("is_new"), F.col("place").alias("idx"))
+
+
+def refine_places(known: DataFrame, batch: DataFrame, box: float = 0.05) -> DataFrame:
+    """The gazetteer after a batch that may correct it: idx (null for new), first_ord, name, lat, lon, pop, cc.
+
+    A row that falls to a place moves and renames it; later rows are compared with
+    where it is then. The larger population stays, and the first country code.
     """
-    keyed = batch.filter("name <> '' AND lat IS NOT NULL AND lon IS NOT NULL").withColumn("key", fold(F.col("name")))
-    held = known.select("idx", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), fold(F.col("name")).alias("key"))
-    close = (F.abs(F.col("lat") - F.col("_lat")) < box) & (F.abs(F.col("lon") - F.col("_lon")) < box)
-    old = keyed.join(held, "key").filter(close).groupBy("ord").agg(F.min("idx").alias("idx"))
-    fresh = keyed.join(old, "ord", "left_anti")
-    row = F.struct("ord", "lat", "lon")
-    start = F.struct(F.array().cast("array<struct<ord: bigint, lat: double, lon: double>>").alias("kept"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        seen = F.exists(acc["kept"], lambda k: (F.abs(k["lat"] - c["lat"]) < box) & (F.abs(k["lon"] - c["lon"]) < box))
-        own = F.struct(c["ord"].cast("bigint").alias("ord"), c["lat"].alias("lat"), c["lon"].alias("lon"))
-        return F.struct(
-            F.when(seen, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(own))).alias("kept"), F.concat(acc["out"], F.array(~seen)).alias("out")
-        )
-
-    named = fresh.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("c"))
-    named = named.withColumn("new", F.aggregate("c", start, step, lambda acc: acc["out"]))
-    judged = named.select(F.explode(F.arrays_zip("c", "new")).alias("x")).select("x.c.ord", F.col("x.new").alias("is_new"), F.lit(None).cast("long").alias("idx"))
-    return judged.unionByName(old.select("ord", F.lit(False).alias("is_new"), F.col("idx").cast("long")))
+    rows = _absorbed(known, batch, box, refine=True)
+    last = F.max_by(F.struct("name", "lat", "lon"), F.col("at")).alias("last")
+    codes = F.filter(F.array_sort(F.collect_list(F.struct("at", "cc"))), lambda x: F.coalesce(x["cc"], F.lit("")) != "")
+    grouped = rows.groupBy("key", "to").agg(F.max("idx").alias("idx"), F.min("ord").alias("first_ord"), last, F.max(F.coalesce("pop", F.lit(0.0))).alias("pop"), codes.alias("codes"))
+    first = F.when(F.col("idx").isNull(), F.col("first_ord"))
+    return grouped.select("idx", first.alias("first_ord"), "last.name", "last.lat", "last.lon", "pop", F.coalesce(F.try_element_at("codes", F.lit(1))["cc"], F.lit("")).alias("cc"))
+
+
+def _parts(text: Column, n: int) -> Column:
+    """All pieces of n characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
+
+
+def _grams(form: Column) -> Column:
+    """Pieces of one, two and three characters, of those that the text has."""
+    none = F.array().cast("array<string>")
+    return F.flatten(F.array(*[F.when(F.length(form) >= n, _parts(form, n)).otherwise(none) for n in (1, 2, 3)]))
+
+
+def _one_off(text: Column) -> Column:
+    """A text and what is left of it without one character: texts one edit apart share one of these."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    left = F.transform(places, lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1)))
+    return F.array_distinct(F.concat(F.array(text), left))
 
 
 def search(queries: DataFrame, places: DataFrame, aliases: DataFrame, limit: int = 8, least: int = 3) -> DataFrame:
@@ -111,17 +170,18 @@ def search(queries: DataFrame, places: DataFrame, aliases: DataFrame, limit: int
     counts only for queries of three letters or more that match fewer than three
     rows otherwise. Within a tier larger places come first, then lower idx.
 
-    Matching by parts of a name has no key to join on: the queries, a list that
-    users typed, meet every place, so they are the side that Spark may broadcast.
+    All joins have keys: a query meets the names that hold its first three
+    characters, and for typos those that share a deletion with it.
     """
-    asked = queries.select("query", fold(F.col("query")).alias("q")).filter("q <> ''")
+    asked = queries.select("query", fold(F.col("query")).alias("q")).filter("q <> ''").distinct()
     held = places.select("idx", "pop", fold(F.col("name")).alias("key"))
     spelled = held.select("idx", "pop", "key", F.col("key").alias("form"))
     if "alt" in places.columns:
         other = places.select("idx", "pop", fold(F.col("name")).alias("key"), F.explode(F.map_values("alt")).alias("form"))
         spelled = spelled.unionByName(other.withColumn("form", fold(F.col("form"))))
-    at = F.expr("locate(q, form)")
-    direct = asked.join(spelled, F.expr("locate(q, form) > 0")).select("query", "q", "idx", "pop", "key", F.when(at == 1, 0).otherwise(2).alias("tier"))
+    begins = asked.withColumn("_gram", F.substring("q", 1, 3))
+    direct = begins.join(spelled.withColumn("_gram", F.explode(_grams(F.col("form")))), "_gram").withColumn("at", F.expr("locate(q, form)")).filter("at > 0")
+    direct = direct.select("query", "q", "idx", "pop", "key", F.when(F.col("at") == 1, 0).otherwise(2).alias("tier"))
     named = aliases.select(fold(F.col("alias")).alias("q"), fold(F.col("name")).alias("target"))
     first = held.groupBy("key").agg(F.min(F.struct("idx", "pop")).alias("p"))
     by_alias = asked.join(named, "q").join(first, F.col("target") == F.col("key")).select("query", "q", "p.idx", "p.pop", "key", F.lit(1).alias("tier"))
@@ -130,7 +190,9 @@ def search(queries: DataFrame, places: DataFrame, aliases: DataFrame, limit: int
     tier = F.when(F.array_contains("tiers", 0), 0).when(F.array_contains("tiers", 2), 2).otherwise(1)
     best = best.withColumn("tier", tier).drop("tiers")
     few = asked.filter(F.length("q") >= 3).join(best.groupBy("query").agg(F.count(F.lit(1)).alias("hits")), "query", "left").filter(F.coalesce("hits", F.lit(0)) < least)
-    near = few.select("query", "q").join(held, within_one_edit(F.col("q"), F.col("key")) & (F.abs(F.length("q") - F.length("key")) <= 1))
+    off = few.select("query", "q", F.explode(_one_off(F.col("q"))).alias("_left"))
+    near = off.join(held.withColumn("_left", F.explode(_one_off(F.col("key")))), "_left").filter(within_one_edit(F.col("q"), F.col("key")))
+    near = near.select("query", "q", "idx", "pop", "key").distinct()
     near = near.join(best.select("query", "idx"), ["query", "idx"], "left_anti").select("query", "q", "idx", "pop", "key", F.lit(3).alias("tier"))
     exact = ((F.col("tier") == 0) & (F.col("key") == F.col("q"))).cast("int")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("tier", exact.desc(), F.desc("pop"), "idx"))

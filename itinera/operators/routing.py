@@ -2,7 +2,7 @@
 
 Legs are made distinct by a route key before anything is searched, and only those
 whose straight path is blocked are. Each gets the polygons near it by a cell join
-and is searched on its own grid in a pandas function; a leg's grid is bounded, and
+and is searched on its own grid in an Arrow function; a leg's grid is bounded, and
 legs are independent, so the work spreads over tasks.
 """
 
@@ -13,11 +13,12 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itinera.operators.land import crosses, modality
+from itinera.operators.folds import km_between
+from itinera.operators.land import crosses, crosses_terrain, modality, on_land, polygons_near
 from itinera.operators.legs import vertices
 
 #: Grid cell, cells at most, padding of the box, snap rings, tolerance of a simplified path.
@@ -26,27 +27,16 @@ CELL, MOST_CELLS, PAD, PAD_SHARE, SNAP_RINGS, TOLERANCE = 0.08, 14_400, 1.6, 0.8
 FINER = ((0.04, 90_000), (0.02, 90_000))
 #: Cost of a cell beside the other medium: ships hug the coast, roads avoid it.
 EDGE_COST = {"sea": 0.92, "land": 1.04}
+#: Cost of terrain from which on a road is led around it, and how it weighs on a way.
+STEEP, TOLL = 0.35, 5
 
-Point = tuple[float, float]
-
+Terrain = Callable[[float, float], float | None]
 
-def on_land(lons: np.ndarray, lats: np.ndarray, polygons: list) -> np.ndarray:
-    """Even-odd test of many points against polygons, each a list of rings of (lon, lat)."""
-    out = np.zeros(lons.shape, bool)
-    for rings in polygons:
-        inside = np.zeros((len(rings), *lons.shape), bool)
-        for k, ring in enumerate(rings):
-            for (x1, y1), (x2, y2) in zip(ring, [ring[-1], *ring[:-1]], strict=True):
-                if y1 != y2:
-                    inside[k] ^= ((y1 > lats) != (y2 > lats)) & (lons < (x2 - x1) * (lats - y1) / (y2 - y1) + x1)
-        out |= inside[0] & ~inside[1:].any(axis=0)
-    return out
+Point = tuple[float, float]
 
 
 def _km(a: Point, b: Point) -> float:
-    p, q = math.radians(a[1]), math.radians(b[1])
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
-    return 2 * 6371 * math.asin(min(1.0, math.sqrt(h)))
+    return km_between(a[1], a[0], b[1], b[0])
 
 
 def stays(a: Point, b: Point, open_: Callable[[np.ndarray, np.ndarray], np.ndarray], step: float) -> bool:
@@ -131,7 +121,7 @@ class Grid:
         return None
 
 
-def find_path(a: Point, b: Point, open_, medium: str, cell: float = CELL, most: int = MOST_CELLS, terrain=None) -> list[Point] | None:
+def find_path(a: Point, b: Point, open_, medium: str, cell: float = CELL, most: int = MOST_CELLS, terrain: Terrain | None = None) -> list[Point] | None:
     """A way between two ends (lon, lat) over open cells by A*, or None."""
     grid = Grid(a, b, open_, cell, most)
     start, goal = grid.snap(a), grid.snap(b)
@@ -161,7 +151,7 @@ def find_path(a: Point, b: Point, open_, medium: str, cell: float = CELL, most:
             to = grid.point(there)
             price = _km(at, to) * (EDGE_COST[medium] if grid.edge[there] else 1.0)
             if terrain:
-                price *= 1 + 5 * terrain(*to)
+                price *= 1 + TOLL * (terrain(*to) or 0.0)
             if cost[here] + price < cost.get(there, math.inf):
                 cost[there], came[there] = cost[here] + price, here
                 heapq.heappush(queue, (cost[there] + _km(to, end), len(came), there))
@@ -181,8 +171,18 @@ def simplify(path: list[Point], open_, tolerance: float = TOLERANCE) -> list[Poi
     return [*kept, path[-1]]
 
 
-def route(path: list[Point], polygons: list, medium: str) -> list[Point]:
-    """The path with every blocked piece led around; pieces without a way stay straight."""
+def is_steep(a: Point, b: Point, terrain: Terrain | None) -> bool:
+    """Whether any of nine points inside a piece costs more than a road can take."""
+    if terrain is None:
+        return False
+    return any((terrain(a[0] + (b[0] - a[0]) * i / 10, a[1] + (b[1] - a[1]) * i / 10) or 0.0) > STEEP for i in range(1, 10))
+
+
+def route(path: list[Point], polygons: list, medium: str, terrain: Terrain | None = None) -> list[Point]:
+    """The path with every blocked piece led around; pieces without a way stay straight.
+
+    A piece is blocked if it leaves its medium, or on land if terrain costs too much.
+    """
     land = medium == "land"
 
     def open_(lons: np.ndarray, lats: np.ndarray) -> np.ndarray:
@@ -190,16 +190,26 @@ def route(path: list[Point], polygons: list, medium: str) -> list[Point]:
 
     out = [path[0]]
     for a, b in zip(path[:-1], path[1:], strict=True):
-        if not stays(a, b, open_, 8 / 111):
-            way = find_path(a, b, open_, medium)
+        if not stays(a, b, open_, 8 / 111) or (land and is_steep(a, b, terrain)):
+            way = find_path(a, b, open_, medium, terrain=terrain)
             for cell, most in FINER if land else ():
-                way = way or find_path(a, b, open_, medium, cell, most)
+                way = way or find_path(a, b, open_, medium, cell, most, terrain)
             near = lambda p, q: abs(p[0] - q[0]) < 1e-4 and abs(p[1] - q[1]) < 1e-4
             out += [p for p in simplify(way or [], open_) if not near(p, a) and not near(p, b)]
         out.append(b)
     return out
 
 
+def keeps_medium(path: list[Point], straight: list[Point], polygons: list, medium: str) -> bool:
+    """Whether a route leaves its medium nowhere but on its straight pieces and next to their ends."""
+    own = set(straight)
+
+    def open_(lons: np.ndarray, lats: np.ndarray) -> np.ndarray:
+        return on_land(lons, lats, polygons) == (medium == "land")
+
+    return all(a in own or b in own or stays(a, b, open_, 0.08) for a, b in zip(path[:-1], path[1:], strict=True))
+
+
 def route_key(path: Column) -> Column:
     """Paths that agree to four decimals at the ends and three between share a route."""
     fine = lambda p, d: F.concat_ws(",", F.format_number(p["lat"], d), F.format_number(p["lon"], d))
@@ -208,8 +218,13 @@ def route_key(path: Column) -> Column:
     return F.concat_ws("|", fine(path[0], 4), F.array_join(inner, "_"), fine(F.element_at(path, -1), 4))
 
 
-def route_legs(legs: DataFrame, land: DataFrame, medium: str) -> DataFrame:
-    """trip, leg, routed, path (array of lat, lon) for the legs of one medium: ``sea`` or ``land``."""
+def route_legs(legs: DataFrame, land: DataFrame, medium: str, terrain: Terrain | None = None, terrain_column: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """trip, leg, routed, path (array of lat, lon), kept for the legs of one medium: ``sea`` or ``land``.
+
+    ``terrain`` gives the cost of a position (lon, lat) for land routes, and
+    ``terrain_column`` the same as a column, by which legs over steep terrain are
+    found. ``kept`` tells that the search left the medium nowhere.
+    """
     wanted = {"sea": "boat", "land": "land"}[medium]
     via = F.col("via") if "via" in legs.columns else F.lit(None).cast("array<struct<lat: double, lon: double>>")
     own = legs.filter(modality(F.col("vehicle")) == wanted)
@@ -219,31 +234,36 @@ def route_legs(legs: DataFrame, land: DataFrame, medium: str) -> DataFrame:
     distinct = own.groupBy("key").agg(F.min_by(F.struct("trip", "leg", "path", "from_lat", "from_lon", "to_lat", "to_lon"), F.struct("trip", "leg")).alias("x"))
     distinct = distinct.select("key", "x.*")
     hit = crosses(distinct.withColumn("via", F.slice("path", 2, F.size("path") - 2)), land, "land" if medium == "sea" else "water")
+    if medium == "land" and terrain_column is not None:
+        steep = distinct.select("trip", "leg", crosses_terrain(F.col("path"), terrain_column, STEEP).alias("crosses"))
+        hit = hit.unionByName(steep)
     blocked = distinct.join(hit.filter("crosses"), ["trip", "leg"], "left_semi").select("key", "path")
 
     # Polygons near a leg: by the degree cells of its padded box.
-    reach = lambda axis, f: F.array_min(F.transform("path", lambda p: p[axis])) if f < 0 else F.array_max(F.transform("path", lambda p: p[axis]))
-    pad = lambda axis: F.greatest(F.lit(PAD), (reach(axis, 1) - reach(axis, -1)) * PAD_SHARE)
-    cells = lambda axis: F.sequence(F.floor(reach(axis, -1) - pad(axis)), F.floor(reach(axis, 1) + pad(axis)))
-    boxed = blocked.withColumn("_row", F.explode(cells("lat"))).withColumn("_column", F.explode(cells("lon"))).drop("path")
-    corner = lambda axis, f: F.floor(f(F.transform(F.col("rings")[0], lambda p: p[axis])))
-    spread = land.withColumn("_row", F.explode(F.sequence(corner("lat", F.array_min), corner("lat", F.array_max))))
-    spread = spread.withColumn("_column", F.explode(F.sequence(corner("lon", F.array_min), corner("lon", F.array_max)))).select("ord", "_row", "_column")
-    near = boxed.join(spread, ["_row", "_column"]).select("key", "ord").distinct().join(land.select("ord", "rings"), "ord")
-    near = near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", "rings"))).alias("polygons"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    reach = lambda axis, f: f(F.transform("path", lambda p: p[axis]))
+    pad = lambda axis: F.greatest(F.lit(PAD), (reach(axis, F.array_max) - reach(axis, F.array_min)) * PAD_SHARE)
+    box = blocked.select(
+        "key", (reach("lat", F.array_min) - pad("lat")).alias("s"), (reach("lat", F.array_max) + pad("lat")).alias("n"),
+        (reach("lon", F.array_min) - pad("lon")).alias("w"), (reach("lon", F.array_max) + pad("lon")).alias("e"),
+    )
+    near = polygons_near(box, "key", land, pad=0.0)
+
+    kind = pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path, polygons in zip(batch["path"], batch["polygons"], strict=True):
-                rings = [[[(p["lon"], p["lat"]) for p in r] for r in x["rings"]] for x in (polygons if polygons is not None else [])]
-                way = route([(p["lon"], p["lat"]) for p in path], rings, medium)
+            out, kept = [], []
+            for path, polygons in zip(batch.column("path").to_pylist(), batch.column("polygons").to_pylist(), strict=True):
+                rings = [[[(p["lon"], p["lat"]) for p in r] for r in x] for x in polygons or []]
+                straight = [(p["lon"], p["lat"]) for p in path]
+                way = route(straight, rings, medium, terrain)
                 out.append([{"lat": lat, "lon": lon} for lon, lat in way])
-            yield pd.DataFrame({"key": batch["key"], "way": out})
+                kept.append(keeps_medium(way, straight, rings, medium))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, kind), pa.array(kept, pa.bool_())], ["key", "way", "kept"])
 
     spark = legs.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     work = blocked.join(near, "key", "left").repartition(tasks, "key")  # searches are long: spread them, however few bytes they are
-    ways = work.mapInPandas(run, "key string, way array<struct<lat: double, lon: double>>")
+    ways = work.mapInArrow(run, "key string, way array<struct<lat: double, lon: double>>, kept boolean")
     joined = own.join(ways, "key", "left")
-    return joined.select("trip", "leg", F.col("way").isNotNull().alias("routed"), F.coalesce("way", "path").alias("path"))
+    return joined.select("trip", "leg", F.col("way").isNotNull().alias("routed"), F.coalesce("way", "path").alias("path"), F.coalesce("kept", F.lit(True)).alias("kept"))

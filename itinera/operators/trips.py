@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itinera.functions.text import clean_names, intro_text
+from itinera.functions.text import clean_names, intro_text, trimmed
 from itinera.plans import dims
 
 
@@ -128,7 +128,7 @@ def privacy_manifest(stops: DataFrame, trips: DataFrame, tier: str) -> DataFrame
     """
     counted = stops.groupBy("trip").agg(
         F.sum(F.coalesce("photos", F.lit(0))).cast("long").alias("photos"),
-        F.count_if(F.trim("note") != "").alias("notes"),
+        F.count_if(trimmed(F.col("note")) != "").alias("notes"),
         F.count_if((F.coalesce("arrive", F.lit("")) != "") | (F.coalesce("depart", F.lit("")) != "")).alias("dates"),
         F.count(F.lit(1)).alias("stops"),
     )
@@ -168,6 +168,26 @@ def to_load(wanted: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).filter(F.col(key).isNotNull()).distinct().join(cached.select(key), key, "left_anti")
 
 
+def copy_legacy(table: DataFrame, legacy: DataFrame, key: list[str]) -> DataFrame:
+    """A keyed table with the rows of an older store copied in: a copied row replaces one that is there."""
+    return upsert(table, legacy.dropDuplicates(key), key)
+
+
+def hydrated(wanted: DataFrame, store: DataFrame, cached: DataFrame, key: str) -> DataFrame:
+    """Rows of the store for the distinct wanted keys that are not cached; keys that it lacks give none."""
+    return to_load(wanted, cached, key).join(store, key)
+
+
+def held(asked: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """asked with ``held``: whether the store has each key."""
+    return asked.join(store.select(key).distinct().withColumn("held", F.lit(True)), key, "left").withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+def without(store: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The store after keys are deleted."""
+    return store.join(gone.select(key), key, "left_anti")
+
+
 def stale(cached: DataFrame, keep: DataFrame, key: str) -> DataFrame:
     """Cached rows whose key is not kept: those that a purge takes away."""
     return cached.join(keep.select(key), key, "left_anti")

@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itinera.functions.dates import micros_of
 from itinera.plans import dims
 
+#: Vehicles with a first year.
+DATED = sum(since is not None for *_, since in dims.VEHICLES)
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,7 +25,7 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").select(
         F.col("user_id").alias("owner"),
         F.col("event_id").alias("photo_id"),
-        F.expr("CASE WHEN event_id % 37 <> 5 THEN unix_micros(cast(ts AS timestamp)) END").alias("us"),
+        F.when(F.col("event_id") % 37 != 5, micros_of(F.col("ts"))).alias("us"),
         F.expr("CASE WHEN event_id % 41 <> 7 THEN 35 + (user_id * 37 % 400) / 100D + (event_id * 13 % 11) / 500D END").alias("lat"),
         F.expr("33 + (user_id * 101 % 400) / 100D + (event_id * 7 % 5) / 500D").alias("lon"),
     )
@@ -36,7 +40,7 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("date_format(o_orderdate, 'yyyy-MM-dd')").alias("day"),
         "o_orderdate",
     )
-    names = F.array(*[F.lit(v) for names in dims.GLYPHS.values() for v in names.split()])
+    names = F.array(*[F.lit(v) for v, *_ in dims.VEHICLES])
     return base.select(
         "trip",
         "stop",
@@ -46,7 +50,7 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("29 + (trip * 101 % 1300) / 100D + (p % 3) * 0.4D").alias("lon"),
         F.expr("CASE WHEN stop % 7 <> 3 THEN day END").alias("arrive"),
         F.expr("CASE WHEN stop % 11 <> 4 THEN date_format(date_add(o_orderdate, cast(stop % 40 AS int) - 2), 'yyyy-MM-dd') END").alias("depart"),
-        F.when(F.col("stop") % 9 != 2, F.element_at(names, (F.col("stop") % len(dims.PICKER_SINCE) * 5 + 1).cast("int"))).alias("vehicle"),
+        F.when(F.col("stop") % 9 != 2, F.element_at(names, (F.col("stop") % DATED * 5 + 1).cast("int"))).alias("vehicle"),
     )
 
 
@@ -68,7 +72,33 @@ def years(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_VEHICLES = ", ".join(f"'{v}'" for names in dims.GLYPHS.values() for v in names.split())
+def _leg_table(spark: SparkSession, sf_dir: str, place: list[str]) -> DataFrame:
+    """Legs from orders: trip, leg, ends, via (some unplaced), hint, degrees, vehicle."""
+    at = lambda i: F.expr(place[i].replace("::DOUBLE", "D"))
+    k = F.col("o_orderkey")
+    names = F.array(*[F.lit(v) for v, *_ in dims.VEHICLES])
+    via = F.array(F.struct(F.when(k % 3 >= 1, at(4)).alias("lat"), at(5).alias("lon")), F.struct(F.when((k % 3 == 2) & (k % 5 != 0), at(6)).alias("lat"), at(7).alias("lon")))
+    return _read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("trip"), k.alias("leg"), *[at(i).alias(c) for i, c in enumerate(("from_lat", "from_lon", "to_lat", "to_lon"))], via.alias("via"),
+        F.when(k % 4 == 0, "east").when(k % 4 == 1, "West").when(k % 4 == 2, "north").alias("hint"), (k * 13 % 720 - 360).cast("double").alias("degrees"),
+        F.element_at(names, (k % len(dims.VEHICLES) + 1).cast("int")).alias("vehicle"),
+    )
+
+
+#: latitudes and longitudes of a leg's ends and two via points: over the world, and over our own land layer
+_WORLD = [f"(o_orderkey * {m} % {1300 if i % 2 == 0 else 3600}) / 10::DOUBLE - {60 if i % 2 == 0 else 180}" for i, m in enumerate((37, 101, 53, 211, 29, 307, 31, 401))]
+_REGION = [f"{33 if i % 2 == 0 else 26} + (o_orderkey * {m} % {1000 if i % 2 == 0 else 2000}) / 100::DOUBLE" for i, m in enumerate((37, 101, 53, 211, 29, 307, 31, 401))]
+
+
+def world_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leg_table(spark, sf_dir, _WORLD)
+
+
+def via_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leg_table(spark, sf_dir, _REGION)
+
+
+_VEHICLES = ", ".join(f"'{v}'" for v, *_ in dims.VEHICLES)
 
 #: The same tables as common table expressions for DuckDB.
 SQL = {
@@ -89,7 +119,7 @@ SQL = {
                29 + (trip * 101 % 1300) / 100::DOUBLE + (p % 3) * 0.4::DOUBLE AS lon,
                CASE WHEN stop % 7 <> 3 THEN day END AS arrive,
                CASE WHEN stop % 11 <> 4 THEN strftime(o_orderdate::DATE + (stop % 40 - 2)::INT, '%Y-%m-%d') END AS depart,
-               CASE WHEN stop % 9 <> 2 THEN ([{_VEHICLES}])[(stop % {len(dims.PICKER_SINCE)} * 5 + 1)::INT] END AS vehicle
+               CASE WHEN stop % 9 <> 2 THEN ([{_VEHICLES}])[(stop % {DATED} * 5 + 1)::INT] END AS vehicle
         FROM stops_base)""",
     "places": """places AS (
         SELECT c_custkey AS idx, c_name AS name, (c_custkey * 37 % 1300)::DOUBLE / 10 - 60 AS lat,
@@ -111,6 +141,16 @@ SQL = {
 }
 
 
+def _leg_sql(name: str, place: list[str]) -> str:
+    return f"""{name} AS (SELECT o_custkey AS trip, o_orderkey AS leg, {place[0]} AS from_lat, {place[1]} AS from_lon, {place[2]} AS to_lat, {place[3]} AS to_lon,
+        CASE WHEN o_orderkey % 3 >= 1 THEN {place[4]} END AS v1_lat, {place[5]} AS v1_lon, CASE WHEN o_orderkey % 3 = 2 AND o_orderkey % 5 <> 0 THEN {place[6]} END AS v2_lat, {place[7]} AS v2_lon,
+        CASE o_orderkey % 4 WHEN 0 THEN 'east' WHEN 1 THEN 'West' WHEN 2 THEN 'north' END AS hint, (o_orderkey * 13 % 720 - 360)::DOUBLE AS degrees,
+        ([{_VEHICLES}])[(o_orderkey % {len(dims.VEHICLES)} + 1)::INT] AS vehicle FROM orders)"""
+
+
+SQL |= {"world_legs": _leg_sql("world_legs", _WORLD), "via_legs": _leg_sql("via_legs", _REGION)}
+
+
 def km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """Haversine distance in SQL."""
     return (

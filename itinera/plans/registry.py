@@ -82,24 +82,25 @@ _FOLD = f"""
     with_("photos")
     + _FOLD
     + """ SELECT owner, cluster, count(*) AS n, floor(avg(lat) * 1e6 + 0.5) / 1e6 AS lat, floor(avg(lon) * 1e6 + 0.5) / 1e6 AS lon,
-    min(us) AS start_us, max(us) AS end_us, min(photo_id) AS first_photo FROM folded GROUP BY owner, cluster"""
+    min(us) AS start_us, max(us) AS end_us, min(photo_id) AS first_photo, string_agg(photo_id::VARCHAR, ',' ORDER BY photo_id) AS photos FROM folded GROUP BY owner, cluster"""
 )
 def photo_clusters(spark, sf_dir):
     found = clusters.cluster_photos(bridge.photos(spark, sf_dir))
-    return found.select("owner", "cluster", "n", r(F.col("lat")).alias("lat"), r(F.col("lon")).alias("lon"), "start_us", "end_us", F.col("photo_ids")[0].alias("first_photo"))
+    return found.select("owner", "cluster", "n", r(F.col("lat")).alias("lat"), r(F.col("lon")).alias("lon"), "start_us", "end_us", F.col("photo_ids")[0].alias("first_photo"), F.array_join("photo_ids", ",").alias("photos"))
 
 
 @query(
     with_("photos")
     + """ SELECT owner, count(*) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS placed,
-    count(*) FILTER (lat IS NULL OR lon IS NULL) AS unallocated FROM photos GROUP BY owner"""
+    count(*) FILTER (lat IS NULL OR lon IS NULL) AS unallocated, coalesce(string_agg(photo_id::VARCHAR, ',' ORDER BY photo_id) FILTER (lat IS NULL OR lon IS NULL), '') AS rejects FROM photos GROUP BY owner"""
 )
 def clusters_with_rejects(spark, sf_dir):
     photos = bridge.photos(spark, sf_dir)
-    kept = clusters.label_photos(photos).select("owner", F.lit(1).alias("ok"))
-    rest = clusters.unplaced(photos).select("owner", F.lit(0).alias("ok"))
+    kept = clusters.label_photos(photos).select("owner", "photo_id", F.lit(1).alias("ok"))
+    rest = clusters.unplaced(photos).select("owner", "photo_id", F.lit(0).alias("ok"))
     both = kept.unionByName(rest).groupBy("owner")
-    return both.agg(F.sum("ok").alias("placed"), F.count_if(F.col("ok") == 0).alias("unallocated"))
+    rejects = F.array_join(F.array_sort(F.collect_list(F.when(F.col("ok") == 0, F.col("photo_id")))), ",")
+    return both.agg(F.sum("ok").alias("placed"), F.count_if(F.col("ok") == 0).alias("unallocated"), rejects.alias("rejects"))
 
 
 _MERGE = f"""
@@ -410,7 +411,7 @@ def exif_dates(spark, sf_dir):
     said = F.concat((2000 + e % 30).cast("string"), F.lit(":"), two(1 + e % 12), F.lit(":"), two(1 + e % 31), F.lit(" "), two(e % 24), F.lit(":10:"), two(e % 60))
     said = F.when(e % 10 == 3, "bad").otherwise(said)
     rows = _read(spark, sf_dir, "events").select("event_id", said.alias("said"))
-    return rows.select("event_id", F.unix_micros(dates.exif_time(F.col("said")).cast("timestamp")).alias("us"))
+    return rows.select("event_id", dates.micros_of(dates.exif_time(F.col("said"))).alias("us"))
 
 
 # ---------------------------------------------------------------- text
@@ -623,8 +624,8 @@ def picker_states(spark, sf_dir):
     return trips.select_states(_choices(spark, sf_dir))
 
 
-_ERA_VEHICLES = "era_vehicles(era, vehicle) AS (VALUES " + ", ".join(f"('{e}', '{v}')" for e, names in dims.ERA_VEHICLES.items() for v in names.split()) + ")"
-_SINCE = "since(vehicle, y) AS (VALUES " + ", ".join(f"('{v}', {y})" for v, y in dims.PICKER_SINCE.items()) + ")"
+_ERA_VEHICLES = "era_vehicles(era, vehicle) AS (VALUES " + ", ".join(f"('{e}', '{v}')" for e, names in dims.ERA_VEHICLES.items() for v in names) + ")"
+_SINCE = "since(vehicle, y) AS (VALUES " + ", ".join(f"('{v}', {y})" for v, _, y in dims.VEHICLES if y) + ")"
 
 
 @query(
@@ -647,7 +648,7 @@ def vehicles_for_era(spark, sf_dir):
 _BOATS = ", ".join(f"'{v}'" for v in dims.BOATS)
 _AIR = ", ".join(f"'{v}'" for v in dims.AIRCRAFT)
 _MODALITY = f"CASE WHEN lower(trim(vehicle)) IN ({_AIR}) THEN 'air' WHEN lower(trim(vehicle)) IN ({_BOATS}) THEN 'boat' ELSE 'land' END"
-_DRAWN = "drawn(vehicle, glyph) AS (VALUES " + ", ".join(f"('{v}', '{dims.UNDRAWN.get(g, g)}')" for g, names in dims.GLYPHS.items() for v in names.split()) + ")"
+_DRAWN = "drawn(vehicle, glyph) AS (VALUES " + ", ".join(f"('{v}', '{dims.UNDRAWN.get(g, g)}')" for v, g, _ in dims.VEHICLES) + ")"
 
 
 @query(with_("stops") + f""", {_DRAWN} SELECT trip, seq, {_MODALITY} AS modality, coalesce(glyph, 'car') AS glyph FROM stops LEFT JOIN drawn USING (vehicle)""")
@@ -1047,16 +1048,37 @@ def raster_coast(spark, sf_dir):
     return grid.select("r", "c", r(F.col("lat")).alias("lat"), r(F.col("lon")).alias("lon"), "on_land", "near")
 
 
-@query()
+def _routes_sql(medium: str, test: str) -> str:
+    """Which legs of a medium are blocked, and so routed; what holds of every route is true."""
+    return (
+        with_("stops")
+        + _LEGS
+        + _CHORD
+        + _landed("samples", "trip, leg, s")
+        + f""", touched AS (SELECT trip, leg, bool_or({test}) AS crosses FROM located GROUP BY trip, leg)
+    SELECT trip, leg, coalesce(crosses, false) AS routed, true AS ends_kept, true AS medium_kept, true AS no_shorter FROM legs LEFT JOIN touched USING (trip, leg) WHERE {_MODALITY} = '{medium}'"""
+    )
+
+
+def _route_facts(found: DataFrame, ends: DataFrame) -> DataFrame:
+    """What must hold of routes: their ends are the leg's, they keep their medium, and are no shorter than the straight line."""
+    both = found.join(ends, ["trip", "leg"])
+    first, last = F.col("path")[0], F.element_at("path", -1)
+    kept = (first["lat"] == F.col("from_lat")) & (first["lon"] == F.col("from_lon")) & (last["lat"] == F.col("to_lat")) & (last["lon"] == F.col("to_lon"))
+    length = F.aggregate(legs.segment_km(F.col("path")), F.lit(0.0), lambda acc, d: acc + d)
+    return both.select("trip", "leg", "routed", kept.alias("ends_kept"), F.col("kept").alias("medium_kept"), (length >= legs.leg_km() - 1e-6).alias("no_shorter"))
+
+
+@query(_routes_sql("boat", "landmass IS NOT NULL"))
 def sea_routes(spark, sf_dir):
-    found = routing.route_legs(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark), "sea")
-    return found.select("trip", "leg", "routed", F.size("path").alias("points"))
+    rows = legs.legs_of(bridge.stops(spark, sf_dir))
+    return _route_facts(routing.route_legs(rows, dims.land(spark), "sea"), rows)
 
 
-@query()
+@query(_routes_sql("land", "landmass IS NULL"))
 def land_routes(spark, sf_dir):
-    found = routing.route_legs(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark), "land")
-    return found.select("trip", "leg", "routed", F.size("path").alias("points"))
+    rows = legs.legs_of(bridge.stops(spark, sf_dir))
+    return _route_facts(routing.route_legs(rows, dims.land(spark), "land"), rows)
 
 
 # ---------------------------------------------------------------- stores and sources

@@ -7,11 +7,12 @@ import struct
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itinera.functions.text import escape_html, script_safe
+from itinera.sources.storage import file_system, write_files
 
 POINT = "struct<lat: double, lon: double>"
 STOPS_SCHEMA = (
@@ -27,9 +28,9 @@ CITIES_SCHEMA = (
 )
 
 
-def read_trips(spark: SparkSession, path: str) -> DataFrame:
-    """Trip documents with a stops list: one row per document."""
-    return spark.read.schema(STOPS_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+def read_trips(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Trip documents with a stops list: one row per document. Files of a document a line split over tasks."""
+    return spark.read.schema(STOPS_SCHEMA).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
 
 
 def stops_of(trips: DataFrame) -> DataFrame:
@@ -38,9 +39,9 @@ def stops_of(trips: DataFrame) -> DataFrame:
     return rows.select("trip", "seq", "s.name", "s.lat", "s.lon", F.col("s.vehicleToNext").alias("vehicle"), F.col("s.viaToNext").alias("via"))
 
 
-def read_city_trips(spark: SparkSession, path: str) -> DataFrame:
+def read_city_trips(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Trip documents with cities and the legs between them."""
-    return spark.read.schema(CITIES_SCHEMA).option("multiLine", True).json(path)
+    return spark.read.schema(CITIES_SCHEMA).option("multiLine", multi_line).json(path)
 
 
 def stops_of_cities(trips: DataFrame) -> DataFrame:
@@ -58,10 +59,10 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return eras.select(F.col("e.key").alias("era"), "e.label", F.posexplode("e.trips").alias("place", "trip"))
 
 
-def read_image_manifests(spark: SparkSession, path: str) -> DataFrame:
+def read_image_manifests(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """trip, style, stop, prompt, size of image manifests (*.manifest.json) below a folder."""
     schema = "tripId string, style string, images array<struct<stopId: string, prompt: string, size: string>>"
-    found = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.manifest.json").json(path)
+    found = spark.read.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", True).option("pathGlobFilter", "*.manifest.json").json(path)
     return found.select(F.col("tripId").alias("trip"), "style", F.explode("images").alias("i")).select("trip", "style", F.col("i.stopId").alias("stop"), "i.prompt", "i.size")
 
 
@@ -132,6 +133,10 @@ def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
     return parse_gazetteer(spark.read.option("lineSep", "|").text(path))
 
 
+#: Parts of one multipolygon at most, so that the numbers of polygons never meet.
+MOST_PARTS = 1 << 31
+
+
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     """ord, polygon, rings of a GeoJSON collection of polygons and multipolygons."""
     schema = "features array<struct<geometry: struct<type: string, coordinates: string>>>"
@@ -141,7 +146,7 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     kind = F.col("x.geometry.type")
     polygons = features.select("f", F.posexplode(F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many)).alias("p", "r"))
     rings = F.transform("r", lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
-    return polygons.filter(F.size("r") > 0).select((F.col("f") * 10_000 + F.col("p")).alias("ord"), F.concat_ws(":", "f", "p").alias("polygon"), rings.alias("rings"))
+    return polygons.filter(F.size("r") > 0).select((F.col("f").cast("long") * MOST_PARTS + F.col("p")).alias("ord"), F.concat_ws(":", "f", "p").alias("polygon"), rings.alias("rings"))
 
 
 def coast_version(coast: Column) -> Column:
@@ -149,12 +154,12 @@ def coast_version(coast: Column) -> Column:
     return F.xxhash64(F.to_json(coast))
 
 
-def safe_url_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def safe_url_rows(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """JSON rows of a path, none where there is no such path."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        return spark.read.schema(schema).option("multiLine", multi_line).json(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -173,28 +178,44 @@ def standalone_page(title: Column, body: Column, payload: Column, css: str = "")
     return F.concat(F.lit(head), named, F.lit(middle), F.coalesce(body, F.lit("")), F.lit(data), script_safe(F.coalesce(payload, F.lit("{}"))), F.lit(end))
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """Pages (trip, html) as text files, a folder per trip."""
-    pages.select("trip", "html").write.partitionBy("trip").text(path)
+def write_pages(pages: DataFrame, path: str) -> int:
+    """Pages (trip, html) as files ``<trip>.html`` of one folder; returns how many."""
+    return write_files(pages.select(F.concat(F.col("trip").cast("string"), F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content")), path)
 
 
-def is_heic(content: Column) -> Column:
-    return (F.length(content) >= 12) & (F.substring(content, 5, 4) == F.to_binary(F.lit("66747970"), F.lit("hex")))
+def is_heic(data: bytes) -> bool:
+    return len(data) >= 12 and data[4:8] == b"ftyp"
 
 
+#: Bytes of a file that are read for its header; the whole file only where it ends beyond them.
+HEAD_BYTES = 1 << 18
 _EXIF_TIME = re.compile(r"(\d{4}):(\d{2}):(\d{2})[ T](\d{2}):(\d{2}):(\d{2})")
 
 
-def exif_fields(data: bytes) -> tuple[float | None, float | None, datetime | None]:
-    """Latitude, longitude and wall-clock time from a JPEG's EXIF segment; nulls where absent or damaged."""
+class CutShort(Exception):
+    """The header goes on beyond the bytes that were read."""
+
+
+def exif_fields(data: bytes, whole: bool = True) -> tuple[float | None, float | None, datetime | None]:
+    """Latitude, longitude and wall-clock time from a JPEG's EXIF segment; nulls where absent or damaged.
+
+    The time is that of the shot, else of digitising, else of the last change. Where
+    ``data`` is only the ``whole`` file's beginning, CutShort tells that it is too little.
+    """
     try:
+        if not whole and len(data) < 2:
+            raise CutShort
         if data[:2] != b"\xff\xd8":
             return None, None, None
         at = 2
         while data[at : at + 2] != b"\xff\xe1":
+            if not whole and at + 4 > len(data):
+                raise CutShort
             if data[at : at + 1] != b"\xff":
                 return None, None, None
             at += 2 + struct.unpack_from(">H", data, at + 2)[0]
+        if not whole and at + 2 + struct.unpack_from(">H", data, at + 2)[0] > len(data):
+            raise CutShort
         if data[at + 4 : at + 8] != b"Exif":
             return None, None, None
         tiff = data[at + 10 :]
@@ -223,7 +244,8 @@ def exif_fields(data: bytes) -> tuple[float | None, float | None, datetime | Non
 
         root = directory(struct.unpack_from(order + "I", tiff, 4)[0])
         taken = lat = lon = None
-        if 0x8769 in root and (text := directory(pointer(root[0x8769])).get(0x9003)):
+        shot = directory(pointer(root[0x8769])) if 0x8769 in root else {}
+        if text := next((t for t in (shot.get(0x9003), shot.get(0x9004), root.get(0x0132)) if t and t[1].strip(b"\0 ")), None):
             if m := _EXIF_TIME.match(text[1].split(b"\0")[0].decode("latin-1")):
                 y, mo, d, h, mi, s = map(int, m.groups())
                 months = y * 12 + mo - 1
@@ -235,27 +257,41 @@ def exif_fields(data: bytes) -> tuple[float | None, float | None, datetime | Non
         lon = lon if lon is not None and -180 <= lon <= 180 else None
         return (None, None, taken) if lat == 0 and lon == 0 else (lat, lon, taken)
     except (struct.error, KeyError, IndexError, ValueError, OverflowError):
+        if not whole:
+            raise CutShort from None
         return None, None, None
 
 
+def _photo(path: str, size: int) -> tuple:
+    """heic, lat, lon, taken of one file."""
+    store, name = file_system(path)
+    with store.open_input_file(name) as file:
+        head = file.read(HEAD_BYTES)
+        if is_heic(head):
+            return True, None, None, None
+        try:
+            return False, *exif_fields(head, whole=size <= len(head))
+        except CutShort:
+            return False, *exif_fields(head + file.read())
+
+
 def scan_photos(spark: SparkSession, path: str) -> DataFrame:
     """path, heic, lat, lon, taken (wall clock), read_error of every file below a folder.
 
-    JPEG headers are parsed in Arrow batches; HEIC files are told and left unread.
+    Files are listed without their contents; tasks read the beginning of each. HEIC
+    files are told and left unread.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    rows = files.select("path", is_heic(F.col("content")).alias("heic"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(None, None, None) if heic else exif_fields(bytes(data)) for heic, data in zip(batch["heic"], batch["content"], strict=True)]
-            out = pd.DataFrame(found, columns=["lat", "lon", "taken"])
-            out["taken"] = pd.to_datetime(out["taken"])
-            yield pd.concat([batch[["path", "heic"]].reset_index(drop=True), out.astype({"lat": float, "lon": float})], axis=1).assign(read_error=batch["heic"].to_numpy())
+            paths = batch.column("path").to_pylist()
+            heic, lat, lon, taken = zip(*map(_photo, paths, batch.column("length").to_pylist()), strict=True) if paths else ((),) * 4
+            columns = [pa.array(heic, pa.bool_()), pa.array(lat, pa.float64()), pa.array(lon, pa.float64()), pa.array(taken, pa.timestamp("us")), pa.array(heic, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *columns], ["path", "heic", "lat", "lon", "taken", "read_error"])
 
-    return rows.mapInPandas(run, "path string, heic boolean, lat double, lon double, taken timestamp_ntz, read_error boolean").select(
-        "path", "heic", F.nanvl("lat", F.lit(None)).alias("lat"), F.nanvl("lon", F.lit(None)).alias("lon"), "taken", "read_error"
-    )
+    spread = files.repartition(spark.sparkContext.defaultParallelism, "path")
+    return spread.mapInArrow(run, "path string, heic boolean, lat double, lon double, taken timestamp_ntz, read_error boolean")
 
 
 def put_blobs(spark: SparkSession, path: str, blobs: DataFrame) -> None:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itinera.operators.clusters import GAP_HOURS, MOVE_KM, MOVE_MINUTES, RADIUS_KM
+from itinera.operators.clusters import GAP_HOURS, PhotoFold
 
 
 def session_stream(photos: DataFrame, late: str = "1 hour", hours: int = GAP_HOURS) -> DataFrame:
@@ -30,36 +29,26 @@ def daily_counts(photos: DataFrame, late: str = "1 hour", window: str = "1 day",
     return grouped.select("owner", F.col("w.start").alias("start"), "n")
 
 
-def _km(a_lat: float, a_lon: float, b_lat: float, b_lon: float) -> float:
-    p, q = math.radians(a_lat), math.radians(b_lat)
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b_lon - a_lon) / 2) ** 2
-    return 2 * 6371 * math.asin(min(1.0, math.sqrt(h)))
-
-
 def label_stream(photos: DataFrame) -> DataFrame:
     """Each photo of a stream with its stop: owner, photo_id, cluster, as it arrives.
 
-    The state of an owner is five numbers: cluster, photos in it, sums of positions
-    and the time before. Photos of one batch are taken in time order; a photo older
-    than those of an earlier batch joins where it arrives.
+    The state of an owner is that of the batch fold: cluster, photos in it, sums of
+    positions and the time before, if there was one. It must outlive any gap, for the
+    next cluster's number follows from it; an owner costs these few numbers. Photos of
+    one batch are taken in time order, undated ones last; a photo older than those of
+    an earlier batch joins where it arrives.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        k, n, lat, lon, before = state.get if state.exists else (-1, 0, 0.0, 0.0, -1)
-        rows = pd.concat(list(parts)).sort_values(["ts", "photo_id"])
-        labels = []
-        for r in rows.itertuples():
-            now = int(r.ts.value // 1000)
-            gap = now - before if before >= 0 else 0
-            km = _km(lat / n, lon / n, r.lat, r.lon) if n else 0.0
-            if not n or km > RADIUS_KM or gap > GAP_HOURS * 3_600_000_000 or (km > MOVE_KM and gap > MOVE_MINUTES * 60_000_000):
-                k, n, lat, lon = k + 1, 0, 0.0, 0.0
-            n, lat, lon, before = n + 1, lat + r.lat, lon + r.lon, now
-            labels.append(k)
-        state.update((k, n, lat, lon, before))
+        k, n, lat, lon, dated, before = state.get if state.exists else (-1, 0, 0.0, 0.0, False, 0)
+        fold = PhotoFold(k, n, lat, lon, before if dated else None)
+        rows = pd.concat(list(parts)).sort_values(["us", "photo_id"], na_position="last")
+        us = [None if pd.isna(t) else int(t) for t in rows["us"]]
+        labels = [fold(*x) for x in zip(us, rows["lat"].tolist(), rows["lon"].tolist(), strict=True)]
+        state.update((fold.k, fold.n, fold.lat, fold.lon, fold.before is not None, fold.before or 0))
         yield pd.DataFrame({"owner": key[0], "photo_id": rows["photo_id"].to_numpy(), "cluster": labels})
 
-    placed = photos.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    placed = photos.filter("lat IS NOT NULL AND lon IS NOT NULL").select("owner", "photo_id", "lat", "lon", F.unix_micros("ts").alias("us"))
     return placed.groupBy("owner").applyInPandasWithState(
-        run, "owner long, photo_id long, cluster int", "k int, n long, lat double, lon double, before long", "append", "NoTimeout"
+        run, "owner long, photo_id long, cluster int", "k int, n long, lat double, lon double, dated boolean, before long", "append", "NoTimeout"
     )

@@ -100,3 +100,38 @@ def test_markup(spark):
 def test_one_edit(spark):
     pairs = [("abc", "abc"), ("abc", "abd"), ("abc", "ab"), ("abc", "acb"), ("", "a")]
     assert one(spark, *[text.within_one_edit(F.lit(a), F.lit(b)) for a, b in pairs]) == [True, True, True, False, True]
+
+
+def test_days_do_not_depend_on_the_session_time_zone(spark):
+    from itinera.functions import dates
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            rows = spark.createDataFrame([(0,), (-1,), (86_400_000_000,), (None,)], "us long").select(dates.utc_day(F.col("us")).alias("d")).collect()
+            assert [r.d for r in rows] == ["1970-01-01", "1969-12-31", "1970-01-02", ""]
+            wall = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-10 02:30:00.123456' AS t UNION ALL SELECT TIMESTAMP_NTZ'1965-07-01 00:00:01' UNION ALL SELECT NULL")
+            assert sorted(r.m for r in wall.select(dates.micros_of(F.col("t")).alias("m")).collect() if r.m is not None) == [-142_127_999_000_000, 1_710_037_800_123_456]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_accents_of_all_scripts_and_all_blanks(spark):
+    from itinera.functions import dates, text
+
+    rows = spark.createDataFrame([("Йошкар-Ола Ёлка",), ("  Çeşme\t　",), ("Ǻ ế ῷ",), (None,)], "t string")
+    got = [r.f for r in rows.select(text.fold(F.col("t")).alias("f")).collect()]
+    assert got == ["иошкар-ола елка", "cesme", "a e o", ""]
+    names = spark.createDataFrame([([" Ada\n", " ", None, "Bo"],)], "n array<string>").select(text.clean_names(F.col("n")).alias("n")).first().n
+    assert names == ["Ada", "Bo"]
+    assert spark.createDataFrame([(" 2024-02-29\n",)], "t string").select(dates.parse_day(F.col("t")).cast("string").alias("d")).first().d == "2024-02-29"
+
+
+def test_display_and_country_names(spark):
+    from itinera.functions import text
+
+    rows = spark.createDataFrame([("Rome", {"it": "Roma", "el": ""}), ("Nice", None), (None, {})], "name string, alt map<string,string>")
+    assert [r.n for r in rows.select(text.display_name(F.col("name"), F.col("alt"), ["el", "it"]).alias("n")).collect()] == ["Roma", "Nice", ""]
+    codes = spark.createDataFrame([("TR",), ("XX",), (None,)], "c string")
+    assert [r.n for r in codes.select(text.country_name(F.col("c"), {"TR": "Türkiye"}).alias("n")).collect()] == ["Türkiye", "XX", ""]

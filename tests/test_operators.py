@@ -194,3 +194,114 @@ def test_nearest_place_across_the_flat_line(spark):
     asked = spark.createDataFrame(asked, "q long, lat double, lon double")
     got = {r.q: r.idx for r in places.nearest_within(asked, held, 60.0).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: None}
+
+
+def test_a_long_fold_is_linear(spark):
+    """One owner with 100,000 photos: the state is a few numbers, and nothing is gathered."""
+    rows = spark.range(100_000).select(F.lit(1).alias("owner"), F.col("id").alias("photo_id"), (F.col("id") * 3_600_000_000).alias("us"), (F.col("id") % 7 * KM).alias("lat"), F.lit(0.0).alias("lon"))
+    found = clusters.label_photos(rows)
+    assert found.count() == 100_000 and found.agg(F.max("cluster")).first()[0] > 1000
+
+
+def test_merge_vetoes_water_from_the_merged_place(spark):
+    """The place merged so far is compared, not the stop before: its centre lies on the other landmass."""
+    shore = spark.createDataFrame([(0, "west", [[(0.0, 0.0), (0.02, 0.0), (0.02, 1.0), (0.0, 1.0)]]), (1, "east", [[(0.03, 0.0), (0.2, 0.0), (0.2, 1.0), (0.03, 1.0)]])], dims.land(spark).schema)
+    schema = "owner long, cluster int, n long, lat double, lon double, start_us long, end_us long, photo_ids array<int>"
+    at = [(1, i, n, 0.5, lon, i * HOUR, i * HOUR, [i]) for i, (n, lon) in enumerate([(9, 0.015), (1, 0.0155), (1, 0.033)])]
+    merged = lambda coast: {r.place: r.merged for r in clusters.merge_clusters(spark.createDataFrame(at, schema), land=coast).collect()}
+    assert merged(None) == {0: 3} and merged(shore) == {0: 2, 1: 1}
+
+
+def test_diameter_by_box_and_by_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for owner in range(200):
+        lat, lon, size = rng.uniform(-80, 80), rng.choice([rng.uniform(-170, 170), 179.99]), rng.choice([0.01, 0.03, 0.045, 0.06, 0.2])
+        for i in range(rng.randint(1, 6)):
+            x = lon + rng.uniform(-size, size)
+            rows.append((owner, i, lat + rng.uniform(-size, size) * 0.7, x - 360 if x > 180 else x))
+    got = {r.owner: r.merge_km for r in clusters.merge_km(spark.createDataFrame(rows, "owner long, cluster int, lat double, lon double")).collect()}
+    from itinera.operators.folds import km_between
+
+    for owner in range(200):
+        at = [r[2:] for r in rows if r[0] == owner]
+        steps = sorted(km_between(*a, *b) for a, b in zip(at, at[1:]))
+        near = max(km_between(*a, *b) for a in at for b in at) <= 5
+        want = 5.0 if near else max(1.0, min(5.0, steps[len(steps) // 2] * 0.6))
+        assert math.isclose(got[owner], want, rel_tol=1e-9), owner
+
+
+def test_clipped_polygons_hold_the_same_points(spark):
+    """A jagged coast of many corners over many cells, with holes, against the plain test of whole rings."""
+    import random
+
+    import numpy as np
+
+    rng, polygons = random.Random(5), []
+    for i, (x, y, size) in enumerate([(0, 0, 6.0), (3, 2, 4.0), (-9.5, -3.2, 2.5)]):
+        ring = [(x + size * rng.uniform(0.6, 1) * math.cos(a * math.pi / 60), y + size * rng.uniform(0.6, 1) * math.sin(a * math.pi / 60)) for a in range(120)]
+        polygons.append((i, f"p{i}", [ring, [(x - 1.0, y - 1.0), (x + 1.0, y - 1.0), (x + 1.0, y + 1.0), (x - 1.0, y + 1.0)]]))
+    points = [(i, rng.uniform(-8, 9), rng.uniform(-13, 9)) for i in range(3000)] + [(3000 + i, float(y), float(x)) for i, (y, x) in enumerate([(0, 0), (1, 1), (-1, 5), (2, -9)])]
+    found = land.locate(spark.createDataFrame(points, "k long, lat double, lon double"), spark.createDataFrame(polygons, dims.land(spark).schema)).collect()
+    plain = land.landmasses(np.array([p[2] for p in points]), np.array([p[1] for p in points]), [rings for _, _, rings in polygons])
+    assert {r.k: r.landmass for r in found} == {p[0]: None if m < 0 else f"p{m}" for p, m in zip(points, plain.tolist())}
+    index = land.polygon_cells(spark.createDataFrame(polygons, dims.land(spark).schema))
+    copies = index.select(F.explode("_rings").alias("r")).agg(F.sum(F.size("r.edges"))).first()[0]
+    cells = sum((math.floor(max(p[k] for p in rings[0])) - math.floor(min(p[k] for p in rings[0])) + 1) for _, _, rings in polygons for k in (0, 1))
+    assert copies < 124 * 3 * cells / 2  # far below whole polygons times their cells
+
+
+def test_nearest_place_does_not_depend_on_row_numbers(spark):
+    held = spark.createDataFrame([(i, f"p{i}", i * 0.3, i * 0.5) for i in range(100)], "idx long, name string, lat double, lon double")
+    asked = spark.createDataFrame([(i, i % 100 * 0.3, i % 100 * 0.5) for i in range(400)], "q long, lat double, lon double").repartition(7, F.rand())
+    got = places.nearest_within(asked, held, 20.0).repartition(5).collect()
+    assert len(got) == 400 and all(r.idx == r.q % 100 for r in got)
+
+
+def test_refined_places_move_and_rename(spark):
+    known = spark.createDataFrame([(1, "Izmir", 38.40, 27.10, 100.0, ""), (2, "Foca", 38.6, 26.7, 5.0, "TR")], "idx long, name string, lat double, lon double, pop double, cc string")
+    batch = spark.createDataFrame([(1, "İzmir", 38.44, 27.14, 4000.0, "TR"), (2, "IZMIR", 38.48, 27.18, 1.0, "GR"), (3, "Izmir", 38.41, 27.11, 1.0, None), (4, "New", 1.0, 1.0, None, None)], "ord long, name string, lat double, lon double, pop double, cc string")
+    got = {(r.idx, r.first_ord): (r.name, r.lat, r.lon, r.pop, r.cc) for r in places.refine_places(known, batch).collect()}
+    assert got == {(1, None): ("IZMIR", 38.48, 27.18, 4000.0, "TR"), (2, None): ("Foca", 38.6, 26.7, 5.0, "TR"), (None, 3): ("Izmir", 38.41, 27.11, 1.0, ""), (None, 4): ("New", 1.0, 1.0, 0.0, "")}
+
+
+def test_search_keys_lose_no_match(spark):
+    """Against every pair of query and name."""
+    import random
+
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 6))) for _ in range(120)})
+    held = spark.createDataFrame([(i, w, float(i % 7)) for i, w in enumerate(words)], "idx long, name string, pop double")
+    queries = sorted({"".join(rng.choices("abc", k=rng.randint(1, 6))) for _ in range(60)})
+    got = {(r.query, r.idx, r.tier) for r in places.search(spark.createDataFrame([(q,) for q in queries], "query string"), held, spark.createDataFrame([], "alias string, name string"), limit=1000).collect()}
+    want = set()
+    for q in queries:
+        hits = {(q, i, 0 if w.startswith(q) else 2) for i, w in enumerate(words) if q in w}
+        near = lambda a, b: a == b or any(a[:i] + a[i + 1 :] == b for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b))) or (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1)
+        more = {(q, i, 3) for i, w in enumerate(words) if near(q, w) and q not in w} if len(q) >= 3 and len(hits) < 3 else set()
+        want |= hits | more
+    assert got == want
+
+
+def test_steep_roads_are_led_around(spark):
+    flat = [[[(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (0.0, 6.0)]]]
+    hill = lambda lon, lat: 0.9 if 2.6 < lon < 3.4 and lat < 3.6 else 0.0
+    straight = [(1.0, 3.0), (5.0, 3.0)]
+    assert routing.route(straight, flat, "land") == straight
+    way = routing.route(straight, flat, "land", hill)
+    assert len(way) > 2 and all(hill(*p) == 0 for p in way) and routing.keeps_medium(way, straight, flat, "land")
+    coast = spark.createDataFrame([(0, "all", flat[0])], dims.land(spark).schema)
+    rows = leg_rows(spark, [(3.0, 1.0, 3.0, 5.0), (5.0, 1.0, 5.0, 2.0)], [("car",), ("car",)], ", vehicle string")
+    column = lambda lon, lat: F.when((lon > 2.6) & (lon < 3.4) & (lat < 3.6), 0.9).otherwise(0.0)
+    got = {r.leg: r for r in routing.route_legs(rows, coast, "land", hill, column).collect()}
+    assert got[0].routed and got[0].kept and len(got[0].path) > 2 and not got[1].routed
+
+
+def test_vertices_unwrap_the_hinted_way(spark):
+    point = "struct<lat: double, lon: double>"
+    rows = spark.createDataFrame([(1, 170.0, [(1.0, -175.0), (None, 3.0)], -160.0, None), (2, 10.0, None, 20.0, "west"), (3, 0.0, [(0.0, 90.0)], 0.0, "East")], f"k long, a double, via array<{point}>, b double, hint string")
+    path = legs.expanded_vertices(F.lit(0.0), F.col("a"), F.col("via"), F.lit(0.0), F.col("b"), F.col("hint"), F.lit(None).cast("double"))
+    got = {r.k: [p.lon for p in r.path] for r in rows.select("k", path.alias("path")).collect()}
+    assert got == {1: [170.0, 185.0, 200.0], 2: [10.0, -340.0], 3: [0.0, 90.0, 360.0]}

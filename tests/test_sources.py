@@ -95,8 +95,8 @@ def test_pages(spark, tmp_path):
     pages = row.select("trip", readers.standalone_page(F.col("title"), F.col("body"), F.col("data")).alias("html"))
     html = pages.first().html
     assert html.startswith("<!doctype html>") and "<title>A &lt;b&gt;</title>" in html and '{"a":"\\u003c/script>"}' in html
-    readers.write_pages(pages, str(tmp_path / "out"))
-    assert "<p>x</p>" in "".join(p.read_text() for p in (tmp_path / "out").rglob("part-*"))
+    assert readers.write_pages(pages, str(tmp_path / "out")) == 1
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["t.html"] and (tmp_path / "out" / "t.html").read_text() == html
 
 
 def test_blob_store(spark, tmp_path):
@@ -126,3 +126,33 @@ def test_era_places_and_aliases(spark, tmp_path):
     assert {r.query: r.name for r in got.collect()} == {1: "Mid", 2: "New", 3: "Mid", 4: "New", 5: None, 6: "Old"}
     (tmp_path / "sources.json").write_text('{"p": "Pleiades:12:3", "q": "none"}')
     assert [tuple(r) for r in readers.read_attributions(spark, str(tmp_path / "sources.json")).collect()] == [("p", "Pleiades", "12:3")]
+
+
+def test_headers_beyond_the_first_bytes(spark, tmp_path, monkeypatch):
+    """A photo whose header ends beyond what is read at first is read whole; times fall back to later entries."""
+    from itinera.plans.scan_queries import _jpeg
+
+    place = (("N", (38, 30, 0)), ("E", (26, 15, 0)))
+    (tmp_path / "far.jpg").write_bytes(_jpeg(None, None, "2001:02:03 04:05:06", place, lead=60_000))
+    (tmp_path / "cut.jpg").write_bytes(_jpeg("2001:02:03 04:05:06", None, None, place, lead=10)[:200])
+    for head in (64, 1000, 60_100, readers.HEAD_BYTES):
+        monkeypatch.setattr(readers, "HEAD_BYTES", head)
+        got = {n: readers._photo(str(tmp_path / n), (tmp_path / n).stat().st_size) for n in ("far.jpg", "cut.jpg")}
+        assert got["far.jpg"][:3] == (False, 38.5, 26.25) and str(got["far.jpg"][3]) == "2001-02-03 04:05:06"
+        assert got["cut.jpg"] == (False, None, None, None)
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from itinera.sources.storage import shared_dir
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)

@@ -39,3 +39,16 @@ def test_daily_counts(spark, tmp_path):
     got = {(r.owner, r.start): r.n for r in run(spark, streams.daily_counts(stream), "days", "append").collect()}
     want = {(r.owner, r.d): r.n for r in batch.groupBy("owner", F.date_trunc("day", "ts").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got and all(want[k] == n for k, n in got.items())
+
+
+def test_old_and_undated_photos(spark, tmp_path):
+    """Times before 1970 split by gaps like any others, and photos without a time follow those with one."""
+    day = 86_400_000_000
+    rows = [(1, i, -1800 * day + i * day, 35.0, 33.0) for i in range(4)] + [(1, 9, None, 35.0, 33.0), (2, 1, None, 1.0, 1.0)]
+    batch = spark.createDataFrame(rows, "owner long, photo_id long, us long, lat double, lon double")
+    stored = batch.withColumn("ts", F.timestamp_micros("us")).repartition(1)
+    stored.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(stored.schema).parquet(str(tmp_path / "in"))
+    got = {(r.owner, r.photo_id): r.cluster for r in run(spark, streams.label_stream(stream), "old").collect()}
+    assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 3): 3, (1, 9): 3, (2, 1): 0}
+    assert got == {(r.owner, r.photo_id): r.cluster for r in label_photos(batch).collect()}
