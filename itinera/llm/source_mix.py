@@ -13,8 +13,10 @@ MOST_SHARDS shards, and more data makes them larger, not more. A source of any
 size is spread over shards, each a range of document hashes.
 
 Defined results: null text has size zero; the null source is a source, the last;
-documents of size zero are never taken; repeated rows are documents of their own;
-an empty table, or one without words, gives targets of zero.
+documents of size zero are never taken; of equal quotients the first source or shard
+wins; repeated rows are documents of their own; texts of any length are counted
+whole; other columns keep their names and values, whatever these are; an empty table,
+or one without words, gives targets of zero.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from itinera.llm import language_id as L
 from itinera.llm.language_id import Model, build_model, fold, has_letter, identify, keep_identified, ngram_hashes, train
@@ -150,3 +151,19 @@ def test_rejection_is_a_quantile_of_clean_text_of_any_length(spark):
     other = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(8, 60))) for _ in range(300)]
     other += ["the quick brown fox jumps over the lazy dog while nobody was looking", "questa frase non appartiene a nessuna delle lingue conosciute qui", "быстрая лиса перепрыгнула через собаку", "ova rečenica nije napisana ni na jednom od naučenih jezika"] * 20
     assert model.predict(other)[3].mean() >= 0.95
+
+
+def test_identify_equals_each_text_by_itself(spark):
+    rows = corpus(150) + [(900 + i, t, None, 0.0, "") for i, t in enumerate(["", "a", "zzz qqq", None, "abc mno " * 20_000])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = train(df.filter(~L.held_out(F.col("doc_id"))))
+    texts = {r[0]: r[1] for r in rows}
+    for r in identify(df.repartition(3)).collect():
+        text = texts[r.doc_id]
+        if not has_letter(text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        entropies = model.cross_entropy(fold(text))
+        assert r.lang_pred == model.languages[int(entropies.argmin())] and abs(r.cross_entropy - entropies.min()) < 1e-9
+        limit = model.thresholds[int(entropies.argmin()), int(L.length_class(np.array([len(fold(text)) - 1]))[0])]
+        assert r.rejected == (entropies.min() > limit)

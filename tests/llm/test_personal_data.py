@@ -242,3 +242,16 @@ def test_sample_is_halved_and_free_of_copies(spark):
     whole = P.labelled_windows(spark.createDataFrame(rows, SCHEMA).repartition(1), "text", most=20).collect()
     least = {bool(k): sorted({r.h for r in found if bool(r.spans) == k})[:20] for k in (True, False)}
     assert least == {k: sorted(r.h for r in whole if bool(r.spans) == k) for k in (True, False)}
+
+
+def test_added_spans_equal_each_text_by_itself(spark):
+    """The whole query against one document at a time; neighbours in a batch change nothing."""
+    rng = random.Random(31)
+    rows = [(i, independent(rng)[0], "k", "s") for i in range(120)] + [(500, "x " * 100_000 + "call (415) 555-0199 or so", "k", "s")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    model = P.train(spark.createDataFrame(corpus(600), SCHEMA))
+    texts = {r[0]: r[1] for r in rows}
+    for r in P.find_personal_data(df, model=model).collect():
+        base = P.base_spans(texts[r.doc_id])
+        want = sorted([*base, *P.added_spans([texts[r.doc_id]], [base], model)[0]])
+        assert r.spans == ",".join(f"{P.KINDS[k]}:{a}:{b}" for k, a, b in want) and r.n_spans == len(want)

@@ -70,3 +70,12 @@ def test_many_repositories_of_one_owner_are_copies(spark):
     got = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i].n_live == 0 and got[i].n_copied == 1 and got[i].spans == "assign:33:59" for i in range(12))
     assert all(got[20 + i].spans == "live:4:24" and got[20 + i].n_copied == 0 for i in range(3))
+
+
+def test_very_long_texts_and_hot_values(spark):
+    """A text of a million characters, and one value in a third of many documents."""
+    hot = "token=Hj3dF6gS0aY5uE8iO2kM"
+    rows = [(1, "word " * 200_000 + hot, "a", 1, "h")] + [(i, hot if i % 3 == 0 else f"plain {i}", f"o{i % 4}", 2, "h") for i in range(2, 3000)]
+    got = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert len(got) == 2999 and got[1].spans == "assign:1000000:1000026" and got[1].n_copied == 1
+    assert all(got[i].n_assign == (i % 3 == 0) and got[i].n_live == 0 for i in range(2, 3000))

@@ -3,7 +3,9 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from itinera.llm import source_mix as M
 from itinera.llm.source_mix import mix, mixed, sainte_lague, take_words, water_fill
 
 SCHEMA = "doc_id long, text string, source string, shard string, target double"
@@ -111,3 +113,36 @@ def test_take_words():
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert mix(df).count() == 0 and mixed(df).count() == 0
+
+
+def test_taken_words_equal_a_plain_ring(spark):
+    """Word by word: a shard's quota of blocks is laid around its ring of documents from the seeded start."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["a", "b", "c", None]), rng.choice([0, 1, 3, 8, 50, 400, 3000])) for i in range(300)]
+    sized = spark.createDataFrame(rows, "row long, source string, size long")
+    found = M.mix_sizes(sized, shard_words=5000).select(
+        "row", "source", "shard", "size", "taken", F.xxhash64("key").alias("place"), F.xxhash64(F.lit(M.SEED), "source", "shard").alias("start")
+    ).collect()
+    shards = {}
+    for r in found:
+        shards.setdefault((r.source, r.shard), []).append(r)
+    plan = M.plan_mix([(source, shard, sum(r.size for r in docs)) for (source, shard), docs in shards.items()])
+    assert len(shards) > 8 and sum(r.taken for r in found) > 0
+    for (source, shard), docs in shards.items():
+        docs.sort(key=lambda r: (r.place, r.row))
+        words = [r.row for r in docs for _ in range(r.size)]
+        blocks = [words[i : i + M.BLOCK] for i in range(0, len(words), M.BLOCK)]
+        taken = dict.fromkeys((r.row for r in docs), 0)
+        first = docs[0].start % len(blocks) if blocks else 0
+        for k in range(plan[source][2][shard]):
+            for row in blocks[(first + k) % len(blocks)]:
+                taken[row] += 1
+        assert {r.row: r.taken for r in docs} == taken
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    rows = [(1, "word " * 200_000, "s", 5, "x", 1.0), (2, "a b", "s", 6, "y", 2.0), (3, None, None, 7, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long, _row string, target double")
+    assert {r.doc_id: r["size"] for r in M.mix(docs).collect()} == {1: 200_000, 2: 2, 3: 0}
+    out = M.mixed(docs)
+    assert out.columns == docs.columns and out.filter("doc_id = 1").count() >= 1
