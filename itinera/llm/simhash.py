@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itinera.llm.common import join_counted, materialise, small_or_shuffled
+from itinera.llm.common import discard, join_counted, materialise, small_or_shuffled
 from itinera.llm.components import connected_components
 
 RADIUS = 3
@@ -381,7 +381,8 @@ def shingle_links(docs: DataFrame, rows: DataFrame, tile: int = TILE) -> DataFra
 
     left = materialise(pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a"), "near-pairs")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    links = materialise(both.mapInArrow(_alike_pairs, "a long, b long"), "near-texts")
+    links = near = materialise(both.mapInArrow(_alike_pairs, "a long, b long"), "near-texts")
+    discard(left, pairs, wanted, banded, shared)
 
     # Bands whose members are not yet connected: all pairs of their components, in tiles.
     roots = connected_components(links)
@@ -402,28 +403,39 @@ def shingle_links(docs: DataFrame, rows: DataFrame, tile: int = TILE) -> DataFra
         links = links.unionByName(more)
     heads = nodes.select("node", "head")
     links = links.join(heads.select(F.col("node").alias("a"), F.col("head").alias("fa")), "a").join(heads.select(F.col("node").alias("b"), F.col("head").alias("fb")), "b")
-    return same.unionByName(links.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    found = materialise(same.unionByName(links.select(F.col("fa").alias("a"), F.col("fb").alias("b"))), "shingle-links")
+    discard(owners, nodes, members, sets, near, placed, unsettled)
+    return found
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, by_shingles: bool = False) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (least doc_id that is reachable).
-
-    With ``by_shingles`` near copies by shingle similarity are linked besides; doc_id
-    is then a struct (none, id, hash).
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str, tile: int, by_shingles: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """One row per document: doc_id, fp, component_id; and the stored tables that this reads."""
     rows = materialise(sketches(docs) if by_shingles else fingerprints(docs, id_col, text_col), "fingerprints")
     by_fp = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     by_fp = materialise(by_fp, "distinct-fingerprints")
     links = near_links(by_fp.select("fp"), tile)
     if by_shingles:
-        links = links.unionByName(shingle_links(docs, rows, tile))
-    roots = connected_components(links)
+        more = shingle_links(docs, rows, tile)
+        roots = connected_components(links.unionByName(more))
+        discard(more)
+    else:
+        roots = connected_components(links)
     members = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
     heads = members.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = materialise(members.join(heads, "root").select("fp", "component_id"), "fingerprint-components")
-    by_fp = by_fp.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
-    by_fp = materialise(by_fp, "fingerprint-classes")
-    return join_counted(rows, by_fp, ["fp"], rows.count()).select("doc_id", "fp", "component_id")
+    named = by_fp.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    named = materialise(named, "fingerprint-classes")
+    discard(by_fp, moved)
+    return join_counted(rows, named, ["fp"], rows.count()).select("doc_id", "fp", "component_id"), [rows, named]
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, by_shingles: bool = False) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (least doc_id that is reachable).
+
+    With ``by_shingles`` near copies by shingle similarity are linked besides; doc_id
+    is then a struct (none, id, hash).
+    """
+    return _components(docs, id_col, text_col, tile, by_shingles)[0]
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -445,7 +457,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
     none = F.col(id_col).isNull()
     keyed = docs.select(F.struct(none.alias("none"), F.col(id_col).alias("id"), words.alias("hash")).alias("doc_id"), F.col(text_col).alias("text"))
-    found = materialise(simhash_components(keyed, tile=tile, by_shingles=by_shingles).select("doc_id", "component_id"), "near-copies")
+    judged, stored = _components(keyed, "doc_id", "text", tile, by_shingles)
+    found = materialise(judged.select("doc_id", "component_id"), "near-copies")
+    discard(*stored)
     kept = materialise(found.select("component_id").distinct(), "kept-keys")
     rows = docs.select(F.struct(*map(F.col, docs.columns)).alias("keep"), F.struct(none.alias("none"), F.col(id_col).alias("id"), words.alias("hash")).alias("key"))
 
@@ -455,6 +469,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = rows.join(small_or_shuffled(kept), same(F.col("component_id")), "left_semi")
     repeated = found.groupBy(F.col("doc_id").alias("again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("again")
     repeated = materialise(repeated, "repeated-keys")
+    discard(found)
     if not repeated.isEmpty():
         # Rows that repeat an id and text: any one of each stays. Tasks keep one each before they meet.
         again = small_or_shuffled(repeated)
