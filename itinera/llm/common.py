@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,3 +105,23 @@ def small_or_shuffled(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def fold_table(digits: bool = True) -> bytes:
+    """Byte by byte: A-Z to lower case; letters, digits if wanted, and all bytes beyond ASCII stay; the rest separates words."""
+    kept = lambda c: c.islower() or (digits and c.isdigit())
+    return bytes(ord(c) if kept(c) else ord(" ") for c in (chr(b).lower() for b in range(128))) + bytes(range(128, 256))
+
+
+def words_within(text: bytes | None, fold: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in UTF-8 by ``fold_table``, those of about ``most`` bytes at a time."""
+    data = text or b""
+    open_: list[bytes] = []
+    for at in range(0, max(1, len(data)), most):
+        piece = data[at : at + most].translate(fold)
+        cut = piece.rfind(b" ") if at + most < len(data) else len(piece)
+        if cut < 0:
+            open_.append(piece)
+            continue
+        yield b"".join([*open_, piece[:cut]]).split()
+        open_ = [piece[cut:]]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itinera.llm import decontaminate, exact_dedup, language_id, personal_data, secret_scan, simhash, source_mix, token_files, url_filter, warc
+from itinera.llm import byte_bpe, decontaminate, divergence, exact_dedup, language_id, personal_data, resampling, secret_scan, simhash, source_mix, token_files, url_filter, warc
 from itinera.llm.common import table
 
 
@@ -56,6 +56,26 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe_ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe_ranks_path, public_tokenizers.PATTERN)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_output": op2_token_output,
@@ -67,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_resample": op11_resample,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_divergence": op13_divergence,
 }
 
 def _secret_sql() -> str:
@@ -117,6 +140,37 @@ def _secret_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op13_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ),
+        w AS (SELECT r, lang, source, unnest(words) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS whole FROM kept GROUP BY lang),
+        wholes AS (SELECT lang, source, coalesce(sum(n), 0) AS whole FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+        shares AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (wholes.whole + v))::BIGINT AS p,
+                   (1 + 1000000000::HUGEINT * (lang_n + 1) // (langs.whole + v))::BIGINT AS q
+            FROM groups JOIN wholes USING (lang, source) JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+        ),
+        sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+        ),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+        )
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+        FROM parts QUALIFY part = 'pair' OR rank <= 200
+    """,
     "op1_secret_scan": _secret_sql(),
     "op6_warc": r"""
         WITH hashed AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
