@@ -1,8 +1,7 @@
 """Land and water: point in polygon, landmasses, leg audits, vehicle inference.
 
-Polygons are indexed by one-degree cells. A cell holds the edges that a point in it
-can cross on its way east and no others, so a point meets them by an equi-join, and
-the index grows with the edges, not with whole polygons times the cells they cover.
+Polygons are looked up through a multi-level covering (``covering``), which every
+function here takes in place of a layer; a layer is covered once per call.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from itinera.functions.geo import half_up
 from itinera.functions.text import trimmed
+from itinera.operators.covering import Covering, cover, locate
 from itinera.operators.folds import km_between
 from itinera.operators.legs import leg_km, sample_legs, segment_km, vertices
 from itinera.plans import dims
@@ -28,45 +28,6 @@ def real_rings(coast: Column) -> Column:
     return F.filter(coast, lambda r: (F.size(r) >= 3) & F.exists(r, lambda p: ~F.coalesce(F.get(p, F.lit(2)).eqNullSafe(F.lit(1.0)), F.lit(False))))
 
 
-def polygon_cells(land: DataFrame) -> DataFrame:
-    """Polygons (ord, polygon, rings of lon/lat structs) by cell: row, column, rings with their edges, in order.
-
-    An edge belongs to the rows that it spans, and there to the columns from its
-    polygon's west to its own east: to others no crossing can come from it.
-    """
-    edge = lambda axis, f: f(F.transform(F.col("rings")[0], lambda p: p[axis]))
-    box = F.struct(edge("lon", F.array_min).alias("w"), edge("lat", F.array_min).alias("s"), edge("lon", F.array_max).alias("e"), edge("lat", F.array_max).alias("n"))
-    boxed = land.select("ord", "polygon", "rings", box.alias("box"))
-    rings = boxed.select("ord", "polygon", "box", F.posexplode("rings").alias("ring", "r"))
-    before = F.concat(F.slice("r", -1, 1), F.slice("r", 1, F.size("r") - 1))
-    pairs = F.zip_with("r", before, lambda p, q: F.struct(p["lon"].alias("x1"), p["lat"].alias("y1"), q["lon"].alias("x2"), q["lat"].alias("y2")))
-    edges = rings.select("ord", "polygon", "box", "ring", F.explode(pairs).alias("edge")).filter("edge.y1 <> edge.y2")
-    y1, y2, x1, x2 = (F.col(f"edge.{c}") for c in ("y1", "y2", "x1", "x2"))
-    east = F.greatest(F.floor(F.greatest(x1, x2)), F.floor("box.w"))
-    spread = edges.withColumn("_row", F.explode(F.sequence(F.floor(F.least(y1, y2)), F.floor(F.greatest(y1, y2)))))
-    spread = spread.withColumn("_column", F.explode(F.sequence(F.floor("box.w"), east)))
-    held = spread.groupBy("_row", "_column", "ord", "polygon", "box", "ring").agg(F.collect_list("edge").alias("edges"))
-    return held.groupBy("_row", "_column").agg(F.array_sort(F.collect_list(F.struct("ord", "ring", "polygon", "box", "edges"))).alias("_rings"))
-
-
-def locate(points: DataFrame, land: DataFrame, out: str = "landmass", lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Add the first polygon that holds each point, holes left out; null for water."""
-    here = points.withColumns({"_row": F.floor(F.col(lat)), "_column": F.floor(F.col(lon))})
-    joined = here.join(polygon_cells(land), ["_row", "_column"], "left")
-
-    def crossed(e: Column) -> Column:
-        spans = (e["y1"] > F.col(lat)) != (e["y2"] > F.col(lat))
-        return spans & (F.col(lon) < (e["x2"] - e["x1"]) * (F.col(lat) - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
-
-    def odd(r: Column) -> Column:
-        near = F.col(lon).between(r["box"]["w"], r["box"]["e"]) & F.col(lat).between(r["box"]["s"], r["box"]["n"])
-        return near & (F.size(F.filter(r["edges"], crossed)) % 2 == 1)
-
-    inside = F.transform(F.filter("_rings", odd), lambda r: F.struct(r["ord"].alias("ord"), r["ring"].alias("ring"), r["polygon"].alias("polygon")))
-    first = F.try_element_at(F.filter("_in", lambda r: (r["ring"] == 0) & ~F.exists("_in", lambda h: (h["ord"] == r["ord"]) & (h["ring"] > 0))), F.lit(1))
-    return joined.withColumn("_in", inside).withColumn(out, first["polygon"]).drop("_row", "_column", "_rings", "_in")
-
-
 def polygons_near(boxes: DataFrame, key: str, land: DataFrame, pad: float = 1.0) -> DataFrame:
     """key, polygons (their rings, in order) that may touch each box (w, s, e, n), by the cells of both."""
     span = lambda low, high: F.sequence(F.floor(F.col(low) - pad), F.floor(F.col(high) + pad))
@@ -125,7 +86,7 @@ class Coast:
         return bool((~on_land(lon1 + (lon2 - lon1) * t, lat1 + (lat2 - lat1) * t, self.polygons)).mean() > share)
 
 
-def locate_in_layers(points: DataFrame, packs: DataFrame, boxes: DataFrame, land: DataFrame) -> DataFrame:
+def locate_in_layers(points: DataFrame, packs: DataFrame, boxes: DataFrame, land: DataFrame | Covering) -> DataFrame:
     """Add on_land: a detailed pack whose box covers the point decides, else the coarse layer.
 
     packs: polygons as for ``locate``; boxes: w, s, e, n of each pack.
@@ -154,11 +115,12 @@ def probes(lat: Column, lon: Column) -> Column:
     return F.array(*out)
 
 
-def landmass_near(points: DataFrame, key: list[str], land: DataFrame) -> DataFrame:
+def landmass_near(points: DataFrame, key: list[str], land: DataFrame | Covering) -> DataFrame:
     """key, landmass, snap_km: the landmass of each keyed point, reached outwards where it lies off it.
 
     Distinct positions are looked up once, and only those off land try the rings.
     """
+    land = cover(land)
     spots = locate(points.select("lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct(), land)
     on = spots.filter("landmass IS NOT NULL").withColumn("snap_km", F.lit(0))
     tries = F.slice(probes(F.col("lat"), F.col("lon")), 2, 8 * len(SNAP_KM))
@@ -169,7 +131,7 @@ def landmass_near(points: DataFrame, key: list[str], land: DataFrame) -> DataFra
     return points.select(*key, "lat", "lon").join(reached, ["lat", "lon"], "left").select(*key, "landmass", "snap_km")
 
 
-def same_landmass(legs: DataFrame, land: DataFrame) -> DataFrame:
+def same_landmass(legs: DataFrame, land: DataFrame | Covering) -> DataFrame:
     """trip, leg, same: whether both ends share a landmass; null where one lies too far off any."""
     ends = legs.select("trip", "leg", F.lit("a").alias("at"), F.col("from_lat").alias("lat"), F.col("from_lon").alias("lon")).unionByName(
         legs.select("trip", "leg", F.lit("b").alias("at"), F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"))
@@ -179,7 +141,7 @@ def same_landmass(legs: DataFrame, land: DataFrame) -> DataFrame:
     return both.select("trip", "leg", (F.col("a") == F.col("b")).alias("same"))
 
 
-def _share_of_water(legs: DataFrame, land: DataFrame, lines: Column, n: int) -> DataFrame:
+def _share_of_water(legs: DataFrame, land: DataFrame | Covering, lines: Column, n: int) -> DataFrame:
     """trip, leg, at, water: mean share of interior samples off land over the lines of each leg."""
     t = F.explode(F.sequence(F.lit(1), F.lit(n - 1)))
     rows = legs.select("trip", "leg", F.explode(lines).alias("x")).select("trip", "leg", "x.*", t.alias("i"))
@@ -196,13 +158,13 @@ def _line(at: str, a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column) -
     return F.struct(F.lit(at).alias("at"), a_lat.alias("a_lat"), a_lon.alias("a_lon"), b_lat.alias("b_lat"), b_lon.alias("b_lon"))
 
 
-def water_fraction(legs: DataFrame, land: DataFrame, samples: int = 12) -> DataFrame:
+def water_fraction(legs: DataFrame, land: DataFrame | Covering, samples: int = 12) -> DataFrame:
     """trip, leg, water: the share of a leg's straight line that lies off land."""
     line = F.array(_line("leg", F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon")))
     return _share_of_water(legs, land, line, samples).drop("at")
 
 
-def local_land(legs: DataFrame, land: DataFrame, reach: float = 0.03) -> DataFrame:
+def local_land(legs: DataFrame, land: DataFrame | Covering, reach: float = 0.03) -> DataFrame:
     """trip, leg, from_land, to_land: the share of land on four short lines through each end."""
     lines = []
     for at, lat, lon in (("from", F.col("from_lat"), F.col("from_lon")), ("to", F.col("to_lat"), F.col("to_lon"))):
@@ -214,8 +176,9 @@ def local_land(legs: DataFrame, land: DataFrame, reach: float = 0.03) -> DataFra
     return wet.groupBy("trip", "leg").agg(dry("from").alias("from_land"), dry("to").alias("to_land"))
 
 
-def across_water(legs: DataFrame, land: DataFrame, km: float = 10.0, share: float = 0.6) -> DataFrame:
+def across_water(legs: DataFrame, land: DataFrame | Covering, km: float = 10.0, share: float = 0.6) -> DataFrame:
     """trip, leg, apart: the ends lie on different landmasses, or far apart with mostly water between."""
+    land = cover(land)
     far = legs.filter(leg_km() > km)
     wet = legs.join(same_landmass(legs, land), ["trip", "leg"]).join(water_fraction(far, land), ["trip", "leg"], "left")
     apart = F.coalesce(~F.col("same"), F.lit(False)) | F.coalesce(F.col("water") > share, F.lit(False))
@@ -228,7 +191,7 @@ def modality(vehicle: Column) -> Column:
     return F.when(v.isin(*dims.AIRCRAFT), "air").when(v.isin(*dims.BOATS), "boat").otherwise("land")
 
 
-def audit_legs(legs: DataFrame, land: DataFrame, tolerance: float = 0.15) -> DataFrame:
+def audit_legs(legs: DataFrame, land: DataFrame | Covering, tolerance: float = 0.15) -> DataFrame:
     """Legs whose vehicle is off its medium on more than a share of its path.
 
     legs: as from ``legs_of``, with vehicle, and via if there are any. Returns trip,
@@ -254,14 +217,14 @@ def audit_legs(legs: DataFrame, land: DataFrame, tolerance: float = 0.15) -> Dat
     )
 
 
-def audit_trips(legs: DataFrame, land: DataFrame) -> DataFrame:
+def audit_trips(legs: DataFrame, land: DataFrame | Covering) -> DataFrame:
     """trip, legs, findings: how many legs each trip has and which are off their medium."""
     bad = audit_legs(legs, land).groupBy("trip").agg(F.array_sort(F.collect_list("leg")).alias("findings"))
     none = F.array().cast("array<int>")
     return legs.groupBy("trip").agg(F.count(F.lit(1)).alias("legs")).join(bad, "trip", "left").withColumn("findings", F.coalesce("findings", none))
 
 
-def crosses(legs: DataFrame, land: DataFrame, medium: str, step_km: float = 8) -> DataFrame:
+def crosses(legs: DataFrame, land: DataFrame | Covering, medium: str, step_km: float = 8) -> DataFrame:
     """trip, leg, crosses: whether the inside of a leg's path touches ``land`` or ``water``."""
     via = F.col("via") if "via" in legs.columns else F.lit(None).cast("array<struct<lat: double, lon: double>>")
     paths = legs.select("trip", "leg", vertices(F.col("from_lat"), F.col("from_lon"), via, F.col("to_lat"), F.col("to_lon")).alias("path"))
@@ -283,13 +246,14 @@ def crosses_terrain(path: Column, cost, limit: float = 0.35) -> Column:
     return F.exists(F.zip_with(F.slice(path, 1, n - 1), F.slice(path, 2, n), over), lambda hit: hit)
 
 
-def infer_vehicles(legs: DataFrame, land: DataFrame, sea_share: float = 0.5) -> DataFrame:
+def infer_vehicles(legs: DataFrame, land: DataFrame | Covering, sea_share: float = 0.5) -> DataFrame:
     """trip, leg, suggestion: how a leg was probably travelled.
 
     legs: as from ``legs_of`` with era and year (either may be null). Water is
     sampled only for legs that distance and era do not decide, and the ends' shores
     and landmasses only for those that still need them.
     """
+    land = cover(land)
     spark = legs.sparkSession
     eras = dims.eras(spark).select("era", "sea", "land", "air", F.floor((F.col("start_year") + F.col("end_year")) / 2 + 0.5).alias("mid"))
     since = F.create_map(*[F.lit(x) for pair in dims.AIR_SINCE.items() for x in pair])
@@ -325,12 +289,13 @@ def infer_vehicles(legs: DataFrame, land: DataFrame, sea_share: float = 0.5) ->
     return full.select("trip", "leg", said.alias("suggestion"))
 
 
-def raster(box: tuple[float, float, float, float], land: DataFrame, cell: float = 0.08, most: int = 14_400) -> DataFrame:
+def raster(box: tuple[float, float, float, float], land: DataFrame | Covering, cell: float = 0.08, most: int = 14_400) -> DataFrame:
     """A grid over a box (w, s, e, n): r, c, lat, lon, on_land, near (a water cell beside land).
 
     Cells grow where the grid would exceed ``most`` cells; each axis has 24 at least.
     """
-    spark = land.sparkSession
+    land = cover(land)
+    spark = land.polygons.sparkSession
     w, s, e, n = box
     columns, rows = max(24, math.ceil((e - w) / cell) + 1), max(24, math.ceil((n - s) / cell) + 1)
     if columns * rows > most:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itinera.functions.dates import micros_of
+from itinera.operators.covering import Covering, cover
 from itinera.plans import dims
+from itinera.sources.storage import shared_dir
 
 #: Vehicles with a first year.
 DATED = sum(since is not None for *_, since in dims.VEHICLES)
@@ -72,6 +74,17 @@ def years(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_COASTS: dict[str, Covering] = {}
+
+
+def coast(spark: SparkSession) -> Covering:
+    """The land layer, covered once in a session."""
+    key = f"{spark.sparkContext.applicationId} {shared_dir(spark)}"
+    if key not in _COASTS or not _COASTS[key].exists():
+        _COASTS[key] = cover(dims.land(spark))
+    return _COASTS[key]
+
+
 def _leg_table(spark: SparkSession, sf_dir: str, place: list[str]) -> DataFrame:
     """Legs from orders: trip, leg, ends, via (some unplaced), hint, degrees, vehicle."""
     at = lambda i: F.expr(place[i].replace("::DOUBLE", "D"))

@@ -78,7 +78,7 @@ def leg_samples_via(spark, sf_dir):
         array_to_string(list_transform(w[1:3], lambda x: x.s || ':' || x.a || ':' || x.b || ':' || x.t), ' ') AS examples FROM audited WHERE offending / samples > 0.15"""
 )
 def leg_audit_via(spark, sf_dir):
-    found = land.audit_legs(bridge.via_legs(spark, sf_dir), dims.land(spark))
+    found = land.audit_legs(bridge.via_legs(spark, sf_dir), bridge.coast(spark))
     whole = lambda x, scale: F.floor(x * scale + 0.5).cast("string")
     said = F.transform("examples", lambda e: F.concat_ws(":", e["s"].cast("string"), whole(e["lat"], 1000), whole(e["lon"], 1000), whole(e["t"], 100)))
     return found.select("trip", "leg", "vehicle", "modality", "ratio", "samples", "offending", "km", F.array_join(said, " ").alias("examples"))
@@ -92,7 +92,7 @@ def leg_audit_via(spark, sf_dir):
     + ", touched AS (SELECT trip, leg, bool_or(landmass IS NULL) AS wet, bool_or(landmass IS NOT NULL) AS dry FROM located GROUP BY trip, leg) SELECT trip, leg, coalesce(wet, false) AS wet, coalesce(dry, false) AS dry FROM via_legs LEFT JOIN touched USING (trip, leg)"
 )
 def chord_crosses_via(spark, sf_dir):
-    rows, coast = bridge.via_legs(spark, sf_dir), dims.land(spark)
+    rows, coast = bridge.via_legs(spark, sf_dir), bridge.coast(spark)
     wet, dry = (land.crosses(rows, coast, medium).withColumnRenamed("crosses", name) for medium, name in (("water", "wet"), ("land", "dry")))
     return wet.join(dry, ["trip", "leg"])
 
@@ -119,8 +119,8 @@ _PACK = [(0, "fine", [[(30.0, 37.0), (30.5, 37.0), (30.5, 37.5), (30.0, 37.5)]])
     SELECT trip, leg, CASE WHEN lon BETWEEN 29.5 AND 31.5 AND lat BETWEEN 36.5 AND 38.5 THEN lat >= 37.0 AND lat < 37.5 AND lon >= 30.0 AND lon < 30.5 ELSE landmass IS NOT NULL END AS on_land FROM located""")
 def layered_land(spark, sf_dir):
     points = bridge.via_legs(spark, sf_dir).select("trip", "leg", F.col("from_lat").alias("lat"), F.col("from_lon").alias("lon"))
-    coast = dims.land(spark)
-    packs = spark.createDataFrame(_PACK, coast.schema)
+    coast = bridge.coast(spark)
+    packs = spark.createDataFrame(_PACK, dims.land(spark).schema)
     boxes = spark.createDataFrame([(29.5, 36.5, 31.5, 38.5)], "w double, s double, e double, n double")
     return land.locate_in_layers(points, packs, boxes, coast).select("trip", "leg", "on_land")
 

@@ -860,7 +860,7 @@ def _landed(samples: str, keys: str, out: str = "located") -> str:
 @query(with_("stops") + f", {_EDGES}, placed AS (SELECT trip, seq, lat, lon FROM stops WHERE lat IS NOT NULL)" + _landed("placed", "trip, seq") + " SELECT trip, seq, landmass, landmass IS NOT NULL AS on_land FROM located")
 def point_on_land(spark, sf_dir):
     placed = bridge.stops(spark, sf_dir).filter("lat IS NOT NULL")
-    found = land.locate(placed, dims.land(spark))
+    found = land.locate(placed, bridge.coast(spark))
     return found.select("trip", "seq", "landmass", F.col("landmass").isNotNull().alias("on_land"))
 
 
@@ -870,7 +870,7 @@ _WATER = f"""
 
 @query(with_("stops") + _LEGS + _WATER + _landed("samples", "trip, leg, i") + f" SELECT trip, leg, {half_up('avg((landmass IS NULL)::INT)', 6)} AS water FROM located GROUP BY trip, leg")
 def water_fraction(spark, sf_dir):
-    found = land.water_fraction(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark))
+    found = land.water_fraction(legs.legs_of(bridge.stops(spark, sf_dir)), bridge.coast(spark))
     return found.select("trip", "leg", r(F.col("water")).alias("water"))
 
 
@@ -889,7 +889,7 @@ samples AS (SELECT trip, leg, side, up, across, i, (lat0 - up * 0.03::DOUBLE) +
     FROM located GROUP BY trip, leg"""
 )
 def local_land(spark, sf_dir):
-    found = land.local_land(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark))
+    found = land.local_land(legs.legs_of(bridge.stops(spark, sf_dir)), bridge.coast(spark))
     return found.select("trip", "leg", r(F.col("from_land")).alias("from_land"), r(F.col("to_land")).alias("to_land"))
 
 
@@ -912,7 +912,7 @@ def _same_sql(legs_table: str) -> str:
 
 @query(with_("stops") + _LEGS + f", {_EDGES}" + _same_sql("legs") + " SELECT trip, leg, same FROM same_mass")
 def same_landmass(spark, sf_dir):
-    return land.same_landmass(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark))
+    return land.same_landmass(legs.legs_of(bridge.stops(spark, sf_dir)), bridge.coast(spark))
 
 
 _WET = """
@@ -929,7 +929,7 @@ _WET += _landed("wet_samples", "trip, leg, i", "wet_land") + ", wet AS (SELECT t
     + f" SELECT l.trip, l.leg, coalesce(NOT same, false) OR ({_LEG_KM} > 10 AND water > 0.6) AS apart FROM legs l JOIN same_mass USING (trip, leg) JOIN wet USING (trip, leg)"
 )
 def across_water(spark, sf_dir):
-    return land.across_water(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark))
+    return land.across_water(legs.legs_of(bridge.stops(spark, sf_dir)), bridge.coast(spark))
 
 
 _SAMPLED = f"""
@@ -962,7 +962,7 @@ def _leg_paths(spark, sf_dir):
            samples, offending, floor(d + 0.5)::BIGINT AS km, first_wrong::INT AS first_wrong FROM audited WHERE offending / samples > 0.15"""
 )
 def leg_audit(spark, sf_dir):
-    found = land.audit_legs(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark))
+    found = land.audit_legs(legs.legs_of(bridge.stops(spark, sf_dir)), bridge.coast(spark))
     return found.withColumn("first_wrong", F.col("examples")[0]["s"]).drop("examples")
 
 
@@ -977,7 +977,7 @@ def leg_audit(spark, sf_dir):
     SELECT trip, count(*) AS legs, coalesce(any_value(findings), '') AS findings FROM legs LEFT JOIN lists USING (trip) GROUP BY trip"""
 )
 def trip_audit(spark, sf_dir):
-    found = land.audit_trips(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark))
+    found = land.audit_trips(legs.legs_of(bridge.stops(spark, sf_dir)), bridge.coast(spark))
     return found.withColumn("findings", F.array_join("findings", ","))
 
 
@@ -999,12 +999,12 @@ def _crosses_sql(test: str) -> str:
 
 @query(_crosses_sql("landmass IS NOT NULL"))
 def chord_crosses_land(spark, sf_dir):
-    return land.crosses(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark), "land")
+    return land.crosses(legs.legs_of(bridge.stops(spark, sf_dir)), bridge.coast(spark), "land")
 
 
 @query(_crosses_sql("landmass IS NULL"))
 def chord_crosses_water(spark, sf_dir):
-    return land.crosses(legs.legs_of(bridge.stops(spark, sf_dir)), dims.land(spark), "water")
+    return land.crosses(legs.legs_of(bridge.stops(spark, sf_dir)), bridge.coast(spark), "water")
 
 
 _AIR_SINCE = "air_since(air, y) AS (VALUES " + ", ".join(f"('{v}', {y})" for v, y in dims.AIR_SINCE.items()) + ")"
@@ -1033,7 +1033,7 @@ def vehicle_infer(spark, sf_dir):
     rows = legs.legs_of(bridge.stops(spark, sf_dir))
     era = F.element_at(F.array(*[F.lit(e[0]) for e in dims.ERAS], F.lit("unknown")), ((F.col("trip") + F.col("leg")) % 11).cast("int") + 1)
     year = F.when(F.col("leg") % 2 == 0, (F.col("trip") * 97 % 3800 - 1750).cast("int"))
-    return land.infer_vehicles(rows.withColumns({"era": era, "year": year}), dims.land(spark))
+    return land.infer_vehicles(rows.withColumns({"era": era, "year": year}), bridge.coast(spark))
 
 
 @query(
@@ -1044,7 +1044,7 @@ def vehicle_infer(spark, sf_dir):
         WHERE b.landmass IS NOT NULL AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1) AS near FROM located a"""
 )
 def raster_coast(spark, sf_dir):
-    grid = land.raster((28.0, 33.0, 44.0, 43.0), dims.land(spark))
+    grid = land.raster((28.0, 33.0, 44.0, 43.0), bridge.coast(spark))
     return grid.select("r", "c", r(F.col("lat")).alias("lat"), r(F.col("lon")).alias("lon"), "on_land", "near")
 
 

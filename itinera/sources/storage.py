@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,14 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset a temporary folder, on one machine alone."""
+    """spark.checkpoint.dir; where it is unset a folder of our own, on one machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_dir()
     return base.rstrip("/")
 
 
@@ -27,6 +33,23 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: it is computed once and outlives its executors."""
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def still_there(table: DataFrame) -> bool:
+    """Whether a table of ``stored`` has not been deleted meanwhile."""
+    from pyarrow.fs import FileType
+
+    store, path = file_system(table.stored_at)
+    return store.get_file_info(path).type == FileType.Directory
+
+
 def file_system(uri: str):
     """A pyarrow file system and the path in it; file: paths may have one slash."""
     from pyarrow import fs
