@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 
 #: Steps between states, pairs of tokens and pieces with their ids that a Python worker
 #: keeps at most; beyond that they are forgotten and made again.
-MOST_STEPS = 400_000
+MOST_STEPS = 800_000
 MOST_PAIRS = 500_000
-MEMO_PIECES = 300_000
-#: Bytes of a piece that is kept at most.
-MEMO_BYTES = 48
+MEMO_PIECES = 250_000
+#: Characters of a piece that is kept at most.
+MEMO_LENGTH = 32
 #: Pieces that are encoded at once.
 BATCH = 1 << 15
 
@@ -235,7 +235,9 @@ class Encoder:
         self.transducer = Transducer(Merges(ranks))
         self.pattern = regex.compile(pattern)
         self.odd = unlike_letters()
+        #: Ids by piece in two generations: when the younger is full it becomes the older, and what is asked for again stays.
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.memo_pieces = memo_pieces
 
     def pieces(self, text: str) -> Iterator[list[str]]:
@@ -251,11 +253,12 @@ class Encoder:
             yield part
 
     def _ids(self, piece: str) -> bytes:
-        data = piece.encode()
-        ids = array("I", self.transducer.encode(data)).tobytes()
-        if len(data) <= MEMO_BYTES:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", self.transducer.encode(piece.encode())).tobytes()
+        if len(piece) <= MEMO_LENGTH:
             if len(self.memo) >= self.memo_pieces:
-                self.memo.clear()
+                self.memo, self.older = {}, self.memo
             self.memo[piece] = ids
         return ids
 

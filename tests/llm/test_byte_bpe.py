@@ -134,7 +134,7 @@ def test_frames(spark, known):
 
 
 def test_the_memo_is_bounded(monkeypatch, known):
-    monkeypatch.setattr(byte_bpe, "MEMO_BYTES", 12)
+    monkeypatch.setattr(byte_bpe, "MEMO_LENGTH", 12)
     encoder = Encoder(read_ranks_once(), public_tokenizers.PATTERN, memo_pieces=10)
     text = " ".join(f"w{i}" for i in range(200)) + " averyverylongwordindeed"
     assert encoder.encode(text) == ids_of(known, text) and len(encoder.memo) <= 10
