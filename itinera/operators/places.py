@@ -7,9 +7,12 @@ match lies in the same cell or one of the eight around it.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,9 +147,10 @@ def refine_places(known: DataFrame, batch: DataFrame, box: float = 0.05) -> Data
     return grouped.select("idx", first.alias("first_ord"), "last.name", "last.lat", "last.lon", "pop", F.coalesce(F.try_element_at("codes", F.lit(1))["cc"], F.lit("")).alias("cc"))
 
 
-def _parts(text: Column, n: int) -> Column:
+def _parts(text: Column, n: int | Column) -> Column:
     """All pieces of n characters of a text."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n)))
 
 
 def _grams(form: Column) -> Column:
@@ -162,6 +166,26 @@ def _one_off(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), left))
 
 
+#: Rows of a side up to which it is sent to every task, by count.
+FEW_ROWS = 200_000
+
+
+def _if_few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS else rows
+
+
+def best_of_each(rows: DataFrame, key: list[str], order: list[Column | str], most: Column | int, salt: Column | None = None, salts: int = 1) -> DataFrame:
+    """The first ``most`` rows of each key, with rank.
+
+    Each task keeps its own best of a key before any rows meet. With salts the best of
+    shares of a key are found first, so that no task gets what all tasks kept of one.
+    """
+    if salts > 1:
+        part = F.row_number().over(Window.partitionBy(*key, F.pmod(salt, F.lit(salts))).orderBy(*order))
+        rows = rows.withColumn("rank", part).filter(F.col("rank") <= most).drop("rank")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("rank") <= most)
+
+
 def search(queries: DataFrame, places: DataFrame, aliases: DataFrame, limit: int = 8, least: int = 3) -> DataFrame:
     """Ranked matches of each query: query, rank, idx, tier.
 
@@ -170,41 +194,123 @@ def search(queries: DataFrame, places: DataFrame, aliases: DataFrame, limit: int
     counts only for queries of three letters or more that match fewer than three
     rows otherwise. Within a tier larger places come first, then lower idx.
 
-    All joins have keys: a query meets the names that hold its first three
-    characters, and for typos those that share a deletion with it.
+    All joins have keys: of a query's pieces of three characters it meets the names
+    that hold the rarest, by counted postings, and for typos those that share a
+    deletion with it. A place is judged with all its spellings at once, so each match
+    is one row, and a task keeps ``limit`` of them for each query.
     """
     asked = queries.select("query", fold(F.col("query")).alias("q")).filter("q <> ''").distinct()
-    held = places.select("idx", "pop", fold(F.col("name")).alias("key"))
-    spelled = held.select("idx", "pop", "key", F.col("key").alias("form"))
+    forms = F.array(fold(F.col("name")))
     if "alt" in places.columns:
-        other = places.select("idx", "pop", fold(F.col("name")).alias("key"), F.explode(F.map_values("alt")).alias("form"))
-        spelled = spelled.unionByName(other.withColumn("form", fold(F.col("form"))))
-    begins = asked.withColumn("_gram", F.substring("q", 1, 3))
-    direct = begins.join(spelled.withColumn("_gram", F.explode(_grams(F.col("form")))), "_gram").withColumn("at", F.expr("locate(q, form)")).filter("at > 0")
-    direct = direct.select("query", "q", "idx", "pop", "key", F.when(F.col("at") == 1, 0).otherwise(2).alias("tier"))
-    named = aliases.select(fold(F.col("alias")).alias("q"), fold(F.col("name")).alias("target"))
-    first = held.groupBy("key").agg(F.min(F.struct("idx", "pop")).alias("p"))
-    by_alias = asked.join(named, "q").join(first, F.col("target") == F.col("key")).select("query", "q", "p.idx", "p.pop", "key", F.lit(1).alias("tier"))
-    best = direct.unionByName(by_alias).groupBy("query", "q", "idx", "pop", "key").agg(F.collect_set("tier").alias("tiers"))
-    # Names are looked at before aliases: a row that contains the query stays there.
-    tier = F.when(F.array_contains("tiers", 0), 0).when(F.array_contains("tiers", 2), 2).otherwise(1)
-    best = best.withColumn("tier", tier).drop("tiers")
+        forms = F.array_distinct(F.concat(forms, F.coalesce(F.transform(F.map_values("alt"), fold), F.array().cast("array<string>"))))
+    held = places.select("idx", "pop", fold(F.col("name")).alias("key"), forms.alias("forms"))
+
+    pieces = asked.withColumn("gram", F.explode(_parts(F.col("q"), F.least(F.lit(3), F.length("q")))))
+    wanted = _if_few(pieces.select("gram").distinct())
+    every = F.array_distinct(F.flatten(F.transform("forms", _grams)))
+    postings = held.select("idx", "pop", "key", "forms", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi")
+    counted = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = pieces.join(counted, "gram", "left").groupBy("query", "q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    rarest = rarest.filter("r.n > 0").select("query", "q", F.col("r.gram").alias("gram"))
+
+    def direct_tier(q: Column, of: Column) -> Column:
+        begins, holds = F.exists(of, lambda f: f.startswith(q)), F.exists(of, lambda f: f.contains(q))
+        return F.when(begins, 0).when(holds, 2)
+
+    direct = postings.join(_if_few(rarest), "gram").withColumn("tier", direct_tier(F.col("q"), F.col("forms"))).filter("tier IS NOT NULL")
+    direct = direct.select("query", "q", "idx", "pop", "key", "tier")
+    # Names are looked at before aliases: a row that holds the query stays there.
+    named = aliases.select(fold(F.col("alias")).alias("q"), fold(F.col("name")).alias("target")).distinct()
+    meant = _if_few(asked.join(named, "q"))
+    first = held.join(F.broadcast(meant.select(F.col("target").alias("key")).distinct()), "key", "left_semi").groupBy("key").agg(F.min(F.struct("idx", "pop", "forms")).alias("p"))
+    by_alias = meant.join(first, F.col("target") == F.col("key")).filter(direct_tier(F.col("q"), F.col("p.forms")).isNull())
+    by_alias = by_alias.select("query", "q", "p.idx", "p.pop", "key", F.lit(1).alias("tier"))
+    best = direct.unionByName(by_alias)
+
     few = asked.filter(F.length("q") >= 3).join(best.groupBy("query").agg(F.count(F.lit(1)).alias("hits")), "query", "left").filter(F.coalesce("hits", F.lit(0)) < least)
     off = few.select("query", "q", F.explode(_one_off(F.col("q"))).alias("_left"))
-    near = off.join(held.withColumn("_left", F.explode(_one_off(F.col("key")))), "_left").filter(within_one_edit(F.col("q"), F.col("key")))
-    near = near.select("query", "q", "idx", "pop", "key").distinct()
-    near = near.join(best.select("query", "idx"), ["query", "idx"], "left_anti").select("query", "q", "idx", "pop", "key", F.lit(3).alias("tier"))
+    near = held.withColumn("_left", F.explode(_one_off(F.col("key")))).join(_if_few(off), "_left").filter(within_one_edit(F.col("q"), F.col("key")))
+    near = near.filter(direct_tier(F.col("q"), F.col("forms")).isNull()).select("query", "q", "idx", "pop", "key").distinct()
+    near = near.join(by_alias.select("query", "idx"), ["query", "idx"], "left_anti").withColumn("tier", F.lit(3))
     exact = ((F.col("tier") == 0) & (F.col("key") == F.col("q"))).cast("int")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("tier", exact.desc(), F.desc("pop"), "idx"))
-    return best.unionByName(near).withColumn("rank", rank).filter(F.col("rank") <= limit).select("query", "rank", "idx", "tier")
+    found = best_of_each(best.unionByName(near), ["query"], ["tier", exact.desc(), F.desc("pop"), "idx"], limit)
+    return found.select("query", "rank", "idx", "tier")
 
 
-def density_budget(candidates: DataFrame, lat: float, lon: float, zoom: float) -> DataFrame:
-    """What a view shows: ord, exempt. candidates: ord, lat, lon, score, exempt.
+def _cap(zoom: Column) -> Column:
+    out = F.lit(CAPS[-1][1])
+    for most, n in reversed(CAPS):
+        out = F.when(zoom < most, n).otherwise(out)
+    return out
+
+
+def _nearest(tied: DataFrame, views: list, most: int) -> DataFrame:
+    """The ``most`` rows nearest to each view of a block: view, ord. A task keeps its own best of each view only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        off, ord_ = [np.zeros(0)] * len(views), [np.zeros(0, np.int64)] * len(views)
+        for batch in batches:
+            lat, lon, own = (batch.column(c).to_numpy() for c in ("lat", "lon", "ord"))
+            for i, (_, y, x, _) in enumerate(views):
+                d, o = np.concatenate((off[i], (lat - y) * (lat - y) + (lon - x) * (lon - x))), np.concatenate((ord_[i], own))
+                keep = np.lexsort((o, d))[:most]
+                off[i], ord_[i] = d[keep], o[keep]
+        for i, (d, o) in enumerate(zip(off, ord_, strict=True)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), i)), pa.array(o), pa.array(d)], ["view", "ord", "off"])
+
+    kept = tied.select("lat", "lon", F.col("ord").cast("long")).mapInArrow(run, "view long, ord long, off double")
+    return best_of_each(kept, ["view"], ["off", "ord"], most, F.xxhash64("ord"), 16).select("view", "ord")
+
+
+#: Views that one pass over the candidates serves.
+VIEW_BLOCK = 4096
+
+
+def density_budgets(candidates: DataFrame, views: DataFrame) -> DataFrame:
+    """What each of many views shows: view, ord, exempt. candidates: ord, lat, lon, score, exempt; views: view, lat, lon, zoom.
 
     Exempt rows always show; of the rest the best by score, then by nearness to the
-    centre, up to the zoom's cap. A top-k by order and limit keeps at most the cap
-    in each task before any rows meet.
+    view's centre, up to the zoom's cap. Scores are the same for all views, so for each
+    cap one order with a limit tells the score at which it is full: rows above show in
+    every view of that cap, and rows below in none. Only rows of just that score are
+    compared with the views, a block of them at a time, each task keeping a view's nearest.
+
+    A missing score is 0, a missing position that of 0, 0, a missing zoom the closest view's.
+    """
+    spark = candidates.sparkSession
+    rows = candidates.select("ord", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lat", "lon", "score")], F.coalesce("exempt", F.lit(False)).alias("exempt"))
+    asked = views.select("view", F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("lon", F.lit(0.0)).alias("lon"), _cap(F.coalesce("zoom", F.lit(99.0))).alias("cap"))
+    kind = asked.schema["view"].dataType.simpleString()
+    free, exempt = rows.filter("NOT exempt"), rows.filter("exempt").select("ord")
+    full: dict[int, tuple[float, int]] = {}
+    out = spark.createDataFrame([], f"view {kind}, ord {rows.schema['ord'].dataType.simpleString()}, exempt boolean")
+
+    def shown(places: DataFrame, names: list, is_exempt: bool) -> DataFrame:
+        every = spark.createDataFrame([(names,)], f"views array<{kind}>")  # one row, so each place meets the block once
+        return places.withColumn("one", F.lit(1)).join(F.broadcast(every.withColumn("one", F.lit(1))), "one").select(F.explode("views").alias("view"), "ord", F.lit(is_exempt).alias("exempt"))
+
+    waiting = asked.toLocalIterator()
+    while block := [tuple(r) for r in itertools.islice(waiting, VIEW_BLOCK)]:
+        out = out.unionByName(shown(exempt, [v[0] for v in block], True))
+        for cap in sorted({v[3] for v in block}):
+            if cap not in full:
+                last = free.select("score").orderBy(F.desc("score")).limit(cap).agg(F.min("score")).first()[0]
+                full[cap] = last, 0 if last is None else cap - free.filter(F.col("score") > last).count()
+            last, left = full[cap]
+            if last is None:
+                continue
+            own = [v for v in block if v[3] == cap]
+            out = out.unionByName(shown(free.filter(F.col("score") > last).select("ord"), [v[0] for v in own], False))
+            names = spark.createDataFrame([(i, v[0]) for i, v in enumerate(own)], f"number long, view {kind}")
+            near = _nearest(free.filter(F.col("score") == last), own, left).withColumnRenamed("view", "number")
+            out = out.unionByName(near.join(F.broadcast(names), "number").select("view", "ord", F.lit(False).alias("exempt")))
+    return out
+
+
+def density_budget(candidates: DataFrame, lat: float, lon: float, zoom: float) -> DataFrame:
+    """What one view shows: ord, exempt. See ``density_budgets``.
+
+    A top-k by order and limit keeps at most the cap in each task before any rows meet.
     """
     off = F.pow(F.coalesce("lat", F.lit(0.0)) - lat, 2) + F.pow(F.coalesce("lon", F.lit(0.0)) - lon, 2)
     free = F.coalesce("exempt", F.lit(False))

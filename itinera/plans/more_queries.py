@@ -266,3 +266,22 @@ def store_keys(spark, sf_dir):
     keys = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item"))
     store = trips.without(keys, keys.filter("item % 10 = 3"), "item")
     return trips.held(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item")), store, "item")
+
+
+@query(
+    with_("places")
+    + """, scored AS (SELECT *, idx % 97 = 0 AS exempt, CASE WHEN idx % 5 = 0 THEN 1.0 ELSE pop END AS score FROM places),
+    views AS (SELECT s_suppkey AS view, (s_suppkey * 37 % 1300)::DOUBLE / 10 - 60 AS y, (s_suppkey * 101 % 3600)::DOUBLE / 10 - 180 AS x,
+        CASE s_suppkey % 4 WHEN 0 THEN 30 WHEN 1 THEN 100 WHEN 2 THEN 300 ELSE 800 END AS cap FROM supplier),
+    ranked AS (SELECT view, idx AS ord, cap, row_number() OVER (PARTITION BY view ORDER BY score DESC, pow(lat - y, 2) + pow(lon - x, 2), idx) AS k FROM scored, views WHERE NOT exempt)
+    SELECT view, idx AS ord, true AS exempt FROM scored, views WHERE exempt UNION ALL SELECT view, ord, false FROM ranked WHERE k <= cap"""
+)
+def density_views(spark, sf_dir):
+    """The budget of many views at once; a fifth of all places tie at one score."""
+    rows = bridge.places(spark, sf_dir).select(F.col("idx").alias("ord"), "lat", "lon", F.when(F.col("idx") % 5 == 0, 1.0).otherwise(F.col("pop")).alias("score"), (F.col("idx") % 97 == 0).alias("exempt"))
+    k = F.col("s_suppkey")
+    views = _read(spark, sf_dir, "supplier").select(
+        k.alias("view"), F.expr("cast(s_suppkey * 37 % 1300 AS double) / 10 - 60").alias("lat"), F.expr("cast(s_suppkey * 101 % 3600 AS double) / 10 - 180").alias("lon"),
+        F.when(k % 4 == 0, 2.0).when(k % 4 == 1, 4.9).when(k % 4 == 2, 5.0).otherwise(8.5).alias("zoom"),
+    )
+    return places.density_budgets(rows, views)

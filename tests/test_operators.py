@@ -301,3 +301,30 @@ def test_vertices_unwrap_the_hinted_way(spark):
     path = legs.expanded_vertices(F.lit(0.0), F.col("a"), F.col("via"), F.lit(0.0), F.col("b"), F.col("hint"), F.lit(None).cast("double"))
     got = {r.k: [p.lon for p in r.path] for r in rows.select("k", path.alias("path")).collect()}
     assert got == {1: [170.0, 185.0, 200.0], 2: [10.0, -340.0], 3: [0.0, 90.0, 360.0]}
+
+
+def test_many_views_show_what_each_shows_alone(spark, monkeypatch):
+    monkeypatch.setattr(places, "VIEW_BLOCK", 3)
+    rows = [(i, float(i % 17), float(i % 23), float(i % 4) if i % 11 else None, i % 50 == 0) for i in range(900)] + [(900, None, None, 3.0, None)]
+    held = spark.createDataFrame(rows, "ord long, lat double, lon double, score double, exempt boolean").repartition(5)
+    views = [("a", 3.0, 4.0, 2.0), ("b", 9.0, 9.0, 4.0), ("c", 0.0, 0.0, 6.0), ("d", 5.0, 1.0, 8.0), ("e", 5.0, 1.0, 2.0), ("f", 1.0, 1.0, 50.0), ("g", 1.0, 7.0, 4.0)]
+    got = places.density_budgets(held, spark.createDataFrame(views, "view string, lat double, lon double, zoom double")).collect()
+    for name, lat, lon, zoom in views:
+        want = sorted(map(tuple, places.density_budget(held, lat, lon, zoom).collect()))
+        assert sorted((r.ord, r.exempt) for r in got if r.view == name) == want, name
+    empty = places.density_budgets(held.limit(0), spark.createDataFrame(views, "view string, lat double, lon double, zoom double"))
+    assert empty.count() == 0
+
+
+def test_a_query_that_all_places_match(spark):
+    """Each task keeps eight rows of a query; the rarest piece is looked up, not the first."""
+    held = spark.range(4000).selectExpr("id AS idx", "concat('Town ', id) AS name", "cast(id % 100 AS double) AS pop", "map('xx', concat('Ville ', id)) AS alt")
+    asked = spark.createDataFrame([("t",), ("town",), ("ville 77",), ("n 3999",), ("vile 1234",)], "query string")
+    found = places.search(asked, held, spark.createDataFrame([("ville 77", "Town 5"), ("zz", "Town 6")], "alias string, name string"))
+    got = {}
+    for r in found.orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.idx, r.tier))
+    best = [(i * 100 + 99, 0) for i in range(8)]
+    assert got["t"] == best and got["town"] == best and got["n 3999"] == [(3999, 2)]
+    assert got["ville 77"][0] == (779, 0) and got["ville 77"][-1] != (5, 1) and len(got["ville 77"]) == 8
+    assert "vile 1234" not in got
