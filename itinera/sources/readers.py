@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itinera.functions.text import escape_html, script_safe
+from itinera.sources import heif
 from itinera.sources.storage import file_system, write_files
 
 POINT = "struct<lat: double, lon: double>"
@@ -196,11 +197,54 @@ class CutShort(Exception):
     """The header goes on beyond the bytes that were read."""
 
 
+def tiff_fields(tiff: bytes) -> tuple[float | None, float | None, datetime | None]:
+    """Latitude, longitude and wall-clock time from an Exif block; damage raises.
+
+    The time is that of the shot, else of digitising, else of the last change.
+    """
+    order = {b"II": "<", b"MM": ">"}[tiff[:2]]
+
+    def directory(offset: int) -> dict[int, tuple[int, bytes]]:
+        """Tag to (count, bytes from the value on)."""
+        out = {}
+        for i in range(struct.unpack_from(order + "H", tiff, offset)[0]):
+            entry = offset + 2 + 12 * i
+            tag, kind, count = struct.unpack_from(order + "HHI", tiff, entry)
+            size = {3: 2, 4: 4, 5: 8, 9: 4, 10: 8}.get(kind, 1) * count
+            start = entry + 8 if size <= 4 else struct.unpack_from(order + "I", tiff, entry + 8)[0]
+            out[tag] = count, tiff[start : start + size]
+        return out
+
+    def pointer(value: tuple[int, bytes]) -> int:
+        return struct.unpack_from(order + "I", value[1])[0]
+
+    def angle(value, ref) -> float | None:
+        if value is None or ref is None or value[0] < 3:
+            return None
+        parts = struct.unpack_from(order + "6I", value[1])
+        d, m, s = (parts[i] / parts[i + 1] if parts[i + 1] else 0.0 for i in (0, 2, 4))
+        return (d + m / 60 + s / 3600) * (-1 if ref[1][:1] in b"SW" and ref[1][:1] else 1)
+
+    root = directory(struct.unpack_from(order + "I", tiff, 4)[0])
+    taken = lat = lon = None
+    shot = directory(pointer(root[0x8769])) if 0x8769 in root else {}
+    if text := next((t for t in (shot.get(0x9003), shot.get(0x9004), root.get(0x0132)) if t and t[1].strip(b"\0 ")), None):
+        if m := _EXIF_TIME.match(text[1].split(b"\0")[0].decode("latin-1")):
+            y, mo, d, h, mi, s = map(int, m.groups())
+            months = y * 12 + mo - 1
+            taken = datetime(months // 12, months % 12 + 1, 1) + timedelta(days=d - 1, hours=h, minutes=mi, seconds=s)
+    if 0x8825 in root:
+        gps = directory(pointer(root[0x8825]))
+        lat, lon = angle(gps.get(2), gps.get(1)), angle(gps.get(4), gps.get(3))
+    lat = lat if lat is not None and -90 <= lat <= 90 else None
+    lon = lon if lon is not None and -180 <= lon <= 180 else None
+    return (None, None, taken) if lat == 0 and lon == 0 else (lat, lon, taken)
+
+
 def exif_fields(data: bytes, whole: bool = True) -> tuple[float | None, float | None, datetime | None]:
-    """Latitude, longitude and wall-clock time from a JPEG's EXIF segment; nulls where absent or damaged.
+    """The fields of a JPEG's EXIF segment; nulls where absent or damaged.
 
-    The time is that of the shot, else of digitising, else of the last change. Where
-    ``data`` is only the ``whole`` file's beginning, CutShort tells that it is too little.
+    Where ``data`` is only the ``whole`` file's beginning, CutShort tells that it is too little.
     """
     try:
         if not whole and len(data) < 2:
@@ -218,44 +262,7 @@ def exif_fields(data: bytes, whole: bool = True) -> tuple[float | None, float |
             raise CutShort
         if data[at + 4 : at + 8] != b"Exif":
             return None, None, None
-        tiff = data[at + 10 :]
-        order = {b"II": "<", b"MM": ">"}[tiff[:2]]
-
-        def directory(offset: int) -> dict[int, tuple[int, bytes]]:
-            """Tag to (count, bytes from the value on)."""
-            out = {}
-            for i in range(struct.unpack_from(order + "H", tiff, offset)[0]):
-                entry = offset + 2 + 12 * i
-                tag, kind, count = struct.unpack_from(order + "HHI", tiff, entry)
-                size = {3: 2, 4: 4, 5: 8, 9: 4, 10: 8}.get(kind, 1) * count
-                start = entry + 8 if size <= 4 else struct.unpack_from(order + "I", tiff, entry + 8)[0]
-                out[tag] = count, tiff[start : start + size]
-            return out
-
-        def pointer(value: tuple[int, bytes]) -> int:
-            return struct.unpack_from(order + "I", value[1])[0]
-
-        def angle(value, ref) -> float | None:
-            if value is None or ref is None or value[0] < 3:
-                return None
-            parts = struct.unpack_from(order + "6I", value[1])
-            d, m, s = (parts[i] / parts[i + 1] if parts[i + 1] else 0.0 for i in (0, 2, 4))
-            return (d + m / 60 + s / 3600) * (-1 if ref[1][:1] in b"SW" and ref[1][:1] else 1)
-
-        root = directory(struct.unpack_from(order + "I", tiff, 4)[0])
-        taken = lat = lon = None
-        shot = directory(pointer(root[0x8769])) if 0x8769 in root else {}
-        if text := next((t for t in (shot.get(0x9003), shot.get(0x9004), root.get(0x0132)) if t and t[1].strip(b"\0 ")), None):
-            if m := _EXIF_TIME.match(text[1].split(b"\0")[0].decode("latin-1")):
-                y, mo, d, h, mi, s = map(int, m.groups())
-                months = y * 12 + mo - 1
-                taken = datetime(months // 12, months % 12 + 1, 1) + timedelta(days=d - 1, hours=h, minutes=mi, seconds=s)
-        if 0x8825 in root:
-            gps = directory(pointer(root[0x8825]))
-            lat, lon = angle(gps.get(2), gps.get(1)), angle(gps.get(4), gps.get(3))
-        lat = lat if lat is not None and -90 <= lat <= 90 else None
-        lon = lon if lon is not None and -180 <= lon <= 180 else None
-        return (None, None, taken) if lat == 0 and lon == 0 else (lat, lon, taken)
+        return tiff_fields(data[at + 10 :])
     except (struct.error, KeyError, IndexError, ValueError, OverflowError):
         if not whole:
             raise CutShort from None
@@ -263,31 +270,38 @@ def exif_fields(data: bytes, whole: bool = True) -> tuple[float | None, float |
 
 
 def _photo(path: str, size: int) -> tuple:
-    """heic, lat, lon, taken of one file."""
+    """heic, lat, lon, taken, read_error of one file."""
     store, name = file_system(path)
     with store.open_input_file(name) as file:
-        head = file.read(HEAD_BYTES)
+        head = file.read(12)
         if is_heic(head):
-            return True, None, None, None
+            try:
+                tiff = heif.exif_tiff(file, size)
+                return True, *(tiff_fields(tiff) if tiff else (None, None, None)), False
+            except (struct.error, KeyError, IndexError, ValueError, OverflowError):
+                return True, None, None, None, True
+        head += file.read(HEAD_BYTES - len(head))
         try:
-            return False, *exif_fields(head, whole=size <= len(head))
+            return False, *exif_fields(head, whole=size <= len(head)), False
         except CutShort:
-            return False, *exif_fields(head + file.read())
+            return False, *exif_fields(head + file.read()), False
 
 
 def scan_photos(spark: SparkSession, path: str) -> DataFrame:
     """path, heic, lat, lon, taken (wall clock), read_error of every file below a folder.
 
-    Files are listed without their contents; tasks read the beginning of each. HEIC
-    files are told and left unread.
+    Files are listed without their contents; tasks read the beginning of a JPEG, and of
+    a HEIC file the boxes that lead to its Exif block and the block itself. A HEIC file
+    whose boxes are damaged is a read_error; one without Exif has nulls.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = batch.column("path").to_pylist()
-            heic, lat, lon, taken = zip(*map(_photo, paths, batch.column("length").to_pylist()), strict=True) if paths else ((),) * 4
-            columns = [pa.array(heic, pa.bool_()), pa.array(lat, pa.float64()), pa.array(lon, pa.float64()), pa.array(taken, pa.timestamp("us")), pa.array(heic, pa.bool_())]
+            found = list(zip(*map(_photo, paths, batch.column("length").to_pylist()), strict=True)) or [()] * 5
+            kinds = (pa.bool_(), pa.float64(), pa.float64(), pa.timestamp("us"), pa.bool_())
+            columns = [pa.array(values, kind) for values, kind in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *columns], ["path", "heic", "lat", "lon", "taken", "read_error"])
 
     spread = files.repartition(spark.sparkContext.defaultParallelism, "path")

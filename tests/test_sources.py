@@ -139,7 +139,7 @@ def test_headers_beyond_the_first_bytes(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(readers, "HEAD_BYTES", head)
         got = {n: readers._photo(str(tmp_path / n), (tmp_path / n).stat().st_size) for n in ("far.jpg", "cut.jpg")}
         assert got["far.jpg"][:3] == (False, 38.5, 26.25) and str(got["far.jpg"][3]) == "2001-02-03 04:05:06"
-        assert got["cut.jpg"] == (False, None, None, None)
+        assert got["cut.jpg"] == (False, None, None, None, False)
 
 
 def test_shared_folder_must_be_named_on_a_cluster():
@@ -156,3 +156,23 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session)
+
+
+def test_heic_boxes_lead_to_the_exif_block(tmp_path):
+    """The block in idat, in the file, in two extents; every cut of a file is damage or gives the same, and no other error."""
+    import io
+
+    from itinera.plans.scan_queries import _jpeg
+    from itinera.sources import heif
+    from itinera.sources.readers import tiff_fields
+
+    position = (("S", (12, 30, 0)), ("E", (45, 15, 36)))
+    for how in range(3):
+        data = _jpeg("2019:03:04 05:06:07", None, None, position, lead=30, heic=how)
+        lat, lon, taken = tiff_fields(heif.exif_tiff(io.BytesIO(data), len(data)))
+        assert (lat, round(lon, 9), taken.isoformat()) == (-12.5, 45.26, "2019-03-04T05:06:07")
+        for size in range(0, len(data), 7):
+            with pytest.raises(heif.Damaged):
+                heif.exif_tiff(io.BytesIO(data[:size]), size)
+    plain = data.replace(b"Exif\0", b"mime\0", 1)
+    assert heif.exif_tiff(io.BytesIO(plain), len(plain)) is None

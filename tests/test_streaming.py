@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from itinera.operators.clusters import label_photos, sessions
 from itinera.plans import bridge
+from itinera.streaming import ordered
 from itinera.streaming import sessions as streams
 
 DIR = "/root/testdata/sf0.001"
@@ -52,3 +53,26 @@ def test_old_and_undated_photos(spark, tmp_path):
     got = {(r.owner, r.photo_id): r.cluster for r in run(spark, streams.label_stream(stream), "old").collect()}
     assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 3): 3, (1, 9): 3, (2, 1): 0}
     assert got == {(r.owner, r.photo_id): r.cluster for r in label_photos(batch).collect()}
+
+
+def test_late_photos_are_put_in_order(spark, tmp_path):
+    """Four micro-batches with photos up to 50 minutes late: the labels are those of the batch fold; idle owners are forgotten."""
+    minute = 60_000_000
+    rows = [(o, 1000 * o + i, 1_700_000_000_000_000 + (i * 97 + o) * minute, 35.0 + (i // 7) * 0.5, 33.0) for o in range(5) for i in range(60)]
+    rows += [(9, 9000 + i, 1_700_000_000_000_000 + i * minute, 1.0, 1.0) for i in range(3)] + [(9, 9100, 1_700_000_000_000_000 + 5500 * minute, 1.0, 1.0)]
+    rows += [(1, 8000, None, 35.0, 33.0), (1, 8001, 1_700_000_000_000_000, None, 33.0)]
+    batch = spark.createDataFrame(rows, "owner long, photo_id long, us long, lat double, lon double")
+    end = max(r[2] for r in rows if r[2])
+    arrival = F.coalesce("us", F.lit(0)) + F.col("photo_id") % 50 * minute
+    held = batch.withColumns({"part": F.least(F.lit(3), F.floor((arrival - 1_700_000_000_000_000) / (1500 * minute))), "ts": F.timestamp_micros("us")})
+    for part in range(-2, 4):
+        one = held.filter(held["part"] == part if part >= 0 else held["us"].isNull() & F.lit(part == -1)).drop("part", "us").coalesce(1)
+        if not one.isEmpty():
+            one.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(held.drop("part", "us").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with ordered.keyed_state(spark):
+        got = {(r.owner, r.photo_id): r.cluster for r in run(spark, ordered.label_in_order(stream, idle_days=1), "ordered").collect()}
+    passed = batch.filter(f"us < {end - 60 * minute}")
+    want = {(r.owner, r.photo_id): r.cluster for r in label_photos(passed).collect()}
+    want[9, 9100] = 0  # it was forgotten since
+    assert got == want
