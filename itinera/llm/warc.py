@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itinera.llm.common import filesystem, materialise, new_dir, put_in_place
+from itinera.llm.common import filesystem, materialise, new_dir, put_in_place, small_or_shuffled
 from itinera.llm.exact_dedup import group_copies
 
 MAGIC = b"\x1f\x8b\x08"
@@ -114,6 +114,10 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
+class DamagedRecord(ValueError):
+    """A member that begins as a WARC record and cannot be read to its end."""
+
+
 class _Window:
     """A file read forward in chunks, from any position."""
 
@@ -153,7 +157,11 @@ def _is_record(window: _Window, at: int) -> bool:
 
 
 def read_split(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, headers and block of the records that begin in [start, end)."""
+    """Offset, headers and block of the records that begin in [start, end).
+
+    Bytes that never were a record are passed over. A member whose head inflates to a
+    WARC version line is one: if it is damaged or cut short, DamagedRecord says where.
+    """
     window, at, known = _Window(file, size, start), start, False
     while at < min(end, size):
         if not known:  # look for the next member
@@ -165,23 +173,24 @@ def read_split(file, size: int, start: int, end: int) -> Iterator[tuple[int, dic
             at = window.start + found
             if at >= end:
                 return
-            if not _is_record(window, at):
-                at += 1
-                continue
+        if not _is_record(window, at):  # it never was a record: search on
+            at, known = at + 1, False
+            continue
         window.drop(at)
-        inflate, parts, used = zlib.decompressobj(31), [], 0
+        inflate, parts = zlib.decompressobj(31), []
         try:
-            while not inflate.eof:
-                if used >= len(window.data) and not window.more():
+            while True:
+                parts.append(inflate.decompress(window.data))
+                if inflate.eof:
+                    break
+                window.drop(window.start + len(window.data))  # what is inflated need not be kept
+                if not window.more():
                     raise ValueError("member is cut short")
-                parts.append(inflate.decompress(window.data[used:]))
-                used = len(window.data)
             headers, block = parse(b"".join(parts))
-        except (zlib.error, ValueError, KeyError):
-            at, known = at + 1, False  # not a record after all: search on
-            continue
+        except (zlib.error, ValueError, KeyError) as cause:
+            raise DamagedRecord(f"record at byte {at}: {cause}") from cause
         yield at, headers, block
-        at += used - len(inflate.unused_data)
+        at = window.start + len(window.data) - len(inflate.unused_data)
         known = window.data[at - window.start :].startswith(MAGIC) or (at - window.start + 3 > len(window.data) and at < size)
 
 
@@ -200,11 +209,14 @@ def archive(pages: DataFrame, out_dir: str | None = None, id_col: str = "page_id
     roles = materialise(
         grouped.groupBy("page_id", "digest", "keep_id").agg(F.count_if("kept").alias("responses")), "payload-roles"
     )
-    joined = named.withColumn("digest", F.sha2("payload", 256)).alias("n").join(
-        roles.alias("r"), F.col("n.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("n.digest") == F.col("r.digest"))
-    )
+    # Only pages with an equal payload elsewhere need their role; the others stay where they are.
+    copies = roles.filter(~F.col("page_id").eqNullSafe(F.col("keep_id")) | (F.col("responses") != 1))
+    copies = small_or_shuffled(copies.select(F.col("page_id").alias("_page_id"), F.col("digest").alias("_digest"), "keep_id", "responses"))
+    met = F.col("page_id").eqNullSafe(F.col("_page_id")) & (F.sha2("payload", 256) == F.col("_digest"))
+    joined = named.join(copies, met, "left")
+    own = F.col("_digest").isNull()
+    rows = joined.select("page_id", "url", "payload", F.when(own, F.col("page_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(own, 1).otherwise(F.col("responses")).alias("responses"))
     # Of repeated rows the first becomes the response: number them only where there are any.
-    rows = joined.select("n.page_id", "n.url", "n.payload", "r.keep_id", "r.responses")
     repeated = grouped.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not repeated.isEmpty():
         same = Window.partitionBy("page_id", F.xxhash64("payload")).orderBy("url")
@@ -254,13 +266,15 @@ def read_archives(spark, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFra
                 store, name = filesystem(r["path"])
                 with store.open_input_file(name) as file:
                     held, size = [], 0
-                    for item in read_split(file, r["size"], r["start"], r["end"]):
-                        at, headers, block = item
-                        held.append((r["path"], at, headers, checked_payload(headers, block)))
-                        size += len(block)
-                        if size > 4 << 20 or len(held) >= 1000:
-                            yield _records(held)
-                            held, size = [], 0
+                    try:
+                        for at, headers, block in read_split(file, r["size"], r["start"], r["end"]):
+                            held.append((r["path"], at, headers, checked_payload(headers, block)))
+                            size += len(block)
+                            if size > 4 << 20 or len(held) >= 1000:
+                                yield _records(held)
+                                held, size = [], 0
+                    except DamagedRecord as cause:
+                        raise DamagedRecord(f"{r['path']}: {cause}") from cause
                     if held:
                         yield _records(held)
 

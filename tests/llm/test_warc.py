@@ -3,10 +3,11 @@ import gzip
 import hashlib
 import io
 import random
+import time
 
 import pytest
 
-from itinera.llm.warc import archive, checked_payload, parse, read_archives, read_split, record, record_id, round_trip
+from itinera.llm.warc import DamagedRecord, archive, checked_payload, parse, read_archives, read_split, record, record_id, round_trip
 
 SCHEMA = "page_id long, url string, html string, digest string, keep_id string"
 
@@ -30,8 +31,30 @@ def test_every_split_owns_its_records():
 
 def test_damage_between_records_is_skipped():
     good = [record(i, None, b"x" * 100, None, False) for i in range(3)]
-    data = good[0] + b"junk \x1f\x8b\x08 junk" + good[1] + good[2][:-9]
-    assert [h["warc-page-id"] for _, h, _ in read_split(io.BytesIO(data), len(data), 0, len(data))] == ["0", "1"]
+    other = gzip.compress(b"no record at all")
+    data = good[0] + b"junk \x1f\x8b\x08 junk" + good[1] + other + good[2] + other[:-4]
+    assert [h["warc-page-id"] for _, h, _ in read_split(io.BytesIO(data), len(data), 0, len(data))] == ["0", "1", "2"]
+
+
+def test_damaged_records_are_told():
+    """Damage within a record and a cut at its end raise, with the place, from whichever split owns it."""
+    rng = random.Random(4)
+    good = [record(i, None, rng.randbytes(3000), None, False) for i in range(6)]
+    at = len(good[0]) + len(good[1])
+    broken = good[2][:1500] + b"\xff" * 8 + good[2][1508:]
+    for data, place in ((b"".join([*good[:2], broken, *good[3:]]), at), (b"".join(good[:5]) + good[5][:-9], sum(map(len, good[:5])))):
+        for split in (500, 1 << 20):
+            with pytest.raises(DamagedRecord, match=f"byte {place}:"):
+                for start in range(0, len(data), split):
+                    list(read_split(io.BytesIO(data), len(data), start, min(len(data), start + split)))
+
+
+def test_a_large_payload_is_read_in_linear_time():
+    payload = random.Random(2).randbytes(50_000_000)
+    data = record(1, None, b"a", None, False) + record(2, None, payload, None, False)
+    began = time.process_time()
+    found = list(read_split(io.BytesIO(data), len(data), 0, len(data)))
+    assert checked_payload(*found[1][1:]) == payload and time.process_time() - began < 20
 
 
 def test_record_is_plain_warc():
