@@ -23,11 +23,6 @@ from itinera.plans import dims
 SNAP_KM, TRUST_KM, KM_PER_DEGREE = (2, 5, 10, 20), 10, 111.0
 
 
-def real_rings(coast: Column) -> Column:
-    """Rings of three points and more that are not synthetic throughout; points are (lon, lat, flag) arrays."""
-    return F.filter(coast, lambda r: (F.size(r) >= 3) & F.exists(r, lambda p: ~F.coalesce(F.get(p, F.lit(2)).eqNullSafe(F.lit(1.0)), F.lit(False))))
-
-
 def polygons_near(boxes: DataFrame, key: str, land: DataFrame, pad: float = 1.0) -> DataFrame:
     """key, polygons (their rings, in order) that may touch each box (w, s, e, n), by the cells of both."""
     span = lambda low, high: F.sequence(F.floor(F.col(low) - pad), F.floor(F.col(high) + pad))

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itinera.functions.text import display_name
-from itinera.operators import legs
+from itinera.operators import land, legs
 from itinera.plans import bridge
 from itinera.plans.bridge import half_up, with_
-from itinera.plans.registry import _FOLD, _LEG_KM, _LEGS, _read, query, r
-from itinera.sources import readers
+from itinera.plans.registry import _EDGES, _FOLD, _LEG_KM, _LEGS, _landed, _read, query, r
+from itinera.sources import packs, readers
 from itinera.sources.storage import new_folder, write_files, write_lines
 from itinera.streaming import ordered
 from itinera.streaming import sessions as streams
@@ -334,3 +334,56 @@ def stream_ordered(spark, sf_dir):
         sink = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
         sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
+# ---------------------------------------------------------------- region packs
+
+_WRAP = lambda x: f"((({x} + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)"
+
+
+@query(
+    f"""WITH points AS (SELECT c_nationkey AS k, c_custkey % 3 AS ring, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 3 ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_nationkey, c_custkey % 3) AS n,
+        (c_custkey * 101 % 3600)::DOUBLE / 10 - 180 AS lon, (c_custkey * 37 % 1300)::DOUBLE / 10 - 60 AS lat FROM customer),
+    packs AS (SELECT k, count(*) AS n, list([lon, lat] ORDER BY ring, i) FILTER (i % greatest(1, n // 8) = 0) AS picked FROM points GROUP BY k),
+    hashed AS (SELECT k, n, list_reduce(picked, lambda h, p: [{_WRAP("trunc(" + _WRAP("h[1] * 32") + " + h[1] + p[1] * 1000 + p[2])")}, 0.0::DOUBLE], [5381.0::DOUBLE, 0.0::DOUBLE])[1]::BIGINT AS h FROM packs),
+    told AS (SELECT k, n, CASE WHEN h < 0 THEN h + 4294967296 ELSE h END AS h FROM hashed)
+    SELECT k::INT AS pack, CASE WHEN k % 5 = 2 THEN CASE WHEN k % 2 = 0 THEN 'pack' ELSE n_name END || '@2024-05-01' ELSE CASE WHEN k % 2 = 0 THEN 'pack' ELSE n_name END || '#' || n || ':' ||
+        coalesce(nullif(ltrim(array_to_string(list_transform(range(6, -1, -1), lambda d: '0123456789abcdefghijklmnopqrstuvwxyz'[(h // pow(36, d)::BIGINT % 36 + 1)::INT]), ''), '0'), ''), '0') END AS version
+    FROM told JOIN nation ON n_nationkey = k"""
+)
+def pack_versions(spark, sf_dir):
+    """The version of a pack for each nation, whose coast has three rings of its customers' places."""
+    place = F.array(F.expr("cast(c_custkey * 101 % 3600 AS double) / 10 - 180"), F.expr("cast(c_custkey * 37 % 1300 AS double) / 10 - 60"))
+    rings = _read(spark, sf_dir, "customer").groupBy("c_nationkey", (F.col("c_custkey") % 3).alias("ring")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", place.alias("p")))).alias("ps"))
+    coasts = rings.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("ring", F.col("ps.p").alias("r")))).alias("coast"))
+    k = F.col("n_nationkey")
+    rows = coasts.join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == k)
+    version = packs.pack_version(F.when(k % 2 != 0, F.col("n_name")), F.when(k % 5 == 2, "2024-05-01").when(k % 5 == 3, ""), F.col("coast.r"))
+    return rows.select(k.alias("pack"), version.alias("version"))
+
+
+@query(
+    with_("via_legs")
+    + f""", {_EDGES}, samples AS (SELECT trip, leg, from_lat AS lat, from_lon AS lon FROM via_legs)"""
+    + _landed("samples", "trip, leg")
+    + """, packs AS (SELECT 26.0 + n_nationkey % 5 * 4 AS w, 33.0 + n_nationkey // 5 * 2 AS s FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey < 20),
+    met AS (SELECT l.trip, l.leg, any_value(landmass) AS landmass, bool_or(w IS NOT NULL) AS covered, bool_or(lon >= w + 1 AND lon < w + 3 AND lat >= s + 0.5 AND lat < s + 1.5) AS fine
+        FROM located l LEFT JOIN packs ON lon BETWEEN w AND w + 4 AND lat BETWEEN s AND s + 2 GROUP BY l.trip, l.leg)
+    SELECT trip, leg, CASE WHEN covered THEN coalesce(fine, false) ELSE landmass IS NOT NULL END AS on_land FROM met"""
+)
+def region_packs(spark, sf_dir):
+    """Packs written and read back: synthetic and short rings go, packs elsewhere stay unread, and a pack decides in its box."""
+    far = F.col("n_nationkey") >= 20
+    w, s = F.lit(26.0) + F.col("n_nationkey") % 5 * 4, F.when(far, 70.0).otherwise(33.0 + F.floor(F.col("n_nationkey") / 5) * 2)
+    point = lambda x, y, *flag: F.array(w + x, s + y, *[F.lit(1.0)] * len(flag))
+    square = F.array(point(1, 0.5), point(3, 0.5), point(3, 1.5), point(1, 1.5, 1))
+    border = F.array(point(0, 0, 1), point(4, 0, 1), point(4, 2, 1), point(0, 2, 1))
+    rows = _read(spark, sf_dir, "nation").filter("n_nationkey % 3 <> 0").select(
+        F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("id"), F.col("n_name").alias("region"), F.lit("2024-05-01").alias("generated"),
+        F.array(w, s, w + 4, s + 2).alias("bbox"), F.array(border, square, F.array(point(0, 0), point(4, 2))).alias("coast"),
+    )
+    folder = new_folder(spark, "packs")
+    packs.write_packs(rows, folder)
+    polygons, boxes = packs.read_packs(spark, folder, (20.0, 30.0, 50.0, 45.0))
+    points = bridge.via_legs(spark, sf_dir).select("trip", "leg", F.col("from_lat").alias("lat"), F.col("from_lon").alias("lon"))
+    return land.locate_in_layers(points, polygons, boxes, bridge.coast(spark)).select("trip", "leg", "on_land")

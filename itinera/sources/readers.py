@@ -150,11 +150,6 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     return polygons.filter(F.size("r") > 0).select((F.col("f").cast("long") * MOST_PARTS + F.col("p")).alias("ord"), F.concat_ws(":", "f", "p").alias("polygon"), rings.alias("rings"))
 
 
-def coast_version(coast: Column) -> Column:
-    """A hash by which a changed coastline is told: of every ring's points."""
-    return F.xxhash64(F.to_json(coast))
-
-
 def safe_url_rows(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """JSON rows of a path, none where there is no such path."""
     from pyspark.errors import AnalysisException

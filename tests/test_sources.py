@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from itinera.operators import legs, trips
-from itinera.sources import readers
+from itinera.sources import packs, readers
 
 
 def jpeg(order="<", lat=(38, 30, 0), ref=b"N", lon=(26, 15, 0), lon_ref=b"E", taken=b"2024:02:30 10:11:12"):
@@ -109,11 +109,35 @@ def test_blob_store(spark, tmp_path):
     assert [r.id for r in trips.to_load(wanted, readers.get_blobs(spark, path), "id").collect()] == ["c"]
 
 
-def test_coast_version_follows_points(spark):
-    coast = "array<array<array<double>>>"
-    rows = [([[[1.0, 2.0]]],), ([[[1.0, 2.0]]],), ([[[1.0, 2.5]]],)]
-    got = [r.v for r in spark.createDataFrame(rows, f"c {coast}").select(readers.coast_version(F.col("c")).alias("v")).collect()]
-    assert got[0] == got[1] != got[2]
+def test_pack_versions(spark):
+    """The hash wraps at 32 bits, takes points in order, and follows the points that it takes."""
+    def plain(coast):
+        h = 5381
+        wrap = lambda x: (int(x) + 2**31) % 2**32 - 2**31
+        for ring in coast:
+            for i in range(0, len(ring), max(1, len(ring) // 8)):
+                h = wrap((wrap(h * 32) + h) + ring[i][0] * 1000 + ring[i][1])
+        h, out = h % 2**32, ""
+        while h:
+            h, d = divmod(h, 36)
+            out = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + out
+        return f"{sum(map(len, coast))}:{out or '0'}"
+
+    rings = [[[-179.9 + i * 1.37, 89.5 - i * 0.71] for i in range(n)] for n in (3, 40, 101)]
+    rows = [("r", None, rings), (None, "", rings[:2]), ("r", "2024", rings), ("r", None, rings[::-1]), ("r", None, []), ("r", None, None), ("", "x", None)]
+    got = spark.createDataFrame(rows, f"region string, generated string, coast {packs.COAST}").select(packs.pack_version(F.col("region"), F.col("generated"), F.col("coast")).alias("v")).collect()
+    assert [r.v for r in got] == ["r#" + plain(rings), "pack#" + plain(rings[:2]), "r@2024", "r#" + plain(rings[::-1]), "r#0:45h", "global", "pack@x"]
+
+
+def test_packs_are_read_by_their_boxes(spark, tmp_path):
+    ring = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0, 1.0]]
+    rows = [("a", "A", "g", [0.0, 0.0, 2.0, 2.0], [ring, ring[:2], [[0.0, 0.0, 1.0]] * 4]), ("b", None, None, [5.0, 5.0, 6.0, 6.0], [ring, ring]), ("c", "C", None, [9.0, 9.0, 10.0, 10.0], None)]
+    frame = spark.createDataFrame(rows, f"id string, region string, generated string, bbox array<double>, coast {packs.COAST}")
+    assert packs.write_packs(frame, str(tmp_path)) == 3
+    (tmp_path / "c.json").write_text("no json: it must not be read")
+    polygons, boxes = packs.read_packs(spark, str(tmp_path), (-1.0, -1.0, 7.0, 7.0))
+    assert sorted((r.ord, r.polygon, len(r.rings[0])) for r in polygons.collect()) == [(0, "A:0", 3), (65536, "pack:0", 3), (65537, "pack:1", 3)]
+    assert sorted(map(tuple, boxes.collect())) == [(0.0, 0.0, 2.0, 2.0), (5.0, 5.0, 6.0, 6.0)]
 
 
 def test_era_places_and_aliases(spark, tmp_path):
