@@ -219,6 +219,23 @@ def audit_trips(legs: DataFrame, land: DataFrame | Covering) -> DataFrame:
     return legs.groupBy("trip").agg(F.count(F.lit(1)).alias("legs")).join(bad, "trip", "left").withColumn("findings", F.coalesce("findings", none))
 
 
+def audit_rollup(legs: DataFrame, land: DataFrame | Covering) -> DataFrame:
+    """Audits of trips rolled up: level (0 a trip, 1 an era, 3 all), era, trip, legs, off, km, worst.
+
+    legs: as for ``audit_legs``, with era; a trip belongs to the era of each of its legs.
+    ``off`` counts legs off their medium, ``km`` their length, ``worst`` is the largest
+    share of such samples. A null era or trip is one of its own: level tells it from
+    a subtotal.
+    """
+    bad = audit_legs(legs, land).select("trip", "leg", "km", "ratio")
+    rows = legs.select("trip", "leg", "era").join(bad, ["trip", "leg"], "left")
+    rolled = rows.rollup("era", "trip").agg(
+        F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("legs"), F.count("ratio").alias("off"),
+        F.coalesce(F.sum("km"), F.lit(0)).alias("km"), F.max("ratio").alias("worst"),
+    )
+    return rolled.select("level", "era", "trip", "legs", "off", "km", "worst")
+
+
 def crosses(legs: DataFrame, land: DataFrame | Covering, medium: str, step_km: float = 8) -> DataFrame:
     """trip, leg, crosses: whether the inside of a leg's path touches ``land`` or ``water``."""
     via = F.col("via") if "via" in legs.columns else F.lit(None).cast("array<struct<lat: double, lon: double>>")

@@ -14,12 +14,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itinera.operators.covering import Covering, cover
 from itinera.operators.folds import km_between
 from itinera.operators.land import crosses, crosses_terrain, modality, on_land, polygons_near
 from itinera.operators.legs import vertices
+from itinera.sources.storage import stored
 
 #: Grid cell, cells at most, padding of the box, snap rings, tolerance of a simplified path.
 CELL, MOST_CELLS, PAD, PAD_SHARE, SNAP_RINGS, TOLERANCE = 0.08, 14_400, 1.6, 0.8, 2, 0.06
@@ -218,13 +221,41 @@ def route_key(path: Column) -> Column:
     return F.concat_ws("|", fine(path[0], 4), F.array_join(inner, "_"), fine(F.element_at(path, -1), 4))
 
 
-def route_legs(legs: DataFrame, land: DataFrame, medium: str, terrain: Terrain | None = None, terrain_column: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """trip, leg, routed, path (array of lat, lon), kept for the legs of one medium: ``sea`` or ``land``.
+MEMO = "key string, medium string, version long, way array<struct<lat: double, lon: double>>, kept boolean, run int"
+
+
+def _memo(spark: SparkSession, path: str, medium: str) -> DataFrame:
+    """The stored routes of a medium: key, version, way, kept, run. Of a route that two runs stored at once one counts."""
+    try:
+        rows = spark.read.schema(MEMO).parquet(path)
+    except AnalysisException as cause:
+        if cause.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], MEMO)
+    return rows.filter(F.col("medium") == medium).groupBy("key", "version").agg(F.min_by(F.struct("way", "kept", "run"), "run").alias("x")).select("key", "version", "x.*")
+
+
+def route_legs(
+    legs: DataFrame,
+    land: DataFrame | Covering,
+    medium: str,
+    terrain: Terrain | None = None,
+    terrain_column: Callable[[Column, Column], Column] | None = None,
+    memo: str | None = None,
+    terrain_version: str = "",
+) -> DataFrame:
+    """trip, leg, routed, path (array of lat, lon), kept, run for the legs of one medium: ``sea`` or ``land``.
 
     ``terrain`` gives the cost of a position (lon, lat) for land routes, and
     ``terrain_column`` the same as a column, by which legs over steep terrain are
     found. ``kept`` tells that the search left the medium nowhere.
+
+    ``memo`` is a table that keeps routes by key and version, which is a hash of the
+    land near the leg (and ``terrain_version``): only routes that it lacks are searched,
+    and added. So a second run searches none, and a changed coast those near the change.
+    ``run`` says which run found a route (null without memo).
     """
+    land = cover(land)
     wanted = {"sea": "boat", "land": "land"}[medium]
     via = F.col("via") if "via" in legs.columns else F.lit(None).cast("array<struct<lat: double, lon: double>>")
     own = legs.filter(modality(F.col("vehicle")) == wanted)
@@ -246,7 +277,7 @@ def route_legs(legs: DataFrame, land: DataFrame, medium: str, terrain: Terrain |
         "key", (reach("lat", F.array_min) - pad("lat")).alias("s"), (reach("lat", F.array_max) + pad("lat")).alias("n"),
         (reach("lon", F.array_min) - pad("lon")).alias("w"), (reach("lon", F.array_max) + pad("lon")).alias("e"),
     )
-    near = polygons_near(box, "key", land, pad=0.0)
+    near = polygons_near(box, "key", land.polygons, pad=0.0)
 
     kind = pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))
 
@@ -263,7 +294,21 @@ def route_legs(legs: DataFrame, land: DataFrame, medium: str, terrain: Terrain |
 
     spark = legs.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    work = blocked.join(near, "key", "left").repartition(tasks, "key")  # searches are long: spread them, however few bytes they are
-    ways = work.mapInArrow(run, "key string, way array<struct<lat: double, lon: double>>, kept boolean")
+    work, run_number = blocked.join(near, "key", "left"), F.lit(None).cast("int")
+
+    def searched(rows: DataFrame) -> DataFrame:  # searches are long: spread them, however few bytes they are
+        return rows.repartition(tasks, "key").mapInArrow(run, "key string, way array<struct<lat: double, lon: double>>, kept boolean")
+
+    if memo is None:
+        ways = searched(work.select("key", "path", "polygons")).withColumn("run", run_number)
+    else:
+        version = F.xxhash64(F.lit(f"{terrain_version}"), F.coalesce("polygons", F.array().cast(near.schema["polygons"].dataType)))
+        work = stored(work.withColumn("version", version), "route-work")
+        held = _memo(spark, memo, medium)
+        lacking = work.join(held, ["key", "version"], "left_anti")
+        number = (held.agg(F.max("run")).first()[0] or 0) + 1
+        found = searched(lacking.select("key", "path", "polygons")).join(lacking.select("key", "version"), "key")
+        found.select("key", F.lit(medium).alias("medium"), "version", "way", "kept", F.lit(number).alias("run")).write.mode("append").parquet(memo)
+        ways = _memo(spark, memo, medium).join(work.select("key", "version"), ["key", "version"]).drop("version")
     joined = own.join(ways, "key", "left")
-    return joined.select("trip", "leg", F.col("way").isNotNull().alias("routed"), F.coalesce("way", "path").alias("path"), F.coalesce("kept", F.lit(True)).alias("kept"))
+    return joined.select("trip", "leg", F.col("way").isNotNull().alias("routed"), F.coalesce("way", "path").alias("path"), F.coalesce("kept", F.lit(True)).alias("kept"), "run")

@@ -16,6 +16,7 @@ from itinera.functions import dates, geo, text
 from itinera.operators import clusters, hubs, land, legs, places, routing, trips
 from itinera.plans import bridge, dims
 from itinera.plans.bridge import half_up, km, with_
+from itinera.sources.storage import new_folder
 from itinera.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -981,6 +982,23 @@ def trip_audit(spark, sf_dir):
     return found.withColumn("findings", F.array_join("findings", ","))
 
 
+@query(
+    with_("stops")
+    + _LEGS
+    + _SAMPLED
+    + f", {_EDGES}, ground AS (SELECT *, {_MODALITY} AS modality FROM samples WHERE {_MODALITY} <> 'air')"
+    + _landed("ground", "trip, leg, s")
+    + f""", bad AS (SELECT trip, leg, {half_up("count(*) FILTER ((modality = 'land') = (landmass IS NULL)) / count(*)", 3)} AS ratio, floor(any_value(d) + 0.5)::BIGINT AS km FROM located GROUP BY trip, leg
+        HAVING count(*) FILTER ((modality = 'land') = (landmass IS NULL)) / count(*) > 0.15),
+    dated AS (SELECT trip, leg, CASE WHEN trip % 11 < 10 THEN ([{', '.join(f"'{e[0]}'" for e in dims.ERAS)}])[(trip % 11)::INT + 1] END AS era FROM legs)
+    SELECT grouping(era, trip)::INT AS level, era, trip, count(*) AS legs, count(ratio) AS off, coalesce(sum(km), 0)::BIGINT AS km, max(ratio) AS worst FROM dated LEFT JOIN bad USING (trip, leg) GROUP BY ROLLUP (era, trip)"""
+)
+def trip_audit_rollup(spark, sf_dir):
+    """Audits by era and trip with subtotals; trips without an era are no subtotal."""
+    era = F.when(F.col("trip") % 11 < 10, F.element_at(F.array(*[F.lit(e[0]) for e in dims.ERAS]), (F.col("trip") % 11).cast("int") + 1))
+    return land.audit_rollup(legs.legs_of(bridge.stops(spark, sf_dir)).withColumn("era", era), bridge.coast(spark))
+
+
 _CHORD = f"""
 , sized AS (SELECT *, {_LEG_KM} AS d FROM legs), counted AS (SELECT *, greatest(2, least(400, floor(d / 8 + 0.5)))::INT AS n FROM sized WHERE d > 0),
 samples AS (SELECT trip, leg, s, from_lat + (to_lat - from_lat) * greatest(0.0, least(1.0, ((s / n) * d - 0.0) / d)) AS lat,
@@ -1072,13 +1090,30 @@ def _route_facts(found: DataFrame, ends: DataFrame) -> DataFrame:
 @query(_routes_sql("boat", "landmass IS NOT NULL"))
 def sea_routes(spark, sf_dir):
     rows = legs.legs_of(bridge.stops(spark, sf_dir))
-    return _route_facts(routing.route_legs(rows, dims.land(spark), "sea"), rows)
+    return _route_facts(routing.route_legs(rows, bridge.coast(spark), "sea"), rows)
 
 
 @query(_routes_sql("land", "landmass IS NULL"))
 def land_routes(spark, sf_dir):
     rows = legs.legs_of(bridge.stops(spark, sf_dir))
-    return _route_facts(routing.route_legs(rows, dims.land(spark), "land"), rows)
+    return _route_facts(routing.route_legs(rows, bridge.coast(spark), "land"), rows)
+
+
+@query(
+    with_("stops")
+    + _LEGS
+    + _CHORD
+    + _landed("samples", "trip, leg, s")
+    + f""", touched AS (SELECT trip, leg FROM located GROUP BY trip, leg HAVING bool_or(landmass IS NOT NULL)),
+    blocked AS (SELECT l.* FROM legs l SEMI JOIN touched USING (trip, leg) WHERE {_MODALITY} = 'boat'),
+    seen AS (SELECT DISTINCT from_lat, from_lon, to_lat, to_lon FROM blocked WHERE trip % 3 = 0)
+    SELECT trip, leg, CASE WHEN s.from_lat IS NULL THEN 2 ELSE 1 END::INT AS run FROM blocked b LEFT JOIN seen s ON s.from_lat = b.from_lat AND s.from_lon = b.from_lon AND s.to_lat = b.to_lat AND s.to_lon = b.to_lon"""
+)
+def route_memo(spark, sf_dir):
+    """Which of two runs over a stored memo searched the route of each blocked leg: the first has every third trip."""
+    rows, memo = legs.legs_of(bridge.stops(spark, sf_dir)), new_folder(spark, "route-memo")
+    routing.route_legs(rows.filter("trip % 3 = 0"), bridge.coast(spark), "sea", memo=memo)
+    return routing.route_legs(rows, bridge.coast(spark), "sea", memo=memo).filter("routed").select("trip", "leg", "run")
 
 
 # ---------------------------------------------------------------- stores and sources
@@ -1117,7 +1152,8 @@ def store_upsert(spark, sf_dir):
     return trips.upsert(part.filter("part % 5 <> 0 OR part % 3 <> 0"), part.filter("part % 3 = 0").withColumn("size", F.col("size") + 100), ["part"])
 
 
-@query("""SELECT c_custkey AS item FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT c_custkey AS item FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 7 <> 3)""")
 def cache_purge(spark, sf_dir):
+    """What is held and no order of the current release names: every seventh customer's."""
     held = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"))
-    return trips.stale(held, _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item")), "item")
+    return trips.stale(held, _read(spark, sf_dir, "orders").filter("o_custkey % 7 <> 3").select(F.col("o_custkey").alias("item")), "item")

@@ -328,3 +328,23 @@ def test_a_query_that_all_places_match(spark):
     assert got["t"] == best and got["town"] == best and got["n 3999"] == [(3999, 2)]
     assert got["ville 77"][0] == (779, 0) and got["ville 77"][-1] != (5, 1) and len(got["ville 77"]) == 8
     assert "vile 1234" not in got
+
+
+def test_the_route_memo_searches_what_it_lacks(spark, tmp_path):
+    """A second run searches nothing; a changed coast only the legs near the change; the other medium is its own."""
+    square = lambda x: [[(x, 0.4), (x + 0.4, 0.4), (x + 0.4, 0.6), (x, 0.6)]]
+    coast = lambda far: spark.createDataFrame([(0, "near", square(1.0)), (1, "far", square(far))], dims.land(spark).schema)
+    rows = leg_rows(spark, [(0.5, 0.8, 0.5, 1.8), (0.5, 20.8, 0.5, 21.9), (0.5, 0.8, 0.5, 1.8)], [("boat",)] * 3, ", vehicle string")
+    memo = str(tmp_path / "memo")
+
+    def run(land_layer):
+        routing.route_legs(rows, land_layer, "sea", memo=memo)
+        got = {r.leg: (r.routed, r.run, len(r.path)) for r in routing.route_legs(rows, land_layer, "sea", memo=memo).collect()}
+        return got, spark.read.parquet(memo).count()
+
+    first, n = run(coast(21.0))
+    assert n == 2 and all(r[:2] == (True, 1) and r[2] > 2 for r in first.values()) and first[0] == first[2]
+    second, n = run(coast(21.2))
+    assert n == 3 and second[0] == first[0] and second[1][:2] == (True, 2)
+    plain = {r.leg: r.path for r in routing.route_legs(rows, coast(21.2), "sea").collect()}
+    assert plain == {r.leg: r.path for r in routing.route_legs(rows, coast(21.2), "sea", memo=memo).collect()}
