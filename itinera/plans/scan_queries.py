@@ -131,6 +131,28 @@ def polygon_scan(spark, sf_dir):
     )
 
 
+@query(
+    """WITH c AS (SELECT c_nationkey::VARCHAR AS file, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS f FROM customer)
+    SELECT file, (f * 2147483648)::BIGINT AS ord, k % 7 + 3 AS points, (k % 170)::DOUBLE AS west, (k % 80)::DOUBLE AS south FROM c WHERE k % 9 <> 4"""
+)
+def feature_ranges(spark, sf_dir):
+    """Collections of each nation's customers, in different spacing, read in ranges of some features each; points are no polygons."""
+    k, wide = F.col("c_custkey"), F.col("c_nationkey") % 2 == 0
+    corners = F.transform(F.sequence(F.lit(0), (k % 7 + 2).cast("int")), lambda i: F.concat(F.lit("["), (k % 170 + i).cast("string"), F.lit(", "), (k % 80 + i % 2).cast("string"), F.lit("]")))
+    shape = F.when(k % 9 == 4, F.lit('{"type":"Point","coordinates":[1,2]}')).otherwise(F.concat(F.lit('{"type":"Polygon","coordinates":[['), F.array_join(corners, ","), F.lit("]]}")))
+    note = F.when(k % 5 == 0, F.lit('"properties": {"note": "{\\"type\\":\\"Feature\\", é"}, ')).otherwise(F.lit(""))
+    opens = F.when(wide, F.lit('{ "type" : "Feature",\n ')).otherwise(F.lit('{"type":"Feature",'))
+    feature = F.concat(opens, note, F.lit('"geometry":'), shape, F.lit("}"))
+    listed = _read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", feature.alias("t")))).alias("x"))
+    body = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.col("x.t"), ",\n"), F.lit("]}\n"))
+    folder = new_folder(spark, "collections")
+    write_files(listed.select(F.concat("c_nationkey", F.lit(".geojson")).alias("name"), F.encode(body, "UTF-8").alias("content")), folder)
+    ring = F.col("rings")[0]
+    least = lambda axis: F.array_min(F.transform(ring, lambda p: p[axis]))
+    found = readers.read_polygons(spark, folder, split_bytes=1500)
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.geojson$", 1).alias("file"), "ord", F.size(ring).cast("long").alias("points"), least("lon").alias("west"), least("lat").alias("south"))
+
+
 @query("SELECT n_nationkey::VARCHAR AS key, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END AS text FROM nation")
 def strings_scan(spark, sf_dir):
     nation = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("t"))

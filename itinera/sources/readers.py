@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from itinera.functions.text import escape_html, script_safe
 from itinera.sources import heif
+from itinera.sources.features import SPLIT_BYTES, read_features
 from itinera.sources.storage import file_system, write_files
 
 POINT = "struct<lat: double, lon: double>"
@@ -138,16 +139,18 @@ def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
 MOST_PARTS = 1 << 31
 
 
-def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """ord, polygon, rings of a GeoJSON collection of polygons and multipolygons."""
-    schema = "features array<struct<geometry: struct<type: string, coordinates: string>>>"
-    features = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("f", "x"))
-    one = F.array(F.from_json("x.geometry.coordinates", "array<array<array<double>>>"))
-    many = F.from_json("x.geometry.coordinates", "array<array<array<array<double>>>>")
-    kind = F.col("x.geometry.type")
-    polygons = features.select("f", F.posexplode(F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many)).alias("p", "r"))
+def read_polygons(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """ord, polygon, rings of a GeoJSON collection of polygons and multipolygons; path too, as several may be read at once.
+
+    Files are read in byte ranges; a feature's number does not depend on them.
+    """
+    features = read_features(spark, path, split_bytes)
+    one = F.array(F.from_json("coordinates", "array<array<array<double>>>"))
+    many = F.from_json("coordinates", "array<array<array<array<double>>>>")
+    parts = F.when(F.col("type") == "Polygon", one).when(F.col("type") == "MultiPolygon", many)
+    polygons = features.select("path", "f", F.posexplode(parts).alias("p", "r"))
     rings = F.transform("r", lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
-    return polygons.filter(F.size("r") > 0).select((F.col("f").cast("long") * MOST_PARTS + F.col("p")).alias("ord"), F.concat_ws(":", "f", "p").alias("polygon"), rings.alias("rings"))
+    return polygons.filter(F.size("r") > 0).select((F.col("f") * MOST_PARTS + F.col("p")).alias("ord"), F.concat_ws(":", "f", "p").alias("polygon"), rings.alias("rings"), "path")
 
 
 def safe_url_rows(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:

@@ -200,3 +200,25 @@ def test_heic_boxes_lead_to_the_exif_block(tmp_path):
                 heif.exif_tiff(io.BytesIO(data[:size]), size)
     plain = data.replace(b"Exif\0", b"mime\0", 1)
     assert heif.exif_tiff(io.BytesIO(plain), len(plain)) is None
+
+
+def test_features_do_not_depend_on_their_ranges(tmp_path):
+    import io
+    import random
+
+    from itinera.sources.features import features_in
+
+    rng, shapes = random.Random(3), []
+    for i in range(60):
+        said = {"type": "Feature", "id": i, "properties": {"note": 'é {"type":"Feature", x' * (i % 3)}, "geometry": {"type": "Point", "coordinates": [i, i]}}
+        shapes.append(json.dumps(said, ensure_ascii=False, indent=rng.choice([None, 1])))
+    for body in ([], shapes[:1], shapes):
+        data = ('{"type": "FeatureCollection", "features" : [ ' + " ,\n".join(body) + '], "more": [1]}').encode()
+        for split in (7, 100, 1000, len(data)):
+            found = [x["id"] for a in range(0, len(data), split) for _, x in features_in(io.BytesIO(data), len(data), a, min(len(data), a + split))]
+            assert found == list(range(len(body))), (len(body), split)
+    other = json.dumps({"type": "FeatureCollection", "features": [{"geometry": None, "type": "Feature"}] * 3}).encode()
+    assert sum(len(list(features_in(io.BytesIO(other), len(other), a, a + 9))) for a in range(0, len(other), 9)) == 3
+    broken = data.replace(b'"id": 7', b'"id" 7', 1)
+    with pytest.raises(ValueError, match="feature at byte"):
+        list(features_in(io.BytesIO(broken), len(broken), 0, len(broken)))
