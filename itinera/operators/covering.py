@@ -156,7 +156,7 @@ def cover(land: DataFrame | Covering, most: int = MOST_EDGES) -> Covering:
     return Covering(land, cells, depths, deepest or 0, (edges or 0) <= BROADCAST_EDGES)
 
 
-def _met(points: DataFrame, cells: DataFrame, key: list[str], small: bool) -> DataFrame:
+def met_cells(points: DataFrame, cells: DataFrame, key: list[str], small: bool) -> DataFrame:
     """Left join of points with one row a cell. A cell that many points are in doesn't become one task."""
     if small:
         return points.join(F.broadcast(cells), key, "left")
@@ -175,12 +175,12 @@ def locate(points: DataFrame, land: DataFrame | Covering, out: str = "landmass",
     here = points.withColumns({"_row": F.floor(y), "_column": F.floor(x), "_level": F.lit(0), "_depth": F.lit(0)})
     if index.deepest:
         # A point asks for its cell of each level; of a root that is split one of them exists.
-        here = _met(here.drop("_depth"), index.depths, ["_row", "_column"], index.small).withColumn("_depth", F.coalesce("_depth", F.lit(0)))
+        here = met_cells(here.drop("_depth"), index.depths, ["_row", "_column"], index.small).withColumn("_depth", F.coalesce("_depth", F.lit(0)))
         here = here.withColumn("_level", F.explode(F.sequence(F.when(F.col("_depth") > 0, 1).otherwise(0), F.col("_depth"))))
         scale = F.pow(F.lit(2.0), F.col("_level"))
         here = here.withColumns({"_row": F.floor(y * scale), "_column": F.floor(x * scale)})
     cells = index.cells.select(F.col("level").alias("_level"), F.col("row").alias("_row"), F.col("column").alias("_column"), F.col("rings").alias("_rings"))
-    met = _met(here, cells, ["_level", "_row", "_column"], index.small).filter("_depth = 0 OR _rings IS NOT NULL")
+    met = met_cells(here, cells, ["_level", "_row", "_column"], index.small).filter("_depth = 0 OR _rings IS NOT NULL")
 
     def crossed(e: Column) -> Column:
         spans = (e["y1"] > y) != (e["y2"] > y)

@@ -2,7 +2,8 @@
 
 Spatial joins go by grid cell, an equality that Spark can shuffle on; the exact
 distance is checked afterwards. A cell is at least as wide as the radius, so a
-match lies in the same cell or one of the eight around it.
+match lies in the same cell or one of the eight around it. Cells of many places are
+split, and a position goes down only into parts that can hold its nearest place.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from itinera.functions.geo import EARTH_KM, haversine_km
 from itinera.functions.text import fold, within_one_edit
+from itinera.operators.covering import met_cells
 from itinera.operators.folds import fold_rows
+from itinera.sources.storage import stored
 
 #: Zoom below which a view shows so many ranked places.
 CAPS = [(3, 30), (5, 100), (7, 300), (9, 800), (99, 9999)]
@@ -53,17 +56,73 @@ def nearest_within(points: DataFrame, places: DataFrame, radius_km: float, same:
     # Positions are looked up once each, and what is found is joined back by position.
     own_id = (F.col(same) if same else F.lit(None).cast("long")).alias("_same")
     spots = points.filter("lat IS NOT NULL AND lon IS NOT NULL").select("lat", "lon", own_id).distinct()
-    probes = spots.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "_same", F.explode(probed).alias("cell"))
-    cell = F.struct(F.floor(F.col("lat") / degrees).alias("row"), F.pmod(F.floor((flat(F.col("lat"), F.col("lon")) + 180) / degrees), F.lit(columns)).alias("column"))
-    held = places.filter("lat IS NOT NULL AND lon IS NOT NULL").select("idx", "name", "lat", "lon", cell.alias("cell"))
-    km = haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
-    hits = probes.join(held, "cell").withColumn("km", km).filter((F.col("km") <= radius_km) & ~F.col("idx").eqNullSafe(F.col("_same")))
+    key = lambda row, column: F.concat_ws(":", row.cast("string"), column.cast("string"))
+    asked = spots.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "_same", F.explode(F.transform(probed, lambda c: key(c["row"], c["column"]))).alias("cell"))
+    # Of places at one position the first counts, or the second where the first is left out.
+    held = best_of_each(places.filter("lat IS NOT NULL AND lon IS NOT NULL").select("idx", "name", "lat", "lon"), ["lat", "lon"], ["idx"], 2).drop("rank")
+    east = (flat(F.col("lat"), F.col("lon")) + 180) / degrees
+    held = held.withColumns({"y": F.col("lat") / degrees, "x": east, "cell": key(F.floor(F.col("lat") / degrees), F.pmod(F.floor(east), F.lit(columns)))})
+    km = haversine_km(F.col("_lat"), F.col("_lon"), F.col("p.lat"), F.col("p.lon"))
+    hits = None
+    for leaves, children, small in _place_tree(held):
+        found = met_cells(asked, leaves, ["cell"], small).filter("items IS NOT NULL").withColumn("p", F.explode("items")).withColumn("km", km)
+        found = found.filter((F.col("km") <= radius_km) & ~F.col("p.idx").eqNullSafe(F.col("_same"))).select("_lat", "_lon", "_same", "km", "p.idx", "p.name")
+        hits = found if hits is None else hits.unionByName(found)
+        if children is not None:
+            asked = _nearer(asked, children, small, radius_km)
     best = hits.groupBy("_lat", "_lon", "_same").agg(F.min(F.struct("km", "idx", "name")).alias("best"))
     there = (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon"))
     there = there & (F.col(same).eqNullSafe(F.col("_same")) if same else F.lit(True))
     return points.join(best, there, "left").select(*points.columns, "best.idx", F.col("best.name").alias("place"), "best.km")
 
 
+#: Places of a cell from which on it is split, parts of a side of one that is, and levels at most (some centimetres).
+LEAF_PLACES, PARTS, DEEPEST = 256, 8, 6
+
+
+def _place_tree(held: DataFrame) -> Iterator[tuple[DataFrame, DataFrame | None, bool]]:
+    """Level by level: cells with their few places; cells with their parts, at most 64, each with its box and one of its places.
+
+    Cells of many places have parts only, and these come with the next level; where no
+    cell has many, one level is all.
+    """
+    small = held.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    for level in range(DEEPEST + 1):
+        dense = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LEAF_PLACES).select("cell")
+        last = level == DEEPEST or dense.isEmpty()
+        few = held if last else held.join(dense, "cell", "left_anti")
+        leaves = few.groupBy("cell").agg(F.collect_list(F.struct("idx", "name", "lat", "lon")).alias("items"))
+        if last:
+            yield leaves, None, small
+            return
+        part = lambda c: F.floor(F.col(c) * PARTS ** (level + 1)).cast("string")  # noqa: B023, E731
+        held = stored(held.join(dense, "cell", "left_semi").withColumns({"parent": F.col("cell"), "cell": F.concat_ws("/", "cell", part("y"), part("x"))}), "dense-places")
+        boxes = held.groupBy("parent", "cell").agg(
+            F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"),
+            F.min(F.struct("idx", "lat", "lon")).alias("one"), F.max(F.struct("idx", "lat", "lon")).alias("other"),
+        )
+        yield leaves, boxes.groupBy(F.col("parent").alias("cell")).agg(F.collect_list(F.struct("cell", "s", "n", "w", "e", "one", "other")).alias("parts")), small
+        held = held.drop("parent")
+
+
+def _nearer(asked: DataFrame, children: DataFrame, small: bool, radius_km: float) -> DataFrame:
+    """The parts of cells that can hold a position's nearest place: none is farther than a place that another part is known to hold."""
+    met = met_cells(asked, children, ["cell"], small).filter("parts IS NOT NULL").select("_lat", "_lon", "_same", F.explode("parts").alias("c"))
+    to = lambda p: F.when(~F.col(p)["idx"].eqNullSafe(F.col("_same")), haversine_km(F.col("_lat"), F.col("_lon"), F.col(p)["lat"], F.col(p)["lon"]))
+    up = F.radians(F.greatest(F.col("c.s") - F.col("_lat"), F.col("_lat") - F.col("c.n"), F.lit(0.0)))
+    # The least difference of longitudes, either way round; great circles are no shorter than this says.
+    turn = lambda x: F.pmod(x, F.lit(360.0))
+    outside = turn(F.col("_lon") - F.col("c.w")) > F.col("c.e") - F.col("c.w")
+    across = F.radians(F.when(outside, F.least(turn(F.col("c.w") - F.col("_lon")), turn(F.col("_lon") - F.col("c.e")))).otherwise(0.0))
+    thin = F.sqrt(F.cos(F.radians("_lat")) * F.least(F.cos(F.radians("c.s")), F.cos(F.radians("c.n")))) * F.sin(across / 2)
+    least = F.greatest(EARTH_KM * up, 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.abs(thin))))
+    met = stored(met.select("_lat", "_lon", "_same", F.col("c.cell").alias("cell"), least.alias("least"), F.least(to("c.one"), to("c.other")).alias("most")), "near-parts")
+    known = met.groupBy("_lat", "_lon", "_same").agg(F.min("most").alias("known")).withColumnsRenamed({"_lat": "_y", "_lon": "_x", "_same": "_s"})
+    same_spot = (F.col("_lat") == F.col("_y")) & (F.col("_lon") == F.col("_x")) & F.col("_same").eqNullSafe(F.col("_s"))
+    near = F.col("least") <= F.least(F.coalesce("known", F.lit(radius_km)), F.lit(radius_km)) * (1 + 1e-9) + 1e-6
+    return met.join(known, same_spot).filter(near).select("_lat", "_lon", "_same", "cell")
+
+
 def reverse_lookup(queries: DataFrame, places: DataFrame, reach: float = 0.1) -> DataFrame:
     """The place of a name near a position: query, idx (null for none).
 

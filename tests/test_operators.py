@@ -348,3 +348,29 @@ def test_the_route_memo_searches_what_it_lacks(spark, tmp_path):
     assert n == 3 and second[0] == first[0] and second[1][:2] == (True, 2)
     plain = {r.leg: r.path for r in routing.route_legs(rows, coast(21.2), "sea").collect()}
     assert plain == {r.leg: r.path for r in routing.route_legs(rows, coast(21.2), "sea", memo=memo).collect()}
+
+
+def test_nearest_place_among_crowds(spark, monkeypatch):
+    """Crowded cells are split level by level: crowds, one spot with many places, the date line, ties and places left out."""
+    import random
+
+    from itinera.operators.folds import km_between
+
+    monkeypatch.setattr(places, "LEAF_PLACES", 4)
+    rng = random.Random(6)
+    held = [(10.0 + rng.gauss(0, 0.02), 20.0 + rng.gauss(0, 0.02)) for _ in range(300)] + [(50.0, 7.0)] * 40
+    held += [(-5 + rng.uniform(-0.2, 0.2), (180 + rng.uniform(-0.2, 0.2) + 180) % 360 - 180) for _ in range(150)] + [(rng.uniform(-89, 89), rng.uniform(-180, 180)) for _ in range(100)]
+    held += [(78 + rng.uniform(-1, 1), rng.uniform(-2, 2)) for _ in range(60)]
+    asked = [(y + rng.gauss(0, 0.05), x + rng.gauss(0, 0.05)) for y, x in rng.sample(held, 150)] + held[::7] + [(10.3, 20.0)] * 30
+    rows = spark.createDataFrame([(i, f"p{i}", y, x) for i, (y, x) in enumerate(held)], "idx long, name string, lat double, lon double")
+    for same in (None, "own"):
+        spots = [(q, y, x, next((i for i, p in enumerate(held) if p == (y, x)), -1)) for q, (y, x) in enumerate(asked)]
+        got = places.nearest_within(spark.createDataFrame(spots, "q long, lat double, lon double, own long"), rows, 25.0, same)
+        got = {r.q: (r.idx, r.km) for r in got.collect()}
+        for q, y, x, own in spots:
+            near = sorted((km_between(y, x, *p), i) for i, p in enumerate(held) if not (same and i == own))
+            if near[0][0] > 25.0:
+                assert got[q] == (None, None)
+            else:
+                assert math.isclose(got[q][1], near[0][0], abs_tol=1e-7) and math.isclose(near[0][0], km_between(y, x, *held[got[q][0]]), abs_tol=1e-7), q
+                assert near[0][0] > 0 or got[q][0] == near[0][1]
