@@ -43,8 +43,17 @@ def strip_accents(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower-case search form: no accents, Turkish, Nordic and Greek letters in Latin writing."""
-    out = F.lower(strip_accents(F.coalesce(text, F.lit(""))))
+    """Lower-case search form: no accents, Turkish, Nordic and Greek letters in Latin writing.
+
+    Text of as many bytes as characters is ASCII: there only case and white space matter.
+    """
+    text = F.coalesce(text, F.lit(""))
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r"))).otherwise(_fold_any(text))
+
+
+def _fold_any(text: Column) -> Column:
+    out = F.lower(strip_accents(text))
     out = F.replace(F.translate(strip_accents(out), "ışğø", "isgo"), F.lit("ß"), F.lit("ss"))
     for greek, latin in {**GREEK_PAIRS, **GREEK_TWO}.items():
         out = F.replace(out, F.lit(greek), F.lit(latin))

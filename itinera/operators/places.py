@@ -270,7 +270,7 @@ def search(queries: DataFrame, places: DataFrame, aliases: DataFrame, limit: int
     postings = held.select("idx", "pop", "key", "forms", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi")
     counted = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = pieces.join(counted, "gram", "left").groupBy("query", "q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-    rarest = rarest.filter("r.n > 0").select("query", "q", F.col("r.gram").alias("gram"))
+    rarest = stored(rarest.filter("r.n > 0").select("query", "q", F.col("r.gram").alias("gram")), "rarest-pieces")
 
     def direct_tier(q: Column, of: Column) -> Column:
         begins, holds = F.exists(of, lambda f: f.startswith(q)), F.exists(of, lambda f: f.contains(q))
@@ -284,16 +284,15 @@ def search(queries: DataFrame, places: DataFrame, aliases: DataFrame, limit: int
     first = held.join(F.broadcast(meant.select(F.col("target").alias("key")).distinct()), "key", "left_semi").groupBy("key").agg(F.min(F.struct("idx", "pop", "forms")).alias("p"))
     by_alias = meant.join(first, F.col("target") == F.col("key")).filter(direct_tier(F.col("q"), F.col("p.forms")).isNull())
     by_alias = by_alias.select("query", "q", "p.idx", "p.pop", "key", F.lit(1).alias("tier"))
-    best = direct.unionByName(by_alias)
-
+    exact = ((F.col("tier") == 0) & (F.col("key") == F.col("q"))).cast("int")
+    order = ["tier", exact.desc(), F.desc("pop"), "idx"]
+    # The best rows also say which queries have few: of those they are all.
+    best = stored(best_of_each(direct.unionByName(by_alias), ["query"], order, max(limit, least)).drop("rank"), "matches")
     few = asked.filter(F.length("q") >= 3).join(best.groupBy("query").agg(F.count(F.lit(1)).alias("hits")), "query", "left").filter(F.coalesce("hits", F.lit(0)) < least)
     off = few.select("query", "q", F.explode(_one_off(F.col("q"))).alias("_left"))
     near = held.withColumn("_left", F.explode(_one_off(F.col("key")))).join(_if_few(off), "_left").filter(within_one_edit(F.col("q"), F.col("key")))
-    near = near.filter(direct_tier(F.col("q"), F.col("forms")).isNull()).select("query", "q", "idx", "pop", "key").distinct()
-    near = near.join(by_alias.select("query", "idx"), ["query", "idx"], "left_anti").withColumn("tier", F.lit(3))
-    exact = ((F.col("tier") == 0) & (F.col("key") == F.col("q"))).cast("int")
-    found = best_of_each(best.unionByName(near), ["query"], ["tier", exact.desc(), F.desc("pop"), "idx"], limit)
-    return found.select("query", "rank", "idx", "tier")
+    near = near.select("query", "q", "idx", "pop", "key").distinct().join(best.select("query", "idx"), ["query", "idx"], "left_anti").withColumn("tier", F.lit(3))
+    return best_of_each(best.unionByName(near), ["query"], order, limit).select("query", "rank", "idx", "tier")
 
 
 def _cap(zoom: Column) -> Column:
