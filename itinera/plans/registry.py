@@ -560,11 +560,23 @@ _VALUES = ", ".join(f"('{e[0]}', {i}, '{t}')" for e in dims.ERAS for i, t in enu
 _THEMES = f"themes(era, place, theme) AS (VALUES {_VALUES})"
 
 
-@query(f"""WITH {_THEMES}, universal(place, theme) AS (VALUES (100, 'parchment'), (101, 'meadow'))
-    SELECT era, theme, place FROM themes UNION ALL
-    SELECT e.era, u.theme, u.place FROM (SELECT DISTINCT era FROM themes) e, universal u WHERE NOT EXISTS (SELECT 1 FROM themes t WHERE t.era = e.era AND t.theme = u.theme)""")
+#: The era of each customer's trip: one of all, an unknown one, or none.
+_TRIP_ERAS = "trip_eras AS (SELECT c_custkey AS item, ([" + ", ".join(f"'{e[0]}'" for e in dims.ERAS) + ", 'nowhere', NULL])[(c_custkey % 12)::INT + 1] AS era FROM customer)"
+
+
+def _trip_eras(spark, sf_dir):
+    eras = F.array(*[F.lit(e[0]) for e in dims.ERAS], F.lit("nowhere"), F.lit(None).cast("string"))
+    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"), F.element_at(eras, (F.col("c_custkey") % 12).cast("int") + 1).alias("era"))
+
+
+@query(f"""WITH {_THEMES}, {_TRIP_ERAS}, universal(place, theme) AS (VALUES (100, 'parchment'), (101, 'meadow')),
+    offered AS (SELECT era, theme, place FROM themes UNION ALL
+        SELECT e.era, u.theme, u.place FROM (SELECT DISTINCT era FROM themes) e, universal u WHERE NOT EXISTS (SELECT 1 FROM themes t WHERE t.era = e.era AND t.theme = u.theme))
+    SELECT item, era, theme, place FROM trip_eras JOIN offered USING (era)""")
 def available_themes(spark, sf_dir):
-    return trips.available_themes(dims.eras(spark))
+    """The themes that each trip can have by its era."""
+    rows = _trip_eras(spark, sf_dir)
+    return rows.join(F.broadcast(trips.available_themes(rows)), "era").select("item", "era", "theme", "place")
 
 
 _OFFERS = f"""{_THEMES}, offers AS (SELECT era, theme FROM themes UNION SELECT era, u FROM themes, (VALUES ('parchment'), ('meadow')) AS v(u))"""
@@ -660,10 +672,12 @@ def vehicle_modality(spark, sf_dir):
     return joined.select("trip", "seq", land.modality(F.col("vehicle")).alias("modality"), F.coalesce("picker_glyph", F.lit("car")).alias("glyph"))
 
 
-@query("""SELECT e.era, viewport, w, s FROM (VALUES """ + ", ".join(f"('{e}', '{v}')" for e, v in dims.ERA_VIEWPORTS.items()) + """) AS e(era, viewport) JOIN (VALUES """
-    + ", ".join(f"('{v[0]}', {v[1]}::DOUBLE, {v[2]}::DOUBLE)" for v in dims.VIEWPORTS) + ") AS v(viewport, w, s) USING (viewport)")
+@query(f"""WITH {_TRIP_ERAS} SELECT item, era, viewport, w, s FROM trip_eras LEFT JOIN (VALUES """ + ", ".join(f"('{e}', '{v}')" for e, v in dims.ERA_VIEWPORTS.items())
+    + """) AS e(era, viewport) USING (era) LEFT JOIN (VALUES """ + ", ".join(f"('{v[0]}', {v[1]}::DOUBLE, {v[2]}::DOUBLE)" for v in dims.VIEWPORTS) + ") AS v(viewport, w, s) USING (viewport)")
 def era_viewports(spark, sf_dir):
-    return dims.era_viewports(spark).join(F.broadcast(dims.viewports(spark)), "viewport").select("era", "viewport", "w", "s")
+    """The view that each trip opens with by its era; none for eras without one."""
+    views = dims.era_viewports(spark).join(F.broadcast(dims.viewports(spark)), "viewport").select("era", "viewport", "w", "s")
+    return _trip_eras(spark, sf_dir).join(F.broadcast(views), "era", "left").select("item", "era", "viewport", "w", "s")
 
 
 def _alias_rows(spark, sf_dir):
@@ -1055,14 +1069,21 @@ def vehicle_infer(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_EDGES}, samples AS (SELECT r::INT AS r, c::INT AS c, 33.0 + r * (10.0::DOUBLE / 94) AS lat, 28.0 + c * (16.0::DOUBLE / 150) AS lon
-        FROM (SELECT unnest(range(95)) AS r), (SELECT unnest(range(151)) AS c))"""
+    with_("stops")
+    + f""", {_EDGES}, box AS (SELECT floor(min(lon)) AS w, floor(min(lat)) AS s, ceil(max(lon)) AS e, ceil(max(lat)) AS n FROM stops WHERE lat IS NOT NULL),
+    sized AS (SELECT *, greatest(24, ceil((e - w) / 0.08::DOUBLE) + 1)::DOUBLE AS c0, greatest(24, ceil((n - s) / 0.08::DOUBLE) + 1)::DOUBLE AS r0 FROM box),
+    grid AS (SELECT *, CASE WHEN c0 * r0 > 14400 THEN greatest(24, floor(c0 * sqrt(14400.0::DOUBLE / (c0 * r0)))) ELSE c0 END AS nc, CASE WHEN c0 * r0 > 14400 THEN greatest(24, floor(r0 * sqrt(14400.0::DOUBLE / (c0 * r0)))) ELSE r0 END AS nr FROM sized),
+    samples AS (SELECT r::INT AS r, c::INT AS c, s + r * ((n - s) / (nr - 1)) AS lat, w + c * ((e - w) / (nc - 1)) AS lon
+        FROM (SELECT *, unnest(range(nr::INT)) AS r FROM grid), (SELECT unnest(range(nc::INT)) AS c FROM grid))"""
     + _landed("samples", "r, c")
     + f""" SELECT r, c, {half_up('lat', 6)} AS lat, {half_up('lon', 6)} AS lon, landmass IS NOT NULL AS on_land, landmass IS NULL AND EXISTS (SELECT 1 FROM located b
         WHERE b.landmass IS NOT NULL AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1) AS near FROM located a"""
 )
 def raster_coast(spark, sf_dir):
-    grid = land.raster((28.0, 33.0, 44.0, 43.0), bridge.coast(spark))
+    """The grid over all stops."""
+    placed = bridge.stops(spark, sf_dir).filter("lat IS NOT NULL")
+    box = placed.agg(F.floor(F.min("lon")), F.floor(F.min("lat")), F.ceil(F.max("lon")), F.ceil(F.max("lat"))).first()
+    grid = land.raster(tuple(map(float, box)), bridge.coast(spark))
     return grid.select("r", "c", r(F.col("lat")).alias("lat"), r(F.col("lon")).alias("lon"), "on_land", "near")
 
 

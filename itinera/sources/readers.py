@@ -167,6 +167,7 @@ def safe_url_rows(spark: SparkSession, path: str, schema: str, multi_line: bool
 
 def standalone_page(title: Column, body: Column, payload: Column, css: str = "") -> Column:
     """A complete HTML page with embedded data and a policy that loads nothing else."""
+    # The policy and the skeleton of the page.
     policy = "default-src 'none'; img-src data:; style-src 'unsafe-inline'; script-src 'unsafe-inline'"
     head = f'<!doctype html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<meta http-equiv="Content-Security-Policy" content="{policy}">\n'
     head += '<meta name="viewport" content="width=device-width, initial-scale=1">\n<title>'

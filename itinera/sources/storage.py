@@ -85,12 +85,21 @@ def write_files(files: DataFrame, folder: str) -> int:
 
 
 def write_lines(lines: DataFrame, folder: str, suffix: str) -> None:
-    """Lines (value) into a file of each partition, with a suffix of the caller's."""
+    """Lines (value) into a file of each partition, with a suffix of the caller's; a partition streams by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [line for batch in batches for line in batch.column("value").to_pylist()]
-        if held:
-            _put(folder, f"part-{TaskContext.get().partitionId():06d}{suffix}", "".join(f"{x}\n" for x in held).encode())
-        yield pa.RecordBatch.from_pydict({"n": pa.array([len(held)], pa.int64())})
+        store, base = file_system(folder)
+        out, n, draft = None, 0, f"{base}/.draft-{uuid.uuid4().hex}"
+        for batch in batches:
+            if out is None and batch.num_rows:
+                store.create_dir(base, recursive=True)
+                out = store.open_output_stream(draft)
+            if out is not None:
+                out.write("".join(f"{x}\n" for x in batch.column("value").to_pylist()).encode())
+            n += batch.num_rows
+        if out is not None:
+            out.close()
+            store.move(draft, f"{base}/part-{TaskContext.get().partitionId():06d}{suffix}")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     lines.select("value").mapInArrow(run, "n long").agg(F.sum("n")).collect()
