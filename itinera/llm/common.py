@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,3 +127,23 @@ def words_within(text: bytes | None, fold: bytes, most: int = 1 << 20) -> Iterat
             continue
         yield b"".join([*open_, piece[:cut]]).split()
         open_ = [piece[cut:]]
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that returns what it has freed to the machine when it ends.
+
+    Python workers outlive their tasks, and what their allocators keep for later adds up
+    over the stages of a pipeline.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import pyarrow
+
+        yield from run(batches)
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # glibc alone has it
+            trim(0)
+
+    return wrapped

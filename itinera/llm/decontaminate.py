@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itinera.llm.common import join_counted, materialise
+from itinera.llm.common import giving_back, join_counted, materialise
 
 #: Words in a test phrase.
 WINDOW = 10
@@ -345,7 +345,7 @@ def _search(rows: DataFrame, sent, cut: bool, shard_words: int) -> DataFrame:
         if waiting:
             yield searched(waiting)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(giving_back(run), rows.schema)
 
 
 def _digest() -> Column:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itinera.llm.common import materialise, small_or_shuffled
+from itinera.llm.common import giving_back, materialise, small_or_shuffled
 
 ORDER = 4
 #: The sample: at most so many labelled documents of each language, those of least hash.
@@ -236,7 +236,7 @@ def count_ngrams(sample: DataFrame, order: int = ORDER) -> DataFrame:
                 ["lang", "n", "gram", "context", "suffix", "times"],
             )
 
-    found = sample.select("lang", "text").mapInArrow(run, "lang string, n int, gram long, context long, suffix long, times long")
+    found = sample.select("lang", "text").mapInArrow(giving_back(run), "lang string, n int, gram long, context long, suffix long, times long")
     return found.groupBy("lang", "n", "gram", "context", "suffix").agg(F.sum("times").alias("times"))
 
 
@@ -334,7 +334,7 @@ def calibration(sample: DataFrame, model: Model) -> pd.DataFrame:
                     {"lang": [lang] * len(parts), "size": length_class(np.diff(starts) - 1), "entropy": own, "evidence": evidence, "right": best == mine}
                 )
 
-    found = sample.select("lang", "text", "rank").repartition(16).mapInArrow(run, "lang string, size long, entropy double, evidence double, right boolean")
+    found = sample.select("lang", "text", "rank").repartition(16).mapInArrow(giving_back(run), "lang string, size long, entropy double, evidence double, right boolean")
     return found.toPandas()
 
 
@@ -426,7 +426,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 yield judged(batch.slice(at))
 
     kind = rows.schema["keep"].dataType.simpleString()
-    return rows.mapInArrow(run, f"keep {kind}, text string, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return rows.mapInArrow(giving_back(run), f"keep {kind}, text string, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itinera.llm.common import discard, join_counted, materialise, small_or_shuffled
+from itinera.llm.common import discard, giving_back, join_counted, materialise, small_or_shuffled
 from itinera.llm.components import connected_components
 
 RADIUS = 3
@@ -136,7 +136,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, fp long")
+    return rows.mapInArrow(giving_back(run), f"doc_id {id_type}, fp long")
 
 
 def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +324,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, node long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, fp long, node long, keys array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,12 +376,12 @@ def shingle_links(docs: DataFrame, rows: DataFrame, tile: int = TILE) -> DataFra
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("least.none").alias("_none"), F.col("least.id").alias("_id"), F.col("least.hash").alias("_hash"))
     wanted = materialise(wanted, "near-keys")
     here = (F.col("doc_id.none") == F.col("_none")) & F.col("doc_id.id").eqNullSafe(F.col("_id")) & (F.col("doc_id.hash") == F.col("_hash"))
-    sets = docs.join(small_or_shuffled(wanted), here).select("node", "text").mapInArrow(_sets, "node long, shingles binary")
+    sets = docs.join(small_or_shuffled(wanted), here).select("node", "text").mapInArrow(giving_back(_sets), "node long, shingles binary")
     sets = materialise(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingle-sets")
 
     left = materialise(pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a"), "near-pairs")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    links = near = materialise(both.mapInArrow(_alike_pairs, "a long, b long"), "near-texts")
+    links = near = materialise(both.mapInArrow(giving_back(_alike_pairs), "a long, b long"), "near-texts")
     discard(left, pairs, wanted, banded, shared)
 
     # Bands whose members are not yet connected: all pairs of their components, in tiles.

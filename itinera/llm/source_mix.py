@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itinera.llm.common import materialise, small_or_shuffled
+from itinera.llm.common import giving_back, materialise, small_or_shuffled
 
 #: Weights of the sources in order, repeating; the share of all
 #: tokens that the mix takes; how often a source may be repeated at most.
@@ -233,5 +233,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
                 yield pa.RecordBatch.from_arrays([keep, pa.array(out, pa.string())], ["keep", "text"])
 
     kind = whole.schema["keep"].dataType.simpleString()
-    taken = joined.select("keep", "text", "once", "twice").mapInArrow(run, f"keep {kind}, text string")
+    taken = joined.select("keep", "text", "once", "twice").mapInArrow(giving_back(run), f"keep {kind}, text string")
     return taken.select(*[F.col("text").alias(c) if c == text_col else F.col("keep")[c].alias(c) for c in docs.columns])

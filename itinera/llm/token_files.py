@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itinera.llm.common import filesystem, new_dir, put_in_place
+from itinera.llm.common import filesystem, giving_back, new_dir, put_in_place
 
 MAGIC = b"BPK1"
 #: Ids in a block.
@@ -306,7 +306,7 @@ def write_token_files(
             {"part": pa.array([part], pa.int64()), "path": [name], "n_docs": pa.array([writer.n_docs], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())}
         )
 
-    totals = sorted(ordered.mapInArrow(write, "part long, path string, n_docs long, n_ids long").collect())
+    totals = sorted(ordered.mapInArrow(giving_back(write), "part long, path string, n_docs long, n_ids long").collect())
     listed, first = [], 0
     for t in totals:
         listed.append((t.path, t.n_docs, t.n_ids, first))
@@ -336,7 +336,7 @@ def read_token_files(files: DataFrame, batch_ids: int = 1 << 20) -> DataFrame:
                         i = j
 
     n = max(1, min(files.count(), 10_000))
-    return files.repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(n, "path").mapInArrow(giving_back(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: Callable[[], str], **options) -> DataFrame:
