@@ -10,13 +10,18 @@ LANGUAGES_IN_BLOCK languages share one sorted hash array per order, so the model
 grows in proportion to the n-grams of all languages, not to their product. The
 language of the lowest cross-entropy per character wins.
 
-Rejection is calibrated on sample documents that do not train: whole and in pieces
-of one word up to thousands of letters. For each length the threshold of a language
-is the mean cross-entropy of its own pieces plus the QUANTILE of all languages'
-deviations from their means, plus MARGIN. So about 1 - QUANTILE of clean text of any
-length is rejected at most, and text of another language or of random letters is,
-once it is long enough to tell. The score is a logistic curve over the evidence for
-the first language against the second.
+Rejection is calibrated on sample documents that do not train: whole, in pieces of
+one word up to thousands of letters, and with their letters shuffled. A language's
+threshold for a length is the median cross-entropy of its own pieces plus the larger of
+two distances. One is SHARE of the way from there to its shuffled text, which has the
+language's letters but none of its order, as text of other languages has: it tells these
+apart. The other keeps short text, whose cross-entropy varies: the QUANTILE of the
+deviations, which falls with length as ``a / sqrt(length) + b``, fitted to the BODY
+quantiles of all lengths and languages at once and carried on to QUANTILE as an
+exponential tail, plus MARGIN. Medians and the body are steady in small samples and do
+not follow single documents of junk, so a small table has thresholds close to those of a
+large one. The score is a logistic curve over the evidence for the first language
+against the second.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0 and
 is rejected; ties go to the first language by name; repeated rows are predicted
@@ -48,10 +53,10 @@ CALIBRATION_EVERY = 6
 LANGUAGES_IN_BLOCK = 8
 #: Share of a language's own text that its threshold keeps, and nats a character above it.
 QUANTILE, MARGIN = 0.999, 0.1
+#: Quantile of the deviations that is measured, and the share of the way to shuffled text.
+BODY, SHARE = 0.95, 0.45
 #: Lengths (as powers of two) of the calibration pieces, and pieces of each a document.
 LENGTHS, PIECES = 13, 4
-#: Pieces from which on a length has a quantile of its own; else that of the next shorter one.
-ENOUGH = 200
 UNKNOWN = "und"
 #: Range of the hashes by which texts are sampled.
 SPAN = 1 << 40
@@ -314,15 +319,27 @@ def pieces(points: np.ndarray, seed: int) -> Iterator[np.ndarray]:
             yield points[start : end + 1]
 
 
+def shuffled(points: np.ndarray, seed: int) -> np.ndarray:
+    """The folded text with its letters in another order, and its spaces where they were."""
+    out, letters = points.copy(), np.nonzero(points)[0]
+    out[letters] = points[np.random.default_rng(seed).permutation(letters)]
+    return out
+
+
 def calibration(sample: DataFrame, model: Model) -> pd.DataFrame:
-    """lang, length class, cross-entropy, evidence, right: a row for every piece of the sample's texts."""
+    """lang, length class, cross-entropy, evidence, right: a row for every piece of the sample's texts.
+
+    ``noise`` is the cross-entropy of the shuffled text and ``chars`` its length, in the
+    row of the whole text; null in those of its pieces.
+    """
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             for lang, text, rank in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "rank")), strict=True):
-                parts = [p for p in pieces(fold(text), rank) if len(p) > 1]
+                folded = fold(text)
+                parts = [p for p in pieces(folded, rank) if len(p) > 1]
                 if lang not in model.languages or not parts:
                     continue
                 starts = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
@@ -330,30 +347,42 @@ def calibration(sample: DataFrame, model: Model) -> pd.DataFrame:
                 best, _, evidence, _ = model.judge(points, starts)
                 mine = model.languages.index(lang)
                 own = model.cross_entropies(points, starts)[:, mine]
-                yield pa.RecordBatch.from_pydict(
-                    {"lang": [lang] * len(parts), "size": length_class(np.diff(starts) - 1), "entropy": own, "evidence": evidence, "right": best == mine}
-                )
-
-    found = sample.select("lang", "text", "rank").repartition(16).mapInArrow(giving_back(run), "lang string, size long, entropy double, evidence double, right boolean")
-    return found.toPandas()
+                noise = float(model.cross_entropy(shuffled(folded, rank))[mine])
+                rest = [None] * (len(parts) - 1)
+                columns = {"lang": [lang] * len(parts), "size": length_class(np.diff(starts) - 1), "entropy": own, "evidence": evidence, "right": best == mine}
+                whole = {"noise": pa.array([noise, *rest], pa.float64()), "chars": pa.array([len(folded) - 1, *rest], pa.int64())}
+                yield pa.RecordBatch.from_pydict({**columns, **whole})
+
+    schema = "lang string, size long, entropy double, evidence double, right boolean, noise double, chars long"
+    return sample.select("lang", "text", "rank").repartition(16).mapInArrow(giving_back(run), schema).toPandas()
+
+
+def thresholds(found: pd.DataFrame, languages: list[str], quantile: float = QUANTILE, margin: float = MARGIN) -> np.ndarray:
+    """[language, length class]: the cross-entropy beyond which text is rejected."""
+    lengths = np.arange(LENGTHS)
+    own = found.groupby("lang")["entropy"].median()
+    rest = found["entropy"] - found["lang"].map(own)
+    middle = rest.groupby(found["size"]).median()
+    longer = np.interp(lengths, middle.index, middle)  # how a length moves the median, in all languages
+    off = (rest - longer[found["size"]]).groupby(found["size"])
+    body, weight = off.quantile(BODY), np.sqrt(off.size())
+    curve = np.stack([2.0 ** (-body.index.to_numpy() / 2), np.ones(len(body))], axis=1)
+    fitted = np.linalg.lstsq(curve * weight.to_numpy()[:, None], body.to_numpy() * weight.to_numpy(), rcond=None)[0]
+    a, b = np.maximum(0, fitted)
+    tail = np.log(1 - quantile) / np.log(1 - BODY) * (a * 2.0 ** (-lengths / 2) + b) + margin
+    whole = found[found["noise"].notna()]
+    noise = (whole["noise"] * whole["chars"]).groupby(whole["lang"]).sum() / whole["chars"].groupby(whole["lang"]).sum()
+    # A language without calibration text has the highest values of the others.
+    own, gap = own.reindex(languages), (noise - own).reindex(languages)
+    own, gap = own.fillna(own.max()).to_numpy()[:, None], gap.fillna(gap.max()).to_numpy()[:, None]
+    return own + longer + np.maximum(tail, SHARE * gap)
 
 
 def calibrate(model: Model, found: pd.DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> Model:
     """Set rejection thresholds and the score's curve."""
     if not len(found):
         return model
-    mean = found.groupby(["lang", "size"])["entropy"].transform("mean")
-    off = (found["entropy"] - mean).groupby(found["size"])
-    numbers = off.size()
-    high = np.zeros(LENGTHS)
-    for k in range(LENGTHS):  # shorter text deviates more, so its bound holds for longer text too
-        enough = numbers.get(k, 0) >= ENOUGH or k == 0 or high[k - 1] == 0
-        high[k] = off.get_group(k).quantile(quantile) if enough and numbers.get(k, 0) else high[k - 1] if k else 0.0
-    high = np.maximum.accumulate(high[::-1])[::-1]
-    means = found.groupby(["size", "lang"])["entropy"].mean().unstack().reindex(index=range(LENGTHS), columns=model.languages)
-    means = means.ffill().bfill()
-    means = means.fillna(float(found["entropy"].max()))
-    model.thresholds = means.to_numpy().T + high[None, :] + margin
+    model.thresholds = thresholds(found, model.languages, quantile, margin)
     x, y = found["evidence"].to_numpy(), found["right"].to_numpy(float)
     if 0 < y.mean() < 1:
         a, b = 1.0, 0.0

@@ -3,6 +3,8 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from itinera.llm import language_id as L
@@ -153,6 +155,57 @@ def test_rejection_is_a_quantile_of_clean_text_of_any_length(spark):
     assert model.predict(other)[3].mean() >= 0.95
 
 
+FOREIGN = """questa frase non appartiene a nessuna delle lingue conosciute qui
+ova rečenica nije napisana ni na jednom od naučenih jezika
+the quick brown fox jumps over the lazy dog while nobody was looking
+der schnelle braune Fuchs springt über den faulen Hund und niemand sieht zu
+dzisiaj jest bardzo ładna pogoda i wszyscy idziemy razem na długi spacer
+tämä lause on kirjoitettu suomeksi eikä sitä pitäisi tunnistaa
+быстрая лиса перепрыгнула через собаку и убежала в тёмный лес
+for (int i = 0; i < n; i++) { sum += values[i] * weights[i]; } return sum;
+SELECT name, count(*) FROM users WHERE active GROUP BY name ORDER BY 2 DESC
+aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa
+het is vandaag mooi weer en we gaan naar het strand met de kinderen
+bugün hava çok güzel ve biz denize gideceğiz
+jag vill gärna ha en kopp kaffe och en bulle tack så mycket
+o rato roeu a roupa do rei de roma e a rainha ficou muito zangada
+lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor
+kuinka paljon tämä maksaa ja missä on lähin pankki
+les enfants jouent dans le jardin pendant que leur mère prépare le dîner
+def parse(line): return [int(x) for x in line.split(",") if x.strip()]""".splitlines()
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_rejection_is_alike_on_small_and_large_tables(spark, sf):
+    """The tables' invented prose stays; real sentences of any language, code and random letters go."""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    model = train(docs.filter(~L.held_out(F.col("doc_id"))))
+    rng = random.Random(5)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(8, 60))) for _ in range(40)]
+    gone = model.predict(FOREIGN + noise)[3]
+    assert gone[: len(FOREIGN)].mean() >= 0.9 and gone[len(FOREIGN) :].all(), [t for t, x in zip(FOREIGN, gone, strict=False) if not x]
+    kept = [r.text for r in docs.select("text").collect() if has_letter(r.text)]
+    assert model.predict(kept)[3].mean() <= 0.0005
+
+
+def test_thresholds_do_not_follow_single_junk_documents():
+    """A calibration document of junk among a hundred moves the thresholds by little."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for doc in range(100):
+        for k in range(2, 11):
+            for n in range(4):
+                rows.append(("w", k, 1.5 + rng.normal(0, 1 / 2 ** (k / 2)), 1.0, True, 4.5 if (k, n) == (2, 0) else None, 900 if (k, n) == (2, 0) else None))
+    columns = ["lang", "size", "entropy", "evidence", "right", "noise", "chars"]
+    clean = pd.DataFrame(rows, columns=columns)
+    junk = pd.DataFrame([("w", k, 5.0, 1.0, True, None, None) for k in range(2, 11) for _ in range(4)], columns=columns).astype(clean.dtypes)
+    a, b = L.thresholds(clean, ["w", "x"]), L.thresholds(pd.concat([clean, junk], ignore_index=True), ["w", "x"])
+    assert a.shape == (2, L.LENGTHS) and np.allclose(a[0], a[1]) and np.isfinite(a).all()
+    assert np.abs(a - b).max() < 0.3 and a[0, 8] < 3.0
+    over = clean["entropy"].to_numpy() > a[0][clean["size"]]
+    assert over.mean() <= 0.002
+
+
 def test_identify_equals_each_text_by_itself(spark):
     rows = corpus(150) + [(900 + i, t, None, 0.0, "") for i, t in enumerate(["", "a", "zzz qqq", None, "abc mno " * 20_000])]
     df = spark.createDataFrame(rows, SCHEMA)
