@@ -4,12 +4,13 @@ The patterns give the base spans, exactly and in linear time, over whole texts.
 Their spans on a bounded sample are the labels on which the tagger is trained,
 together with the ways in which such values are written that the patterns lose:
 values next to other numbers, phones without a plus sign, addresses with accents or
-with ``(at)``, colon-separated ips; and numbers that are no such value. It then reads
-overlapping windows; each window is decoded by itself, and the spans of all windows
-of a document are reconciled at once: of spans that overlap, the set of the highest
-total weight stays. A span that reaches its window's edge is read again in a window
-twice as wide. A span that the tagger adds must hold a checkable value of its kind
-(which has LONGEST characters at most) and must not touch a base span.
+with ``(at)`` and of invented names, colon-separated ips; and numbers that are no such
+value. It then reads overlapping windows; each window is decoded by itself, and the
+spans of all windows of a document are reconciled at once: of spans that overlap, the
+set of the highest total weight stays. A span that reaches its window's edge is read
+again in windows twice as wide, until it ends inside of one, however long it is; these
+lie half a width apart, so each width costs a text at most two readings. A span that the
+tagger adds must hold a checkable value of its kind and must not touch a base span.
 
 Every kind needs a digit, an @ sign or an ``(at)``; only windows with one outside all
 base spans are decoded, for no other can hold an added span.
@@ -40,12 +41,11 @@ from itinera.llm.tagger import EDGE, Tagger, symbols
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and the step between windows.
 WINDOW, STEP = 96, 48
-#: Characters of the longest value that counts (an address of 64 + 1 + 255), and of the
-#: windows up to which a cut span is read again: one of them holds any such value.
-LONGEST, WIDEST = 320, 768
 #: Distinct windows that the tagger is trained on at most: those of least hash, half of
 #: them with spans and half without.
 SAMPLE_WINDOWS = 1536
+#: Rewritten windows with spans that it is trained on; a third as many without.
+REWRITTEN = 3 * SAMPLE_WINDOWS // 2
 HIDDEN = 20
 #: Gradient steps of the training, and windows in each.
 TRAIN_STEPS, BATCH, RATE = 600, 32, 0.02
@@ -63,6 +63,8 @@ DIGIT = re.compile(r"[0-9]")
 AT, DOT = r"\x20?[(\[]at[)\]]\x20?", r"\x20?[(\[]dot[)\]]\x20?"
 TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 ADDRESS = re.compile(rf"[\w.%+-]+(?:@|{AT})[\w-]+(?:(?:\.|{DOT})[\w-]+)+")
+#: The sign of an address, and what no address holds.
+SIGN, STRANGE = re.compile(rf"@|{AT}"), re.compile(r"[^\w.%+@()\[\]\x20-]|\x20\x20")
 DAY = re.compile(r"[0-9]{4}[-.][0-9]{2}[-.][0-9]{2}|[0-9]{1,2}[-.][0-9]{1,2}[-.][0-9]{4}")
 
 
@@ -117,7 +119,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def plausible(kind: int, value: str) -> bool:
     """Checks on what the tagger adds: whole values of a kind that can be verified."""
-    if value != value.strip() or len(value) > LONGEST:
+    if value != value.strip():
         return False
     if kind == 0:
         return bool(ADDRESS.fullmatch(value))
@@ -135,6 +137,15 @@ def plausible(kind: int, value: str) -> bool:
     return bool(shape) and valid("phone", value) and not DAY.match(value) and (marks >= 2 or value[0] == "+")
 
 
+def hopeless(kind: int, part: str) -> bool:
+    """Whether no plausible value of the kind can hold this part of it, so that its ends need not be found."""
+    if kind == 0:
+        return len(SIGN.findall(part)) > 1 or bool(STRANGE.search(part))
+    if kind == 1:
+        return part.count(":") > 7 or (":" not in part and part.count(".") > 3) or any(c.isspace() for c in part)
+    return len(_digits(part)) > (19 if kind == 2 else 15)
+
+
 def shapes(text: str) -> list[tuple[int, int, int]]:
     """The base spans, and what has a card's shape: the tagger learns shapes, sums are checked afterwards."""
     cards = [(2, *m.span()) for m in CARD.finditer(text) if 13 <= len(_digits(m[0])) <= 19]
@@ -216,14 +227,14 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], model:
                 i, s = part[row]
                 for start, end, kind in tagged_spans(tags[row]):
                     if (start == 0 and s > 0) or (end == width and s + width < len(texts[i])):
-                        todo.add((i, s + (start + end) // 2 - width))  # cut by the edge: read it in a wider window
+                        # Cut by the edge: it is in the middle of a window twice as wide.
+                        if not hopeless(kind, texts[i][max(0, s + start) : s + end]):
+                            todo.add((i, (s + (start + end) // 2 - width // 2) // width * width))
                         continue
                     sure = float(probability[np.arange(start, end), n, tags[row, start:end]].mean())
                     if sure >= CONFIDENCE:
                         found[i].append((s + start, s + end, kind, sure * (end - start)))
         width *= 2
-        if width > WIDEST:
-            break  # longer spans are no values
     out = []
     for text, own, spans in zip(texts, base, found, strict=True):
         good = [x for x in spans if plausible(x[2], text[x[0] : x[1]]) and all(x[1] <= a or b <= x[0] for _, a, b in own)]
@@ -244,10 +255,21 @@ def _digits_of(rng: random.Random, n: int) -> str:
     return "".join(rng.choices("0123456789", k=n))
 
 
+def _name(rng: random.Random) -> str:
+    """An invented name of a person, firm or host, so that shapes are learnt and not the table's few names."""
+    return "".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice(["a", "e", "i", "o", "u", "an", "er", "in", "ch", "st"]) for _ in range(rng.randint(1, 4)))
+
+
+def _address(rng: random.Random) -> str:
+    local = rng.choice(["", "", _name(rng)[0] + rng.choice("._"), _name(rng) + rng.choice(".-_+")]) + _name(rng) + rng.choice(["", "", str(rng.randrange(2000))])
+    host = rng.choice(["", _name(rng) + "-", _name(rng) + "."]) + _name(rng)
+    return f"{local}@{host}.{''.join(rng.choices('abcdefghijklmnopqrstuvwxyz', k=rng.choice((2, 2, 3, 3, 4))))}"
+
+
 def _written(kind: int, value: str, rng: random.Random) -> str:
     """A value in one of the ways in which people write it."""
-    if kind == 0 and rng.random() < 0.6:
-        local, _, domain = value.partition("@")
+    if kind == 0 and rng.random() < 0.8:
+        local, _, domain = (value if rng.random() < 0.2 else _address(rng)).partition("@")
         if rng.random() < 0.4:
             at = rng.randrange(len(local))
             return local[:at] + rng.choice("éüñäöçßø") + local[at + 1 :] + "@" + domain
@@ -259,8 +281,8 @@ def _written(kind: int, value: str, rng: random.Random) -> str:
             at = rng.randrange(1, 5)
             return ":".join(groups[:at]) + "::" + ":".join(groups[at + 2 :])
         return ":".join(groups)
-    if kind == 2 and rng.random() < 0.4:
-        digits, sep = _digits(value), rng.choice(" -")
+    if kind == 2 and rng.random() < 0.8:
+        digits, sep = _digits_of(rng, rng.choice((13, 14, 15, 16, 16, 16, 16, 19))), rng.choice(["", "", " ", "-"])
         return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
     if kind == 3 and rng.random() < 0.7:
         a, b, c = _digits_of(rng, 3), _digits_of(rng, 3), _digits_of(rng, 4)
@@ -348,13 +370,20 @@ def train(docs: DataFrame, text_col: str = "text", sample_windows: int = SAMPLE_
     half = sample_windows // 2
     found = labelled_windows(docs, text_col, half).groupBy("h").agg(F.min(F.struct("text", "spans")).alias("w")).select("h", "w.*")
     rows = [tuple(r) for r in found.filter("spans <> ''").orderBy("h").limit(half).unionByName(found.filter("spans = ''").orderBy("h").limit(half)).select("text", "spans").collect()]
-    labelled = [(text, [tuple(map(int, m.split(":"))) for m in marks.split(",") if m]) for text, marks in sorted(rows)]
+    return fitted([(text, [tuple(map(int, m.split(":"))) for m in marks.split(",") if m]) for text, marks in sorted(rows)], steps)
+
+
+def fitted(labelled: list[tuple[str, list[tuple[int, int, int]]]], steps: int = TRAIN_STEPS) -> Tagger | None:
+    """The tagger of labelled windows (text, spans) and of rewritten ones; None without any span."""
     values = [(k, text[a:b]) for text, spans in labelled for k, a, b in spans]
     if not values:
         return None
     rng, x, y = random.Random(SEED), [], []
+    marked = sum(bool(spans) for _, spans in labelled)
     for text, spans in labelled:
-        again = 3 if spans else 1
+        # The windows of a small table are rewritten more often: the examples are as many.
+        share = marked if spans else len(labelled) - marked
+        again = -(-(REWRITTEN if spans else REWRITTEN // 3) // share)
         for new_text, new_spans in [(text, spans), *(variants(text, spans, values, rng) for _ in range(again))]:
             shift = rng.randrange(-STEP // 2, STEP // 2)
             x.append(window_symbols(new_text, [shift])[0])
