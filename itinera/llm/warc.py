@@ -144,11 +144,12 @@ def _is_record(window: _Window, at: int) -> bool:
     while len(head) < PROBE:
         if seen >= len(window.data) and not window.more():
             break
+        piece = window.data[seen : seen + 4096]  # shorter where the window ends
         try:
-            head += inflate.decompress(window.data[seen : seen + 4096], PROBE)
+            head += inflate.decompress(piece, PROBE)
         except zlib.error:
             return False
-        seen += 4096
+        seen += len(piece)
         if head and not b"WARC/1.".startswith(head[:7]):
             return False
         if inflate.eof:

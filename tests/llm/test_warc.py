@@ -29,6 +29,19 @@ def test_every_split_owns_its_records():
         assert found == [(o, str(i)) for i, o in enumerate(offsets)], split
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 100, 517, 4097, 1 << 18])
+def test_no_record_is_lost_where_a_chunk_ends(monkeypatch, chunk):
+    """A head that is read in two chunks is a record like any other."""
+    monkeypatch.setattr("itinera.llm.warc.CHUNK", chunk)
+    records = [record(i, f"http://x/{i}", b"%d" % i * (i % 50), i // 2, i % 3 == 0) for i in range(300 if chunk < 100 else 6000)]
+    data = b"".join(records)
+    for split in (len(data) // 7, len(data)):
+        found = []
+        for start in range(0, len(data), split):
+            found += [h["warc-page-id"] for _, h, _ in read_split(io.BytesIO(data), len(data), start, min(len(data), start + split))]
+        assert found == [str(i) for i in range(len(records))]
+
+
 def test_damage_between_records_is_skipped():
     good = [record(i, None, b"x" * 100, None, False) for i in range(3)]
     other = gzip.compress(b"no record at all")
@@ -95,6 +108,14 @@ def test_round_trip_equals_brute_force(spark):
         assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == brute(rows)
 
 
+def test_archives_of_many_chunks_return_every_page(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["hot", "", None, f"page {rng.random()}", "é" * rng.randrange(3000)])) for i in rng.sample(range(10**9), 8000)]
+    got = round_trip(spark.createDataFrame([(i, f"http://h/{i}", h, "d", "k") for i, h in rows], SCHEMA).coalesce(1)).collect()
+    assert len(got) == len(rows)
+    assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == brute(rows)
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(1, "u", "a", "", ""), (1, "u", "a", "", ""), (None, "u", "a", "", ""), (None, None, "b", None, None)]
     got = round_trip(spark.createDataFrame(rows, SCHEMA)).collect()
