@@ -32,6 +32,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +147,37 @@ class Reader:
 MIXED = re.compile(r" (?:(?=\s)|(?<=\s ))")
 
 
+#: Pieces of Latin letters, digits and ASCII signs, with single line ends within. An
+#: apostrophe may begin a contraction, so it is none of the signs.
+PLAIN = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-ſ!-&(-/:-@\[-`{-~]+(?:\n[0-9A-Za-zÀ-ÖØ-öø-ſ!-&(-/:-@\[-`{-~]+)*")
+#: In a token's bytes, a place where the byte-level pattern parts joined plain pieces.
+PARTING = re.compile(
+    rb"(?:[A-Za-z]|(?:^|[\xc3-\xc5])[\x80-\xbf])(?=[^A-Za-z\x80-\xff'])|[0-9](?=[^0-9\x80-\xc2\xc6-\xff'])"
+    rb"|[!-&(-/:-@\[-`{-~](?=[0-9A-Za-z \n\xc3-\xc5])|\n(?=[!-&(-~\xc3-\xc5])"
+)
+#: Plain pieces that the model merges at once: more of them make its queue slower.
+MERGED = 64
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
+BYTES = {ord(c): b for b, c in LETTERS.items()}
+
+
+def merges_within_words(model: dict) -> bool:
+    """Whether no merge of a byte-level BPE reaches over a place where plain text is parted, so that the model parts it there by itself."""
+    if model.get("ignore_merges") or model.get("fuse_unk"):
+        return False  # then what a word becomes hangs on where it ends
+    merged = ("".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges") or [])
+    return not any(PARTING.search(t.translate(BYTES).encode("latin-1", "replace")) for t in merged)
+
+
 def cuts_at_spaces(tokenizer: dict) -> bool:
     """Whether a tokenizer's file describes a byte-level BPE that never merges over a space before a word."""
     before, model = tokenizer.get("pre_tokenizer") or {}, tokenizer.get("model") or {}
@@ -163,8 +195,9 @@ class WordEncoder:
     So a text is cut before such spaces, and equal pieces share one encoding.
     Where spaces meet other white space, the text is not cut. New pieces are
     encoded in one go, and the byte lengths of their tokens part them again; that a
-    token ends where a piece does is checked. Tokenizers of any other make (``cuts``
-    is false then) encode whole texts.
+    token ends where a piece does is checked. Plain pieces go to the tokenizer's model
+    without its pattern, if no merge of the vocabulary reaches from word to word.
+    Tokenizers of any other make (``cuts`` is false then) encode whole texts.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
@@ -173,7 +206,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.cuts = cuts_at_spaces(json.loads(self.tokenizer.to_str()))
+        made = json.loads(self.tokenizer.to_str())
+        self.cuts = cuts_at_spaces(made)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bare = Tokenizer(self.tokenizer.model) if self.cuts and merges_within_words(made["model"]) else None
         special = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         tokens = {i: len(t) for t, i in self.tokenizer.get_vocab().items()} | special
         self.token_bytes = np.array([tokens.get(i, 0) for i in range(max(tokens) + 1)], np.int64)
@@ -197,32 +233,60 @@ class WordEncoder:
                 out[-1] += " " + p
         return out
 
-    def _again(self, piece: str) -> bool:
-        """Whether a piece has probably been met before: only such pieces are worth keeping."""
-        at = hash(piece) & (len(self.met) - 1)
-        before, self.met[at] = self.met[at], 1
-        return bool(before)
+    def _keep(self, known: dict[str, bytes]) -> None:
+        """Keep the pieces that have probably been met before: only such are worth it."""
+        met, last = self.met, len(self.met) - 1
+        for piece, ids in known.items():
+            at = hash(piece) & last
+            if met[at]:
+                self.memo[piece] = ids
+            else:
+                met[at] = 1
 
     def _each(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _part(self, pieces: list[str], ids: np.ndarray) -> Iterator[tuple[str, bytes]]:
+        """Each of the pieces, that were encoded one after the other, with its ids."""
+        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in pieces), np.int64, len(pieces)))
+        reach = np.cumsum(self.token_bytes[ids])
+        cuts = np.searchsorted(reach, ends) + 1
+        if len(reach) < cuts[-1] or not np.array_equal(reach[cuts - 1], ends):
+            raise ValueError("a token reaches over the end of a piece")
+        data, at = ids.tobytes(), 0
+        for p, cut in zip(pieces, (cuts * 4).tolist(), strict=True):
+            yield p, data[at:cut]
+            at = cut
+
+    def _plain(self, pieces: list[str]) -> list[str]:
+        """The plain ones of some pieces, without added tokens."""
+        if self.bare is None:
+            return []
+        plain = list(filter(PLAIN.fullmatch, pieces))
+        whole = " ".join(plain)
+        for token in self.added:
+            if token in whole:
+                plain = [p for p in plain if token not in p]
+        return plain
+
     def _learn(self, new: list[str]) -> dict[str, bytes]:
+        known = {}
+        plain = self._plain(new)
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            shown = [" " + " ".join(part[j : j + MERGED]) for j in range(0, len(part), MERGED)]
+            shown = [x.encode().decode("latin-1").translate(LETTERS) for x in shown]
+            ids = [x.ids for x in self.bare.encode_batch_fast(shown, add_special_tokens=False)]
+            known.update(self._part(part, np.fromiter(chain.from_iterable(ids), "<u4")))
+        new = [p for p in new if p not in known]
         apart = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
-        known = dict(zip(apart, self._each([" " + p for p in apart]), strict=True))
+        known.update(zip(apart, self._each([" " + p for p in apart]), strict=True))
         new = [p for p in new if p not in known]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in part), np.int64, len(part)))
-            reach = np.cumsum(self.token_bytes[ids])
-            cuts = np.searchsorted(reach, ends) + 1
-            if len(reach) < cuts[-1] or not np.array_equal(reach[cuts - 1], ends):
-                raise ValueError("a token reaches over the end of a piece")
-            data, at = ids.tobytes(), 0
-            for p, cut in zip(part, (cuts * 4).tolist(), strict=True):
-                known[p] = data[at:cut]
-                at = cut
+            ids = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids
+            known.update(self._part(part, np.array(ids, "<u4")))
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -232,15 +296,16 @@ class WordEncoder:
         cut = [self.pieces(t) for t in texts]
         heads = [pieces.pop(0) for pieces in cut]
         found = [list(map(self.memo.get, pieces)) for pieces in cut]
-        open_ = [i for i, ids in enumerate(found) if None in ids]
-        new = {p for i in open_ for p, ids in zip(cut[i], found[i], strict=True) if ids is None}
+        open_ = [(cut[i], ids, [k for k, x in enumerate(ids) if x is None]) for i, ids in enumerate(found) if None in ids]
+        new = {pieces[k] for pieces, _, at in open_ for k in at}
         known = self._learn(list(new))
-        for i in open_:
-            found[i] = [known[p] if ids is None else ids for p, ids in zip(cut[i], found[i], strict=True)]
+        for pieces, ids, at in open_:
+            for k in at:
+                ids[k] = known[pieces[k]]
         if len(self.memo) >= self.memo_words and 4 * len(new) > sum(map(len, cut)):
             self.memo.clear()  # it no longer fits the texts
         if len(self.memo) < self.memo_words:
-            self.memo.update({p: ids for p, ids in known.items() if self._again(p)})
+            self._keep(known)
         if len(self.heads) >= self.memo_words:
             self.heads = {"": b""}
         fresh = list(set(heads).difference(self.heads))

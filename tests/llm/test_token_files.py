@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from itinera.llm.token_files import Reader, WordEncoder, cuts_at_spaces, Writer, pack, token_output, unpack, write_token_files
+from itinera.llm.token_files import Reader, WordEncoder, cuts_at_spaces, merges_within_words, Writer, pack, token_output, unpack, write_token_files
 
 SCHEMA = "doc_id long, text string, start long, part string"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,6 +51,41 @@ def test_word_encoder_equals_the_tokenizer():
                 assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+class Counted:
+    """A tokenizer that notes what it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_plain_pieces_go_to_the_model_alone():
+    """New plain words need no pattern; signs, line ends, added tokens and other letters part as the tokenizer parts them."""
+    plain, encoder, rng = Tokenizer.from_file(PATH), WordEncoder(PATH), random.Random(9)
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 12)))
+    for letters in ("abcxyzéöñß019.,$#", "abÉſ019.,$#*_-!\n", "ab'st.,\n ×÷µª½١Ⅷ\x85"):
+        texts = [" ".join(word(letters) for _ in range(rng.randint(1, 200))) for _ in range(60)]
+        if "\n" in letters:
+            texts += ["a <|endoftext|>b c<|endoftext|>\n d", "x ab\ncd.\n\nef g\n"]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        if "\n" not in letters:  # only what begins a text
+            assert not any(" " in t for t in encoder.tokenizer.given)
+    assert encoder._plain(["word", "été.\nNon", "don't", "a\n\nb", "a<|endoftext|>", "µ"]) == ["word", "été.\nNon"]
+
+
+def test_merges_over_words_are_met():
+    """Where a merge reaches over a place at which the pattern parts, the pattern is kept."""
+    for crossing in ("e .", "e Ġ", "1 a", ". Ċ", "Ċ a", "© 1", "- Ã"):
+        assert not merges_within_words({"merges": ["t h", crossing]}), crossing
+        assert not merges_within_words({"merges": [crossing.split(" ")]})
+    assert merges_within_words({"merges": ["t h", "Ġ th", "Ã ©", "' s", ". .", "Ġ 1", ["Ċ", "Ċ"], "Ġ ."]})
+    assert not merges_within_words({"merges": [], "ignore_merges": True})
+
+
 def test_files_hold_every_document(spark):
     plain = Tokenizer.from_file(PATH)
     rows = [(i * 7 % 101, f"text {i} " * (i % 9)) for i in range(101)] + [(200, None), (201, ""), (5, "again"), (5, "again"), (202, "long word " * 20_000), (None, "no id")]
