@@ -129,16 +129,32 @@ def words_within(text: bytes | None, fold: bytes, most: int = 1 << 20) -> Iterat
         open_ = [piece[cut:]]
 
 
-def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+_KEPT: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    """What this Python worker keeps from task to task for tasks of one kind (see ``giving_back``)."""
+    return _KEPT.setdefault(kind, {})
+
+
+def drop_kept(kind: str | None) -> None:
+    """Forget what this Python worker keeps for tasks of other kinds."""
+    for other in set(_KEPT) - {kind}:
+        del _KEPT[other]
+
+
+def giving_back(run: Callable[[Iterator], Iterator], kind: str | None = None) -> Callable[[Iterator], Iterator]:
     """A task's function that returns what it has freed to the machine when it ends.
 
     Python workers outlive their tasks, and what their allocators keep for later adds up
-    over the stages of a pipeline.
+    over the stages of a pipeline. So does what earlier stages kept for tasks of their own
+    kind: all but that of this ``kind`` goes before the task begins.
     """
 
     def wrapped(batches: Iterator) -> Iterator:
         import pyarrow
 
+        drop_kept(kind)
         yield from run(batches)
         gc.collect()
         pyarrow.default_memory_pool().release_unused()

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itinera.llm.common import filesystem, giving_back, new_dir, put_in_place
+from itinera.llm.common import filesystem, giving_back, kept, new_dir, put_in_place
 
 MAGIC = b"BPK1"
 #: Ids in a block.
@@ -313,14 +313,16 @@ class WordEncoder:
         return [b"".join([self.heads[h], *ids]) for h, ids in zip(heads, found, strict=True)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+#: The kind of tasks for which Python workers keep an encoder.
+ENCODING = "token encoder"
 
 
 def encoder_for(path: str) -> WordEncoder:
-    """One encoder per Python worker, so that its memo lasts over tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """One encoder per Python worker, so that its memo lasts over the tasks of its stage."""
+    encoders = kept(ENCODING)
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+    return encoders[path]
 
 
 def write_token_files(
@@ -371,7 +373,7 @@ def write_token_files(
             {"part": pa.array([part], pa.int64()), "path": [name], "n_docs": pa.array([writer.n_docs], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())}
         )
 
-    totals = sorted(ordered.mapInArrow(giving_back(write), "part long, path string, n_docs long, n_ids long").collect())
+    totals = sorted(ordered.mapInArrow(giving_back(write, ENCODING), "part long, path string, n_docs long, n_ids long").collect())
     listed, first = [], 0
     for t in totals:
         listed.append((t.path, t.n_docs, t.n_ids, first))

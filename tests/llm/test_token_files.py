@@ -122,3 +122,22 @@ def test_other_tokenizers_encode_whole_texts(tmp_path):
         texts = ["the Cat  sat", " on THE mat\n now", ""]
         got = WordEncoder(str(path)).encode(texts)
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_no_encoder_outlives_its_stage(spark):
+    from itinera.llm.common import giving_back
+
+    docs = spark.createDataFrame([(i, f"word{i} and more", 0, "") for i in range(64)], SCHEMA)
+    assert token_output(docs, lambda: PATH).count() == 64
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for batch in batches:
+            n = sum(type(x).__name__ == "WordEncoder" for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], ["n"])
+
+    rows = spark.range(64).repartition(16).mapInArrow(giving_back(held), "n long")
+    assert rows.agg({"n": "max"}).first()[0] == 0  # workers of the encoding tasks among them
