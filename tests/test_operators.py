@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from itinera.operators import clusters, hubs, land, legs, places, routing, trips
+from itinera.operators import clusters, folds, hubs, land, legs, places, routing, trips
 from itinera.plans import dims
 
 KM = 1 / 111.19492664455873  # degrees of latitude in a kilometre
@@ -51,6 +51,25 @@ def test_merge_reaches_by_grain_and_names(spark):
     assert [(r.day, r.date, r.photo_ids) for r in days] == [(1, "1970-01-01", [1]), (2, "1970-01-01", [2])]
 
 
+def test_fold_keeps_keys_together_when_a_join_turns_into_a_broadcast(spark):
+    # The plan shuffles by owner for the join, which at run time broadcasts one side and reads the other where it lies.
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = spark.range(4000).selectExpr("id % 20 AS owner", "id div 20 AS k").repartition(7, "k")
+    rows = held.join(held.groupBy("owner").agg(F.count("k").alias("n")), "owner", "left")
+
+    def numbers():
+        seen = iter(range(4000))
+        return lambda k: next(seen)
+
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        assert all(r.at == r.k for r in folds.fold_rows(rows, "owner", ["k"], ["k"], numbers, "at").collect())
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
+
+
 def trip(spark, kms, names=None, hub=None):
     rows = [(1, i, (names or "ABCDEFGH")[i], None if k is None else k * KM, 0.0, None if hub is None else hub[i]) for i, k in enumerate(kms)]
     return spark.createDataFrame(rows, "trip long, seq int, name string, lat double, lon double, hub_id string")
