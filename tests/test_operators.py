@@ -165,6 +165,16 @@ def test_routes_stay_in_their_medium(spark):
     assert routing.find_path((0.0, 0.0), (1.0, 1.0), lambda x, y: x < 0.4, "sea") is None
 
 
+@pytest.mark.parametrize("medium", ["land"])
+def test_routes_avoid_what_the_moves_of_the_grid_miss(medium):
+    clear = routing.find_path((0.0, 0.0), (3.0, 3.0), lambda x, y: x == x, medium)
+    (x1, y1), (x2, y2) = clear[9:11]
+    rock = lambda x, y: (abs(x - (x1 + x2) / 2) > 1e-3) | (abs(y - (y1 + y2) / 2) > 1e-3)
+    assert not routing.stays(*clear[9:11], rock, 0.08)
+    way = routing.find_path((0.0, 0.0), (3.0, 3.0), rock, medium)
+    assert all(routing.stays(a, b, rock, 0.08) for a, b in zip(way[:-1], way[1:]))
+
+
 def test_nearest_place_near_the_date_line_and_poles(spark):
     held = spark.createDataFrame([(1, "a", 10.0, 179.9), (2, "b", 89.9, 10.0), (3, "c", 10.0, -179.5)], "idx long, name string, lat double, lon double")
     asked = spark.createDataFrame([(1, 10.0, -179.95), (2, 89.9, -170.0), (3, 10.0, 0.0), (4, None, 0.0)], "q long, lat double, lon double")
