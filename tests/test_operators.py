@@ -165,7 +165,7 @@ def test_routes_stay_in_their_medium(spark):
     assert routing.find_path((0.0, 0.0), (1.0, 1.0), lambda x, y: x < 0.4, "sea") is None
 
 
-@pytest.mark.parametrize("medium", ["land"])
+@pytest.mark.parametrize("medium", ["sea", "land"])
 def test_routes_avoid_what_the_moves_of_the_grid_miss(medium):
     clear = routing.find_path((0.0, 0.0), (3.0, 3.0), lambda x, y: x == x, medium)
     (x1, y1), (x2, y2) = clear[9:11]
