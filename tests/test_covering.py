@@ -1,12 +1,13 @@
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from itinera.operators import covering, land
-from itinera.operators.covering import cover, locate
+from itinera.operators.covering import cover, finder, locate
 from itinera.plans import dims
 
 
@@ -66,3 +67,30 @@ def test_empty_layers_nulls_and_short_rings(spark):
         assert [r.landmass for r in locate(points, layer(spark, polygons)).collect()] == [None] * 3
     both = layer(spark, [(1, "later", [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]]), (0, "first", [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.1), (0.0, 1.0)]])])
     assert {r.k: r.landmass for r in locate(points, both).collect()} == {0: None, 1: None, 2: "first"}
+
+
+@pytest.mark.parametrize("most", [6, 48])
+def test_the_finder_says_what_the_joins_say(spark, most):
+    """On cells of many levels and holes, at corners and edges too, and legs' samples as arrays touch what their rows do."""
+    star = [(3 + (2 if i % 2 else 0.7) * math.cos(i * math.pi / 40), 2 + (2 if i % 2 else 0.7) * math.sin(i * math.pi / 40)) for i in range(80)]
+    polygons = [(1, "star", [star, [(2.9, 1.9), (3.1, 1.9), (3.1, 2.1), (2.9, 2.1)]]), (0, "square", [[(3.0, 2.0), (4.0, 2.0), (4.0, 3.0), (3.0, 3.0)]]), (2, "line", [[(0.0, 0.0), (1.0, 1.0)]])]
+    index = cover(layer(spark, polygons), most)
+    rng = random.Random(5)
+    points = [(rng.uniform(-1, 6), rng.uniform(-1, 6)) for _ in range(3000)] + [*star, (3.0, 2.0), (3.1, 2.1), (4.0, 3.0), (-200.0, 50.0)]
+    rows = spark.createDataFrame([(i, y, x) for i, (x, y) in enumerate(points)], "k long, lat double, lon double")
+    want = {r.k: r.landmass is not None for r in locate(rows, index).collect()}
+    found = finder(index).on_land(*np.array(points).T)
+    assert [want[i] for i in range(len(points))] == found.tolist() and any(want.values())
+    at = lambda: (rng.uniform(1, 3), rng.uniform(2, 4))
+    legs = [(1, i, *at(), *(at() if i % 9 else (2.0, 2.0)), [at() for _ in range(i % 4)] if i % 5 else None) for i in range(300)]
+    legs += [(1, 300, 2.0, 2.0, 2.0, 2.0, None), (1, 301, None, 2.0, 2.0, 3.0, None), (1, 302, 1.0, 2.0, 1.0, 2.0, [(1.0, 2.0), (2.0, 3.0)])]
+    rows = spark.createDataFrame(legs, "trip long, leg long, from_lat double, from_lon double, to_lat double, to_lon double, via array<struct<lat: double, lon: double>>")
+    arrays, joins = ({r.leg: (r.land, r.water) for r in land.touched(rows, replace(index, small=small), step_km=2).collect()} for small in (True, False))
+    assert arrays == joins and arrays[300] == arrays[301] == (False, False) and set(arrays.values()) >= {(True, True), (True, False)}
+    assert finder(cover(layer(spark, []))).on_land(np.zeros(2), np.zeros(2)).tolist() == [False, False]
+
+
+def test_samples_of_legs_make_no_rows(spark):
+    rows = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 1.0)], "trip long, leg long, from_lat double, from_lon double, to_lat double, to_lon double")
+    plan = land.touched(rows, layer(spark, [(0, "a", [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]])]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
