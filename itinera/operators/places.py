@@ -8,7 +8,6 @@ split, and a position goes down only into parts that can hold its nearest place.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -16,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from itinera.functions.geo import EARTH_KM, haversine_km
 from itinera.functions.text import fold, within_one_edit
@@ -302,26 +302,45 @@ def _cap(zoom: Column) -> Column:
     return out
 
 
-def _nearest(tied: DataFrame, views: list, most: int) -> DataFrame:
-    """The ``most`` rows nearest to each view of a block: view, ord. A task keeps its own best of each view only."""
+#: Views of a tile, and rows that always show; rows of one score that a tile compares with its views, and rows that it keeps of them.
+VIEW_BLOCK, ROW_BLOCK, TIED_BLOCK, KEPT = 4096, 4096, 65_536, 1_000_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        off, ord_ = [np.zeros(0)] * len(views), [np.zeros(0, np.int64)] * len(views)
-        for batch in batches:
-            lat, lon, own = (batch.column(c).to_numpy() for c in ("lat", "lon", "ord"))
-            for i, (_, y, x, _) in enumerate(views):
-                d, o = np.concatenate((off[i], (lat - y) * (lat - y) + (lon - x) * (lon - x))), np.concatenate((ord_[i], own))
-                keep = np.lexsort((o, d))[:most]
-                off[i], ord_[i] = d[keep], o[keep]
-        for i, (d, o) in enumerate(zip(off, ord_, strict=True)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), i)), pa.array(o), pa.array(d)], ["view", "ord", "off"])
 
-    kept = tied.select("lat", "lon", F.col("ord").cast("long")).mapInArrow(run, "view long, ord long, off double")
-    return best_of_each(kept, ["view"], ["off", "ord"], most, F.xxhash64("ord"), 16).select("view", "ord")
+def _in_tiles(left: DataFrame, right: DataFrame, i: tuple[str, int], j: tuple[str, int], keys: list[str] | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides dealt into tiles, in which each pair meets once: ``left`` in i parts by a column, ``right`` in j, each copied for all parts of the other."""
+    part = lambda by: F.pmod(F.xxhash64(by[0]), F.lit(by[1]))
+    every = lambda by: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(by[1] - 1).cast("long")))
+    tile = [*(keys or []), "_i", "_j"]
+    dealt = left.withColumn("_i", part(i)).withColumn("_j", every(j)), right.withColumn("_j", part(j)).withColumn("_i", every(i))
+    # A number of partitions of its own: few bytes go in and many rows come out, so tiles are not to be put together.
+    return *(x.repartition(min(4096, i[1] * j[1]), *tile) for x in dealt), tile
 
 
-#: Views that one pass over the candidates serves.
-VIEW_BLOCK = 4096
+def _nearest(views: DataFrame, tied: DataFrame, left: dict[int, int], counts: dict[int, int], most_tied: int) -> DataFrame:
+    """Of rows (cap, ord, lat, lon) the ``left`` nearest to each view of a cap: view, ord."""
+    parts = max(math.ceil(n / max(1, min(VIEW_BLOCK, KEPT // left[cap]))) for cap, n in counts.items())
+    chunks = max(1, math.ceil(most_tied / TIED_BLOCK))
+    asked, rows, tile = _in_tiles(views.select("view", "lat", "lon", "cap"), tied, ("view", parts), ("ord", chunks), ["cap"])
+    schema = StructType([views.schema["view"], tied.schema["ord"], StructField("off", DoubleType()), StructField("cap", views.schema["cap"].dataType)])
+
+    def run(key: tuple, own: pa.Table, held: pa.Table) -> pa.Table:
+        most, found, offs = left[key[0].as_py()], [], []
+        lat, lon, names = held.column("lat").to_numpy(), held.column("lon").to_numpy(), held.column("ord").to_numpy()
+        for y, x in zip(own.column("lat").to_numpy(), own.column("lon").to_numpy(), strict=True):
+            off = (lat - y) * (lat - y) + (lon - x) * (lon - x)
+            near = np.flatnonzero(off <= np.partition(off, most - 1)[most - 1]) if len(off) > most else np.arange(len(off))
+            near = near[np.lexsort((names[near], off[near]))[:most]]
+            found.append(near)
+            offs.append(off[near])
+        view = own.column("view").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+        at = pa.array(np.concatenate([np.zeros(0, int), *found]))
+        return pa.table([view, held.column("ord").take(at), pa.array(np.concatenate([np.zeros(0), *offs])), pa.array([key[0].as_py()] * len(at), own.schema.field("cap").type)], schema.names)
+
+    kept = asked.groupBy(*tile).cogroup(rows.groupBy(*tile)).applyInArrow(run, schema)
+    if chunks > 1:
+        most = F.create_map(*[F.lit(x) for pair in left.items() for x in pair])[F.col("cap")]
+        kept = best_of_each(kept, ["view"], ["off", "ord"], most, F.xxhash64("ord"), 16)
+    return kept.select("view", "ord")
 
 
 def density_budgets(candidates: DataFrame, views: DataFrame) -> DataFrame:
@@ -331,38 +350,31 @@ def density_budgets(candidates: DataFrame, views: DataFrame) -> DataFrame:
     view's centre, up to the zoom's cap. Scores are the same for all views, so for each
     cap one order with a limit tells the score at which it is full: rows above show in
     every view of that cap, and rows below in none. Only rows of just that score are
-    compared with the views, a block of them at a time, each task keeping a view's nearest.
+    compared with the views, in tiles of some of both. The driver gets counts alone, and
+    the plan is the same for any number of views.
 
     A missing score is 0, a missing position that of 0, 0, a missing zoom the closest view's.
     """
-    spark = candidates.sparkSession
     rows = candidates.select("ord", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lat", "lon", "score")], F.coalesce("exempt", F.lit(False)).alias("exempt"))
     asked = views.select("view", F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("lon", F.lit(0.0)).alias("lon"), _cap(F.coalesce("zoom", F.lit(99.0))).alias("cap"))
-    kind = asked.schema["view"].dataType.simpleString()
     free, exempt = rows.filter("NOT exempt"), rows.filter("exempt").select("ord")
-    full: dict[int, tuple[float, int]] = {}
-    out = spark.createDataFrame([], f"view {kind}, ord {rows.schema['ord'].dataType.simpleString()}, exempt boolean")
-
-    def shown(places: DataFrame, names: list, is_exempt: bool) -> DataFrame:
-        every = spark.createDataFrame([(names,)], f"views array<{kind}>")  # one row, so each place meets the block once
-        return places.withColumn("one", F.lit(1)).join(F.broadcast(every.withColumn("one", F.lit(1))), "one").select(F.explode("views").alias("view"), "ord", F.lit(is_exempt).alias("exempt"))
-
-    waiting = asked.toLocalIterator()
-    while block := [tuple(r) for r in itertools.islice(waiting, VIEW_BLOCK)]:
-        out = out.unionByName(shown(exempt, [v[0] for v in block], True))
-        for cap in sorted({v[3] for v in block}):
-            if cap not in full:
-                last = free.select("score").orderBy(F.desc("score")).limit(cap).agg(F.min("score")).first()[0]
-                full[cap] = last, 0 if last is None else cap - free.filter(F.col("score") > last).count()
-            last, left = full[cap]
-            if last is None:
-                continue
-            own = [v for v in block if v[3] == cap]
-            out = out.unionByName(shown(free.filter(F.col("score") > last).select("ord"), [v[0] for v in own], False))
-            names = spark.createDataFrame([(i, v[0]) for i, v in enumerate(own)], f"number long, view {kind}")
-            near = _nearest(free.filter(F.col("score") == last), own, left).withColumnRenamed("view", "number")
-            out = out.unionByName(near.join(F.broadcast(names), "number").select("view", "ord", F.lit(False).alias("exempt")))
-    return out
+    counts = {r["cap"]: r["count"] for r in asked.groupBy("cap").count().collect()}
+    full = {cap: free.select("score").orderBy(F.desc("score")).limit(cap).agg(F.min("score")).first()[0] for cap in sorted(counts)}
+    full = {cap: last for cap, last in full.items() if last is not None}
+    parts = max(1, math.ceil(sum(counts.values()) / VIEW_BLOCK))
+
+    every, always, tile = _in_tiles(asked.select("view"), exempt, ("view", parts), ("ord", max(1, math.ceil(exempt.count() / ROW_BLOCK))))
+    out = every.join(always.hint("merge"), tile).select("view", "ord", F.lit(True).alias("exempt"))
+    if not full:
+        return out
+    # Rows by the caps in which they rank above the score that fills them, or just there.
+    bounds = F.array(*[F.struct(F.lit(cap).alias("cap"), F.lit(last).alias("last")) for cap, last in full.items()])
+    met = lambda test: free.withColumn("c", F.explode(F.filter(bounds, test))).select("c.cap", "ord", "lat", "lon")
+    above, tied = met(lambda c: F.col("score") > c["last"]), met(lambda c: F.col("score") == c["last"])
+    higher, level = ({r["cap"]: r["count"] for r in x.groupBy("cap").count().collect()} for x in (above, tied))
+    shown = asked.repartition(parts, "view").join(F.broadcast(above.select("cap", "ord")), "cap").select("view", "ord")
+    near = _nearest(asked, tied, {cap: cap - higher.get(cap, 0) for cap in full}, counts, max(level.values()))
+    return out.unionByName(shown.unionByName(near).withColumn("exempt", F.lit(False)))
 
 
 def density_budget(candidates: DataFrame, lat: float, lon: float, zoom: float) -> DataFrame:

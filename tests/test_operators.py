@@ -345,6 +345,21 @@ def test_many_views_show_what_each_shows_alone(spark, monkeypatch):
     assert empty.count() == 0
 
 
+def test_views_by_number_change_neither_plan_nor_rows(spark, monkeypatch):
+    """Blocks of views and of rows, tied ones too, are dealt out as rows: the plan doesn't grow with them."""
+    for name, size in (("VIEW_BLOCK", 3), ("ROW_BLOCK", 2), ("TIED_BLOCK", 40), ("KEPT", 60)):
+        monkeypatch.setattr(places, name, size, raising=False)
+    held = spark.range(400).selectExpr("id AS ord", "cast(id % 19 AS double) AS lat", "cast(id % 23 AS double) AS lon", "cast(id % 2 AS double) AS score", "id % 40 = 0 AS exempt")
+    asked = lambda n: spark.range(n).selectExpr("id AS view", "cast(id AS double) AS lat", "cast(id % 5 AS double) AS lon", "CASE WHEN id % 2 = 0 THEN 2D ELSE 6D END AS zoom")
+    few, many = (places.density_budgets(held, asked(n)) for n in (4, 25))
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(few) == size(many)
+    got = many.collect()
+    for n in range(25):
+        want = sorted(map(tuple, places.density_budget(held, float(n), float(n % 5), 6.0 if n % 2 else 2.0).collect()))
+        assert sorted((r.ord, r.exempt) for r in got if r.view == n) == want, n
+
+
 def test_a_query_that_all_places_match(spark):
     """Each task keeps eight rows of a query; the rarest piece is looked up, not the first."""
     held = spark.range(4000).selectExpr("id AS idx", "concat('Town ', id) AS name", "cast(id % 100 AS double) AS pop", "map('xx', concat('Ville ', id)) AS alt")
