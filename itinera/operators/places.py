@@ -256,7 +256,9 @@ def search(queries: DataFrame, places: DataFrame, aliases: DataFrame, limit: int
     All joins have keys: of a query's pieces of three characters it meets the names
     that hold the rarest, by counted postings, and for typos those that share a
     deletion with it. A place is judged with all its spellings at once, so each match
-    is one row, and a task keeps ``limit`` of them for each query.
+    is one row, and a task keeps ``limit`` of them for each query. What is broadcast is
+    counted first: Spark goes by the bytes of compressed files, and would send all pieces
+    of all names through the driver. A hint to merge yields to a broadcast of the other side.
     """
     asked = queries.select("query", fold(F.col("query")).alias("q")).filter("q <> ''").distinct()
     forms = F.array(fold(F.col("name")))
@@ -276,22 +278,22 @@ def search(queries: DataFrame, places: DataFrame, aliases: DataFrame, limit: int
         begins, holds = F.exists(of, lambda f: f.startswith(q)), F.exists(of, lambda f: f.contains(q))
         return F.when(begins, 0).when(holds, 2)
 
-    direct = postings.join(_if_few(rarest), "gram").withColumn("tier", direct_tier(F.col("q"), F.col("forms"))).filter("tier IS NOT NULL")
+    direct = postings.hint("merge").join(_if_few(rarest), "gram").withColumn("tier", direct_tier(F.col("q"), F.col("forms"))).filter("tier IS NOT NULL")
     direct = direct.select("query", "q", "idx", "pop", "key", "tier")
     # Names are looked at before aliases: a row that holds the query stays there.
     named = aliases.select(fold(F.col("alias")).alias("q"), fold(F.col("name")).alias("target")).distinct()
     meant = _if_few(asked.join(named, "q"))
-    first = held.join(F.broadcast(meant.select(F.col("target").alias("key")).distinct()), "key", "left_semi").groupBy("key").agg(F.min(F.struct("idx", "pop", "forms")).alias("p"))
+    first = held.join(_if_few(meant.select(F.col("target").alias("key")).distinct()), "key", "left_semi").groupBy("key").agg(F.min(F.struct("idx", "pop", "forms")).alias("p"))
     by_alias = meant.join(first, F.col("target") == F.col("key")).filter(direct_tier(F.col("q"), F.col("p.forms")).isNull())
     by_alias = by_alias.select("query", "q", "p.idx", "p.pop", "key", F.lit(1).alias("tier"))
     exact = ((F.col("tier") == 0) & (F.col("key") == F.col("q"))).cast("int")
     order = ["tier", exact.desc(), F.desc("pop"), "idx"]
     # The best rows also say which queries have few: of those they are all.
     best = stored(best_of_each(direct.unionByName(by_alias), ["query"], order, max(limit, least)).drop("rank"), "matches")
-    few = asked.filter(F.length("q") >= 3).join(best.groupBy("query").agg(F.count(F.lit(1)).alias("hits")), "query", "left").filter(F.coalesce("hits", F.lit(0)) < least)
+    few = asked.filter(F.length("q") >= 3).join(best.groupBy("query").agg(F.count(F.lit(1)).alias("hits")).hint("merge"), "query", "left").filter(F.coalesce("hits", F.lit(0)) < least)
     off = few.select("query", "q", F.explode(_one_off(F.col("q"))).alias("_left"))
-    near = held.withColumn("_left", F.explode(_one_off(F.col("key")))).join(_if_few(off), "_left").filter(within_one_edit(F.col("q"), F.col("key")))
-    near = near.select("query", "q", "idx", "pop", "key").distinct().join(best.select("query", "idx"), ["query", "idx"], "left_anti").withColumn("tier", F.lit(3))
+    near = held.withColumn("_left", F.explode(_one_off(F.col("key")))).hint("merge").join(_if_few(off), "_left").filter(within_one_edit(F.col("q"), F.col("key")))
+    near = near.select("query", "q", "idx", "pop", "key").distinct().join(best.select("query", "idx").hint("merge"), ["query", "idx"], "left_anti").withColumn("tier", F.lit(3))
     return best_of_each(best.unionByName(near), ["query"], order, limit).select("query", "rank", "idx", "tier")
 
 

@@ -345,6 +345,17 @@ def test_many_views_show_what_each_shows_alone(spark, monkeypatch):
     assert empty.count() == 0
 
 
+def test_search_broadcasts_only_what_it_counted(spark, tmp_path, monkeypatch):
+    spark.range(3000).selectExpr("id AS idx", "concat('Town ', lpad(id, 9, '0')) AS name", "cast(id % 100 AS double) AS pop").write.parquet(f"{tmp_path}/places")
+    asked = spark.createDataFrame([("Town 000000007",), ("Twn 000000008",), ("town",)], "query string")
+    search = lambda: places.search(asked, spark.read.parquet(f"{tmp_path}/places"), spark.createDataFrame([("village", "Town 000000009")], "alias string, name string"))
+    want = sorted(search().collect())
+    monkeypatch.setattr(places, "FEW_ROWS", 0)
+    got = search()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(got.collect()) == want and len(want) > 9
+
+
 def test_views_by_number_change_neither_plan_nor_rows(spark, monkeypatch):
     """Blocks of views and of rows, tied ones too, are dealt out as rows: the plan doesn't grow with them."""
     for name, size in (("VIEW_BLOCK", 3), ("ROW_BLOCK", 2), ("TIED_BLOCK", 40), ("KEPT", 60)):
